@@ -29,7 +29,7 @@ MARKS = "!\"'()+,-./:;=?@[\\]^_`{}~"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 #: Standard deviations, in thousandths, below which differences are no evidence.
-FLOORS = (100.0, 150.0, 150.0, 150.0, 120.0, 200.0)
+FLOORS = (100.0, 150.0, 150.0, 150.0, 350.0, 450.0)
 P = len(FLOORS)
 
 
