@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, packing, quality_rules, secrets, token_counts
+from tessera.llm import decontaminate, line_dedup, nbsvm, near_dedup, packing, pii, quality_rules, secrets, token_counts
 from tessera.llm.staging import new_path
 
+#: A fixed key, so that results can be repeated. A real run passes its own secret.
+PII_KEY = b"tessera pseudonym key for tests"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -28,10 +30,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), TOKENIZER)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_documents(spark, sf_dir))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_documents(spark, sf_dir))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(_documents(spark, sf_dir), {"byte_bpe_50k": TOKENIZER})
     store = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
@@ -43,7 +61,11 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
     "op7_secret_scans": op7_secret_scans,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {}
