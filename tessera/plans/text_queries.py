@@ -184,16 +184,20 @@ def sink_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_reduce_tree", """WITH RECURSIVE t(doc_id, depth, pos, body, target) AS (SELECT doc_id, 0, CAST('' AS VARCHAR), text, CAST(100 AS BIGINT) FROM documents UNION ALL
 SELECT doc_id, depth + 1, pos || side, CASE side WHEN '0' THEN left(body, cut) ELSE substr(body, cut + 1) END, CASE side WHEN '0' THEN CAST(floor(target * (cut / length(body))) AS BIGINT) ELSE target - CAST(floor(target * (cut / length(body))) AS BIGINT) END
-FROM (SELECT *, length(body) // 2 AS cut FROM t WHERE depth < 6 AND strlen(body) // 4 + 1 > 512), (VALUES ('0'), ('1')) s(side))
+FROM (SELECT *, CASE WHEN nl > 0 AND mid + nl - 1 <= length(body) * 3 // 4 THEN mid + nl - 1 WHEN contains(left(body, mid + 1), ' ') THEN length(regexp_extract(left(body, mid + 1), '(?s)^(.*) ', 1)) ELSE mid END AS cut FROM (SELECT *, length(body) // 2 AS mid, instr(substr(body, length(body) // 2 + 1), chr(10)) AS nl FROM t WHERE depth < 6 AND strlen(body) // 4 + 1 > 512)), (VALUES ('0'), ('1')) s(side))
 SELECT doc_id, CAST(depth AS BIGINT) AS depth, pos, body, target FROM t WHERE NOT (depth < 6 AND strlen(body) // 4 + 1 > 512)""")
 def win_reduce_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of the split of long notes: halves while they exceed 512 estimated tokens, at most six times; word targets follow the shares."""
+    """Leaves of the split of long notes near the middle (at a line feed, else a space) while they exceed 512 estimated tokens, at most six times; word targets follow the shares."""
     level = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("depth"), F.lit("").alias("pos"), c("text").alias("body"), F.lit(100).cast("long").alias("target"))
     leaves = []
     for _ in range(6):
         long = T.est_tokens(c("body")) > 512
         leaves.append(level.where(~long))
-        cut = level.where(long).withColumn("cut", F.floor(F.length("body") / 2).cast("int"))
+        cut = level.where(long).withColumn("mid", F.floor(F.length("body") / 2).cast("int"))
+        feed = F.instr(F.substring(c("body"), c("mid") + 1, F.length("body")), "\n")
+        early = F.left("body", c("mid") + 1)
+        space = F.when(early.contains(" "), F.length(F.regexp_extract(early, "(?s)^(.*) ", 1))).otherwise(c("mid"))
+        cut = cut.withColumn("cut", F.when((feed > 0) & (c("mid") + feed - 1 <= F.floor(F.length("body") * 3 / 4)), c("mid") + feed - 1).otherwise(space).cast("int"))
         share = F.floor(c("target") * (c("cut") / F.length("body"))).cast("long")
         halves = F.explode(F.array(F.struct(F.lit("0").alias("side"), F.left("body", c("cut")).alias("half"), share.alias("share")), F.struct(F.lit("1").alias("side"), F.substring(c("body"), c("cut") + 1, F.length("body")).alias("half"), (c("target") - share).alias("share"))))
         level = cut.select("doc_id", "depth", "pos", halves.alias("h")).select("doc_id", (c("depth") + 1).alias("depth"), F.concat("pos", "h.side").alias("pos"), c("h.half").alias("body"), c("h.share").alias("target"))
