@@ -130,12 +130,14 @@ def join_sweep_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.join(table(spark, sf_dir, "labels").select(c("doc_id").alias("conv_id")), "conv_id", "left_anti")
 
 
-@query("join_declared_peers", "SELECT a.doc_id, b.doc_id AS peer FROM (SELECT doc_id, source FROM documents WHERE doc_id % 9 = 0) a JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 9 = 0 AND doc_id IN (SELECT doc_id FROM labels)) b ON a.source = b.source AND a.doc_id <> b.doc_id")
+@query("join_declared_peers", "SELECT d.doc_id, count(p.doc_id) - CASE WHEN bool_or(p.doc_id = d.doc_id) THEN 1 ELSE 0 END AS peers FROM documents d LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) p USING (source) GROUP BY d.doc_id")
 def join_declared_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other selected inputs of the same library: a selection of every ninth item, labelled ones count as selected."""
-    inputs = table(spark, sf_dir, "documents").where("doc_id % 9 = 0").select("doc_id", "source")
-    chosen = inputs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(c("doc_id").alias("peer"), "source")
-    return inputs.join(chosen, "source").where("doc_id <> peer").select("doc_id", "peer")
+    """How many other selected inputs (labelled documents) stand beside each one in its library."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    chosen = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    beside = chosen.groupBy("source").agg(F.count("*").alias("n"))
+    own = chosen.select("doc_id", F.lit(1).alias("own"))
+    return docs.join(beside, "source", "left").join(own, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("peers"))
 
 
 @query("join_part_seed", "SELECT a.conv_id, a.turn, right(b.text, 400) AS seed FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE length(right(b.text, 400)) > 40")
@@ -154,14 +156,14 @@ def join_research_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(notes, "doc_id", "left").join(declared, "doc_id", "left")
 
 
-_NOTES = "SELECT doc_id, source, n_chars * 1000 + doc_id AS wtime, '# T' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '## Summary' || chr(10) END || left(text, 1500) AS md FROM documents"
+_NOTES = "SELECT doc_id, source, n_chars * 1000 + doc_id AS wtime, '# T' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '## Summary' || chr(10) END || text AS md FROM documents"
 
 
-@query("agg_folder_context", f"SELECT source, left(string_agg(chr(10) || '[' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || substr(md, greatest(instr(md, '## Summary'), 1), 800) || chr(10), '' ORDER BY r), 9000) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY wtime DESC) AS r FROM ({_NOTES})) WHERE r <= 20 GROUP BY source")
+@query("agg_folder_context", f"SELECT source, left(string_agg(chr(10) || '[' || CAST(doc_id AS VARCHAR) || ']' || chr(10) || substr(left(md, 4000), greatest(instr(left(md, 4000), '## Summary'), 1), 800) || chr(10), '' ORDER BY r), 9000) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY wtime DESC) AS r FROM ({_NOTES})) WHERE r <= 20 GROUP BY source")
 def agg_folder_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _both(_NOTES, "documents")(spark, sf_dir)
     top = notes.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("wtime")))).where("r <= 20")
-    one = F.concat(F.lit("\n["), c("doc_id").cast("string"), F.lit("]\n"), T.section_head(c("md")), F.lit("\n"))
+    one = F.concat(F.lit("\n["), c("doc_id").cast("string"), F.lit("]\n"), T.section_head(F.left("md", F.lit(4000))), F.lit("\n"))
     return top.groupBy("source").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", one.alias("t")))), lambda x: x["t"]), ""), F.lit(9000)).alias("context"))
 
 
@@ -194,11 +196,11 @@ def set_download_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.where("role IN ('stt', 'llm')").select("id").join(complete, "id", "left_anti")
 
 
-@query("st_active_pair", f"SELECT tier, CASE WHEN bool_and(done) AND tier <> 3 THEN 'activate' ELSE 'keep' END AS action FROM (SELECT c.id % 5 AS tier, coalesce(size = bytes, false) AS done FROM ({CATALOG}) c LEFT JOIN ({FILES}) f ON f.id = c.id WHERE c.id < 30) GROUP BY tier")
+@query("st_active_pair", f"SELECT tier, CASE WHEN bool_and(done) AND tier <> 3 THEN 'activate' ELSE 'keep' END AS action FROM (SELECT c.id // 5 AS tier, coalesce(size = bytes, false) AS done FROM ({CATALOG}) c LEFT JOIN ({FILES}) f ON f.id = c.id ) GROUP BY tier")
 def st_active_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tier all of whose files are complete becomes the default, unless a job runs (tier 3 is busy)."""
-    joined = _part(spark, sf_dir, CATALOG).where("id < 30").join(_part(spark, sf_dir, FILES), "id", "left")
-    return joined.groupBy((c("id") % 5).alias("tier")).agg(F.when(F.bool_and(F.coalesce(c("size") == c("bytes"), F.lit(False))) & (F.first(c("id") % 5) != 3), "activate").otherwise("keep").alias("action"))
+    joined = _part(spark, sf_dir, CATALOG).join(_part(spark, sf_dir, FILES), "id", "left")
+    return joined.groupBy(F.floor(c("id") / 5).alias("tier")).agg(F.when(F.bool_and(F.coalesce(c("size") == c("bytes"), F.lit(False))) & (F.first(F.floor(c("id") / 5)) != 3), "activate").otherwise("keep").alias("action"))
 
 
 _VERIFY = "SELECT c.id, bytes, size, sha, path, CASE WHEN c.id % 11 = 0 THEN NULL ELSE 'h1' END AS pinned FROM catalog c"
@@ -241,11 +243,11 @@ def str_validate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("job", F.when(~c("stt"), "abort: stt").when(~c("llm"), "abort: llm").when(~c("vlm"), "run without captions").otherwise("run").alias("decision"))
 
 
-@query("src_registry_scan", """SELECT m.doc_id AS id, m.name, b.bytes FROM (SELECT doc_id, source || ':' || CAST(doc_id AS VARCHAR) AS name, 'sha-' || CAST(doc_id % 400 AS VARCHAR) AS digest FROM documents WHERE doc_id % 2 = 0) m JOIN (SELECT 'sha-' || CAST(item_id * 2 AS VARCHAR) AS digest, length(text) AS bytes FROM benchmark) b USING (digest)""")
+@query("src_registry_scan", """SELECT m.doc_id AS id, m.name, b.bytes FROM (SELECT doc_id, source || ':' || CAST(doc_id AS VARCHAR) AS name, 'sha-' || CAST(doc_id % 400 AS VARCHAR) AS digest FROM documents) m JOIN (SELECT 'sha-' || CAST(item_id * 2 AS VARCHAR) AS digest, length(text) AS bytes FROM benchmark) b USING (digest)""")
 def src_registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First weight layer of each manifest, joined with the blobs that exist."""
     layers = F.format_string('{"layers":[{"mediaType":"license","digest":"x","size":1},{"mediaType":"image.model","digest":"sha-%d","size":2}]}', c("doc_id") % 400)
-    manifests = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(c("doc_id").alias("id"), F.concat_ws(":", "source", c("doc_id").cast("string")).alias("name"), layers.alias("json"))
+    manifests = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), F.concat_ws(":", "source", c("doc_id").cast("string")).alias("name"), layers.alias("json"))
     parsed = F.from_json("json", "layers array<struct<mediaType:string,digest:string,size:bigint>>")["layers"]
     digest = F.get(F.filter(parsed, lambda x: F.endswith(x["mediaType"], F.lit("model"))), F.lit(0))["digest"]
     blobs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("sha-"), (c("item_id") * 2).cast("string")).alias("digest"), F.length("text").cast("long").alias("bytes"))

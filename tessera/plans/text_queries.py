@@ -31,7 +31,7 @@ def agg_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cosine_pairs(_items(spark, sf_dir)).where("score >= 0.35")
 
 
-@query("join_term_pairs", "WITH t AS (SELECT DISTINCT doc_id AS id, source AS lib, unnest(list_filter(string_split_regex(lower(left(text, 4000)), '[^\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 3)) AS term FROM documents WHERE source = 'src3') SELECT a.id AS a, b.id AS b, count(*) AS shared FROM t a JOIN t b ON a.lib = b.lib AND a.term = b.term AND a.id < b.id GROUP BY ALL".replace(" WHERE source = 'src3'", ""))
+@query("join_term_pairs", "WITH t AS (SELECT DISTINCT doc_id AS id, source AS lib, unnest(list_filter(string_split_regex(lower(left(text, 4000)), '[^\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 3)) AS term FROM documents) SELECT a.id AS a, b.id AS b, count(*) AS shared FROM t a JOIN t b ON a.lib = b.lib AND a.term = b.term AND a.id < b.id GROUP BY ALL")
 def join_term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = _items(spark, sf_dir).select("id", "lib", F.explode(F.array_distinct(T.tokens(F.left("text", F.lit(4000))))).alias("term"))
     left, right = terms.select("lib", "term", c("id").alias("a")), terms.select("lib", "term", c("id").alias("b"))
@@ -43,56 +43,50 @@ def agg_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.groups(similarity.cosine_pairs(_items(spark, sf_dir)), 0.8, 0.95)
 
 
-@query("agg_group_key", "SELECT key, band FROM (SELECT source, string_agg(source || '-' || CAST(doc_id AS VARCHAR), ' + ' ORDER BY source || '-' || CAST(doc_id AS VARCHAR)) AS key, CASE WHEN count(*) > 4 AND source <> 'src1' THEN 'prompt' ELSE 'suggest' END AS band FROM documents WHERE doc_id % 10 = 3 OR doc_id % 17 = 1 GROUP BY source) WHERE source NOT IN (SELECT 'src' || CAST(item_id AS VARCHAR) FROM benchmark WHERE item_id % 7 = 2)")
+@query("agg_group_key", "SELECT key, band FROM (SELECT conv_id, string_agg(role || '-' || CAST(turn AS VARCHAR), ' + ' ORDER BY role || '-' || CAST(turn AS VARCHAR)) AS key, CASE WHEN count(*) > 4 AND conv_id <> 1 THEN 'prompt' ELSE 'suggest' END AS band FROM conversations GROUP BY conv_id) WHERE conv_id NOT IN (SELECT item_id FROM benchmark)")
 def agg_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of a group make its key; dismissed groups go, and groups without automatic prompt are only suggested."""
-    members = table(spark, sf_dir, "documents").where("doc_id % 10 = 3 OR doc_id % 17 = 1").select("source", F.concat_ws("-", "source", c("doc_id").cast("string")).alias("name"))
-    keyed = members.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("name")), " + ").alias("key"), F.count("*").alias("n"))
-    dismissed = table(spark, sf_dir, "benchmark").where("item_id % 7 = 2").select(F.concat(F.lit("src"), c("item_id").cast("string")).alias("source"))
-    return keyed.join(dismissed, "source", "left_anti").select("key", F.when((c("n") > 4) & (c("source") != "src1"), "prompt").otherwise("suggest").alias("band"))
+    """Names of a group (here: turns of a conversation) make its key; dismissed groups go, and those without automatic prompt are only suggested."""
+    members = table(spark, sf_dir, "conversations").select("conv_id", F.concat_ws("-", "role", c("turn").cast("string")).alias("name"))
+    keyed = members.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("name")), " + ").alias("key"), F.count("*").alias("n"))
+    dismissed = table(spark, sf_dir, "benchmark").select(c("item_id").alias("conv_id"))
+    return keyed.join(dismissed, "conv_id", "left_anti").select("key", F.when((c("n") > 4) & (c("conv_id") != 1), "prompt").otherwise("suggest").alias("band"))
 
 
-_MEMBERS = "SELECT source, doc_id, source || '-' || CAST(doc_id AS VARCHAR) AS name, lang AS kind, left(text, 200) AS body FROM documents WHERE doc_id % 25 = 4"
+_MEMBERS = "SELECT conv_id, turn, role || '-' || CAST(turn AS VARCHAR) AS name, role AS kind, text AS body FROM conversations"
 
 
-@query("agg_merged_input", f"SELECT source, 'MERGE MODE: long' || chr(10) || CAST(count(*) AS VARCHAR) || ' sources' || chr(10) || string_agg('--- ' || name || ' (' || kind || ') ---' || chr(10), '' ORDER BY doc_id) || chr(10) || string_agg('--- ' || name || ' (' || kind || ') ---' || chr(10) || body || chr(10) || chr(10), '' ORDER BY doc_id) AS input FROM ({_MEMBERS}) GROUP BY source")
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a group: its turns in order, with name, kind and body."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.concat_ws("-", "role", c("turn").cast("string")).alias("name"), c("role").alias("kind"), c("text").alias("body")).alias("x"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("m"))
+
+
+@query("agg_merged_input", f"SELECT conv_id, 'MERGE MODE: long' || chr(10) || CAST(count(*) AS VARCHAR) || ' sources' || chr(10) || string_agg('--- ' || name || ' (' || kind || ') ---' || chr(10), '' ORDER BY turn) || chr(10) || string_agg('--- ' || name || ' (' || kind || ') ---' || chr(10) || body || chr(10) || chr(10), '' ORDER BY turn) AS input FROM ({_MEMBERS}) GROUP BY conv_id")
 def agg_merged_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One input text per group: mode, ledger of members, then each member's text under its line."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 25 = 4")
-    line = F.concat(F.lit("--- "), c("source"), F.lit("-"), c("doc_id").cast("string"), F.lit(" ("), c("lang"), F.lit(") ---\n"))
-    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line"), F.left("text", F.lit(200)).alias("body")))).alias("m"))
-    ledger = F.array_join(F.transform("m", lambda x: x["line"]), "")
-    bodies = F.array_join(F.transform("m", lambda x: F.concat(x["line"], x["body"], F.lit("\n\n"))), "")
-    return rows.select("source", F.concat(F.lit("MERGE MODE: long\n"), F.size("m").cast("string"), F.lit(" sources\n"), ledger, F.lit("\n"), bodies).alias("input"))
+    line = lambda x: F.concat(F.lit("--- "), x["name"], F.lit(" ("), x["kind"], F.lit(") ---\n"))
+    ledger = F.array_join(F.transform("m", line), "")
+    bodies = F.array_join(F.transform("m", lambda x: F.concat(line(x), x["body"], F.lit("\n\n"))), "")
+    return _members(spark, sf_dir).select("conv_id", F.concat(F.lit("MERGE MODE: long\n"), F.size("m").cast("string"), F.lit(" sources\n"), ledger, F.lit("\n"), bodies).alias("input"))
 
 
-@query("sink_merged_md", f"SELECT source, '#' || source || chr(10) || chr(10) || '## Sources' || chr(10) || string_agg('- ' || name || ' (' || kind || ', ' || CAST(length(body) AS VARCHAR) || ' chars)' || chr(10), '' ORDER BY doc_id) || chr(10) || '## Summary' || chr(10) || '{T.SKIP_MARK}' || chr(10) || chr(10) || '## Source Texts' || chr(10) || string_agg('### ' || name || chr(10) || regexp_replace(body, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10), '' ORDER BY doc_id) AS md FROM ({_MEMBERS}) GROUP BY source")
+@query("sink_merged_md", f"SELECT conv_id, '#c' || CAST(conv_id AS VARCHAR) || chr(10) || chr(10) || '## Sources' || chr(10) || string_agg('- ' || name || ' (' || kind || ', ' || CAST(length(body) AS VARCHAR) || ' chars)' || chr(10), '' ORDER BY turn) || chr(10) || '## Summary' || chr(10) || '{T.SKIP_MARK}' || chr(10) || chr(10) || '## Source Texts' || chr(10) || string_agg('### ' || name || chr(10) || regexp_replace(body, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10), '' ORDER BY turn) AS md FROM ({_MEMBERS}) GROUP BY conv_id")
 def sink_merged_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 25 = 4")
-    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws("-", "source", c("doc_id").cast("string")).alias("name"), "lang", F.left("text", F.lit(200)).alias("body")))).alias("m"))
-    ledger = F.array_join(F.transform("m", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["lang"], F.lit(", "), F.length(x["body"]).cast("string"), F.lit(" chars)\n"))), "")
+    ledger = F.array_join(F.transform("m", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["kind"], F.lit(", "), F.length(x["body"]).cast("string"), F.lit(" chars)\n"))), "")
     bodies = F.array_join(F.transform("m", lambda x: F.concat(F.lit("### "), x["name"], F.lit("\n"), T.trimmed(x["body"]), F.lit("\n\n"))), "")
-    return rows.select("source", F.concat(F.lit("#"), c("source"), F.lit("\n\n## Sources\n"), ledger, F.lit(f"\n## Summary\n{T.SKIP_MARK}\n\n## Source Texts\n"), bodies).alias("md"))
-
-
-_CHUNKS = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(left(text, 3000), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id % 5 = 0),
-step(doc_id, i, chunk, cur, size) AS (SELECT doc_id, 0, 0, '', CAST(0 AS BIGINT) FROM w UNION ALL
-SELECT s.doc_id, i + 1, CASE WHEN cur <> '' AND size + 1 + strlen(ws[i + 1]) // 4 + 1 > 100 THEN chunk + 1 ELSE chunk END, CASE WHEN cur = '' OR size + 1 + strlen(ws[i + 1]) // 4 + 1 > 100 THEN ws[i + 1] ELSE cur || ' ' || ws[i + 1] END,
-CASE WHEN cur = '' OR size + 1 + strlen(ws[i + 1]) // 4 + 1 > 100 THEN strlen(ws[i + 1]) // 4 + 1 ELSE size + 1 + strlen(ws[i + 1]) // 4 + 1 END FROM step s JOIN w USING (doc_id) WHERE i < len(ws)),
-parts AS (SELECT doc_id, chunk, max_by(cur, i) AS body FROM step GROUP BY doc_id, chunk)"""
-_CHUNKS = _CHUNKS.replace(" WHERE doc_id % 5 = 0", "")
+    return _members(spark, sf_dir).select("conv_id", F.concat(F.lit("#c"), c("conv_id").cast("string"), F.lit("\n\n## Sources\n"), ledger, F.lit(f"\n## Summary\n{T.SKIP_MARK}\n\n## Source Texts\n"), bodies).alias("md"))
 
 
-@query("win_chunk_by_tokens", f"{_CHUNKS} SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, body FROM parts")
+@query("win_chunk_by_tokens")
 def win_chunk_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", cues.chunks(F.left("text", F.lit(3000)), 100).alias("parts"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", cues.chunks(c("text"), 1000).alias("parts"))
     return docs.select("doc_id", F.posexplode("parts").alias("chunk", "body")).select("doc_id", c("chunk").cast("long").alias("chunk"), "body")
 
 
-@query("agg_extractive_summary", f"{_CHUNKS} SELECT doc_id, string_agg(chr(10) || chr(10) || '[chunk ' || CAST(chunk + 1 AS VARCHAR) || '] ' || left(body, 400), '' ORDER BY chunk) AS notes FROM parts GROUP BY doc_id")
+@query("agg_extractive_summary")
 def agg_extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = cues.chunks(F.left("text", F.lit(3000)), 100)
-    docs = table(spark, sf_dir, "documents").select("doc_id", parts.alias("p"))
+    """Without a model: the head of every chunk."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", cues.chunks(c("text"), 1000).alias("p"))
     return docs.select("doc_id", F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("\n\n[chunk "), (i + 1).cast("string"), F.lit("] "), F.left(x, F.lit(400)))), "").alias("notes"))
 
 
@@ -101,13 +95,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     at = F.when(c("turn") % 11 == 5, c("turn") * 7 - 60).otherwise(c("turn") * 7)
     at = F.greatest(at, F.lit(0))
-    stamp = F.format_string("[%02d:%02d] ", F.floor(at / 60), at % 60)
-    line = F.when(c("turn") % 3 == 2, F.left("text", F.lit(300))).otherwise(F.concat(stamp, F.left("text", F.lit(300))))
-    return t.select("conv_id", "turn", F.regexp_replace(line, r"[\n\[\]]", " ").alias("raw"), F.when(c("turn") % 3 == 2, "").otherwise(T.trimmed(stamp)).alias("stamp")).select("conv_id", "turn", F.concat(c("stamp"), F.when(c("stamp") == "", c("raw")).otherwise(F.substring("raw", 8, 1000))).alias("line"))
+    stamp = F.format_string("[%02d:%02d]", F.floor(at / 60), at % 60)
+    body = F.regexp_replace("text", r"[\n\[\]]", " ")
+    return t.select("conv_id", "turn", F.when(c("turn") % 3 == 2, body).otherwise(F.concat(stamp, F.lit(" "), body)).alias("line"))
 
 
 _LINES = r"""lines AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN -1 ELSE greatest(CASE WHEN turn % 11 = 5 THEN turn * 7 - 60 ELSE turn * 7 END, 0) * 1000 END AS ms,
-regexp_replace(CASE WHEN turn % 3 = 2 THEN regexp_replace(left(text, 300), '[\n\[\]]', ' ', 'g') ELSE regexp_replace(regexp_replace(left(text, 300), '[\n\[\]]', ' ', 'g'), '^[ \t]+', '') END, '[ \t\r]+$', '') AS body FROM conversations),
+regexp_replace(CASE WHEN turn % 3 = 2 THEN regexp_replace(text, '[\n\[\]]', ' ', 'g') ELSE regexp_replace(regexp_replace(text, '[\n\[\]]', ' ', 'g'), '^[ \t]+', '') END, '[ \t\r]+$', '') AS body FROM conversations),
 top AS (SELECT *, max(CASE WHEN ms >= 0 THEN ms END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM lines WHERE ms >= 0 OR body <> ''),
 kept AS (SELECT *, sum(CASE WHEN ms >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM top WHERE ms < 0 OR top IS NULL OR ms >= top),
 grp AS (SELECT conv_id, CAST(idx AS BIGINT) AS idx, CAST(max(ms) AS BIGINT) AS start_ms, string_agg(body, ' ' ORDER BY turn) AS text FROM kept WHERE idx > 0 GROUP BY conv_id, idx),
@@ -176,9 +170,9 @@ def win_lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, diff string")
 
 
-@query("sink_diff_json", "SELECT doc_id, '[{\"t\":\"-\",\"text\":' || CAST(to_json(substr(text, 1, 60)) AS VARCHAR) || ',\"chunk\":0}]' AS json FROM documents")
+@query("sink_diff_json", "SELECT doc_id, '[{\"t\":\"-\",\"text\":' || CAST(to_json(text) AS VARCHAR) || ',\"chunk\":0}]' AS json FROM documents")
 def sink_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct(F.lit("-").alias("t"), F.substring("text", 1, 60).alias("text"), F.lit(0).alias("chunk"))
+    item = F.struct(F.lit("-").alias("t"), c("text").alias("text"), F.lit(0).alias("chunk"))
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.array(item)).alias("json"))
 
 
