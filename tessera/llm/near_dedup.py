@@ -36,7 +36,7 @@ from tessera.llm.staging import stage
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
-VECTOR = "doc_id long, total double, hashes binary, weights binary"
+VECTOR = "doc_id long, total double, shared double, hashes binary, weights binary"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -178,7 +178,7 @@ def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold
         which = np.flatnonzero(stay)
         low, high = np.searchsorted(doc, which), np.searchsorted(doc, which, "right")
         return pa.table({
-            "doc_id": pa.array(ids[which], pa.int64()), "total": pa.array(total[which]),
+            "doc_id": pa.array(ids[which], pa.int64()), "total": pa.array(total[which]), "shared": pa.array(shared[which]),
             "hashes": pa.array([key[a:b].astype("<u8").tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
             "weights": pa.array([weight[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
         })
@@ -194,11 +194,18 @@ def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (high.astype(np.float64) + 0.5) / 2**32, (low.astype(np.float64) + 0.5) / 2**32
 
 
-def signature(key: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """``size`` consistent weighted samples: two vectors agree in each with the probability of their weighted Jaccard similarity."""
+def signature(key: np.ndarray, weight: np.ndarray, size: int, own: int = 0, rest: float = 0.0) -> np.ndarray:
+    """``size`` consistent weighted samples: two vectors agree in each with the probability of their weighted Jaccard similarity.
+
+    rest is the weight of shingles that no other document has. The least of their values is exponential
+    at that rate, like that of any other weight, and agrees with no other document: one draw by the
+    document's number ``own`` stands for all of them."""
     out = np.zeros(size, np.uint64)
     ln = np.log(weight.astype(np.float64))[:, None]
     best = np.full(size, np.inf)
+    if rest > 0:
+        out = mix(np.full(size, own, np.int64).astype(np.uint64), np.arange(1, size + 1, dtype=np.uint64) + np.uint64(1 << 40))
+        best = np.log(-np.log(_uniform(out)[0]) / rest)
     for a in range(0, len(key), 4096):
         k = key[a : a + 4096, None]
         seed = mix(np.broadcast_to(k, (len(k), size)).ravel(), np.tile(np.arange(1, size + 1, dtype=np.uint64), len(k))).reshape(len(k), size)
@@ -222,24 +229,25 @@ def signature(key: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
 
 
 def band_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band, key, doc_id, total."""
+    """band, key, doc_id, total, shared, and the keys of all bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.zeros((len(batch), bands), np.int64)
             for i in range(len(batch)):
-                drawn = signature(np.frombuffer(batch.column(2)[i].as_py(), "<u8"), np.frombuffer(batch.column(3)[i].as_py(), "<f4"), bands * rows).reshape(bands, rows)
+                doc, rest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() - batch.column(2)[i].as_py()
+                drawn = signature(np.frombuffer(batch.column(3)[i].as_py(), "<u8"), np.frombuffer(batch.column(4)[i].as_py(), "<f4"), bands * rows, doc, rest).reshape(bands, rows)
                 key = drawn[:, 0]
                 for r in range(1, rows):
                     key = mix(key, drawn[:, r])
                 keys[i] = key.astype(np.int64)
             n = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands))), batch.column(1).take(pa.array(np.repeat(np.arange(n), bands)))],
-                names=["band", "key", "doc_id", "total"],
+                [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands))), *[batch.column(k).take(pa.array(np.repeat(np.arange(n), bands))) for k in (1, 2)], pa.array(list(np.repeat(keys, bands, axis=0)), pa.list_(pa.int64()))],
+                names=["band", "key", "doc_id", "total", "shared", "keys"],
             )
 
-    return found.mapInArrow(run, "band int, key long, doc_id long, total double")
+    return found.mapInArrow(run, "band int, key long, doc_id long, total double, shared double, keys array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
@@ -275,6 +283,10 @@ def verify(pairs: DataFrame, found: DataFrame, threshold: float, members: int =
     return heads.groupBy("a", "salt").cogroup(own.groupBy("a_", "salt_")).applyInArrow(compare, "a long, b long")
 
 
+def c_top(name: str) -> Column:
+    return F.col(f"top.{name}")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, damping: float = 0.2, leader_rounds: int = 2) -> DataFrame:
     """doc_id, class_id (least doc_id of the class; null without doc_id), n_links (verified links of its text), for each row of docs."""
     spark = docs.sparkSession
@@ -293,34 +305,44 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     tested = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
     for turn in range(leader_rounds + 1):
-        labelled = keyed.join(comp, keyed["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "total", F.coalesce("component", "doc_id").alias("c"))
+        labelled = keyed.join(comp, keyed["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "total", "shared", "keys", F.coalesce("component", "doc_id").alias("c"))
         parts = labelled.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k")).where("k > 1").select("band", "key", F.col("top.c").alias("top"))
-        rest = labelled.join(largest, ["band", "key"])
-        if turn == 0:
-            heads = rest.groupBy("band", "key").agg(F.min(F.struct(F.col("doc_id"), F.col("total"), F.col("c"))).alias("h")).select("band", "key", "h.*")
-        elif turn < leader_rounds:
-            # who stands outside the largest component and has not been compared with all of its bucket
-            heads = rest.where("c <> top").groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.col("doc_id"), F.lit(turn)).alias("o"), F.col("doc_id"), F.col("total"), F.col("c"))).alias("h")).select("band", "key", "h.doc_id", "h.total", "h.c")
+        largest = parts.groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
+        largest = stage(largest.select("band", "key", c_top("c").alias("top"), (F.col("n") * (F.col("n") - c_top("n"))).alias("work"), "n"), "buckets")
+        work, size = largest.agg(F.coalesce(F.sum("work"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not work:
+            break
+        last = turn == leader_rounds or (turn > 0 and work <= 4 * size)
+        rest = labelled.join(largest.drop("work", "n"), ["band", "key"])
+        # a document that copies vary has little that no other has, and one that only holds what its
+        # bucket has in common is the shortest: these two are compared with all others first
+        heads = rest.select("band", "key", "doc_id", "total", "shared", "c", "keys")
+        if last:
+            heads = rest.where("c <> top").select(*heads.columns)
         else:
-            heads = rest.where("c <> top").select("band", "key", "doc_id", "total", "c")
-        heads = heads.toDF("band", "key", "x", "x_total", "x_c")
-        near = F.least("total", "x_total") >= threshold * F.greatest("total", "x_total") * (1 - 1e-9)
-        pairs = rest.join(heads, ["band", "key"]).where((F.col("c") != F.col("x_c")) & near)
-        if turn == leader_rounds:
+            order = 1 - F.col("shared") / F.col("total") if turn == 0 else F.col("total") if turn == 1 else F.xxhash64(F.col("doc_id"), F.lit(turn)).cast("double")
+            outside = heads if turn < 2 else rest.where("c <> top")
+            heads = outside.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), *[F.col(x) for x in ("doc_id", "total", "shared", "c", "keys")])).alias("h")).select("band", "key", "h.doc_id", "h.total", "h.shared", "h.c", "h.keys")
+        heads = heads.toDF("band", "key", "x", "x_total", "x_shared", "x_c", "x_keys")
+        # what two documents have in common is at most the lesser shared weight
+        most = F.least("shared", "x_shared")
+        near = most >= threshold * (F.col("total") + F.col("x_total") - most) * (1 - 1e-9)
+        # a pair meets in the first band that has both, not in each
+        before = F.col("band")
+        once = ~F.exists(F.zip_with(F.slice("keys", F.lit(1), before), F.slice("x_keys", F.lit(1), before), lambda p, q: p == q), lambda p: p)
+        pairs = rest.join(heads, ["band", "key"]).where((F.col("c") != F.col("x_c")) & near & (once if last else F.lit(True)))
+        if last:
             # of two that both stand outside the largest component, the lesser one asks
             pairs = pairs.where((F.col("c") == F.col("top")) | (F.col("x") < F.col("doc_id")))
         pairs = pairs.select(F.col("x").alias("a"), F.col("doc_id").alias("b")).distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                break
-            continue
         links = verify(pairs, found, threshold)
         edges = stage(edges.union(links), "links")
         tested = stage(tested.union(pairs), "tested")
         comp = stage(components(edges), "components")
+        if last:
+            break
     linked = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = linked.select(F.col("a").alias("node")).unionAll(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = reps.select("h1", "h2", "rep").join(comp, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
