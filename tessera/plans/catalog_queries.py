@@ -254,8 +254,18 @@ def src_registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.select("id", "name", digest.alias("digest")).join(blobs, "digest").select("id", "name", "bytes")
 
 
-_VIDEO = "mp4 m4v mov qt mkv mk3d webm avi divx wmv asf flv f4v mpg mpeg mpe mpv m2v ts m2ts m2t mts vob 3gp 3g2 ogv rm rmvb nsv mxf"
-_AUDIO = "wav flac aiff aif aifc au snd caf w64 rf64 voc wma alac wv ape mpc mpp tak tta shn dsf gsm mp3 mp2 mp1 mpa aac m4a m4b m4r ogg oga ogx opus spx amr awb ac3 eac3 dts mlp thd aa aax mod xm it s3m mka weba ra aup3 aup4 aup3unsaved"
+#: File extensions by kind, in the order of the tests.
+_VIDEO = (
+    "mp4 m4v mov qt mkv mk3d webm avi divx wmv asf flv f4v mpg mpeg mpe mpv m2v ts m2ts m2t mts vob 3gp 3g2 ogv rm rmvb nsv mxf"
+)
+_AUDIO = (
+    "wav flac aiff aif aifc au snd avr caf w64 rf64 voc wma alac wv ape mpc mpp mp+ tak tta shn dsf dss sln gsm"
+    " mp3 mp2 mp1 mpa m1a m2a aac m4a m4b m4r ogg oga ogv ogx opus spx amr awb ac3 eac3 ec3 dts dtshd mlp thd aa aax"
+    " mod xm it s3m mtm med okt 669 far stm ult ay gbs gym hes kss nsf nsfe sap spc vgm vgz"
+    " mp4 m4v mov qt 3gp 3g2 3gp2 3gpp isma ismv mkv mka mk3d webm weba webp avi divx wmv asf"
+    " flv f4v f4a f4b mpg mpeg mpe mpv m2v ts m2ts m2t mts vob evo vro mxf gxf rm rmvb ra nsv"
+    " ivf nut wtv dvr-ms smk roq bink binka brstm aup3 aup4 aup3unsaved"
+)
 _DOC = "txt md markdown log csv tsv json xml yaml yml toml ini srt vtt lrc html htm xhtml mhtml rtf docx pptx xlsx xlsm doc ppt xls odt ods odp epub pdf"
 _EXT = r"lower(regexp_extract(regexp_extract(p, '([^/\\]*)$', 1), '.\.([^.]*)$', 1))"
 _GATE = "SELECT doc_id AS seq, CASE WHEN doc_id % 13 = 5 THEN 'old/project.aup' ELSE " + PATHS + " END AS p FROM documents"
