@@ -36,7 +36,9 @@ from tessera.llm.staging import stage
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
-VECTOR = "doc_id long, total double, shared double, hashes binary, weights binary"
+VECTOR = "doc_id long, total double, shared double, profile array<double>, hashes binary, weights binary"
+#: Octaves of document frequency in a profile; the last takes all above.
+OCTAVES = 16
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -170,6 +172,8 @@ def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold
         weight = _weights(code, times, n_docs, damping)
         total = np.bincount(doc, weight, minlength=len(ids))
         shared = np.bincount(doc, weight * (code > 0), minlength=len(ids))
+        octave = np.minimum(code >> 4, OCTAVES - 1).astype(np.int64)
+        profile = np.bincount(doc * OCTAVES + octave, weight * (code > 0), minlength=len(ids) * OCTAVES).reshape(-1, OCTAVES)
         stay = (total > 0) & (shared >= threshold * total * (1 - 1e-9))
         keep = (code > 0) & stay[doc] if len(doc) else np.zeros(0, bool)
         key, doc, weight = key[keep], doc[keep], weight[keep].astype("<f4")
@@ -178,7 +182,7 @@ def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold
         which = np.flatnonzero(stay)
         low, high = np.searchsorted(doc, which), np.searchsorted(doc, which, "right")
         return pa.table({
-            "doc_id": pa.array(ids[which], pa.int64()), "total": pa.array(total[which]), "shared": pa.array(shared[which]),
+            "doc_id": pa.array(ids[which], pa.int64()), "total": pa.array(total[which]), "shared": pa.array(shared[which]), "profile": pa.array(list(profile[which]), pa.list_(pa.float64())),
             "hashes": pa.array([key[a:b].astype("<u8").tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
             "weights": pa.array([weight[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
         })
@@ -236,18 +240,18 @@ def band_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
             keys = np.zeros((len(batch), bands), np.int64)
             for i in range(len(batch)):
                 doc, rest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() - batch.column(2)[i].as_py()
-                drawn = signature(np.frombuffer(batch.column(3)[i].as_py(), "<u8"), np.frombuffer(batch.column(4)[i].as_py(), "<f4"), bands * rows, doc, rest).reshape(bands, rows)
+                drawn = signature(np.frombuffer(batch.column(4)[i].as_py(), "<u8"), np.frombuffer(batch.column(5)[i].as_py(), "<f4"), bands * rows, doc, rest).reshape(bands, rows)
                 key = drawn[:, 0]
                 for r in range(1, rows):
                     key = mix(key, drawn[:, r])
                 keys[i] = key.astype(np.int64)
             n = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands))), *[batch.column(k).take(pa.array(np.repeat(np.arange(n), bands))) for k in (1, 2)], pa.array(list(np.repeat(keys, bands, axis=0)), pa.list_(pa.int64()))],
-                names=["band", "key", "doc_id", "total", "shared", "keys"],
+                [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands))), *[batch.column(k).take(pa.array(np.repeat(np.arange(n), bands))) for k in (1, 2, 3)], pa.array(list(np.repeat(keys, bands, axis=0)), pa.list_(pa.int64()))],
+                names=["band", "key", "doc_id", "total", "shared", "profile", "keys"],
             )
 
-    return found.mapInArrow(run, "band int, key long, doc_id long, total double, shared double, keys array<long>")
+    return found.mapInArrow(run, "band int, key long, doc_id long, total double, shared double, profile array<double>, keys array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
@@ -305,7 +309,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
     tested = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
     for turn in range(leader_rounds + 1):
-        labelled = keyed.join(comp, keyed["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "total", "shared", "keys", F.coalesce("component", "doc_id").alias("c"))
+        labelled = keyed.join(comp, keyed["doc_id"] == comp["node"], "left").select("band", "key", "doc_id", "total", "shared", "profile", "keys", F.coalesce("component", "doc_id").alias("c"))
         parts = labelled.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
         largest = parts.groupBy("band", "key").agg(F.max(F.struct("n", "c")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
         largest = stage(largest.select("band", "key", c_top("c").alias("top"), (F.col("n") * (F.col("n") - c_top("n"))).alias("work"), "n"), "buckets")
@@ -316,21 +320,25 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         rest = labelled.join(largest.drop("work", "n"), ["band", "key"])
         # a document that copies vary has little that no other has, and one that only holds what its
         # bucket has in common is the shortest: these two are compared with all others first
-        heads = rest.select("band", "key", "doc_id", "total", "shared", "c", "keys")
+        heads = rest.select("band", "key", "doc_id", "total", "shared", "c", "profile", "keys")
         if last:
             heads = rest.where("c <> top").select(*heads.columns)
         else:
             order = 1 - F.col("shared") / F.col("total") if turn == 0 else F.col("total") if turn == 1 else F.xxhash64(F.col("doc_id"), F.lit(turn)).cast("double")
             outside = heads if turn < 2 else rest.where("c <> top")
-            heads = outside.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), *[F.col(x) for x in ("doc_id", "total", "shared", "c", "keys")])).alias("h")).select("band", "key", "h.doc_id", "h.total", "h.shared", "h.c", "h.keys")
-        heads = heads.toDF("band", "key", "x", "x_total", "x_shared", "x_c", "x_keys")
-        # what two documents have in common is at most the lesser shared weight
-        most = F.least("shared", "x_shared")
-        near = most >= threshold * (F.col("total") + F.col("x_total") - most) * (1 - 1e-9)
+            heads = outside.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), *[F.col(x) for x in ("doc_id", "total", "shared", "c", "profile", "keys")])).alias("h")).select("band", "key", "h.doc_id", "h.total", "h.shared", "h.c", "h.profile", "h.keys")
+        heads = heads.toDF("band", "key", "x", "x_total", "x_shared", "x_c", "x_profile", "x_keys")
+        # what two documents have in common is at most the lesser shared weight, of all frequencies
+        # together and so in each octave of them
+        def near(most: Column) -> Column:
+            return most >= threshold * (F.col("total") + F.col("x_total") - most) * (1 - 1e-9)
+
+        each = F.aggregate(F.zip_with("profile", "x_profile", lambda p, q: F.least(p, q)), F.lit(0.0), lambda p, q: p + q)
+        similar = near(F.least("shared", "x_shared")) & near(each)
         # a pair meets in the first band that has both, not in each
         before = F.col("band")
         once = ~F.exists(F.zip_with(F.slice("keys", F.lit(1), before), F.slice("x_keys", F.lit(1), before), lambda p, q: p == q), lambda p: p)
-        pairs = rest.join(heads, ["band", "key"]).where((F.col("c") != F.col("x_c")) & near & (once if last else F.lit(True)))
+        pairs = rest.join(heads, ["band", "key"]).where((F.col("c") != F.col("x_c")) & similar & (once if last else F.lit(True)))
         if last:
             # of two that both stand outside the largest component, the lesser one asks
             pairs = pairs.where((F.col("c") == F.col("top")) | (F.col("x") < F.col("doc_id")))
