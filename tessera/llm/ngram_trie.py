@@ -333,7 +333,7 @@ class Trie:
         # unigrams, cut by ranges of the hash
         def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, _, buf, off in chunks(batch.column(0), 12 << 20):
+                for _, _, buf, off in chunks(batch.column(0), 8 << 20):
                     found, ends = tokens(buf, off)
                     keys, counts = _counts(found)
                     edges = np.array([(b << 64) // shards for b in range(1, shards)], np.uint64)
@@ -373,7 +373,7 @@ class Trie:
             words = Words(folder, meta)
             bigrams = Level(folder, "bigrams", shards, v) if order == 3 else None
             for batch in batches:
-                for _, _, buf, off in chunks(batch.column(0), 12 << 20):
+                for _, _, buf, off in chunks(batch.column(0), 8 << 20):
                     ids, ends = cls._grams(buf, off, words)
                     inner = np.ones(len(ids), bool)
                     inner[ends[:-1]] = False
@@ -509,7 +509,7 @@ class Trie:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, bigrams, trigrams = Words(folder, meta), Level(folder, "bigrams", meta["shards"], meta["v"]), Level(folder, "trigrams", meta["shards"], meta["v"])
             for batch in batches:
-                for row, end, buf, off in chunks(batch.column(1), 12 << 20):
+                for row, end, buf, off in chunks(batch.column(1), 8 << 20):
                     found, ends = tokens(buf, off)
                     known, base, p = self.log_probs(found, ends, words, bigrams, trigrams)
                     sums = [np.add.reduceat(x, ends[:-1]) for x in (known.astype(np.int64), base, p)]
