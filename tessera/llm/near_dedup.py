@@ -121,7 +121,7 @@ def _weights(code: np.ndarray, count: np.ndarray, n_docs: int, damping: float) -
     return count * (1 + damping * (np.log(max(n_docs, 1)) - ln_df) / np.log(n_docs + 1))
 
 
-def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 12 << 20) -> DataFrame:
+def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 8 << 20) -> DataFrame:
     """VECTOR rows of the documents that could be similar to another: total weight, and hashes and weights of shared shingles."""
     bits = int(min(64, max(40, 24 + np.ceil(np.log2(max(2, chars / 6))))))
     n_chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // chunk_chars))
