@@ -243,9 +243,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
         own = Pseudonyms(key)
         for batch in batches:
             column = batch.column(1)
-            some = pc.fill_null(pc.match_substring_regex(column, "[0-9]"), False)
-            texts, counts, spans = column.to_pylist() if pc.any(some).as_py() else None, {k: [0] * len(column) for k in KINDS}, [""] * len(column)
-            for i in pc.indices_nonzero(some).to_pylist():
+            texts, counts, spans = column.to_pylist(), {k: [0] * len(column) for k in KINDS}, [""] * len(column)
+            for i in pc.indices_nonzero(pc.is_valid(column)).to_pylist():
                 new, found = own.text(texts[i])
                 if found:
                     texts[i] = new
@@ -253,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
                     for k, _, _ in found:
                         counts[k][i] += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()) if texts else column, *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(spans)],
+                [batch.column(0), pa.array(texts, pa.string()), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(spans)],
                 names=["doc_id", "text", *[f"n_{k}" for k in KINDS], "spans"],
             )
 

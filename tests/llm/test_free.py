@@ -375,6 +375,14 @@ def test_pseudonymised_documents(spark, edge):
     assert pii.pseudonymise(edge.limit(0), b"key").count() == 0
 
 
+def test_addresses_in_texts_without_digits(spark):
+    rows = [(1, "mail joe@example.com", "en", "s", "x"), (2, "7 mails to joe@example.com", "en", "s", "x"), (3, "no name at all", "en", "s", "x"), (4, None, "en", "s", "x")]
+    by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), b"key").collect()}
+    new = pii.Pseudonyms(b"key").replace("email", "joe@example.com")
+    assert new != "joe@example.com" and by[1].text == f"mail {new}" and by[2].text == f"7 mails to {new}"
+    assert [by[i].n_email for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and by[1].spans == "email:5:20" and by[3].text == rows[2][1] and by[4].text is None
+
+
 # --- pipeline
 
 
