@@ -30,7 +30,8 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 20
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: '=' is padding only at a run's end; before a value it ends the name, and a value may follow it.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:={0,2}(?![A-Za-z0-9+/_=-])|(?==))"
 #: Inferred encodings: name, what a run of it looks like, its symbols in order.
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"

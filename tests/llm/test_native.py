@@ -140,6 +140,19 @@ def test_random_runs_are_found_and_text_is_not(spark):
     assert secrets.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_values_behind_an_equals_sign_are_found(spark):
+    random = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(random.choice(letters, 40)) for _ in range(60)]
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "https://example.com/a?sig={}&x=1", "{}=name", "{}==", "{}===name"]
+    rows = [(60 * f + i, form.format(k)) for f, form in enumerate(forms) for i, k in enumerate(keys)]
+    rows += [(1000 + i, f"chapter{i}-of-the-very-long-heading-heading-heading") for i in range(300)]
+    out = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for f, form in enumerate(forms):
+        at = form.index("{")
+        assert sum(out[60 * f + i] == f"random:{at}:{at + 40 + 2 * (form == '{}==')}" for i in range(60)) >= 55, form
+
+
 def test_tail_of_the_normal_distribution(spark):
     import math
 
