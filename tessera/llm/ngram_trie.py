@@ -1,8 +1,9 @@
 """LM scoring: an Elias-Fano n-gram trie, sharded, memory-mapped, with quantised smoothed probabilities.
 
 Model: words and an end token, orders 1 to 3, interpolated absolute discounting over the add-half
-unigram distribution. N-grams of order 2 and 3 seen once are pruned (their mass goes to the back-off
-weight of their context, so distributions still sum to one). Counting, pruning and building cover all
+unigram distribution. N-grams of order 2 and 3 seen less than ``least`` times are pruned (their mass
+goes to the back-off weight of their context, so distributions still sum to one); the query keeps all
+of them (``least`` is 1). Counting, pruning and building cover all
 training texts; the model grows with them.
 
 Levels, each cut into shards by a hash of the context, so that no task builds or holds the whole:
@@ -321,8 +322,8 @@ class Trie:
         self.folder, self.meta = folder, meta
 
     @classmethod
-    def build(cls, texts: DataFrame, shard_tokens: int = 3_000_000) -> Trie:
-        """texts: a column text."""
+    def build(cls, texts: DataFrame, shard_tokens: int = 3_000_000, least: int = 2) -> Trie:
+        """texts: a column text; n-grams of orders 2 and 3 stay that are seen ``least`` times."""
         spark = texts.sparkSession
         folder = local_path(new_path(spark, "trie"))
         os.makedirs(folder)
@@ -354,7 +355,7 @@ class Trie:
         if meta["v"] >= 1 << ID_BITS:
             raise ValueError("more distinct words than ids")
         for order in (2, 3):
-            cls._build_level(texts, folder, meta, order)
+            cls._build_level(texts, folder, meta, order, least)
         return cls(folder, meta)
 
     @staticmethod
@@ -366,12 +367,12 @@ class Trie:
         return ids[back], ends
 
     @classmethod
-    def _build_level(cls, texts: DataFrame, folder: str, meta: dict, order: int) -> None:
+    def _build_level(cls, texts: DataFrame, folder: str, meta: dict, order: int, least: int) -> None:
         shards, v = meta["shards"], meta["v"]
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(folder, meta)
-            bigrams = Level(folder, "bigrams", shards, v) if order == 3 else None
+            bigrams = Level(folder, "bigrams", shards, v) if order == 3 and least > 1 else None
             for batch in batches:
                 for _, _, buf, off in chunks(batch.column(0), 8 << 20):
                     ids, ends = cls._grams(buf, off, words)
@@ -386,8 +387,8 @@ class Trie:
                         by = np.argsort(shard, kind="stable")
                         yield _blobs(shard[by], keys[by], counts[by], shards)
                         continue
-                    # only kept bigrams can make a trigram that is seen twice
-                    kept = ~np.isnan(bigrams.look(keys >> np.uint64(ID_BITS), (keys & low).astype(np.int64))[0])
+                    # only kept bigrams can make a trigram that is seen as often
+                    kept = np.ones(len(keys), bool) if bigrams is None else ~np.isnan(bigrams.look(keys >> np.uint64(ID_BITS), (keys & low).astype(np.int64))[0])
                     number = np.cumsum(kept) - 1
                     there = np.full(len(ids), -1, np.int64)
                     there[at] = np.where(kept[back], back, -1)
@@ -414,7 +415,7 @@ class Trie:
         def build_bigrams(group: pa.Table) -> pa.Table:
             i = group.column("shard")[0].as_py()
             keys, counts = _grouped(group)
-            keys, counts = keys[counts > 1], counts[counts > 1]
+            keys, counts = keys[counts >= least], counts[counts >= least]
             if len(keys):
                 context, word = keys >> np.uint64(ID_BITS), (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
                 words = Words(folder, meta)
@@ -432,7 +433,7 @@ class Trie:
             first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
             counts = np.add.reduceat(counts, first)
             context, word = context[first], word[first]
-            keep = counts > 1
+            keep = counts >= least
             context, word, counts = context[keep], word[keep], counts[keep]
             if len(context):
                 bigrams = Level(folder, "bigrams", shards, v)
@@ -518,8 +519,8 @@ class Trie:
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, OUT)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, least: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learns from rows that are not held out."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
-    model = Trie.build(docs.where(~held))
+    model = Trie.build(docs.where(~held), least=least)
     return model.score(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.meta["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -19,7 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.score_documents(_documents(spark, sf_dir))
+    return ngram_trie.score_documents(_documents(spark, sf_dir), least=1)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

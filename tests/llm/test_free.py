@@ -290,6 +290,32 @@ def test_language_model(which, request):
         assert abs(w[4] - g[4]) <= 1e-6 * abs(w[4]) and abs(w[5] - g[5]) <= 4e-4 * w[1]
 
 
+def unpruned_scores(rows, held):
+    """doc_id, score of the model with all bigrams and trigrams."""
+    text = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"], h) for (i, t), h in zip(rows, held, strict=True)]
+    one, two, three = Counter(), Counter(), Counter()
+    for _, w, h in text:
+        if not h:
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(one.values()), len(one)
+    after1, after2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda a, w: (max(two[a, w] - 0.75, 0) + 0.75 * after1[a] * p1(w)) / one[a] if one[a] else p1(w)
+    p3 = lambda a, b, w: (max(three[a, b, w] - 0.75, 0) + 0.75 * after2[a, b] * p2(b, w)) / two[a, b] if two[a, b] else p2(b, w)
+    for i, w, _ in text:
+        yield i, len(w), sum(math.log10(p1(x) if k == 0 else p2(w[0], x) if k == 1 else p3(w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
+
+
+def test_the_query_keeps_all_ngrams(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = sorted(unpruned_scores(rows, [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]))
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in QUERIES["op1_lm_scoring"](spark, FOLDER).collect())
+    for w, g in zip(want, got, strict=True):
+        assert w[:2] == g[:2] and abs(w[2] - g[2]) <= 4e-4 * w[1]
+
+
 def test_model_without_texts(edge):
     out = ngram_trie.Trie.build(edge.limit(0)).score(edge).collect()
     assert len(out) == len(EDGE) and all(r.score == r.base_score and r.n_known == 0 for r in out)
