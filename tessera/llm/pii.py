@@ -8,7 +8,10 @@ get equal pseudonyms in every document, and different ones different pseudonyms;
 can invert it.
 
 Defined cases: null text stays null with no finds; empty text stays empty; texts are scanned whole;
-each row, repeated or not, gives one row; a value that lies in an earlier find is not looked at.
+each row, repeated or not, gives one row; a value that lies in an earlier find is not looked at; where
+the longest reading is not valid, shorter ones of a card or IBAN that end on a group boundary are tried,
+then the other kinds, then what begins behind its first character. An IBAN of its country's length with
+wrong check digits is passed over as a whole.
 """
 
 from __future__ import annotations
@@ -27,15 +30,27 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|-\d))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
-)
+FORMS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d|-\d)",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
+}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in FORMS.items()))
+ALONE = {kind: re.compile(form) for kind, form in FORMS.items()}
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, own in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in own.split(",")
+}
 
 
 class Feistel:
@@ -88,6 +103,31 @@ def _fill(layout: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in layout)
 
 
+def _ends(kind: str, value: str) -> list[int]:
+    """Lengths of value to validate, in order: the whole and, of cards and IBANs, what ends on a group boundary."""
+    ends = [len(value)]
+    if kind == "card":
+        ends += [m.start() for m in re.finditer(r"[ -]", value) if len(re.sub(r"\D", "", value[: m.start()])) > 12][::-1]
+    elif kind == "iban":
+        shorter = [m.start() for m in re.finditer(" ", value)][::-1]
+        length = IBAN_LENGTHS.get(value[:2])
+        if length is None:
+            return ends + shorter
+        # words behind must not change what an IBAN goes to, so its country's length is first
+        return [e for e in shorter if len(value[:e].replace(" ", "")) == length] + ends
+    return ends
+
+
+def _readings(text: str, m: re.Match) -> Iterator[tuple[str, int]]:
+    """Kinds and ends of what may stand at the place of a match of PATTERN, the first valid one counts."""
+    kinds = list(FORMS)
+    for kind in kinds[kinds.index(m.lastgroup) :]:
+        own = ALONE[kind].match(text, m.start())
+        if own:
+            for length in _ends(kind, own[0]):
+                yield kind, m.start() + length
+
+
 class Pseudonyms:
     """replace(kind, value): the pseudonym, or None if the value is not valid. back=True inverts."""
 
@@ -222,16 +262,20 @@ class Pseudonyms:
 
     def text(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and the finds: kind, start, end in the text as it was."""
-        out, found, at = [], [], 0
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
-            new = self.replace(kind, m[0])
-            if new is None and kind == "card":
-                continue
-            if new is not None:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                found.append((kind, m.start(), m.end()))
+        out, found, at, look = [], [], 0, 0
+        while m := PATTERN.search(text, look):
+            look = m.start() + 1
+            for kind, end in _readings(text, m):
+                new = self.replace(kind, text[m.start() : end])
+                if new is not None:
+                    out += [text[at : m.start()], new]
+                    at = look = end
+                    found.append((kind, m.start(), end))
+                    break
+            else:
+                if m.lastgroup == "iban" and len(m[0][: (end := _ends("iban", m[0])[0])].replace(" ", "")) == IBAN_LENGTHS.get(m[0][:2]):
+                    # an IBAN with wrong check digits: its groups are not read as a card
+                    look = m.start() + end
         return "".join(out) + text[at:], found
 
 

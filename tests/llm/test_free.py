@@ -401,6 +401,17 @@ def test_pseudonymised_documents(spark, edge):
     assert pii.pseudonymise(edge.limit(0), b"key").count() == 0
 
 
+def test_values_with_more_groups_behind():
+    own = pii.Pseudonyms(b"key")
+    for kind, value, head, tail in [
+        ("card", "4111 1111 1111 1111", "", " 123"), ("card", "4111111111111111", "", " 12/25"), ("card", "4111-1111-1111-1111", "", "-123"), ("card", "4111 1111 1111 1111", "1234 ", ""),
+        ("iban", "ES91 2100 0418 4502 0005 1332", "", " EUR"), ("iban", "AT61 1904 3002 3457 3201", "", " BIC"), ("iban", "AT61 1904 3002 3457 3201", "AB12 3456 7890 ", " BIC"),
+    ]:
+        new = own.replace(kind, value)
+        assert own.text(f"x {head}{value}{tail} y") == (f"x {head}{new}{tail} y", [(kind, 2 + len(head), 2 + len(head) + len(value))])
+    assert own.text("x " + "1 " * 20000 + "y")[0].startswith("x ")
+
+
 def test_addresses_in_texts_without_digits(spark):
     rows = [(1, "mail joe@example.com", "en", "s", "x"), (2, "7 mails to joe@example.com", "en", "s", "x"), (3, "no name at all", "en", "s", "x"), (4, None, "en", "s", "x")]
     by = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), b"key").collect()}
