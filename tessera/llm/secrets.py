@@ -4,12 +4,12 @@ Base spans come from three patterns, leftmost and not overlapping within a kind.
 at further runs of at least ``MIN_RUN`` encoding characters that hold a digit and a letter. The
 smallest alphabet that a run fits (decimal-free hex, base 32, base 36, base 62, base 64) is its
 inferred encoding; against the hypothesis of uniform independent symbols of that alphabet stand a
-chi-squared test of symbol counts, a runs test about the middle of the alphabet and a lag-one serial
-correlation test. The three give one p-value (Bonferroni). Within a length class, the
-Benjamini-Hochberg procedure over the whole table rejects the hypothesis for runs of natural text
-with a bounded share of random ones among them; runs that are not rejected, and long enough for the
-tests to have power in their alphabet, are reported as spans of kind ``random``. P-values are
-counted on a fixed logarithmic grid, so ranks need no global sort and memory is bounded.
+chi-squared test of symbol counts (by its exact distribution in runs shorter than half the alphabet),
+a runs test about the middle of the alphabet and a lag-one serial correlation test. The three give
+one p-value (Bonferroni). Within a length class, the Benjamini-Hochberg procedure over the whole table
+rejects the hypothesis for runs of natural text with a bounded share of random ones among them; runs
+that are not rejected are reported as spans of kind ``random``. P-values are counted on a fixed
+logarithmic grid, so ranks need no global sort and memory is bounded.
 
 Defined cases: null text is empty; empty text has no spans; each row of the input, repeated or not,
 gives one row; long texts are scanned whole.
@@ -17,6 +17,10 @@ gives one row; long texts are scanned whole.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,34 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.when(x > 4, far).otherwise(F.log10(F.greatest(near, F.lit(1e-12)))), F.lit(-40.0))
 
 
+@cache
+def chi2_tails(k: int, most: int) -> np.ndarray:
+    """[n, i]: log10 P(Q >= n + 2 i), for Q the sum of squared counts of n <= most uniform symbols of an alphabet of k; exact, -40 at least."""
+    ways = np.zeros((most + 1, most * most + 1))
+    ways[0, 0] = 1
+    for _ in range(k):
+        more = np.zeros_like(ways)
+        for c in range(most + 1):
+            more[c:, c * c :] += ways[: most + 1 - c, : most * most + 1 - c * c] / math.factorial(c)
+        ways = more
+    out = np.full((most + 1, (most * most - most) // 2 + 1), -40.0)
+    for n in range(1, most + 1):
+        tail = np.cumsum(ways[n, n : n * n + 1 : 2][::-1])[::-1] * (math.factorial(n) / float(k) ** n)
+        out[n, : len(tail)] = np.log10(np.clip(tail, 1e-40, 1))
+    return out
+
+
+def _chi2_tail(z: Column) -> Column:
+    """log10 p of the chi-squared test: normal from half the alphabet on, exact for shorter runs."""
+    out = _normal_tail(z)
+    for k in sorted({len(s) for _, _, s in ENCODINGS if len(s) > 2 * MIN_RUN}):
+        table = chi2_tails(k, (k - 1) // 2)
+        cells = F.split(F.lit(",".join(f"{x:.4f}" for x in table.ravel())), ",").cast("array<double>")
+        at = (F.col("n") * table.shape[1] + (F.col("_q") - F.col("n")) / 2).cast("int")
+        out = F.when((F.col("k") == k) & (F.col("n") < k / 2), F.get(cells, at)).otherwise(out)
+    return out
+
+
 def battery(runs: DataFrame) -> DataFrame:
     """Adds encoding, alphabet size k, n, z-scores of the three tests and log10 p to rows with a column run."""
     encoding = F.coalesce(*[F.when(F.col("run").rlike(p), F.lit(name)) for name, p, _ in ENCODINGS], F.lit("base64"))
@@ -112,7 +144,7 @@ def battery(runs: DataFrame) -> DataFrame:
     z_runs = F.abs(F.col("_turns") - mean) / F.sqrt(var)
     z_serial = F.abs(F.col("_lag")) / (F.sqrt(n - 1) * (k * k - 1) / 12)
     a = a.select("*", z_chi2.alias("z_chi2"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
-    least = F.least(_normal_tail(F.col("z_chi2")), _normal_tail(F.col("z_runs")) + 0.30103, _normal_tail(F.col("z_serial")) + 0.30103)
+    least = F.least(_chi2_tail(F.col("z_chi2")), _normal_tail(F.col("z_runs")) + 0.30103, _normal_tail(F.col("z_serial")) + 0.30103)
     return a.withColumn("log_p", F.least(least + 0.4771212547, F.lit(0.0))).drop("_s", "_c", "_i", "_h", "_q", "_n1", "_turns", "_lag")
 
 
@@ -125,8 +157,7 @@ def _not_rejected(runs: DataFrame) -> DataFrame:
     # a cell is judged by its upper edge, so no p-value counts as smaller than it is
     passed = F.col("_b") + 1 <= GRID * F.log10(F.lit(ALPHA) * F.col("r") / F.col("all"))
     bound = ranked.groupBy("_c").agg(F.max(F.when(passed, F.col("_b"))).alias("_top"))
-    power = F.col("n") >= F.greatest(F.lit(MIN_RUN), F.col("k") / 2)
-    return binned.join(F.broadcast(bound), "_c").where(F.col("_top").isNull() | (F.col("_b") > F.col("_top"))).where(power)
+    return binned.join(F.broadcast(bound), "_c").where(F.col("_top").isNull() | (F.col("_b") > F.col("_top")))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -153,6 +153,23 @@ def test_values_behind_an_equals_sign_are_found(spark):
         assert sum(out[60 * f + i] == f"random:{at}:{at + 40 + 2 * (form == '{}==')}" for i in range(60)) >= 55, form
 
 
+def test_short_random_runs_are_found(spark):
+    random = np.random.default_rng(4)
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
+    rows = [(100 * n + i, "see A1" + "".join(random.choice(symbols[: 62 + 2 * (i % 2)], n - 2)) + " there") for n in range(20, 32) for i in range(60)]
+    out = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(20, 32):
+        assert sum(out[100 * n + i] == f"random:4:{4 + n}" for i in range(60)) >= 48, n
+
+
+def test_exact_tail_of_symbol_counts():
+    import itertools
+
+    k, n = 3, 6
+    sums = [sum(x.count(c) ** 2 for c in set(x)) for x in itertools.product(range(k), repeat=n)]
+    assert np.allclose(10 ** secrets.chi2_tails(k, n)[n], [sum(q >= n + 2 * i for q in sums) / len(sums) for i in range(16)])
+
+
 def test_tail_of_the_normal_distribution(spark):
     import math
 
