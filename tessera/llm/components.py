@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a join-free aggregation over edges, pre-aggregated by Spark, and its result is written
-to the shared folder, so a lost executor repeats one step at most. The star of a node with very many
-neighbours is never held by one task: only its least neighbour is.
+Each step is an aggregation over edges, pre-aggregated by Spark, and a join with its one row a node. Its
+result is written to the shared folder, so a lost executor repeats one step at most. The star of a node
+with very many neighbours passes through one task, as two numbers an edge, sorted with spill; the task
+never holds it: of its neighbours only the least one is kept.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-1. Equal texts are one class; only one of them goes on.
+1. Equal texts are one class; only one of them goes on, and the others leave before texts are shuffled.
 2. Document frequencies of five-word shingles: chunks of documents send the sorted distinct hashes of
    their shingles to buckets of the hash range, which send back how many documents have each. Texts
    and answers meet again by chunk. A hash is as wide as the corpus needs (24 bits over its size).
@@ -11,12 +11,17 @@
 5. In each band bucket, the least document is compared with all others by exact weighted Jaccard
    similarity; buckets whose documents then still fall into several components go on, until every
    document outside the largest component has been compared with all of its bucket outside its own.
-6. Classes are the components of verified links.
+6. Classes are the components of verified links. Documents of one component need no further links to
+   be of one class, so those are not looked for, and none are counted.
 
-A weight is the shingle's count in the text times 1 + ``damping`` * ln(N / df) / ln(N + 1).
+A weight is the shingle's count in the text times 1 + ``damping`` * ln(N / df) / ln(N + 1), with the
+exact document frequency. Documents are rows of the table: inside, each text is known by the row number
+of its representative, so nothing depends on doc_id, which only names the classes in the end.
 
-Defined cases: null and wordless texts, and rows without doc_id, are in classes of their own; a text
-of one to four words is one shingle; rows that repeat a doc_id and text are one document.
+Defined cases: null and wordless texts are in classes of their own; a text of one to four words is one
+shingle; rows with equal texts are one document whatever their doc_id, and rows with one doc_id and
+different texts are different documents; a class is named by its least doc_id (null if it has none), and
+its first row by (doc_id, place in the table; null last) stands for it. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +37,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, LOWER, chunks, docs_of, hash_spans, mix, spans
 from tessera.llm.components import components
-from tessera.llm.staging import stage
+from tessera.llm.staging import stage, with_rows
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
+#: Row numbers of copies up to this many (8 bytes each) are broadcast, more are joined by a shuffle.
+MOST_SENT = 4_000_000
 VECTOR = "doc_id long, total double, shared double, profile array<double>, hashes binary, weights binary"
 #: Octaves of document frequency in a profile; the last takes all above.
 OCTAVES = 16
@@ -81,14 +88,10 @@ def shingles(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return key[new], doc[new], np.diff(np.append(new, len(key)))
 
 
-def _chunk(texts: pa.Table, others: pa.Table, bits: int) -> tuple[pa.Array, list]:
-    """The documents of a chunk that stand for their text, sorted by id, and their shingles."""
-    stands = others.column("doc_id").drop_null().to_numpy()
+def _chunk(texts: pa.Table, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The documents of a chunk, sorted by number, and their shingles."""
     ids = texts.column("doc_id").to_numpy()
     order = np.argsort(ids, kind="stable")
-    first = np.append(True, ids[order][1:] != ids[order][:-1]) if len(ids) else np.zeros(0, bool)
-    order = order[first]
-    order = order[np.isin(ids[order], stands)]
     column = texts.column("text").take(pa.array(order)).combine_chunks()
     keys, docs, counts = [], [], []
     for row, _, buf, off in chunks(column):
@@ -111,71 +114,65 @@ def _cuts(key: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(key, np.array(edges, np.uint64)), [len(key)]])
 
 
-def _code(df: np.ndarray) -> np.ndarray:
-    """Document frequencies as a byte: 0 for one document, then sixteenths of an octave."""
-    return np.minimum(np.round(16 * np.log2(np.maximum(df, 1))), 255).astype(np.uint8)
+def _pack(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").tobytes())
 
 
-def _weights(code: np.ndarray, count: np.ndarray, n_docs: int, damping: float) -> np.ndarray:
-    ln_df = np.minimum(code.astype(np.float64) / 16 * np.log(2), np.log(max(n_docs, 1)))
-    return count * (1 + damping * (np.log(max(n_docs, 1)) - ln_df) / np.log(n_docs + 1))
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
 
 
-def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 8 << 20) -> DataFrame:
-    """VECTOR rows of the documents that could be similar to another: total weight, and hashes and weights of shared shingles."""
-    bits = int(min(64, max(40, 24 + np.ceil(np.log2(max(2, chars / 6))))))
-    n_chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // chunk_chars))
+def _weights(df: np.ndarray, count: np.ndarray, n_docs: int, damping: float) -> np.ndarray:
+    return count * (1 + damping * (np.log(max(n_docs, 1)) - np.log(df)) / np.log(n_docs + 1))
 
-    def chunk(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit("chunk"), F.col(c)), F.lit(n_chunks)).cast("int").alias("chunk")
 
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(chunk("doc_id"), "doc_id", "text")
-    stand = reps.select(chunk("rep"), F.col("rep").alias("doc_id"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("codes"))
+def vectors(texts: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 8 << 20) -> DataFrame:
+    """VECTOR rows of the documents (doc_id, text), all different, that could be similar to another: total weight, and hashes and weights of shared shingles."""
+    bits = int(min(64, max(40, 24 + np.ceil(np.log2(max(2, chars / 6))))))
+    n_chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // chunk_chars))
+    texts = texts.select(F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text")
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, (key, _, _) = _chunk(left, right, bits)
-        mine = left.column("chunk")[0].as_py() if len(left) else 0
-        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
+    def send(group: pa.Table) -> pa.Table:
+        _, (key, _, _) = _chunk(group, bits)
+        mine = group.column("chunk")[0].as_py()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(np.append(at, len(key)))
         key = key[at]
         cuts = _cuts(key, buckets, bits)
         some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        blobs = [squeeze(key[cuts[b] : cuts[b + 1]]) for b in some]
-        n = [zstandard.ZstdCompressor(level=1).compress(times[cuts[b] : cuts[b + 1]].astype("<u4").tobytes()) for b in some]
-        return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([mine] * len(some), pa.int32()), "hashes": pa.array(blobs, pa.binary()), "times": pa.array(n, pa.binary())})
+        return pa.table({
+            "bucket": pa.array(some, pa.int32()), "chunk": pa.array([mine] * len(some), pa.int32()),
+            "hashes": pa.array([squeeze(key[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()), "times": pa.array([_pack(times[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()),
+        })
 
     def count(group: pa.Table) -> pa.Table:
         keys = [unsqueeze(x) for x in group.column("hashes").to_pylist()]
-        times = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4") for x in group.column("times").to_pylist()]
+        times = [_unpack(x) for x in group.column("times").to_pylist()]
         sizes = [len(k) for k in keys]
         whole = np.concatenate(keys)
         order = np.argsort(whole, kind="stable")
         whole = whole[order]
         at = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
         df = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), at)
-        code = np.empty(len(whole), np.uint8)
-        code[order] = np.repeat(_code(df), np.diff(np.append(at, len(whole))))
-        parts = np.split(code, np.cumsum(sizes)[:-1])
-        n = len(parts)
-        return pa.table({"chunk": group.column("chunk"), "doc_id": pa.nulls(n, pa.int64()), "bucket": group.column("bucket"), "codes": pa.array([zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts], pa.binary())})
+        back = np.empty(len(whole), np.int64)
+        back[order] = np.repeat(df, np.diff(np.append(at, len(whole))))
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "dfs": pa.array([_pack(p) for p in np.split(back, np.cumsum(sizes)[:-1])], pa.binary())})
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, (key, doc, times) = _chunk(left, right, bits)
-        answers = right.filter(pc.is_valid(right.column("bucket")))
-        by = dict(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist(), strict=True))
-        code = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(by[b]) for b in sorted(by)), np.uint8)
+        ids, (key, doc, times) = _chunk(left, bits)
+        by = dict(zip(right.column("bucket").to_pylist(), right.column("dfs").to_pylist(), strict=True))
+        df = np.concatenate([np.zeros(0, "<u4"), *(_unpack(by[b]) for b in sorted(by))])
         first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        if len(code) != first.sum():
+        if len(df) != first.sum():
             raise RuntimeError("document frequencies of other shingles than those asked for")
-        code = code[np.cumsum(first) - 1] if len(key) else code
-        weight = _weights(code, times, n_docs, damping)
+        df = df[np.cumsum(first) - 1] if len(key) else df
+        weight = _weights(df.astype(np.float64), times, n_docs, damping)
         total = np.bincount(doc, weight, minlength=len(ids))
-        shared = np.bincount(doc, weight * (code > 0), minlength=len(ids))
-        octave = np.minimum(code >> 4, OCTAVES - 1).astype(np.int64)
-        profile = np.bincount(doc * OCTAVES + octave, weight * (code > 0), minlength=len(ids) * OCTAVES).reshape(-1, OCTAVES)
+        shared = np.bincount(doc, weight * (df > 1), minlength=len(ids))
+        octave = np.minimum(np.log2(np.maximum(df, 1)).astype(np.int64), OCTAVES - 1)
+        profile = np.bincount(doc * OCTAVES + octave, weight * (df > 1), minlength=len(ids) * OCTAVES).reshape(-1, OCTAVES)
         stay = (total > 0) & (shared >= threshold * total * (1 - 1e-9))
-        keep = (code > 0) & stay[doc] if len(doc) else np.zeros(0, bool)
+        keep = (df > 1) & stay[doc] if len(doc) else np.zeros(0, bool)
         key, doc, weight = key[keep], doc[keep], weight[keep].astype("<f4")
         order = np.argsort(doc, kind="stable")
         key, doc, weight = key[order], doc[order], weight[order]
@@ -187,9 +184,9 @@ def vectors(docs: DataFrame, reps: DataFrame, n_docs: int, chars: int, threshold
             "weights": pa.array([weight[a:b].tobytes() for a, b in zip(low, high, strict=True)], pa.binary()),
         })
 
-    asked = texts.groupBy("chunk").cogroup(stand.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, hashes binary, times binary")
-    answered = asked.groupBy("bucket").applyInArrow(count, "chunk int, doc_id long, bucket int, codes binary")
-    return texts.groupBy("chunk").cogroup(stand.unionByName(answered).groupBy("chunk")).applyInArrow(weigh, VECTOR)
+    asked = texts.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, hashes binary, times binary")
+    answered = asked.groupBy("bucket").applyInArrow(count, "chunk int, bucket int, dfs binary")
+    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(weigh, VECTOR)
 
 
 def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,16 +288,23 @@ def c_top(name: str) -> Column:
     return F.col(f"top.{name}")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, damping: float = 0.2, leader_rounds: int = 2) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class; null without doc_id), n_links (verified links of its text), for each row of docs."""
+def members(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, damping: float = 0.2, leader_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, own) of docs, and for each of them (row, doc_id, class_id, stands): its class, and whether it stands for it."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = base.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").alias("size"), F.coalesce(F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), F.lit(False)).alias("worded"))
-    hashed = stage(hashed, "texts")
-    worded = hashed.where("worded AND doc_id IS NOT NULL")
-    reps = stage(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size")), "reps")
-    n_docs, chars = reps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    found = stage(vectors(base, reps, n_docs, chars, threshold, damping), "vectors")
+    base = with_rows(docs)
+    text = F.col("own.text").cast("string")
+    worded = F.coalesce(text.rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"), F.lit(False))
+    hashed = stage(base.select("row", F.col("own.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), F.octet_length(text).alias("size"), worded.alias("worded")), "texts")
+    # the first row of each text, by (doc_id, row), stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    reps = hashed.where("worded").groupBy("h1", "h2").agg(first, F.max("size").alias("size")).select("h1", "h2", "size", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("rep_id"))
+    copies = stage(hashed.where("worded").select("row", "doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("row", "doc_id", "rep", "rep_id", "size"), "copies")
+    leaders = copies.where("row = rep")
+    n_docs, chars = leaders.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    others = hashed.where("NOT worded").select("row").union(copies.where("row <> rep").select("row"))
+    others = F.broadcast(others) if others.count() <= MOST_SENT else others
+    texts = base.select("row", text.alias("text")).join(others, "row", "left_anti").withColumnRenamed("row", "doc_id")
+    found = stage(vectors(texts, n_docs, chars, threshold, damping), "vectors")
     keyed = stage(band_keys(found, bands, rows), "bands")
     crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     keyed = stage(keyed.join(crowded, ["band", "key"]), "bands")
@@ -351,15 +355,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: i
         comp = stage(components(edges), "components")
         if last:
             break
-    linked = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = linked.select(F.col("a").alias("node")).unionAll(linked.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = reps.select("h1", "h2", "rep").join(comp, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    back = worded.join(named, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
-    rest = hashed.where("NOT worded OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return back.unionAll(rest)
+    grouped = leaders.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "rep_id", F.coalesce("component", "rep").alias("c"))
+    first = F.min(F.struct(F.col("rep_id").isNull().alias("last"), F.col("rep_id").alias("id"), F.col("rep").alias("row"))).alias("first")
+    names = grouped.groupBy("c").agg(first).select("c", F.col("first.id").alias("class_id"), F.col("first.row").alias("head"))
+    named = grouped.join(names, "c").select("rep", "class_id", "head")
+    back = copies.join(named, "rep").select("row", "doc_id", "class_id", (F.col("row") == F.col("head")).alias("stands"))
+    return base, back.unionAll(hashed.where("NOT worded").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True)))
+
+
+def classes(docs: DataFrame, **how: float) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class; null if none has one), for each row of docs; ``how`` as for ``members``."""
+    return members(docs, **how)[1].select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline form: the rows of docs whose doc_id is the least of its class."""
-    gone = classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    """Pipeline form: the first row of each class, with the columns of docs."""
+    rows, found = members(docs)
+    gone = found.where("NOT stands").select("row")
+    return rows.join(gone, "row", "left_anti").select("own.*")

@@ -36,7 +36,7 @@ WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM (SELECT doc_id, tex
 rep AS (SELECT text, min(doc_id) AS rep, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
 s AS (SELECT rep, g, count(*) AS tf FROM (SELECT rep, array_to_string(w[p + 1:p + {SHINGLE}], ' ') AS g FROM (SELECT rep, w, unnest(range(greatest(len(w) - {SHINGLE - 1}, 1))) AS p FROM rep)) GROUP BY rep, g),
 n AS (SELECT count(*) AS n FROM rep),
-x AS (SELECT rep, g, df, tf * (1 + 0.2 * ln(n / power(2, round(16 * log2(df)) / 16)) / ln(n + 1)) AS weight FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) USING (g), n),
+x AS (SELECT rep, g, df, tf * (1 + 0.2 * ln(n / df) / ln(n + 1)) AS weight FROM s JOIN (SELECT g, count(*) AS df FROM s GROUP BY g) USING (g), n),
 t AS (SELECT rep, sum(weight) AS total FROM x GROUP BY rep),
 c AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.weight, b.weight)) AS common FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND a.df > 1 GROUP BY a.rep, b.rep),
 e AS (SELECT a, b FROM c JOIN t ta ON ta.rep = a JOIN t tb ON tb.rep = b WHERE common >= 0.8 * (ta.total + tb.total - common)),

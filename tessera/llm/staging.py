@@ -6,7 +6,12 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of more files than this get their row numbers by staging; up to it their names are broadcast.
+MAX_FILES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +58,34 @@ def local_path(uri: str) -> str:
     if "://" in uri:
         raise ValueError(f"memory-mapped files need a mounted shared folder, not {uri}")
     return os.path.abspath(uri)
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a file table with nothing but projections and filters above it."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation")
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(row, own): a number that tells each row of docs from all others, and its columns as a struct.
+
+    Rows of a file table have the number of their file and their place in it, so nothing is written;
+    any other table is staged with a number first. Either way a row keeps its number however often the
+    result is computed, whatever doc_id says, and no column name of docs can clash with ours.
+    """
+    if _is_scan(docs) and "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            files = [r[0] for r in docs.select(F.col("_metadata.file_path").alias("path")).distinct().limit(MAX_FILES + 1).collect()]
+        except AnalysisException:  # a source without file metadata
+            files = None
+        if files is not None and len(files) <= MAX_FILES:
+            own = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"), F.struct("*").alias("own"))
+            if len(files) <= 1:
+                return own.select(F.col("place").alias("row"), "own")
+            numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(files))), "file long, path string")
+            return own.join(F.broadcast(numbers), "path").select((F.shiftleft("file", 40) + F.col("place")).alias("row"), "own")
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, quality_rules, secrets
+from tessera.llm import line_dedup, quality_rules, secrets, staging
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, extra string, n_lines string"
@@ -30,28 +30,50 @@ def documents(spark):
 
 
 def plain_lines(rows):
-    """Texts without later occurrences of windows of three lines."""
-    order = sorted({(i is None, i if i is not None else 0, t) for i, t in rows if t is not None})
-    seen, gone = {}, defaultdict(set)
-    for last, i, t in order:
-        lines = t.split("\n")
+    """Texts of rows (doc_id, text) in table order without later occurrences of windows of three lines."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, out = {}, [t for _, t in rows]
+    for k in order:
+        if rows[k][1] is None:
+            continue
+        lines, gone = rows[k][1].split("\n"), set()
         strip = [re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x) for x in lines]
         for p in range(max(1, len(lines) - 2)):
             w = "\n".join(strip[p : p + 3])
-            if re.search(r"[^\x20\x09-\x0D]", w) and seen.setdefault(w, (last, i, p)) != (last, i, p):
-                gone[last, i].update(range(p, p + 3))
-    return {(last, i): "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[last, i]) if gone[last, i] else t for last, i, t in order}
+            if re.search(r"[^\x20\x09-\x0D]", w) and seen.setdefault(w, (k, p)) != (k, p):
+                gone.update(range(p, p + 3))
+        out[k] = "\n".join(x for p, x in enumerate(lines) if p not in gone) if gone else rows[k][1]
+    return out
 
 
 @pytest.mark.parametrize("which", ["edge", "documents"])
 def test_line_dedup(which, request):
     docs = request.getfixturevalue(which)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = plain_lines(rows)
     got = line_dedup.dedup_lines(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.text == (want[r.doc_id is None, r.doc_id or 0] if (r.doc_id, None) not in rows else None)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(zip([i for i, _ in rows], plain_lines(rows), strict=True))
+
+
+def test_line_dedup_tells_rows_apart_by_place_not_id(spark):
+    rows = [(1, "k1\nk2\nk3"), (2, "k1\nk2\nk3"), (2, "o1\no2\no3\no4"), (None, "u\nv\nw"), (None, "k1\nk2\nk3\nmore"), (3, "full\ncopy"), (3, "full\ncopy"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "a", 1, 2, 3, 4) for r in rows], "doc_id long, text string, _id string, _pos int, row int, own int, pos int")
+    got = line_dedup.dedup_lines(docs)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(zip([i for i, _ in rows], plain_lines(rows), strict=True))
+    assert {tuple(r)[1:6] for r in got.select("doc_id", "_id", "_pos", "row", "own", "pos").collect()} == {("a", 1, 2, 3, 4)}
+    kept = line_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, rows[0][1]), (2, rows[2][1]), (None, rows[3][1]), (None, "more"), (3, "full\ncopy"), (None, None), (None, "")])
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS doc_id", "'t' AS text").repartition(5).write.parquet(f"file://{tmp_path}/t")
+    docs = spark.read.parquet(f"file://{tmp_path}/t").where("doc_id % 3 > 0")
+    rows = staging.with_rows(docs)
+    again = staging.with_rows(docs)
+    assert rows.select("row").distinct().count() == docs.count() == rows.join(again, "row").where(rows["own"] == again["own"]).count()
+    assert rows.select("own.*").columns == docs.columns
+    both = staging.with_rows(docs.union(docs))
+    assert both.select("row").distinct().count() == 2 * docs.count()
 
 
 def test_line_dedup_stage_keeps_columns_and_drops_whole_copies(edge, spark):
