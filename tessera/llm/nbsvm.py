@@ -6,7 +6,8 @@ linear hinge-loss model is fitted by dual coordinate descent. A logistic curve,
 folds that the model did not see, turns margins into scores.
 
 The model learns from at most ``max_rows`` labelled documents, those with the smallest hash of their
-id: that is the bound on what reaches the driver. Every document is scored.
+id, as far as their feature lists take ``max_bytes``: that is the bound on what reaches the driver. Every
+document is scored.
 
 Defined cases: null text is empty; an empty text has the bias alone; without labelled rows of both
 classes the score is the share of label 1 (0.5 without any); a document labelled more than once is
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import NON_SPACE, chunks, docs_of, hash_spans, spans
+from tessera.llm.staging import stage
 
 BITS = 17
 SIZES = (3, 4)
@@ -69,28 +71,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
-def _hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-regularised squared hinge loss; the bias is one more feature."""
+def _hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float, epochs: int, seed: int, close: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-regularised hinge loss; the bias is one more feature.
+
+    Each dual variable lies between 0 and its row's cost, which evens out the classes. The descent ends
+    when no projected gradient of a pass is over ``close``, or after ``epochs`` passes."""
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     scaled = [ratio[x] / np.sqrt(max(1, len(x))) for x in rows]
     cost = np.where(y > 0, c * len(y) / max(1, 2 * (y > 0).sum()), c * len(y) / max(1, 2 * (y < 0).sum()))
-    diagonal = np.array([(v * v).sum() + 1 for v in scaled]) + 1 / (2 * cost)
+    diagonal = np.array([(v * v).sum() + 1 for v in scaled])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
+        most = 0.0
         for i in random.permutation(len(rows)).tolist():
             x, v = rows[i], scaled[i]
-            gradient = y[i] * (w[x] @ v + bias) - 1 + alpha[i] / (2 * cost[i])
-            new = max(alpha[i] - gradient / diagonal[i], 0.0)
-            step = (new - alpha[i]) * y[i]
-            if step:
+            gradient = y[i] * (w[x] @ v + bias) - 1
+            new = min(max(alpha[i] - gradient / diagonal[i], 0.0), cost[i])
+            if new != alpha[i]:
+                most = max(most, abs(gradient))
+                step = (new - alpha[i]) * y[i]
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
+        if most <= close:
+            break
     return w * ratio, bias
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0, epochs: int = 10, folds: int = 3, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0, epochs: int = 12, folds: int = 3, seed: int = 7) -> Model:
     """The model of feature lists and labels 0 and 1."""
     y = np.where(label > 0, 1.0, -1.0)
     size = 1 << BITS
@@ -127,11 +136,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, c: float = 1.0, epochs: int =
     return Model(weight, bias, float(a), float(b))
 
 
-def _fold(modulus: int):
+def _fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, bound: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 256 << 20, bound: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs. Rows with crc32(doc_id) mod 4 = 2 teach nothing."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (_fold(4) != 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
@@ -143,7 +152,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, boun
                 own = [x.astype("<i4").tobytes() for x in features(buf, off)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(own, pa.binary())], names=["doc_id", "quality", "features"])
 
-    found = taught.mapInArrow(extract, "doc_id long, quality int, features binary").toLocalIterator()
+    listed = stage(taught.mapInArrow(extract, "doc_id long, quality int, features binary").withColumn("h", F.xxhash64("doc_id")), "quality-features")
+    # at most max_rows rows: their running size is one task's work
+    upto = Window.partitionBy(F.lit(0)).orderBy("h", "doc_id", "quality", "features").rowsBetween(Window.unboundedPreceding, 0)
+    sized = listed.select("h", "doc_id", "quality", "features", F.sum(F.octet_length("features").cast("long") + 8).over(upto).alias("upto"))
+    found = sized.where(F.col("upto") <= max_bytes).select("doc_id", "quality", "features").toLocalIterator()
     rows = sorted(((r[0], r[1], bytes(r[2])) for r in found))
     model = fit([np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows]))
     weight = model.weight.astype(np.float32)

@@ -353,6 +353,37 @@ def test_classifier_holds_out(spark):
     assert sum(x > y for x, y in pairs) / len(pairs) > 0.97
 
 
+def test_hinge_loss_is_minimised():
+    """The primal value of the fit meets that of projected gradient ascent on the dual, and the bounds of the dual hold."""
+    random_ = np.random.default_rng(11)
+    rows = [np.sort(random_.choice(30, random_.integers(2, 9), replace=False)).astype(np.int32) for _ in range(80)]
+    y = np.where(random_.random(80) < 0.3, 1.0, -1.0)
+    ratio = random_.normal(size=30)
+    x = np.zeros((80, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / math.sqrt(len(r))
+    x[:, 30] = 1
+    cost = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+
+    def primal(w):
+        return w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(80), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, cost)
+    best = alpha.sum() - alpha @ gram @ alpha / 2
+    scaled, bias = nbsvm._hinge(rows, y, ratio, 1.0, 2000, 1, 1e-7)
+    got = primal(np.append(scaled / ratio, bias))
+    assert abs(got - best) <= 1e-3 * best
+
+
+def test_classifier_takes_what_its_bound_allows(spark, edge):
+    labels = spark.createDataFrame([(2, 0, 0), (3, 1, 0), (4, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.score for r in nbsvm.score_quality(edge, labels, max_bytes=0).collect()} == {0.5}
+    assert len({r.score for r in nbsvm.score_quality(edge, labels).collect()}) > 1
+
+
 def test_classifier_edges(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in nbsvm.score_quality(edge, none).collect()} == {0.5}
