@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, nbsvm, near_dedup, ngram_trie, oracles, packing, pii, quality_rules, secrets, token_counts
-from tessera.llm.staging import new_path
+from tessera.llm.staging import new_path, stage
 
 #: A fixed key, so that results can be repeated. A real run passes its own secret.
 PII_KEY = b"tessera pseudonym key for tests"
@@ -55,9 +55,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(_documents(spark, sf_dir), {"byte_bpe_50k": TOKENIZER})
+    """Totals of all documents, after five commits: documents come in with a provisional count (their words) under
+    the tokenizer's name, are revised to its counts, those labelled toxic are withdrawn and put back, and the
+    revision is committed a second time, which changes nothing."""
+    docs = _documents(spark, sf_dir)
+    counts = stage(token_counts.count_tokens(docs, {"byte_bpe_50k": TOKENIZER}), "token-counts")
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("long")
+    provisional = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.lit("byte_bpe_50k").alias("tokenizer"), F.lit(1).cast("long").alias("n_docs"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), words.alias("n_tokens"))
+    provisional = stage(provisional, "token-counts")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    withdrawn = stage(counts.join(toxic, "doc_id", "left_semi"), "token-counts")
     store = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
-    store.commit("documents", token_counts.deltas(None, counts))
+    revision = token_counts.deltas(provisional, counts)
+    store.commit("arrival", token_counts.deltas(None, provisional))
+    store.commit("revision", revision)
+    store.commit("withdrawal", token_counts.deltas(withdrawn, None))
+    store.compact()
+    store.commit("return", token_counts.deltas(None, withdrawn))
+    if store.commit("revision", revision):
+        raise RuntimeError("a batch was committed twice")
     return store.totals()
 
 

@@ -137,6 +137,25 @@ def test_rollups_follow_inserts_revisions_and_deletes(spark, edge, hf):
     assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in store.totals().collect()} == dict(want)
     assert store.commit("b3", token_counts.deltas(token_counts.count_tokens(changed, tokenizers), None)) and store.totals().count() == 0
     assert store.batches() == ["b1", "b2", "b3"]
+    store.compact()
+    assert store.batches() == ["b1", "b2", "b3"] and store.totals().count() == 0 and not store.commit("b2", token_counts.deltas(None, first))
+    assert store.commit("b4", token_counts.deltas(None, first))
+    before = sorted(map(tuple, store.totals().collect()), key=repr)
+    store.compact()
+    store.compact()
+    assert before and sorted(map(tuple, store.totals().collect()), key=repr) == before and store.batches() == ["b1", "b2", "b3", "b4"]
+    assert not store.commit("b4", token_counts.deltas(None, first))
+
+
+def test_token_counts_of_the_query(spark, documents, hf):
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in documents.collect():
+        own = want[r.source, r.lang, "byte_bpe_50k"]
+        own[0] += 1
+        own[1] += len(r.text or "")
+        own[2] += len(hf.encode(r.text or "", add_special_tokens=False).ids)
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_chars, r.n_tokens] for r in QUERIES["op10_token_counts"](spark, FOLDER).collect()}
+    assert got == dict(want)
 
 
 # --- decontamination
