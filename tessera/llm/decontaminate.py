@@ -4,20 +4,23 @@ A shard is a run of whole documents of a few megabytes, and its words are the te
 Its suffix array keeps the positions from which a test could match at all (the first two words stand
 side by side in some test item, or the first is a whole item), ordered by the words that follow, to
 the depth of a window. Every test suffix of a window's length is binary-searched there; the range
-that it finds are its locations. Neighbouring locations on one diagonal make the longest verbatim
-match. Words are compared by 64-bit hashes.
+that it finds are its locations. From each location where a match with an item begins (the words before
+differ), the match is followed word for word along that item: the longest one of a document is its
+longest verbatim match. Words are compared by 64-bit hashes.
 
-The tests are read in blocks of whole items, written once to the shared folder and memory-mapped by
-the tasks, so neither the driver nor a task holds more than one block.
+The tests are dealt to blocks of whole items, which executors build, write once to the shared folder and
+memory-map, a block once a task, so neither the driver nor a task holds all tests or a list of them.
 
 Defined cases: null or wordless text has no words, no hits and no items; a null item_id counts as
-the empty id; repeated rows are judged each; an empty benchmark contaminates nothing.
+the empty id; repeated rows are judged each, whatever their doc_id; an empty benchmark contaminates
+nothing; of several longest matches the first counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, LOWER, chunks, docs_of, hash_spans, mix, spans
-from tessera.llm.staging import local_path, new_path
+from tessera.llm.staging import local_path, new_path, with_rows
 
 WINDOW = 13
+#: A text is contaminated from one hit word in so many on.
+SHARE = 20
+#: Pairs of a location and a place in an item that are looked at together.
+PAIRS = 1 << 21
+#: Odd, so that its powers keep all bits of a sum of word hashes.
+BASE = 0x9E3779B97F4A7C15
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long"
 
 
@@ -40,58 +49,55 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hash_spans(low, start, stop) if len(start) else np.zeros(0, np.uint64)), docs_of(start, off)
 
 
-def _block(texts: list[str], ids: list[str], window: int) -> dict[str, np.ndarray]:
-    """Distinct windows as rows of hashes, their sizes, and the items of each."""
-    grams, sizes, owners = [], [], []
-    for _, _, buf, off in chunks(pa.array(texts, pa.large_string()), 1 << 40):
-        found, bounds = words(buf, off)
-        for i in range(len(texts)):
-            own = found[bounds[i] : bounds[i + 1]]
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1 if size else 0):
-                grams.append(np.concatenate([own[k : k + size], np.zeros(window - size, np.uint64)]))
-                sizes.append(size)
-                owners.append(i)
-    if not grams:
+def _block(texts: pa.ChunkedArray, ids: list[str], window: int) -> dict[str, np.ndarray]:
+    """Distinct windows as rows of hashes, their sizes, where each stands in which item, and the items' words."""
+    column = texts.cast(pa.large_string()).combine_chunks()
+    parts = [words(buf, off) for _, _, buf, off in chunks(column)]
+    bounds = np.cumsum(np.concatenate([[0], *(np.diff(p[1]) for p in parts)])).astype(np.int64)
+    found = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
+    n = np.diff(bounds)
+    has = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    if not has.sum():
         return {}
-    rows, group = np.unique(np.array(grams, np.uint64), axis=0, return_inverse=True)
+    owner = np.repeat(np.arange(len(n)), has)
+    inside = np.arange(has.sum()) - np.repeat(np.cumsum(has) - has, has)
+    size = np.minimum(n[owner], window)
+    at = (bounds[owner] + inside)[:, None] + np.arange(window)
+    grams = np.where(np.arange(window) < size[:, None], found[np.minimum(at, len(found) - 1)], np.uint64(0))
+    rows, group = np.unique(grams, axis=0, return_inverse=True)
     group = group.ravel()
-    size = np.zeros(len(rows), np.int64)
-    size[group] = sizes
-    links = np.unique(np.stack([group, np.array(owners, np.int64)]), axis=1)
+    order = np.argsort(group, kind="stable")
+    length = np.zeros(len(rows), np.int64)
+    length[group] = size
     # pairs of neighbouring words from which a window starts, and one-word windows
-    second = np.where(size > 1, rows[:, 1] if window > 1 else 0, np.uint64(0))
+    second = np.where(length > 1, rows[:, 1] if window > 1 else 0, np.uint64(0))
     return {
-        "rows": rows, "size": size, "owner_at": np.searchsorted(links[0], np.arange(len(rows) + 1)), "owner": links[1],
-        "pairs": np.unique(mix(rows[:, 0], second)), "single": np.unique(rows[size == 1, 0]),
+        "rows": rows, "size": length, "use_at": np.searchsorted(group[order], np.arange(len(rows) + 1)), "owner": owner[order], "place": inside[order],
+        "pairs": np.unique(mix(rows[:, 0], second)), "single": np.unique(rows[length == 1, 0]), "words": found, "bounds": bounds,
         "ids": np.array([x.encode() for x in ids], dtype=object).astype("S") if ids else np.zeros(0, "S1"),
     }
 
 
 def write_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = 4_000_000) -> list[str]:
     """Folders of the test blocks, each of whole items of about block_chars."""
-    spark, folders = benchmark.sparkSession, []
-
-    def write(texts: list[str], ids: list[str]) -> None:
-        arrays = _block(texts, ids, window)
+    spark = benchmark.sparkSession
+    tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    chars = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    root = local_path(new_path(spark, "tests"))
+    blocks = max(1, -(-chars // block_chars))
+
+    def write(group: pa.Table) -> pa.Table:
+        arrays = _block(group.column("text"), group.column("id").to_pylist(), window)
+        folder = f"{root}/{uuid.uuid4().hex}"
         if arrays:
-            folder = local_path(new_path(spark, "tests"))
             os.makedirs(folder)
             for name, value in arrays.items():
                 np.save(f"{folder}/{name}.npy", value)
-            folders.append(folder)
+        return pa.table({"folder": pa.array([folder] if arrays else [], pa.string())})
 
-    texts, ids, held = [], [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).toLocalIterator():
-        texts.append(row[1])
-        ids.append(row[0])
-        held += len(row[1])
-        if held >= block_chars:
-            write(texts, ids)
-            texts, ids, held = [], [], 0
-    if texts:
-        write(texts, ids)
-    return folders
+    # a repeated task writes another folder; only those that are reported count
+    dealt = tests.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    return sorted(r[0] for r in dealt.groupBy("block").applyInArrow(write, "folder string").collect())
 
 
 @dataclass
@@ -167,45 +173,105 @@ def _matches(tokens: np.ndarray, bounds: np.ndarray, block: dict[str, np.ndarray
     return which, place
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose sizes add up to about ``most``."""
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def _uses(which: np.ndarray, place: np.ndarray, block: dict[str, np.ndarray], most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document place, item, place in the item) of all pairs of a match and a use of its window, in parts of about ``most``."""
+    use_at = np.asarray(block["use_at"])
+    n = use_at[which + 1] - use_at[which]
+    for a, b in _slices(n, most):
+        # one match with very many uses is cut as well
+        for first in range(0, int(n[a:b].max()), most):
+            some = np.clip(n[a:b] - first, 0, most)
+            at = np.repeat(use_at[which[a:b]] + first - np.cumsum(some) + some, some) + np.arange(some.sum())
+            yield np.repeat(place[a:b], some), block["owner"][at], block["place"][at]
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]), dtype=np.uint64)
+
+
+def _sums(tokens: np.ndarray, power: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power[: len(tokens)], dtype=np.uint64)])
+
+
+def _follow(tokens: np.ndarray, bounds: np.ndarray, block: dict[str, np.ndarray], place: np.ndarray, item: np.ndarray, inside: np.ndarray, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of the matches that begin at pairs of a document place and a place in an item.
+
+    Word hashes are summed with powers of an odd base, so equal runs have sums that differ by a power."""
+    own, test = np.asarray(block["words"]), np.asarray(block["bounds"])
+    there = test[item] + inside
+    before = (inside > 0) & (place > bounds[np.searchsorted(bounds, place, "right") - 1])
+    before[before] = tokens[place[before] - 1] == own[there[before] - 1]
+    place, item, there = place[~before], item[~before], there[~before]
+    mine, theirs, power = sums
+    low = np.ones(len(place), np.int64)
+    high = np.minimum(bounds[np.searchsorted(bounds, place, "right")] - place, test[item + 1] - there)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_] + 1) // 2
+        a, b = place[open_], there[open_]
+        same = (mine[a + mid] - mine[a]) * power[b] == (theirs[b + mid] - theirs[b]) * power[a]
+        low[open_[same]] = mid[same]
+        high[open_[~same]] = mid[~same] - 1
+    return place, low
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Contamination of each row of docs; longest: words of its longest verbatim match of a window or more, from word longest_at on (-1: none)."""
+    return _judge(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, share)
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, window: int, share: int) -> DataFrame:
+    """judge() of a table of a number and a text."""
     folders = write_blocks(benchmark, window)
 
-    def load(folder: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        names = ("rows", "size", "owner_at", "owner", "pairs", "single", "ids")
-        block = {n: np.load(f"{folder}/{n}.npy", mmap_mode="r") for n in names}
-        bits = np.zeros(1 << 22, dtype=bool)
-        bits[block["pairs"] >> np.uint64(64 - 22)] = True
-        return block, bits
+    def load(folder: str) -> dict[str, np.ndarray]:
+        return {n: np.load(f"{folder}/{n}.npy", mmap_mode="r") for n in ("rows", "size", "use_at", "owner", "place", "pairs", "single", "words", "bounds", "ids")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = load(folders[0]) if len(folders) == 1 else None
+        blocks = [load(folder) for folder in folders]
+        # one filter of word pairs for all blocks
+        bits = np.zeros(1 << 22, dtype=bool)
+        for block in blocks:
+            bits[np.asarray(block["pairs"]) >> np.uint64(64 - 22)] = True
         for batch in batches:
             for row, end, buf, off in chunks(batch.column(1)):
                 tokens, bounds = words(buf, off)
                 n_docs = end - row
                 cover = np.zeros(len(tokens) + 1, np.int64)
                 items: dict[int, set[str]] = {}
-                edges = []
-                for folder in folders:
-                    block, bits = held or load(folder)
+                longest, longest_at = np.zeros(n_docs, np.int64), np.full(n_docs, -1, np.int64)
+                for block in blocks:
                     which, place = _matches(tokens, bounds, block, bits, window)
                     if not len(which):
                         continue
-                    size = np.asarray(block["size"])[which]
                     np.add.at(cover, place, 1)
-                    np.add.at(cover, place + size, -1)
-                    doc = np.searchsorted(bounds, place, "right") - 1
-                    seen = np.unique(np.stack([doc, which]), axis=1)
-                    for d, w in zip(*seen.tolist(), strict=True):
-                        own = items.setdefault(d, set())
-                        for o in block["owner"][block["owner_at"][w] : block["owner_at"][w + 1]].tolist():
-                            own.add(block["ids"][o].decode())
-                    edges.append(np.stack([place, size]))
+                    np.add.at(cover, place + np.asarray(block["size"])[which], -1)
+                    power = _powers(max(len(tokens), len(block["words"])) + 1)
+                    sums = _sums(tokens, power), _sums(np.asarray(block["words"]), power), power
+                    for at, item, inside in _uses(which, place, block):
+                        own = np.searchsorted(bounds, at, "right") - 1
+                        for d, o in np.unique(np.stack([own, item], axis=1), axis=0).tolist():
+                            items.setdefault(d, set()).add(block["ids"][o].decode())
+                        start, length = _follow(tokens, bounds, block, at, item, inside, sums)
+                        own = np.searchsorted(bounds, start, "right") - 1
+                        # the longest of each document, its first place on a tie
+                        order = np.lexsort((start, -length, own))
+                        best = order[np.append(True, own[order][1:] != own[order][:-1])] if len(order) else order
+                        d, new, at = own[best], length[best], start[best] - bounds[own[best]]
+                        better = (new > longest[d]) | ((new == longest[d]) & (at < longest_at[d]))
+                        longest[d[better]], longest_at[d[better]] = new[better], at[better]
                 hit = np.cumsum(cover[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_words, n_hit = np.diff(bounds), np.diff(total[bounds])
-                longest, longest_at = _longest(hit, bounds, edges, n_docs)
                 lists = [sorted(items.get(i, ())) for i in range(n_docs)]
                 sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
                 yield pa.RecordBatch.from_arrays(
@@ -213,30 +279,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
-
-
-def _longest(hit: np.ndarray, bounds: np.ndarray, edges: list[np.ndarray], n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest run of windows that start at consecutive words, in words, and where it starts."""
-    longest, at = np.zeros(n_docs, np.int64), np.full(n_docs, -1, np.int64)
-    if not edges:
-        return longest, at
-    place, size = np.concatenate(edges, axis=1)
-    order = np.lexsort((size, place))
-    place, size = place[order], size[order]
-    last = np.append(place[1:] != place[:-1], True)
-    place, size = place[last], size[last]
-    doc = np.searchsorted(bounds, place, "right") - 1
-    new = np.append(True, (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1]))
-    first = np.flatnonzero(new)
-    stop = np.maximum.reduceat(place + size, first)
-    length, owner = stop - place[first], doc[first]
-    for i in np.lexsort((-place[first], length)).tolist():
-        longest[owner[i]], at[owner[i]] = length[i], place[first][i] - bounds[owner[i]]
-    return longest, at
+    return docs.mapInArrow(run, OUT)
 
 
 def without_tests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline form: the rows of docs that are not contaminated."""
-    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    rows = with_rows(docs)
+    judged = _judge(rows.select(F.col("row").alias("doc_id"), F.col("own.text").alias("text")), benchmark, WINDOW, SHARE)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(bad, "row", "left_anti").select("own.*")

@@ -20,12 +20,12 @@ _WORDS = r"list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWX
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark)),
-q AS (SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[p + 1:p + least(13, len(w))], ' ') AS g FROM (SELECT item, w, unnest(range(len(w) - least(13, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
-h AS (SELECT doc_id, p, k, item FROM (SELECT doc_id, p, k, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)) JOIN q USING (k, g)),
+q AS (SELECT item, p AS place, least(13, len(w)) AS k, array_to_string(w[p + 1:p + least(13, len(w))], ' ') AS g FROM (SELECT item, w, unnest(range(len(w) - least(13, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
+h AS (SELECT doc_id, p, k, item, place FROM (SELECT doc_id, p, k, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)) JOIN q USING (k, g)),
 c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM (SELECT DISTINCT doc_id, p, k FROM h)) GROUP BY doc_id),
 i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id),
-s AS (SELECT doc_id, p, max(k) AS k, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM h GROUP BY doc_id, p),
-r AS (SELECT doc_id, max(p + k) - min(p) AS longest, min(p) AS place FROM s GROUP BY doc_id, island),
+s AS (SELECT doc_id, item, p, k, p - place AS line, p - row_number() OVER (PARTITION BY doc_id, item, k, p - place ORDER BY p) AS island FROM h),
+r AS (SELECT doc_id, max(p + k) - min(p) AS longest, min(p) AS place FROM s GROUP BY doc_id, item, k, line, island),
 m AS (SELECT doc_id, max(longest) AS longest, arg_min(place, (-longest, place)) AS longest_at FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
