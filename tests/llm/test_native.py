@@ -99,7 +99,7 @@ def plain_stats(t):
 def test_quality_counts(which, request):
     docs = request.getfixturevalue(which)
     want = Counter((r.doc_id, *plain_stats(r.text)) for r in docs.collect())
-    out = quality_rules.quality_outliers(docs, min_rows=50).collect()
+    out = quality_rules.quality_outliers(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out) == want
     for r in out:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
@@ -113,18 +113,104 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
     assert share[1] > 0.98 and share[0] < 0.2
 
 
-def test_mahalanobis_distance_of_a_refit(spark):
+def plain_cov(x):
+    return 0.75 / (1 - quality_rules.chi2_tail(quality_rules.chi2_quantile(0.25, 6), 8)) * np.cov(x.T, bias=True).reshape(6, 6)
+
+
+def plain_mcd(x, toward=None, toward_n=0, drawn=quality_rules.DRAWN):
+    """n, mean, scatter, what it is drawn to and degrees of freedom of the least determinant that concentration steps find."""
+    floors = np.array(quality_rules.FLOORS)
+
+    def estimate(d2):
+        b = np.round(50 * np.log(d2 + 0.01))
+        near = x[b <= np.quantile(b, 0.75)]
+        n, c = len(near), plain_cov(near)
+        own = 1.0 if toward is None else n / (n + drawn)
+        k = own * c + (0 if toward is None else (1 - own) * toward) + np.diag(floors**2)
+        dof = own**2 / max(n - 1, 1) + (0 if toward is None else (1 - own) ** 2 / max(toward_n - 1, 1))
+        return n, near.mean(0), c, k, 1 / dof
+
+    def distance(fit):
+        d = x - fit[1]
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(fit[3]), d)
+
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    z = np.abs(x - mid) / ((high - low) / 1.349 + floors)
+    fits = [estimate(distance(estimate(d))) for d in ((z * z).sum(1), z.max(1), distance(estimate(np.zeros(len(x)))))]
+    fit = min(fits, key=lambda f: np.linalg.slogdet(f[3])[1])
+    steps = 0
+    while np.linalg.slogdet((new := estimate(distance(fit)))[3])[1] < np.linalg.slogdet(fit[3])[1] - 1e-6:
+        fit, steps = new, steps + 1
+    return fit, distance(fit), steps
+
+
+def plain_tail(d2, n, dof):
+    """Probability of a greater T-squared, by integrating the density of F numerically."""
+    rest = dof - 5
+    if rest <= 0:
+        return 1.0
+    f = d2 * n / (n + 1) * rest / (dof * 6)
+    # substitute u = rest / (rest + 6 f), a beta(rest / 2, 3) variable
+    top = rest / (rest + 6 * f)
+    u = (np.arange(200000) + 0.5) / 200000 * top
+    log = (rest / 2 - 1) * np.log(u) + 2 * np.log1p(-u) + np.log(rest / 2 * (rest / 2 + 1) * (rest / 2 + 2) / 2)
+    return float(np.exp(log).sum() * top / 200000)
+
+
+def test_quality_verdicts_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    numbered = docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row"))
+    stats = quality_rules.text_stats(numbered.select("row", "own.*"), "row", "doc_id", "lang", "source")
+    vectors = quality_rules._vector(stats)[0].collect()
+    x = {r.doc_id: np.array([r[f"x{i}"] for i in range(6)], float) for r in vectors}
+    cells, langs = defaultdict(list), defaultdict(list)
+    for r in vectors:
+        cells[r.lang, r.source].append(r.doc_id)
+        langs[r.lang].append(r.doc_id)
+    whole = {k: plain_mcd(np.array([x[i] for i in own])) for k, own in langs.items()}
+    want = {}
+    for (lang, _), own in cells.items():
+        fit, d2, _ = plain_mcd(np.array([x[i] for i in own]), whole[lang][0][2], whole[lang][0][0])
+        want |= {i: (d, plain_tail(d, fit[0], fit[4])) for i, d in zip(own, d2, strict=True)}
+    got = quality_rules.quality_outliers(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        d2, p = want[r.doc_id]
+        assert abs(r.d2 - d2) <= 1e-6 * (1 + d2)
+        assert abs(r.log_p - np.log10(max(p, 1e-300))) < 0.01 * (1 - r.log_p) or p < 1e-200
+        assert r.kept == (not r.base_failed and p >= 1e-6) or 0.99e-6 < p < 1.01e-6
+
+
+def test_determinant_is_lessened_until_no_step_does(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MOST_CELLS", 0)
     random = np.random.default_rng(5)
-    x = np.round(random.multivariate_normal(np.zeros(6), np.eye(6) * 250000 + 100000, 800)).astype(int)
-    df = spark.createDataFrame([("c", *map(int, r), float(k)) for k, r in enumerate(x)], "cell string, " + ", ".join(f"x{i} long" for i in range(6)) + ", d2 double")
-    fit = quality_rules._refit(df)
-    got = [r.d for r in df.join(fit, "cell").select(quality_rules._distance().alias("d"), "d2").orderBy("d2").select("d").collect()]
-    grid = np.round(50 * np.log(np.arange(800) + 0.01))
-    near = x[grid <= np.quantile(grid, 0.75)]
-    scale = 0.75 / (1 - quality_rules.chi2_tail(quality_rules.chi2_quantile(0.25, 6), 8))
-    cov = scale * np.cov(near.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
-    d = x - near.mean(0)
-    assert np.allclose(got, np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), rtol=1e-6)
+    sets = {}
+    for key, n in (("a", 600), ("b", 90), ("c", 1)):
+        x = random.multivariate_normal(np.zeros(6), np.full((6, 6), 4e6) + np.eye(6) * 3e6, n)
+        x /= np.sqrt(random.chisquare(1.5, (n, 1)) / 1.5)
+        sets[key] = np.round(x)
+    target = 4e6 * np.eye(6) + 1e6
+    points = spark.createDataFrame([(1000 * k + i, key, *map(int, r)) for k, (key, x) in enumerate(sets.items()) for i, r in enumerate(x)], "row long, key string, " + ", ".join(f"x{i} long" for i in range(6)))
+    toward = spark.createDataFrame([(key, 500, *(float(target[i, j]) for i, j in quality_rules._pairs())) for key in sets], "key string, t_n long, " + ", ".join(f"t{i}_{j} double" for i, j in quality_rules._pairs()))
+    got = {r.key: r for r in quality_rules.mcd(points, 3, toward, 20.0).collect()}
+    steps = []
+    for key, x in sets.items():
+        (n, mean, scatter, drawn_to, dof), d2, s = plain_mcd(x, target, 500, 20.0)
+        steps.append(s)
+        r = got[key]
+        k = np.array([[r[f"k{i}_{j}"] if j <= i else 0 for j in range(6)] for i in range(6)])
+        assert r.n == n and abs(r.dof - dof) < 1e-6 * dof and np.allclose([r[f"m{i}"] for i in range(6)], mean)
+        assert np.allclose(np.linalg.inv(k.T @ k), drawn_to, rtol=1e-6, atol=1) and np.allclose([r[f"c{i}_{i}"] for i in range(6)], np.diag(scatter))
+    assert max(steps) > 1
+
+
+def test_quality_of_rows_that_share_an_id(spark):
+    words = "the quick brown fox jumps over a lazy dog while many other small animals watch it from behind the old stone wall near"
+    rows = [(i, f"{words} {i}", "en", "s") for i in range(40)] + [(1, "bad", "en", "s"), (None, "bad too", "en", "s"), (None, words, "en", "s")]
+    docs = spark.createDataFrame([(*r, "x", 1, 2.0, "k") for r in rows], "doc_id long, text string, lang string, source string, _id string, row int, d2 double, key string")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t, *_ in rows if not t.startswith("bad"))
 
 
 def test_quality_of_nothing(edge):
