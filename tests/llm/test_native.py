@@ -186,8 +186,7 @@ def test_determinant_is_lessened_until_no_step_does(spark, monkeypatch):
     random = np.random.default_rng(5)
     sets = {}
     for key, n in (("a", 600), ("b", 90), ("c", 1)):
-        x = random.multivariate_normal(np.zeros(6), np.full((6, 6), 4e6) + np.eye(6) * 3e6, n)
-        x /= np.sqrt(random.chisquare(1.5, (n, 1)) / 1.5)
+        x = 1000 * np.exp(random.normal(size=(n, 6)) @ random.normal(size=(6, 6)) / 2)
         sets[key] = np.round(x)
     target = 4e6 * np.eye(6) + 1e6
     points = spark.createDataFrame([(1000 * k + i, key, *map(int, r)) for k, (key, x) in enumerate(sets.items()) for i, r in enumerate(x)], "row long, key string, " + ", ".join(f"x{i} long" for i in range(6)))
