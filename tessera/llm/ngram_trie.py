@@ -1,27 +1,28 @@
 """LM scoring: an Elias-Fano n-gram trie, sharded, memory-mapped, with quantised smoothed probabilities.
 
 Model: words and an end token, orders 1 to 3, interpolated absolute discounting over the add-half
-unigram distribution. N-grams of order 2 and 3 seen less than ``least`` times are pruned (their mass
-goes to the back-off weight of their context, so distributions still sum to one); the query keeps all
-of them (``least`` is 1). Counting, pruning and building cover all
-training texts; the model grows with them.
+unigram distribution. Counting and building cover all training texts, every n-gram stays, and the model
+grows with them.
 
 Levels, each cut into shards by a hash of the context, so that no task builds or holds the whole:
-  words     sorted 64-bit hashes of distinct words (Elias-Fano), unigram counts, back-off weights;
-            a word's id is its rank
+  words     sorted 64-bit hashes of distinct words (Elias-Fano) and their counts; a word's id is its rank
   bigrams   contexts v with pointers to their successors w
   trigrams  contexts (u, v) with pointers to their successors w
 A level of successors is one monotone Elias-Fano sequence: context rank times the number of words
 plus successor id; the pointers of contexts are monotone too. A look-up finds the context's rank,
 then searches the successor relative to it: high bits give the bucket by a select on the bit vector,
-low bits are compared within. Probabilities (already interpolated) and back-off weights are 16-bit
-codes of log10 on a grid of ``GRID`` steps.
+low bits are compared within. Discounted probabilities of successors and back-off weights of contexts are
+16-bit codes of log10 on a grid of ``GRID`` steps; a token's probability is its own share plus the
+back-off weight times its probability one order down. Every token but an end has one successor, so a
+context's occurrences are the sum of its successors' counts, and both levels are built from one pass.
 
 Every shard is one file in the shared folder, written under another name and renamed: a repeated or
-speculative task writes the same file again. Tasks map the files and read the pages that they touch.
+speculative task writes the same file again. A manifest names the shards that there are; a file of it that
+is missing is an error. Tasks map the files and read the pages that they touch.
 
 Defined cases: null text is empty and scores its end token; repeated rows are scored each, and learnt
-as often; without training texts every token is unknown, and all scores are those of the base model.
+as often, whatever their doc_id; without training texts every token is unknown, and all scores are those
+of the base model. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import LOWER, NON_SPACE, chunks, docs_of, hash_spans, mix, spans
-from tessera.llm.near_dedup import squeeze, unsqueeze
-from tessera.llm.staging import local_path, new_path
+from tessera.llm.near_dedup import _pack, _unpack, squeeze, unsqueeze
+from tessera.llm.staging import drop, local_path, new_path, stage
 
 END = np.uint64(0x5EED0E5D0E5D0001)
 DISCOUNT = 0.75
@@ -182,345 +182,301 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each context key."""
+    return ((mix(keys, np.full(len(keys), 77, np.uint64)) >> np.uint64(33)).astype(np.int64) % shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    new = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(np.ones(min(1, len(columns[0])), bool), new))
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
-
-
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each context key."""
-    return (mix(keys, np.full(len(keys), 77, np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
 
 
 class Words:
-    """The level of words: id and unigram log10 probability of hashes."""
+    """The level of words: id and count of hashes."""
 
     def __init__(self, folder: str, meta: dict):
-        self.meta = meta
-        self.shards = []
-        for i in range(meta["word_shards"]):
-            path = f"{folder}/words-{i}"
-            if os.path.exists(path):
-                arrays = load(path)
-                self.shards.append((EliasFano(_sub(arrays, "ef_")), arrays["count"], arrays["context"]))
-            else:
-                self.shards.append(None)
-        self.base = np.array(meta["word_base"], np.int64)
-
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted distinct hashes: id (-1: unknown), count, occurrences as a context."""
-        n = self.meta["word_shards"]
-        out = np.full(len(h), -1, np.int64)
-        count, context = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        edges = np.searchsorted(h, np.array([(b << 64) // n for b in range(1, n)], np.uint64))
-        cuts = [0, *edges.tolist(), len(h)]
+        self.folder, self.meta, n = folder, meta, meta["shards"]
+        manifest = load(f"{folder}/manifest")
+        self.base, self.size = manifest["word_base"], manifest["word_size"]
+        self.edges = np.array([(b << 64) // n for b in range(1, n)], np.uint64)
+        self.open: dict[int, tuple[EliasFano, np.ndarray]] = {}
+
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted distinct hashes: id (-1: unknown) and count. Ids are in the order of hashes."""
+        n = self.meta["shards"]
+        out, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        cuts = [0, *np.searchsorted(h, self.edges).tolist(), len(h)]
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b and self.shards[i] is not None:
-                ef, counts, contexts = self.shards[i]
+            if a < b and self.size[i]:
+                if i not in self.open:
+                    arrays = load(f"{self.folder}/words-{i}")
+                    self.open[i] = EliasFano(_sub(arrays, "ef_")), arrays["count"]
+                ef, counts = self.open[i]
                 at = ef.find(h[a:b] - np.uint64((i << 64) // n))
                 known = np.flatnonzero(at >= 0)
                 out[a + known] = at[known] + self.base[i]
                 count[a + known] = counts[at[known]]
-                context[a + known] = contexts[at[known]]
-        return out, count, context
+        return out, count
 
-    def base_log(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / (self.meta["n"] + 0.5 * (self.meta["v"] + 1)))
+    def base_p(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / (self.meta["n"] + 0.5 * (self.meta["v"] + 1))
 
 
 class Level:
     """Successors of contexts: sorted context keys, pointers, successor ids, codes."""
 
-    def __init__(self, folder: str, name: str, shards: int, words: int):
-        self.paths = [f"{folder}/{name}-{i}" for i in range(shards)]
-        self.words = words
-        self.open: dict[int, tuple | None] = {}
+    def __init__(self, folder: str, order: int, meta: dict):
+        self.folder, self.order, self.shards, self.words = folder, order, meta["shards"], meta["v"]
+        self.there = load(f"{folder}/manifest")[f"order{order}"]
+        self.open: dict[int, tuple] = {}
 
-    def _shard(self, i: int):
+    def _shard(self, i: int) -> tuple:
         if i not in self.open:
-            if os.path.exists(self.paths[i]):
-                a = load(self.paths[i])
-                self.open[i] = (EliasFano(_sub(a, "ctx_")), EliasFano(_sub(a, "succ_")), a["prob"], a["back"])
-            else:
-                self.open[i] = None
+            a = load(f"{self.folder}/order{self.order}-{i}")
+            self.open[i] = (EliasFano(_sub(a, "ctx_")), EliasFano(_sub(a, "succ_")), a["prob"], a["back"])
         return self.open[i]
 
     def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p or nan, log10 back-off weight or 0) for context keys and successor ids (-1: unknown)."""
-        p, back = np.full(len(context), np.nan), np.zeros(len(context))
-        shard = _shard_of(context, len(self.paths))
-        order = np.lexsort((word, context, shard))
-        cuts = np.searchsorted(shard[order], np.arange(len(self.paths) + 1))
-        for i in range(len(self.paths)):
-            rows = order[cuts[i] : cuts[i + 1]]
-            held = self._shard(i) if len(rows) else None
-            if held is None:
+        """(discounted probability or 0, back-off weight or 1) of context keys and successor ids (-1: unknown), in order of both."""
+        p, back = np.zeros(len(context)), np.ones(len(context))
+        first = _starts(context)
+        shard = np.repeat(_shard_of(context[first], self.shards), _sizes(first, len(context)))
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            if not self.there[i]:
                 continue
-            contexts, successors, probs, backs = held
+            rows = order[cuts[i] : cuts[i + 1]]
+            contexts, successors, probs, backs = self._shard(i)
             own = context[rows]
-            new = np.append(True, own[1:] != own[:-1])
-            rank = contexts.find(own[new])[np.cumsum(new) - 1]
+            first = _starts(own)
+            rank = np.repeat(contexts.find(own[first]), _sizes(first, len(own)))
             rows, rank = rows[rank >= 0], rank[rank >= 0]
-            back[rows] = value(backs[rank])
+            back[rows] = 10 ** value(backs[rank])
             known = word[rows] >= 0
             rows, rank = rows[known], rank[known]
             at = successors.find(rank.astype(np.uint64) * np.uint64(self.words) + word[rows].astype(np.uint64))
-            p[rows[at >= 0]] = value(probs[at[at >= 0]])
+            p[rows[at >= 0]] = 10 ** value(probs[at[at >= 0]])
         return p, back
 
 
-def _level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, lower: np.ndarray, words: int, bits: int) -> dict[str, np.ndarray]:
-    """Arrays of one shard from its n-grams by context and word: total is the context's occurrences, lower the log10 probability of the word one order down."""
-    new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    size = np.diff(np.append(new, len(context)))
-    rank = np.repeat(np.arange(len(new)), size)
-    alpha = (count - DISCOUNT) / total
-    gamma = np.maximum(1 - np.add.reduceat(alpha, new), 1e-9)
-    prob = np.log10(np.minimum(alpha + gamma[rank] * 10**lower, 1.0))
-    ctx = ef_arrays(context[new], 1 << bits)
-    succ = ef_arrays(rank.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), max(1, len(new) * words))
-    return {f"ctx_{k}": v for k, v in ctx.items()} | {f"succ_{k}": v for k, v in succ.items()} | {"prob": code(prob), "back": code(np.log10(gamma))}
+def _level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, bits: int) -> dict[str, np.ndarray]:
+    """Arrays of one shard from its n-grams in order of context and word."""
+    first = _starts(context)
+    size = _sizes(first, len(context))
+    rank = np.repeat(np.arange(len(first)), size)
+    total = np.add.reduceat(count, first)
+    ctx = ef_arrays(context[first], 1 << bits)
+    succ = ef_arrays(rank.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), max(1, len(first) * words))
+    return {f"ctx_{k}": v for k, v in ctx.items()} | {f"succ_{k}": v for k, v in succ.items()} | {"prob": code(np.log10((count - DISCOUNT) / total[rank])), "back": code(np.log10(DISCOUNT * size / total))}
 
 
 # --- Building --------------------------------------------------------------------------------------
 
 
-def _grouped(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the sorted (key, count) blobs of a group."""
-    keys = np.concatenate([unsqueeze(x) for x in group.column("keys").to_pylist()])
-    counts = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[at], np.add.reduceat(counts[order].astype(np.int64), at)
-
-
-def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """A row per shard of sorted distinct keys with counts; shard is sorted, keys within it."""
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    some = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) of the blobs of a group in order, with the sums of their counts."""
+    context = np.concatenate([unsqueeze(x) for x in group.column("keys").to_pylist()])
+    word = np.concatenate([_unpack(x) for x in group.column("words").to_pylist()])
+    count = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()])
+    distinct, rank = np.unique(context, return_inverse=True)
+    del context
+    key = rank.astype(np.uint64) << np.uint64(ID_BITS) | word
+    del rank, word
+    order = np.argsort(key)
+    key = key[order]
+    first = _starts(key)
+    count = np.add.reduceat(count[order], first, dtype=np.int64)
+    key = key[first]
+    return distinct[(key >> np.uint64(ID_BITS)).astype(np.int64)], (key & np.uint64((1 << ID_BITS) - 1)).astype(np.int64), count
+
+
+def _blobs(order: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A row per shard of n-grams that are in order of context and word."""
+    first = _starts(context)
+    shard = np.repeat(_shard_of(context[first], shards), _sizes(first, len(context)))
+    by = np.argsort(shard, kind="stable")
+    context, word, count = context[by], word[by], count[by]
+    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    parts = [slice(cuts[i], cuts[i + 1]) for i in some]
     return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([squeeze(keys[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()), pa.array([_pack(counts[cuts[i] : cuts[i + 1]]) for i in some], pa.binary())],
-        names=["shard", "keys", "counts"],
+        [pa.array([order] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([squeeze(context[p]) for p in parts], pa.binary()), pa.array([_pack(word[p]) for p in parts], pa.binary()), pa.array([_pack(count[p]) for p in parts], pa.binary())],
+        names=["order", "shard", "keys", "words", "counts"],
     )
 
 
-BLOB = "shard int, keys binary, counts binary"
+def _ngrams(local: np.ndarray, ends: np.ndarray, n_local: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Distinct bigrams (v, w, count) and trigrams (u, v, w, count) of texts of local word numbers, in order."""
+    inner = np.ones(len(local), bool)
+    inner[ends[:-1]] = False
+    at = np.flatnonzero(inner)
+    d = np.uint64(max(1, n_local))
+    pair = local[at - 1].astype(np.uint64) * d + local[at].astype(np.uint64)
+    # both tokens before are of the same text
+    second = inner[at - 1]
+    if n_local < 1 << 21:
+        triple = local[at[second] - 2].astype(np.uint64) * d * d + pair[second]
+        triple.sort()
+        first = _starts(triple)
+        times3, head = _sizes(first, len(triple)), triple[first] // d
+        last = triple[first] - head * d
+    else:  # the words of a very long text: numbers of its pairs in place of two words
+        keys, number = np.unique(local[at[second] - 2].astype(np.uint64) * d + local[at[second] - 1].astype(np.uint64), return_inverse=True)
+        triple = number.astype(np.uint64) * d + local[at[second]].astype(np.uint64)
+        triple.sort()
+        first = _starts(triple)
+        times3, head = _sizes(first, len(triple)), keys[(triple[first] // d).astype(np.int64)]
+        last = triple[first] % d
+    pair.sort()
+    first = _starts(pair)
+    pairs, times2 = pair[first], _sizes(first, len(pair))
+    v = pairs // d
+    u3 = head // d
+    return (v, pairs - v * d, times2), (u3, head - u3 * d, last, times3)
 
 
 class Trie:
-    """build() learns from texts; score() scores texts."""
+    """build() learns from texts; score() scores texts; drop() deletes the files."""
 
     def __init__(self, folder: str, meta: dict):
         self.folder, self.meta = folder, meta
 
     @classmethod
-    def build(cls, texts: DataFrame, shard_tokens: int = 3_000_000, least: int = 2) -> Trie:
-        """texts: a column text; n-grams of orders 2 and 3 stay that are seen ``least`` times."""
+    def build(cls, texts: DataFrame, shard_tokens: int = 3_000_000) -> Trie:
+        """texts: a column text."""
         spark = texts.sparkSession
         folder = local_path(new_path(spark, "trie"))
         os.makedirs(folder)
         texts = texts.select(F.col("text").cast("string").alias("text"))
-        chars, _ = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        chars = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         shards = max(1, -(-chars // (6 * shard_tokens)))
+        meta = {"shards": shards, "n": 0, "v": 0}
 
         # unigrams, cut by ranges of the hash
         def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            edges = np.array([(b << 64) // shards for b in range(1, shards)], np.uint64)
             for batch in batches:
                 for _, _, buf, off in chunks(batch.column(0), 8 << 20):
-                    found, ends = tokens(buf, off)
-                    keys, counts = _counts(found)
-                    edges = np.array([(b << 64) // shards for b in range(1, shards)], np.uint64)
-                    yield _blobs(np.searchsorted(edges, keys, "right"), keys, counts, shards)
+                    found, _ = tokens(buf, off)
+                    found.sort()
+                    first = _starts(found)
+                    keys, counts = found[first], _sizes(first, len(found))
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    some = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
+                    parts = [slice(cuts[i], cuts[i + 1]) for i in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(keys[p]) for p in parts], pa.binary()), pa.array([_pack(counts[p]) for p in parts], pa.binary())], names=["shard", "keys", "counts"])
 
         def build_words(group: pa.Table) -> pa.Table:
-            keys, counts = _grouped(group)
             i = group.column("shard")[0].as_py()
-            # the end token is never a context
-            context = np.where(keys == END, 0, counts)
+            keys = np.concatenate([unsqueeze(x) for x in group.column("keys").to_pylist()])
+            counts = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = _starts(keys)
+            counts, keys = np.add.reduceat(counts[order], first), keys[first]
             start = (i << 64) // shards
-            save(f"{folder}/words-{i}", {f"ef_{k}": v for k, v in ef_arrays(keys - np.uint64(start), ((i + 1) << 64) // shards - start).items()} | {"count": counts.astype(np.uint32) if counts.max() < 1 << 32 else counts, "context": context.astype(np.uint32) if counts.max() < 1 << 32 else context})
+            save(f"{folder}/words-{i}", {f"ef_{k}": v for k, v in ef_arrays(keys - np.uint64(start), ((i + 1) << 64) // shards - start).items()} | {"count": counts.astype(np.uint32) if counts.max() < 1 << 32 else counts})
             return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
 
-        sizes = {r[0]: (r[1], r[2]) for r in texts.mapInArrow(unigrams, BLOB).groupBy("shard").applyInArrow(build_words, "shard int, n long, v long").collect()}
-        v = [sizes.get(i, (0, 0))[1] for i in range(shards)]
-        meta = {"word_shards": shards, "word_base": [int(x) for x in np.cumsum([0, *v[:-1]])], "n": sum(n for n, _ in sizes.values()), "v": sum(v), "shards": shards}
+        size = np.zeros(shards, np.int64)
+        for r in texts.mapInArrow(unigrams, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(build_words, "shard int, n long, v long").toLocalIterator():
+            size[r[0]] = r[2]
+            meta["n"] += r[1]
+        meta["v"] = int(size.sum())
         if meta["v"] >= 1 << ID_BITS:
             raise ValueError("more distinct words than ids")
-        for order in (2, 3):
-            cls._build_level(texts, folder, meta, order, least)
-        return cls(folder, meta)
-
-    @staticmethod
-    def _grams(buf: np.ndarray, off: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of the tokens of texts, and text offsets."""
-        found, ends = tokens(buf, off)
-        distinct, back = np.unique(found, return_inverse=True)
-        ids, _, _ = words.ids(distinct)
-        return ids[back], ends
-
-    @classmethod
-    def _build_level(cls, texts: DataFrame, folder: str, meta: dict, order: int, least: int) -> None:
-        shards, v = meta["shards"], meta["v"]
+        manifest = {"word_base": np.cumsum(size) - size, "word_size": size}
+        save(f"{folder}/manifest", manifest)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(folder, meta)
-            bigrams = Level(folder, "bigrams", shards, v) if order == 3 and least > 1 else None
             for batch in batches:
                 for _, _, buf, off in chunks(batch.column(0), 8 << 20):
-                    ids, ends = cls._grams(buf, off, words)
-                    inner = np.ones(len(ids), bool)
-                    inner[ends[:-1]] = False
-                    at = np.flatnonzero(inner)
-                    pair = ids[at - 1].astype(np.uint64) << np.uint64(ID_BITS) | ids[at].astype(np.uint64)
-                    keys, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
-                    low = np.uint64((1 << ID_BITS) - 1)
-                    if order == 2:
-                        shard = _shard_of(keys >> np.uint64(ID_BITS), shards)
-                        by = np.argsort(shard, kind="stable")
-                        yield _blobs(shard[by], keys[by], counts[by], shards)
-                        continue
-                    # only kept bigrams can make a trigram that is seen as often
-                    kept = np.ones(len(keys), bool) if bigrams is None else ~np.isnan(bigrams.look(keys >> np.uint64(ID_BITS), (keys & low).astype(np.int64))[0])
-                    number = np.cumsum(kept) - 1
-                    there = np.full(len(ids), -1, np.int64)
-                    there[at] = np.where(kept[back], back, -1)
-                    third = np.flatnonzero((there[1:] >= 0) & (there[:-1] >= 0)) + 1
-                    del number
-                    context, word = keys[there[third - 1]], ids[third].astype(np.uint64)
-                    by = np.lexsort((word, context))
-                    context, word = context[by], word[by]
-                    if not len(by):
-                        continue
-                    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-                    n = np.diff(np.append(first, len(by)))
-                    context, word = context[first], word[first]
-                    shard = _shard_of(context, shards)
-                    by = np.argsort(shard, kind="stable")
-                    shard, context, word, n = shard[by], context[by], word[by], n[by]
-                    cuts = np.searchsorted(shard, np.arange(shards + 1))
-                    some = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int32()), pa.array([squeeze(context[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()), pa.array([_pack(word[cuts[i] : cuts[i + 1]]) + b"" for i in some], pa.binary()), pa.array([_pack(n[cuts[i] : cuts[i + 1]]) for i in some], pa.binary())],
-                        names=["shard", "keys", "words", "counts"],
-                    )
-
-        def build_bigrams(group: pa.Table) -> pa.Table:
-            i = group.column("shard")[0].as_py()
-            keys, counts = _grouped(group)
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            if len(keys):
-                context, word = keys >> np.uint64(ID_BITS), (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
-                words = Words(folder, meta)
-                count, occurs = cls._by_id(words, word), cls._by_id(words, context.astype(np.int64), True)
-                save(f"{folder}/bigrams-{i}", _level_arrays(context, word, counts, occurs, words.base_log(count), v, ID_BITS) | {"pair_count": counts.astype(np.uint32)})
-            return pa.table({"shard": pa.array([i], pa.int32())})
-
-        def build_trigrams(group: pa.Table) -> pa.Table:
-            i = group.column("shard")[0].as_py()
-            context = np.concatenate([unsqueeze(x) for x in group.column("keys").to_pylist()])
-            word = np.concatenate([_unpack(x) for x in group.column("words").to_pylist()]).astype(np.int64)
-            counts = np.concatenate([_unpack(x) for x in group.column("counts").to_pylist()]).astype(np.int64)
-            by = np.lexsort((word, context))
-            context, word, counts = context[by], word[by], counts[by]
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-            counts = np.add.reduceat(counts, first)
-            context, word = context[first], word[first]
-            keep = counts >= least
-            context, word, counts = context[keep], word[keep], counts[keep]
-            if len(context):
-                bigrams = Level(folder, "bigrams", shards, v)
-                low = np.uint64((1 << ID_BITS) - 1)
-                lower, _ = bigrams.look(context & low, word)
-                occurs = cls._pair_counts(bigrams, context)
-                save(f"{folder}/trigrams-{i}", _level_arrays(context, word, counts, occurs, lower, v, 2 * ID_BITS))
-            return pa.table({"shard": pa.array([i], pa.int32())})
-
-        schema = BLOB if order == 2 else "shard int, keys binary, words binary, counts binary"
-        build = build_bigrams if order == 2 else build_trigrams
-        texts.mapInArrow(emit, schema).groupBy("shard").applyInArrow(build, "shard int").count()
-
-    @staticmethod
-    def _by_id(words: Words, ids: np.ndarray, context: bool = False) -> np.ndarray:
-        """Unigram counts, or occurrences as a context, by word id."""
-        shard = np.searchsorted(words.base, ids, "right") - 1
-        out = np.zeros(len(ids), np.int64)
-        for i in np.unique(shard).tolist():
-            # empty shards share their base with the next one
-            rows = np.flatnonzero(shard == i)
-            out[rows] = words.shards[i][2 if context else 1][ids[rows] - words.base[i]]
-        return out
+                    found, ends = tokens(buf, off)
+                    distinct, local = np.unique(found, return_inverse=True)
+                    del found
+                    # ids are in the order of hashes, so what is in order of local numbers stays in order
+                    ids = words.ids(distinct)[0].astype(np.uint64)
+                    (v, w, n2), (a, b, c, n3) = _ngrams(local, ends, len(distinct))
+                    del local
+                    yield _blobs(2, ids[v], ids[w], n2, shards)
+                    yield _blobs(3, ids[a] << np.uint64(ID_BITS) | ids[b], ids[c], n3, shards)
+
+        def build_level(group: pa.Table) -> pa.Table:
+            order, i = group.column("order")[0].as_py(), group.column("shard")[0].as_py()
+            context, word, count = _merged(group)
+            save(f"{folder}/order{order}-{i}", _level_arrays(context, word, count, meta["v"], ID_BITS * (order - 1)))
+            return pa.table({"order": pa.array([order], pa.int32()), "shard": pa.array([i], pa.int32())})
+
+        manifest |= {"order2": np.zeros(shards, bool), "order3": np.zeros(shards, bool)}
+        for r in texts.mapInArrow(emit, "order int, shard int, keys binary, words binary, counts binary").groupBy("order", "shard").applyInArrow(build_level, "order int, shard int").toLocalIterator():
+            manifest[f"order{r[0]}"][r[1]] = True
+        save(f"{folder}/manifest", manifest)
+        return cls(folder, meta)
 
     @staticmethod
-    def _pair_counts(bigrams: Level, pairs: np.ndarray) -> np.ndarray:
-        """Counts of kept bigrams (v, w) by their packed ids."""
-        context, word = pairs >> np.uint64(ID_BITS), pairs & np.uint64((1 << ID_BITS) - 1)
-        shard = _shard_of(context, len(bigrams.paths))
-        out = np.zeros(len(pairs), np.int64)
-        for i in np.unique(shard).tolist():
-            rows = np.flatnonzero(shard == i)
-            contexts, successors, _, _ = bigrams._shard(i)
-            at = successors.find(contexts.find(context[rows]).astype(np.uint64) * np.uint64(bigrams.words) + word[rows])
-            out[rows] = load(bigrams.paths[i])["pair_count"][at]
-        return out
-
-    def log_probs(self, found: np.ndarray, ends: np.ndarray, words: Words, bigrams: Level, trigrams: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def log_probs(found: np.ndarray, ends: np.ndarray, words: Words, bigrams: Level, trigrams: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, base log10, model log10) of each token."""
-        distinct, back = np.unique(found, return_inverse=True)
-        ids, count, context = words.ids(distinct)
-        base = words.base_log(count)[back]
-        known = (count > 0)[back]
-        ids = ids[back]
-        n = len(found)
-        p = base.copy()
-        inner = np.ones(n, bool)
+        distinct, local = np.unique(found, return_inverse=True)
+        ids, count = words.ids(distinct)
+        one = words.base_p(count)
+        known, base = (count > 0)[local], np.log10(one)[local]
+        p = one[local]
+        inner = np.ones(len(found), bool)
         inner[ends[:-1]] = False
-        at = np.flatnonzero(inner & (np.append(-1, ids[:-1]) >= 0))
+        at = np.flatnonzero(inner & np.append(False, known[:-1]))
         if not len(at):
-            return known, base, p
-        # distinct (v, w), looked up in order
-        v, w = ids[at - 1].astype(np.uint64), ids[at]
-        pair = v << np.uint64(ID_BITS) | (w + 1).astype(np.uint64)
-        keys, inverse = np.unique(pair, return_inverse=True)
-        p2, back2 = bigrams.look(keys >> np.uint64(ID_BITS), (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int64) - 1)
-        seen = ~np.isnan(p2)
-        p2 = p2[inverse]
-        p[at] = np.where(np.isnan(p2), back2[inverse] + base[at], p2)
-        # distinct (u, v, w) whose context was kept
-        was = np.zeros(n, bool)
-        was[at] = seen[inverse]
-        third = at[was[at - 1] & inner[at - 1]]
+            return known, base, base
+        # distinct (v, w) in order; unknown w, and contexts that are not there, have no share of their own
+        d = max(1, len(distinct))
+        pairs, pair = np.unique(local[at - 1] * d + local[at], return_inverse=True)
+        v, w = pairs // d, pairs % d
+        share, back = bigrams.look(ids[v].astype(np.uint64), ids[w])
+        two = share + back * one[w]
+        p[at] = two[pair]
+        # (u, v, w) with a pair (u, v) that the model has
+        number = np.full(len(found), -1, np.int64)
+        number[at] = np.where(share[pair] > 0, pair, -1)
+        third = at[(number[at - 1] >= 0) & inner[at - 1]]
         if len(third):
-            context_key = ids[third - 2].astype(np.uint64) << np.uint64(ID_BITS) | ids[third - 1].astype(np.uint64)
-            p3, back3 = trigrams.look(context_key, ids[third])
-            p[third] = np.where(np.isnan(p3), back3 + p[third], p3)
-        return known, base, p
+            triples, triple = np.unique(number[third - 1] * d + local[third], return_inverse=True)
+            head, w3 = triples // d, triples % d
+            share, back = trigrams.look(ids[v[head]].astype(np.uint64) << np.uint64(ID_BITS) | ids[w[head]].astype(np.uint64), ids[w3])
+            p[third] = share[triple] + back[triple] * p[third]
+        return known, base, np.log10(np.minimum(p, 1.0))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score for each row of docs."""
         folder, meta = self.folder, self.meta
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, bigrams, trigrams = Words(folder, meta), Level(folder, "bigrams", meta["shards"], meta["v"]), Level(folder, "trigrams", meta["shards"], meta["v"])
+            words, bigrams, trigrams = Words(folder, meta), Level(folder, 2, meta), Level(folder, 3, meta)
             for batch in batches:
                 for row, end, buf, off in chunks(batch.column(1), 8 << 20):
                     found, ends = tokens(buf, off)
-                    known, base, p = self.log_probs(found, ends, words, bigrams, trigrams)
+                    known, base, p = Trie.log_probs(found, ends, words, bigrams, trigrams)
                     sums = [np.add.reduceat(x, ends[:-1]) for x in (known.astype(np.int64), base, p)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(np.diff(ends)), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, OUT)
 
+    def drop(self, docs: DataFrame) -> None:
+        drop(docs.sparkSession, "file://" + self.folder)
+
 
-def score_documents(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learns from rows that are not held out."""
+def score_documents(docs: DataFrame, shard_tokens: int = 3_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learns from rows that are not held out. The model is deleted once all rows have scores."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
-    model = Trie.build(docs.where(~held), least=least)
-    return model.score(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.meta["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    model = Trie.build(docs.where(~held), shard_tokens)
+    scored = stage(model.score(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.meta["n"]).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
+    model.drop(docs)
+    return scored

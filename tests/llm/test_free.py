@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -311,6 +312,7 @@ def test_components_of_a_chain(spark):
 
 
 def plain_scores(rows, held):
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of the model with all bigrams and trigrams."""
     text = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"], h) for (i, t), h in zip(rows, held, strict=True)]
     one, two, three = Counter(), Counter(), Counter()
     for _, w, h in text:
@@ -319,56 +321,50 @@ def plain_scores(rows, held):
             two.update(zip(w, w[1:], strict=False))
             three.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(one.values()), len(one)
-    two = {k: c for k, c in two.items() if c > 1}
-    three = {k: c for k, c in three.items() if c > 1 and k[:2] in two and k[1:] in two}
-    spent1, spent2 = Counter(), Counter()
-    for (a, _), c in two.items():
-        spent1[a] += (c - 0.75) / one[a]
-    for (a, b, _), c in three.items():
-        spent2[a, b] += (c - 0.75) / two[a, b]
+    after1, after2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
     p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    p2 = lambda a, w: max(two.get((a, w), 0) - 0.75, 0) / one[a] + (1 - spent1[a]) * p1(w) if a in spent1 else p1(w)
-    p3 = lambda a, b, w: max(three.get((a, b, w), 0) - 0.75, 0) / two[a, b] + (1 - spent2[a, b]) * p2(b, w) if (a, b) in spent2 else p2(b, w)
+    p2 = lambda a, w: (max(two[a, w] - 0.75, 0) + 0.75 * after1[a] * p1(w)) / one[a] if one[a] else p1(w)
+    p3 = lambda a, b, w: (max(three[a, b, w] - 0.75, 0) + 0.75 * after2[a, b] * p2(b, w)) / two[a, b] if two[a, b] else p2(b, w)
     for i, w, _ in text:
         yield i, len(w), sum(x in one for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p1(x) if k == 0 else p2(w[0], x) if k == 1 else p3(w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
 
 
-@pytest.mark.parametrize("which", ["edge", "documents"])
-def test_language_model(which, request):
+@pytest.mark.parametrize("which, shard_tokens", [("edge", 3_000_000), ("edge", 1000), ("documents", 3_000_000), ("documents", 7000)])
+def test_language_model(which, shard_tokens, request):
     docs = request.getfixturevalue(which)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
-    want = sorted(plain_scores(rows, held), key=repr)
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_trie.score_documents(docs).collect()), key=lambda r: repr(r[:4]))
-    for w, g in zip(sorted(want, key=lambda r: repr(r[:4])), got, strict=True):
-        assert w[:4] == g[:4]
-        assert abs(w[4] - g[4]) <= 1e-6 * abs(w[4]) and abs(w[5] - g[5]) <= 4e-4 * w[1]
-
-
-def unpruned_scores(rows, held):
-    """doc_id, score of the model with all bigrams and trigrams."""
-    text = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)) + ["</s>"], h) for (i, t), h in zip(rows, held, strict=True)]
-    one, two, three = Counter(), Counter(), Counter()
-    for _, w, h in text:
-        if not h:
-            one.update(w)
-            two.update(zip(w, w[1:], strict=False))
-            three.update(zip(w, w[1:], w[2:], strict=False))
-    n, v = sum(one.values()), len(one)
-    after1, after2 = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
-    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-    p2 = lambda a, w: (max(two[a, w] - 0.75, 0) + 0.75 * after1[a] * p1(w)) / one[a] if one[a] else p1(w)
-    p3 = lambda a, b, w: (max(three[a, b, w] - 0.75, 0) + 0.75 * after2[a, b] * p2(b, w)) / two[a, b] if two[a, b] else p2(b, w)
-    for i, w, _ in text:
-        yield i, len(w), sum(math.log10(p1(x) if k == 0 else p2(w[0], x) if k == 1 else p3(w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
-
-
-def test_the_query_keeps_all_ngrams(spark, documents):
-    rows = [(r.doc_id, r.text) for r in documents.collect()]
-    want = sorted(unpruned_scores(rows, [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]))
-    got = sorted((r.doc_id, r.n_tokens, r.score) for r in QUERIES["op1_lm_scoring"](spark, FOLDER).collect())
+    want = sorted(plain_scores(rows, held), key=lambda r: repr(r[:4]))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ngram_trie.score_documents(docs, shard_tokens).collect()), key=lambda r: repr(r[:4]))
     for w, g in zip(want, got, strict=True):
-        assert w[:2] == g[:2] and abs(w[2] - g[2]) <= 4e-4 * w[1]
+        assert w[:4] == g[:4]
+        assert abs(w[4] - g[4]) <= 1e-6 * abs(w[4]) and abs(w[5] - g[5]) <= 2e-4 * w[1]
+
+
+def test_ngrams_of_many_words():
+    random_ = np.random.default_rng(6)
+    for n_local in (40, 1 << 22):
+        local = random_.integers(0, 40, 3000) * (n_local // 40)
+        ends = np.array([0, 1, 3, 700, 3000])
+        want2, want3 = Counter(), Counter()
+        for a, b in itertools.pairwise(ends.tolist()):
+            own = local[a:b].tolist()
+            want2.update(zip(own, own[1:], strict=False))
+            want3.update(zip(own, own[1:], own[2:], strict=False))
+        two, three = ngram_trie._ngrams(local, ends, n_local)
+        for got, want in ((two, want2), (three, want3)):
+            rows = list(zip(*(x.tolist() for x in got), strict=True))
+            assert [r[:-1] for r in rows] == sorted(want) and {r[:-1]: r[-1] for r in rows} == want
+
+
+def test_a_lost_file_of_the_model_is_an_error(edge):
+    model = ngram_trie.Trie.build(edge)
+    assert model.score(edge).count() == len(EDGE)
+    os.remove(f"{model.folder}/order3-0")
+    with pytest.raises(Exception, match="order3-0"):
+        model.score(edge).collect()
+    model.drop(edge)
+    assert not os.path.exists(model.folder)
 
 
 def test_model_without_texts(edge):
