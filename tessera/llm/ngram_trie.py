@@ -54,8 +54,9 @@ OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double
 def ef_arrays(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """High bits as a unary bit vector with its directory of zeros, low bits as packed bytes."""
     n = len(values)
-    low_bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
-    low_bits = min(56, low_bits)
+    most = min(56, max(0, int(universe // max(n, 1)).bit_length() - 1))
+    # low bits take whole bytes, so fewer of them with more high bits can be smaller
+    low_bits = min((most, most // 8 * 8), key=lambda b: 8 * -(-b // 8) * n + 1.5 * (n + (universe >> b)))
     high = (values >> np.uint64(low_bits)).astype(np.int64)
     top = int(universe >> low_bits) + 1
     bits = np.zeros(n + top + 1, np.uint8)
@@ -71,6 +72,11 @@ def ef_arrays(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"bits": words, "zeros": directory, "low": np.concatenate([np.ascontiguousarray(low).ravel(), np.zeros(8, np.uint8)]), "meta": np.array([n, low_bits, top], np.int64)}
 
 
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th one of each byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence that answers where values stand, many at a time."""
 
@@ -83,45 +89,54 @@ class EliasFano:
         self.low_mask = np.uint64((1 << (8 * self.width)) - 1) if self.width < 8 else np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th zero (from 0) of the bit vector."""
+        """Position of the k-th zero (from 0) of the bit vector: its word by the directory, its byte by sums of bytes."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        left = (k - self.zeros[word]).astype(np.int64)
-        value = ~self.bits[word]
-        place = np.zeros(len(k), np.int64)
-        for size in (32, 16, 8, 4, 2, 1):
-            part = value & np.uint64((1 << size) - 1)
-            ones = np.bitwise_count(part).astype(np.int64)
-            over = left >= ones
-            left -= np.where(over, ones, 0)
-            place += np.where(over, size, 0)
-            value = np.where(over, value >> np.uint64(size), part)
-        return word.astype(np.int64) * 64 + place
+        left = (k - self.zeros[word]).astype(np.uint64)
+        x = ~self.bits[word]
+        sums = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        # bytes up to which there are no more than left
+        byte = np.bitwise_count((((left * _BYTES) | _TOPS) - sums) & _TOPS).astype(np.uint64) * np.uint64(8)
+        left -= ((sums << np.uint64(8)) >> byte) & np.uint64(255)
+        return word * 64 + byte.astype(np.int64) + _IN_BYTE[((x >> byte) & np.uint64(255)).astype(np.int64), left.astype(np.int64)]
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end index of the values with these high bits."""
+        at = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) + 1, 0)
+        start = at - high
+        # ones from there on, as far as the word goes
+        inside = (at & 63).astype(np.uint64)
+        run = self.bits[at >> 6] >> inside
+        ones = np.bitwise_count(run & ~(run + np.uint64(1))).astype(np.int64)
+        end = start + ones
+        over = np.flatnonzero(ones + inside.astype(np.int64) >= 64)
+        if len(over):
+            end[over] = self._select_zero(high[over]) - high[over]
+        return start, end
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each value of x, or -1: the bucket of its high bits, then a search of the low bits."""
+        out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
-            return np.full(len(x), -1, np.int64)
+            return out
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = high < self.top
-        high = np.where(inside, high, 0)
-        end = self._select_zero(high) - high
-        start = np.where(high > 0, self._select_zero(np.maximum(high - 1, 0)) - high + 1, 0)
-        want = x & self.mask
-        low, top = start, np.where(inside, end, start)
-        out_end = top
-        while True:
-            open_ = np.flatnonzero(low < top)
-            if not len(open_):
-                break
-            mid = (low[open_] + top[open_]) // 2
-            less = (self.lows[mid] & self.low_mask) < want[open_]
-            low = low.copy()
-            top = top.copy()
-            low[open_[less]] = mid[less] + 1
-            top[open_[~less]] = mid[~less]
-        found = low < out_end
-        at = np.minimum(low, self.n - 1)
-        return np.where(found & ((self.lows[at] & self.low_mask) == want), low, -1)
+        rows = np.flatnonzero(high < self.top)
+        low, end = self._bucket(high[rows])
+        some = np.flatnonzero(low < end)
+        rows, low, end = rows[some], low[some], end[some]
+        want = x[rows] & self.mask
+        while len(rows):
+            mid = (low + end) >> 1
+            here = self.lows[mid] & self.low_mask
+            equal = here == want
+            out[rows[equal]] = mid[equal]
+            less = here < want
+            low = np.where(less, mid + 1, low)
+            end = np.where(less, end, mid)
+            some = np.flatnonzero((low < end) & ~equal)
+            rows, low, end, want = rows[some], low[some], end[some], want[some]
+        return out
 
 
 def code(log10: np.ndarray) -> np.ndarray:
@@ -268,13 +283,13 @@ class Level:
         return p, back
 
 
-def _level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, bits: int) -> dict[str, np.ndarray]:
+def _level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, words: int, universe: int) -> dict[str, np.ndarray]:
     """Arrays of one shard from its n-grams in order of context and word."""
     first = _starts(context)
     size = _sizes(first, len(context))
     rank = np.repeat(np.arange(len(first)), size)
     total = np.add.reduceat(count, first)
-    ctx = ef_arrays(context[first], 1 << bits)
+    ctx = ef_arrays(context[first], universe)
     succ = ef_arrays(rank.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), max(1, len(first) * words))
     return {f"ctx_{k}": v for k, v in ctx.items()} | {f"succ_{k}": v for k, v in succ.items()} | {"prob": code(np.log10((count - DISCOUNT) / total[rank])), "back": code(np.log10(DISCOUNT * size / total))}
 
@@ -388,11 +403,12 @@ class Trie:
             return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([int(counts.sum())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
 
         size = np.zeros(shards, np.int64)
-        for r in texts.mapInArrow(unigrams, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(build_words, "shard int, n long, v long").toLocalIterator():
-            size[r[0]] = r[2]
-            meta["n"] += r[1]
+        # three numbers a shard reach the driver
+        built = stage(texts.mapInArrow(unigrams, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(build_words, "shard int, n long, v long"), "trie-words").toArrow()
+        size[built.column("shard").to_numpy()] = built.column("v").to_numpy()
+        meta["n"] = int(built.column("n").to_numpy().sum())
         meta["v"] = int(size.sum())
-        if meta["v"] >= 1 << ID_BITS:
+        if meta["v"] >= 1 << (ID_BITS - 1):
             raise ValueError("more distinct words than ids")
         manifest = {"word_base": np.cumsum(size) - size, "word_size": size}
         save(f"{folder}/manifest", manifest)
@@ -409,17 +425,18 @@ class Trie:
                     (v, w, n2), (a, b, c, n3) = _ngrams(local, ends, len(distinct))
                     del local
                     yield _blobs(2, ids[v], ids[w], n2, shards)
-                    yield _blobs(3, ids[a] << np.uint64(ID_BITS) | ids[b], ids[c], n3, shards)
+                    yield _blobs(3, ids[a] * np.uint64(meta["v"]) + ids[b], ids[c], n3, shards)
 
         def build_level(group: pa.Table) -> pa.Table:
             order, i = group.column("order")[0].as_py(), group.column("shard")[0].as_py()
             context, word, count = _merged(group)
-            save(f"{folder}/order{order}-{i}", _level_arrays(context, word, count, meta["v"], ID_BITS * (order - 1)))
+            save(f"{folder}/order{order}-{i}", _level_arrays(context, word, count, meta["v"], meta["v"] ** (order - 1)))
             return pa.table({"order": pa.array([order], pa.int32()), "shard": pa.array([i], pa.int32())})
 
         manifest |= {"order2": np.zeros(shards, bool), "order3": np.zeros(shards, bool)}
-        for r in texts.mapInArrow(emit, "order int, shard int, keys binary, words binary, counts binary").groupBy("order", "shard").applyInArrow(build_level, "order int, shard int").toLocalIterator():
-            manifest[f"order{r[0]}"][r[1]] = True
+        built = stage(texts.mapInArrow(emit, "order int, shard int, keys binary, words binary, counts binary").groupBy("order", "shard").applyInArrow(build_level, "order int, shard int"), "trie-levels").toArrow()
+        for order in (2, 3):
+            manifest[f"order{order}"][built.column("shard").to_numpy()[built.column("order").to_numpy() == order]] = True
         save(f"{folder}/manifest", manifest)
         return cls(folder, meta)
 
@@ -450,7 +467,7 @@ class Trie:
         if len(third):
             triples, triple = np.unique(number[third - 1] * d + local[third], return_inverse=True)
             head, w3 = triples // d, triples % d
-            share, back = trigrams.look(ids[v[head]].astype(np.uint64) << np.uint64(ID_BITS) | ids[w[head]].astype(np.uint64), ids[w3])
+            share, back = trigrams.look((ids[v[head]] * words.meta["v"] + ids[w[head]]).astype(np.uint64), ids[w3])
             p[third] = share[triple] + back[triple] * p[third]
         return known, base, np.log10(np.minimum(p, 1.0))
 
