@@ -247,6 +247,60 @@ def test_random_runs_are_found_and_text_is_not(spark):
     assert secrets.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_p(run):
+    """log10 of the combined p-value of the three tests of a run, by sums over its symbols."""
+    import math
+
+    bare = run.rstrip("=")
+    alphabet = next((a for name, p, a in secrets.ENCODINGS if re.search(p, run)), secrets.ENCODINGS[-1][2])
+    k, n = len(alphabet), len(bare)
+    at = [alphabet.find(c) for c in bare]
+    q = sum(at.count(v) ** 2 for v in set(at))
+    normal = lambda z: max(math.log10(max(math.erfc(z / 2**0.5) / 2, 1e-300)), -40)
+    if k > 2 * secrets.MIN_RUN and n < k / 2:
+        # ways to share n symbols among k with a sum of squares, one symbol after the other
+        ways = Counter({(0, 0): 1.0})
+        for _ in range(k):
+            more = Counter()
+            for (m, s), w in ways.items():
+                for c in range(n - m + 1):
+                    more[m + c, s + c * c] += w * math.comb(n - m, c)
+            ways = more
+        chi2 = math.log10(max(sum(w for (m, s), w in ways.items() if m == n and s >= q) / float(k) ** n, 1e-40))
+    else:
+        chi2 = normal((k / n * q - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+    high = [v > (k - 1) / 2 for v in at]
+    n1 = sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = max((mean - 1) * (mean - 2) / (n - 1), 0.25)
+    lag = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(at, at[1:], strict=False))
+    two_sided = [normal(abs(runs - mean) / math.sqrt(var)) + math.log10(2), normal(abs(lag) / (math.sqrt(n - 1) * (k * k - 1) / 12)) + math.log10(2)]
+    return min(min(chi2, *two_sided) + math.log10(3), 0.0)
+
+
+def test_battery_and_false_discovery_control_equal_a_plain_version(spark):
+    random = np.random.default_rng(7)
+    forms = [list(a) for _, _, a in secrets.ENCODINGS]
+    runs = ["".join(random.choice(forms[i % 8], 20 + i // 8)) for i in range(320)]
+    runs += [f"chapter{i}-of-the-{'very-' * (i % 6)}long-heading" for i in range(200)] + ["a1" * (10 + i % 30) for i in range(40)] + ["abcdefghijklmnopqrstuvwxyz0123456789"[: 27 + i % 9] for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(runs)), "id long, run string")
+    found = {r.id: r.log_p for r in secrets.battery(df).collect()}
+    want = [plain_p(r) for r in runs]
+    for i, w in enumerate(want):
+        assert abs(found[i] - w) < 0.005 + 0.01 * abs(w), runs[i]
+    # Benjamini-Hochberg within a length class, with p-values rounded up to the grid
+    kept, classes = set(), defaultdict(list)
+    for i, r in enumerate(runs):
+        classes[int(np.floor(2 * np.log2(len(r.rstrip("=")))))].append(i)
+    for own in classes.values():
+        cell = {i: np.floor(secrets.GRID * found[i]) for i in own}
+        passed = [c for c in cell.values() if c + 1 <= secrets.GRID * np.log10(secrets.ALPHA * sum(d <= c for d in cell.values()) / len(own))]
+        kept |= {i for i in own if not passed or cell[i] > max(passed)}
+    assert {r.id for r in secrets._not_rejected(secrets.battery(df)).collect()} == kept
+    assert 250 < len(kept) < 450
+
+
 def test_values_behind_an_equals_sign_are_found(spark):
     random = np.random.default_rng(3)
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
