@@ -255,6 +255,46 @@ def tokens(c: Column) -> Column:
 
 def sentence_dup_ratio(c: Column) -> Column:
     """Share of repeated sentences of 20 characters or more; 0 under ten sentences."""
-    found = F.regexp_extract_all(c, F.lit(r"[^.!?\n]*[.!?\n]"), F.lit(0))
-    clean = F.filter(F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[ \t\r]+", " "), "^ +", "")), lambda s: F.length(s) >= 20)
-    return F.when(F.size(clean) < 10, 0.0).otherwise(1 - F.size(F.array_distinct(clean)) / F.size(clean))
+    # the whole text is cleaned before it is cut, and one fold over one array gives both numbers
+    clean = F.regexp_replace(F.regexp_replace(F.lower(c), "[ \t\r]+", " "), r"(^|[.!?\n]) +", "$1")
+    # cut behind each mark: looking for the next mark from every place would be quadratic in texts without marks
+    found = F.filter(F.split(clean, r"(?<=[.!?\n])"), lambda s: (F.length(s) >= 20) & F.right(s, F.lit(1)).isin(".", "!", "?", "\n"))
+    sizes = F.transform(F.array(found), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
+    return F.get(F.transform(sizes, lambda x: F.when(x["n"] < 10, 0.0).otherwise(1 - x["d"] / x["n"])), F.lit(0))
+
+
+def fnv(parts: Column) -> Column:
+    """FNV-1a of 64 bits over an array of byte values, as 16 hex digits.
+
+    Offset basis and prime (2**40 + 0x1B3) are fixed values. The state is kept as two halves of 32 bits, so no product leaves a long."""
+    start = F.struct(F.lit(1469598103934665603 >> 32).cast("long").alias("high"), F.lit(1469598103934665603 & 0xFFFFFFFF).cast("long").alias("low"))
+    mask = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["low"].bitwiseXOR(b)
+        product = low * 0x1B3
+        high = (h["high"] * 0x1B3 + F.shiftright(product, 32) + F.shiftleft(low, 8)).bitwiseAND(mask)
+        return F.struct(high.alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    return F.aggregate(parts, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["high"]), 8, "0"), F.lpad(F.hex(h["low"]), 8, "0"))))
+
+
+def bytes_of(c: Column) -> Column:
+    """The bytes of a string as an array of numbers."""
+    return F.transform(F.filter(F.split(F.regexp_replace(F.hex(c.cast("binary")), "(..)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+
+
+def long_bytes(c: Column) -> Column:
+    """The eight bytes of a long, the lowest first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(56), F.lit(8)), lambda i: F.call_function("shiftright", c.cast("long"), i).bitwiseAND(F.lit(255).cast("long")))
+
+
+def log_tail(c: Column, lines: int = 200, most: int = 2000, window: int = 262144) -> Column:
+    """(tail, truncated): the last lines of the last characters; a first line that the window cuts goes, long lines are marked."""
+    cut = F.length(c) > window
+    found = F.split(F.right(c, F.lit(window)), "\r?\n")
+    found = F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+    found = F.when(cut & (F.size(found) > 0), F.slice(found, F.lit(2), F.size(found))).otherwise(found)
+    last = F.slice(found, F.greatest(F.size(found) - (lines - 1), F.lit(1)), F.lit(lines))
+    marked = F.transform(last, lambda x: F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most)), F.lit("…"))).otherwise(x))
+    return F.struct(F.array_join(marked, "\n").alias("tail"), (cut | (F.size(found) > lines)).alias("truncated"))

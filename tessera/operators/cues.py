@@ -34,19 +34,23 @@ def speaker(turn_flag: Column, key: str, order: str) -> Column:
 
 
 def chunks(text: Column, target: int) -> Column:
-    """Greedy packing of words into chunks of about target estimated tokens; a longer word stands alone."""
+    """Greedy packing of words into chunks of about target estimated tokens; a longer word stands alone.
+
+    The fold goes over the words' sizes and keeps where chunks begin; the words are joined once."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("cur"), F.lit(0).cast("long").alias("size"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"))
+
+    def add(a: Column, size: Column) -> Column:
+        new = (a["at"] == 0) | (a["size"] + 1 + size > target)
+        starts = F.when(new, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
+        return F.struct(starts.alias("starts"), (a["at"] + 1).alias("at"), F.when(new, size).otherwise(a["size"] + 1 + size).alias("size"))
 
-    def add(a: Column, w: Column) -> Column:
-        size = T.est_tokens(w)
-        full = (a["cur"] != "") & (a["size"] + 1 + size > target)
-        done = F.when(full, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
-        cur = F.when(full | (a["cur"] == ""), w).otherwise(F.concat(a["cur"], F.lit(" "), w))
-        return F.struct(done.alias("done"), cur.alias("cur"), F.when(full | (a["cur"] == ""), size).otherwise(a["size"] + 1 + size).alias("size"))
+    def cut(own: Column) -> Column:
+        bounds = F.aggregate(F.transform(own, T.est_tokens), start, add, lambda a: F.concat(a["starts"], F.array(a["at"])))
+        parts = lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.array_join(F.slice(own, F.get(b, i - 1) + 1, F.get(b, i) - F.get(b, i - 1)), " "))
+        return F.get(F.transform(F.array(bounds), lambda b: F.when(F.size(b) > 1, parts(b)).otherwise(F.array(F.lit("")))), F.lit(0))
 
-    return F.aggregate(words, start, add, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    return F.get(F.transform(F.array(words), cut), F.lit(0))
 
 
 def lcs_diff(old: list[str], new: list[str], most: int = 2000) -> list[tuple[str, str]]:

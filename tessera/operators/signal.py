@@ -30,7 +30,8 @@ def envelope_at(points: DataFrame, times: DataFrame) -> DataFrame:
     line = p.unionByName(q)
     point = F.when(F.col("kind") == 0, F.struct("at", "g"))
     before = F.last(point, ignorenulls=True).over(Window.partitionBy("take").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(Window.partitionBy("take").orderBy("at", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing))
+    # the next point is the last one seen when time runs back: a running value, not a frame for each row
+    after = F.last(point, ignorenulls=True).over(Window.partitionBy("take").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0))
     seen = line.withColumn("b", before).withColumn("a", after).where("kind = 1")
     share = (F.col("at") - F.col("b.at")) / (F.col("a.at") - F.col("b.at"))
     between = F.when(F.col("a.at") > F.col("b.at"), F.col("b.g") + (F.col("a.g") - F.col("b.g")) * share).otherwise(F.col("b.g"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.plans.scalar_queries import DAY, PATHS
 from tessera.registry import query, table
+from tessera.session import checkpointed, scratch
+from tessera.sources import sinks
 
 c = F.col
 
@@ -63,11 +65,12 @@ def join_mmproj_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPLETE = f"(SELECT c.id, role, attention_min FROM ({CATALOG}) c JOIN ({FILES}) f ON f.id = c.id WHERE size = bytes)"
 
 
-@query("topk_fallback_model", f"SELECT role, max(id) AS id FROM {_COMPLETE} c JOIN ({MANIFEST}) m USING (id) WHERE sha = 'h1' AND id <> 7 GROUP BY role")
+@query("topk_fallback_model", f"SELECT role, arg_max(c.id, bytes * 100000000 + c.id) AS id FROM ({CATALOG}) c JOIN ({FILES}) f ON f.id = c.id LEFT JOIN ({MANIFEST}) m ON m.id = c.id WHERE size = bytes AND size > 0 AND (c.id % 11 = 0 OR sha = 'h1') AND c.id <> 7 GROUP BY role")
 def topk_fallback_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = _part(spark, sf_dir, CATALOG).join(_part(spark, sf_dir, FILES), "id").where("size = bytes")
-    good = ready.join(_part(spark, sf_dir, MANIFEST).where("sha = 'h1'"), "id").where("id <> 7")
-    return good.groupBy("role").agg(F.max_by("id", "id").alias("id"))
+    """The last usable entry of each role in catalog order, which ascends by size; entries without a pinned hash (here: every eleventh) need none in the manifest."""
+    ready = _part(spark, sf_dir, CATALOG).join(_part(spark, sf_dir, FILES), "id").where("size = bytes AND size > 0 AND id <> 7")
+    judged = ready.join(_part(spark, sf_dir, MANIFEST).select("id", "sha"), "id", "left").where((c("id") % 11 == 0) | (c("sha") == "h1"))
+    return judged.groupBy("role").agg(F.max_by("id", F.struct("bytes", "id")).alias("id"))
 
 
 @query("topk_vlm_for_attention", f"SELECT a.attention, coalesce((SELECT arg_min(id, id) FROM {_COMPLETE} v WHERE role = 'vlm' AND attention_min <= a.attention AND attention_min = (SELECT max(attention_min) FROM {_COMPLETE} w WHERE role = 'vlm' AND attention_min <= a.attention)), (SELECT min(id) FROM {_COMPLETE} x WHERE role = 'vlm')) AS id FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS attention FROM part UNION SELECT 0) a")
@@ -102,7 +105,8 @@ def join_order_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     # ids are submission order: ranks by range partitions, each numbered from what stands before it
     ordered = docs.select("doc_id", F.concat_ws("/", "source", c("doc_id").cast("string")).alias("path")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    placed = ordered.select("path", "doc_id", F.spark_partition_id().alias("part"))
+    # the number of a partition is read once and kept, so both uses below see the same one
+    placed = checkpointed(ordered.select("path", "doc_id", F.spark_partition_id().alias("part")))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
@@ -295,11 +299,16 @@ def src_restore_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_note_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = F.when(c("doc_id") % 6 == 0, T.SKIP_MARK).otherwise(F.left("text", F.lit(100)))
     audio = F.when(c("doc_id") % 4 == 0, F.concat(F.lit("\n## Audio\n"), c("doc_id").cast("string"), F.lit(".wav\n"))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), c("source"), F.lit("\n\n## Summary\n"), summary, F.lit("\n\n## Raw Transcript\n"), c("text"), F.lit("\n"), audio).alias("md"))
+    notes = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), c("source"), F.lit("\n\n## Summary\n"), summary, F.lit("\n\n## Raw Transcript\n"), c("text"), F.lit("\n"), audio).alias("md"))
+    return sinks.through_files(spark, notes, "doc_id", "md", ".md")
 
 
 @query("sink_sidecar_json", """SELECT doc_id, '{"title":"' || source || '","day":"Day ' || CAST(doc_id % 9 AS VARCHAR) || '","coverage":{"chunks":' || CAST(n_chars // 400 AS VARCHAR) || ',"relaxed":' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || '}}' AS json FROM documents""")
 def sink_sidecar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.through_files(spark, _sidecars(spark, sf_dir), "doc_id", "json", ".json")
+
+
+def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = F.struct(F.floor(c("n_chars") / 400).alias("chunks"), (c("doc_id") % 2 == 0).alias("relaxed"))
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(c("source").alias("title"), F.concat(F.lit("Day "), (c("doc_id") % 9).cast("string")).alias("day"), coverage.alias("coverage"))).alias("json"))
 
@@ -313,10 +322,12 @@ def sink_uniquify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_upsert_memory", "SELECT path, max_by(day, seq) AS day FROM (SELECT doc_id % 70 AS path, quality AS day, doc_id AS seq FROM labels UNION ALL SELECT doc_id % 90, 7, doc_id + 1000000 FROM documents WHERE lang = 'fr') GROUP BY path")
 def sink_upsert_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last write of each path wins."""
+    """Two batches of writes into a store; the last write of each path wins."""
     old = table(spark, sf_dir, "labels").select((c("doc_id") % 70).alias("path"), c("quality").alias("day"), c("doc_id").alias("seq"))
     new = table(spark, sf_dir, "documents").where("lang = 'fr'").select((c("doc_id") % 90).alias("path"), F.lit(7).alias("day"), (c("doc_id") + 1_000_000).alias("seq"))
-    return old.unionByName(new).groupBy("path").agg(F.max_by("day", "seq").alias("day"))
+    store = scratch(spark, "memory")
+    sinks.upsert(store, old, "path", c("seq"))
+    return sinks.upsert(store, new, "path", c("seq")).select("path", "day")
 
 
 @query("sink_retention", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'keep' WHEN doc_id % 3 = 0 THEN 'delete' WHEN doc_id % 3 = 1 THEN 'archive' ELSE 'keep' END AS action FROM documents")
@@ -328,10 +339,8 @@ def sink_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_atomic_json")
 def sink_atomic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON rows through Spark's commit protocol and back."""
-    from tessera.session import scratch
-
     path = scratch(spark, "json")
-    sink_sidecar_json(spark, sf_dir).write.mode("overwrite").json(path)
+    _sidecars(spark, sf_dir).write.mode("overwrite").json(path)
     return spark.read.schema("doc_id long, json string").json(path)
 
 

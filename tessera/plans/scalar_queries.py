@@ -165,8 +165,15 @@ _docs(
     {"name": f"coalesce({_duck_asset(chr(92) + '.msi$', 'name')}, {_duck_asset(chr(92) + '.exe$', 'name')})", "url": f"coalesce({_duck_asset(chr(92) + '.msi$', 'browser_download_url')}, {_duck_asset(chr(92) + '.exe$', 'browser_download_url')})", "sums": _duck_asset("^sha256sums$", "browser_download_url")},
 )
 _docs("fn_sha256", {"t": "text"}, {"digest": lambda: F.sha2(c("t").cast("binary"), 256)}, {"digest": "sha256(t)"})
-_docs("fn_fnv_cache_key", {"p": PATHS, "size": "n_chars"}, {"key": lambda: F.hex(F.xxhash64("size", "doc_id", "p"))}, {"key": "p"})
-del SQL["fn_fnv_cache_key"]
+#: Bytes of a number, and the hash itself in numbers of 128 bits.
+_LE = "list_transform(range(8), lambda i: ({0} >> (8 * i)) & 255)"
+_FNV = f"list_reduce(list_concat({_LE.format('size')}, {_LE.format('stamp')}, list_transform(string_split(p, ''), lambda x: ord(x))), lambda h, b: (xor(CAST(h AS HUGEINT), CAST(b AS HUGEINT)) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 1469598103934665603::HUGEINT)"
+_docs(
+    "fn_fnv_cache_key",
+    {"p": PATHS, "size": "CAST(n_chars AS BIGINT)", "stamp": "CAST(doc_id * 1000003 AS BIGINT)"},
+    {"key": lambda: T.fnv(F.concat(T.long_bytes(c("size")), T.long_bytes(c("stamp")), T.bytes_of(c("p"))))},
+    {"key": f"lpad(lower(hex(CAST({_FNV} AS UBIGINT))), 16, '0')"},
+)
 _docs("fn_peak_db", {"v": "CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (doc_id % 997 + 1) / 1000.0 END"}, {"shown": lambda: T.peak_db(c("v").cast("double"))}, {"shown": "CASE WHEN v <= 0 THEN '-inf dB' ELSE CAST(CAST(round(20 * log10(CAST(v AS DOUBLE))) AS BIGINT) AS STRING) || ' dB' END"})
 MODES = {
     "theme": (("light", "gruvbox_dark", "gruvbox_light", "coffee_dark", "coffee_light"), "dark"), "nav": (("sidebar",), "tabs"), "compute": (("cpu",), "auto"),
@@ -263,22 +270,13 @@ def _degenerate() -> Column:
 
 _docs("agg_degenerate", {"t": "text"}, {"degenerate": _degenerate}, {"degenerate": f"{_DUP} > 0.75 OR (len({_ALNUM}) > 40 AND len(list_distinct({_ALNUM})) / len({_ALNUM}) < 0.2)"})
 _docs("agg_source_count", {"t": NOTE}, {"sources": lambda: F.regexp_count(c("t"), F.lit("\n## ")).cast("long")}, {"sources": "CAST(len(regexp_extract_all(t, '\\n## ')) AS BIGINT)"})
-_docs(
-    "src_log_tail",
-    {"t": "text"},
-    {"tail": lambda: F.array_join(F.transform(F.slice(F.reverse(F.split(F.right(c("t"), F.lit(262144)), "\n")), 1, 20), lambda x: F.left(x, F.lit(200))), "\n")},
-    {"tail": "array_to_string(list_transform(list_reverse(string_split(right(t, 262144), chr(10)))[1:20], lambda x: left(x, 200)), chr(10))"},
-)
-_docs(
-    "src_extract_text",
-    {"t": "text"},
-    {
-        "kind": lambda: F.when(T.normalize_ws(c("t")) == "", "error").otherwise("text"),
-        "body": lambda: F.when(F.length(T.normalize_ws(c("t"))) > 2000, F.concat(F.left(T.normalize_ws(c("t")), F.lit(2000)), F.lit("\n\n[…truncated at document cap…]"))).otherwise(T.normalize_ws(c("t"))),
-    },
-    {
-        "kind": "CASE WHEN n = '' THEN 'error' ELSE 'text' END",
-        "body": "CASE WHEN length(n) > 2000 THEN left(n, 2000) || chr(10) || chr(10) || '[…truncated at document cap…]' ELSE n END",
-    },
-)
-SQL["src_extract_text"] = SQL["src_extract_text"].replace("SELECT doc_id, text AS t FROM documents", f"SELECT doc_id, {TRIM.format(r'''regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t\r\f]+(\n|$)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g')''')} AS n FROM documents")
+_LOG = r"(SELECT *, length(t) > 262144 AS cut, string_split_regex(right(t, 262144), '\r?\n') AS f FROM (SELECT doc_id, text AS t FROM documents))"
+_LOG = f"(SELECT doc_id, cut, CASE WHEN cut THEN f[2:] ELSE f END AS f FROM (SELECT doc_id, cut, CASE WHEN f[len(f)] = '' THEN f[1:len(f) - 1] ELSE f END AS f FROM {_LOG}))"
+
+
+def _log(field: str) -> Callable[[], Column]:
+    return lambda: T.log_tail(c("t"))[field]
+
+
+_docs("src_log_tail", {"t": "text"}, {"tail": _log("tail"), "truncated": _log("truncated")}, {"tail": "t"})
+SQL["src_log_tail"] = f"SELECT doc_id, array_to_string(list_transform(f[greatest(len(f) - 199, 1):], lambda x: CASE WHEN length(x) > 2000 THEN left(x, 2000) || '…' ELSE x END), chr(10)) AS tail, cut OR len(f) > 200 AS truncated FROM {_LOG}"

@@ -188,7 +188,7 @@ def src_notes_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "notes")
     langs = table(spark, sf_dir, "documents").select("lang").distinct()
     langs.select(F.concat(F.lit("# "), "lang").alias("value"), "lang").write.partitionBy("lang").text(path)
-    found = spark.read.option("wholetext", "true").text(path).select(F.concat("lang", F.lit(".md")).alias("name"), F.regexp_extract("value", r"# (\w+)", 1).alias("head"))
+    found = spark.read.text(path, wholetext=True).select(F.concat("lang", F.lit(".md")).alias("name"), F.regexp_extract("value", r"# (\w+)", 1).alias("head"))
     return found
 
 

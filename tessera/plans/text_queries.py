@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import cues, similarity
 from tessera.registry import query, table
+from tessera.sources import sinks
 
 c = F.col
+#: Default bands of similarity.
+SUGGEST, PROMPT = 0.35, 0.80
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +24,7 @@ tf AS (SELECT id, lib, term, count(*) / max(n) AS tf FROM (SELECT id, lib, len(w
 q AS (SELECT id, sum(tf * tf) AS q FROM tf GROUP BY id),
 sums AS (SELECT x.lib, x.id AS a, y.id AS b, sum(x.tf * y.tf) AS d, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb FROM tf x JOIN tf y ON x.lib = y.lib AND x.term = y.term AND x.id < y.id GROUP BY ALL),
 pairs AS (SELECT a, b, lib, round(least(greatest(d / sqrt((k * qa.q - (k - 1) * sa) * (k * qb.q - (k - 1) * sb)), 0.0), 1.0), 6) AS score FROM sums JOIN q qa ON qa.id = a JOIN q qb ON qb.id = b, (SELECT power(1 + ln(1.5), 2) AS k))"""
-_COMPONENTS = """edges AS (SELECT a, b, score FROM pairs WHERE score >= 0.8), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+_COMPONENTS = """edges AS (SELECT a, b, score FROM pairs WHERE score >= 0.35), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT r.n, e.b FROM reach r JOIN both_ways e ON e.a = r.m),
 comp AS (SELECT n AS node, min(m) AS component FROM reach GROUP BY n)"""
 
@@ -38,9 +41,9 @@ def join_term_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["lib", "term"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-@query("agg_similarity_groups", f"WITH RECURSIVE {_TF}, {_COMPONENTS} SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, max(best) AS score, CASE WHEN max(best) >= 0.95 THEN 'prompt' ELSE 'suggest' END AS band FROM comp JOIN (SELECT n, max(score) AS best FROM (SELECT a AS n, score FROM edges UNION ALL SELECT b, score FROM edges) GROUP BY n) ON n = node GROUP BY component")
+@query("agg_similarity_groups", f"WITH RECURSIVE {_TF}, {_COMPONENTS} SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, max(best) AS score, CASE WHEN max(best) >= 0.8 THEN 'prompt' ELSE 'suggest' END AS band FROM comp JOIN (SELECT n, max(score) AS best FROM (SELECT a AS n, score FROM edges UNION ALL SELECT b, score FROM edges) GROUP BY n) ON n = node GROUP BY component")
 def agg_similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.groups(similarity.cosine_pairs(_items(spark, sf_dir)), 0.8, 0.95)
+    return similarity.groups(similarity.cosine_pairs(_items(spark, sf_dir)), SUGGEST, PROMPT)
 
 
 @query("agg_group_key", "SELECT key, band FROM (SELECT conv_id, string_agg(role || '-' || CAST(turn AS VARCHAR), ' + ' ORDER BY role || '-' || CAST(turn AS VARCHAR)) AS key, CASE WHEN count(*) > 4 AND conv_id <> 1 THEN 'prompt' ELSE 'suggest' END AS band FROM conversations GROUP BY conv_id) WHERE conv_id NOT IN (SELECT item_id * 3 FROM benchmark)")
@@ -74,7 +77,8 @@ def agg_merged_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_merged_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = F.array_join(F.transform("m", lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ("), x["kind"], F.lit(", "), F.length(x["body"]).cast("string"), F.lit(" chars)\n"))), "")
     bodies = F.array_join(F.transform("m", lambda x: F.concat(F.lit("### "), x["name"], F.lit("\n"), T.trimmed(x["body"]), F.lit("\n\n"))), "")
-    return _members(spark, sf_dir).select("conv_id", F.concat(F.lit("#c"), c("conv_id").cast("string"), F.lit("\n\n## Sources\n"), ledger, F.lit(f"\n## Summary\n{T.SKIP_MARK}\n\n## Source Texts\n"), bodies).alias("md"))
+    notes = _members(spark, sf_dir).select("conv_id", F.concat(F.lit("#c"), c("conv_id").cast("string"), F.lit("\n\n## Sources\n"), ledger, F.lit(f"\n## Summary\n{T.SKIP_MARK}\n\n## Source Texts\n"), bodies).alias("md"))
+    return sinks.through_files(spark, notes, "conv_id", "md", ".md")
 
 
 @query("win_chunk_by_tokens")
@@ -122,7 +126,8 @@ def _ts(ms: str) -> str:
 def sink_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = win_srt_cues(spark, sf_dir)
     one = F.concat(c("idx").cast("string"), F.lit("\n"), T.fmt_srt(c("start_ms")), F.lit(" --> "), T.fmt_srt(c("end_ms")), F.lit("\n"), c("text"), F.lit("\n\n"))
-    return found.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("cue")))), lambda x: x["cue"]), "").alias("srt"))
+    whole = found.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("cue")))), lambda x: x["cue"]), "").alias("srt"))
+    return sinks.through_files(spark, whole, "conv_id", "srt", ".srt")
 
 
 @query("win_speaker_turns", "SELECT conv_id, turn, CAST(s AS BIGINT) AS speaker, CASE WHEN lag(s) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM s THEN 'Speaker ' || CAST(s AS VARCHAR) || ': ' ELSE '' END AS label FROM (SELECT conv_id, turn, CAST(1 + coalesce(sum(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS BIGINT) AS s FROM conversations)")
@@ -147,13 +152,19 @@ def win_sentence_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAG = "a AS (SELECT doc_id, string_split(text, chr(10))[1:500] AS o, string_split(replace(text, 'the', 'THE'), chr(10))[1:500] AS n FROM documents)"
 
 
-@query("win_bag_diff", f"WITH {_BAG}, d AS (SELECT doc_id, list_concat(list_transform(list_filter(o, lambda x: NOT list_contains(n, x)), lambda x: '-' || x), list_transform(list_filter(n, lambda x: NOT list_contains(o, x)), lambda x: '+' || x)) AS d FROM a) SELECT doc_id, CASE WHEN len(d) = 0 THEN ' (no differences)' ELSE array_to_string(d, chr(10)) END AS diff FROM d")
-def win_bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+_CHANGES = "d AS (SELECT doc_id, list_filter(o, lambda x: NOT list_contains(n, x)) AS gone, list_filter(n, lambda x: NOT list_contains(o, x)) AS fresh FROM a)"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, and the lines of a bag diff that are gone and that are new."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 500).alias("o"), F.slice(F.split(F.replace(c("text"), F.lit("the"), F.lit("THE")), "\n"), 1, 500).alias("n"))
-    gone = F.transform(F.filter("o", lambda x: ~F.array_contains(c("n"), x)), lambda x: F.concat(F.lit("-"), x))
-    new = F.transform(F.filter("n", lambda x: ~F.array_contains(c("o"), x)), lambda x: F.concat(F.lit("+"), x))
-    both = F.concat(gone, new)
-    return docs.select("doc_id", F.when(F.size(both) == 0, " (no differences)").otherwise(F.array_join(both, "\n")).alias("diff"))
+    return docs.select("doc_id", F.filter("o", lambda x: ~F.array_contains(c("n"), x)).alias("gone"), F.filter("n", lambda x: ~F.array_contains(c("o"), x)).alias("fresh"))
+
+
+@query("win_bag_diff", f"WITH {_BAG}, {_CHANGES} SELECT doc_id, CASE WHEN len(gone) + len(fresh) = 0 THEN ' (no differences)' ELSE array_to_string(list_concat(list_transform(gone, lambda x: '-' || x), list_transform(fresh, lambda x: '+' || x)), chr(10)) END AS diff FROM d")
+def win_bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.concat(F.transform("gone", lambda x: F.concat(F.lit("-"), x)), F.transform("fresh", lambda x: F.concat(F.lit("+"), x)))
+    return _changes(spark, sf_dir).select("doc_id", F.when(F.size(both) == 0, " (no differences)").otherwise(F.array_join(both, "\n")).alias("diff"))
 
 
 @query("win_lcs_diff")
@@ -170,10 +181,12 @@ def win_lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, diff string")
 
 
-@query("sink_diff_json", "SELECT doc_id, '[{\"t\":\"-\",\"text\":' || CAST(to_json(text) AS VARCHAR) || ',\"chunk\":0}]' AS json FROM documents")
+@query("sink_diff_json", f"WITH {_BAG}, {_CHANGES} SELECT doc_id, CAST(to_json(list_concat(list_transform(gone, lambda x: {{'t': '-', 'text': x, 'chunk': 0}}), list_transform(fresh, lambda x: {{'t': '+', 'text': x, 'chunk': 0}}))) AS VARCHAR) AS json FROM d")
 def sink_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct(F.lit("-").alias("t"), c("text").alias("text"), F.lit(0).alias("chunk"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.array(item)).alias("json"))
+    """Lines that went and came as items of a JSON file a document."""
+    item = lambda t: lambda x: F.struct(F.lit(t).alias("t"), x.alias("text"), F.lit(0).alias("chunk"))
+    both = F.concat(F.transform("gone", item("-")), F.transform("fresh", item("+")))
+    return sinks.through_files(spark, _changes(spark, sf_dir).select("doc_id", F.to_json(both).alias("json")), "doc_id", "json", ".json")
 
 
 @query("win_reduce_tree", """WITH RECURSIVE t(doc_id, depth, pos, body, target) AS (SELECT doc_id, 0, CAST('' AS VARCHAR), text, CAST(100 AS BIGINT) FROM documents UNION ALL

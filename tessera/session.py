@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new folder below the session's shared folder; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/scratch-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def mounted(uri: str) -> str:
+    """POSIX path of a folder that every node mounts (file: or no scheme)."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    if "://" in uri:
+        raise ValueError(f"files are written one by one into a mounted folder, not {uri}")
+    return os.path.abspath(uri)

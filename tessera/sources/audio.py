@@ -230,8 +230,9 @@ def render(raw: bytes, hours: float = 5) -> tuple[np.ndarray, float]:
     """Mono mix of a project at its rate: solo and mute, gain, pan, envelopes, trims; missing blocks are silence."""
     rows = project_rows(raw)
     rate = rows["rate"]
-    solo = any(t["solo"] for t in rows["tracks"])
-    heard = {t["track"]: t for t in rows["tracks"] if (t["solo"] if solo else not t["mute"])}
+    # a solo track that is muted is not heard and silences no other
+    solo = any(t["solo"] and not t["mute"] for t in rows["tracks"])
+    heard = {t["track"]: t for t in rows["tracks"] if not t["mute"] and (t["solo"] or not solo)}
     parts = []
     for b in rows["blocks"]:
         if b["track"] not in heard or not b["total"]:
@@ -250,12 +251,13 @@ def render(raw: bytes, hours: float = 5) -> tuple[np.ndarray, float]:
         angle = (track["pan"] + 1) * math.pi / 4
         value = value * track["gain"] * (math.cos(angle) + math.sin(angle)) / math.sqrt(2)
         parts.append((round(b["offset"] * rate) + place[inside], value[inside]))
-    size = min(max((int(p[-1]) + 1 for p, _ in parts if len(p)), default=0), int(hours * 3600 * rate))
+    size = max((int(p[-1]) + 1 for p, _ in parts if len(p)), default=0)
     if not size:
         raise ValueError("nothing to render")
+    if size > hours * 3600 * rate:
+        raise ValueError("project too long")
     mix = np.zeros(size)
     for place, value in parts:
-        keep = place < size
-        np.add.at(mix, place[keep], value[keep])
+        np.add.at(mix, place, value)
     peak = np.abs(mix).max()
     return (mix * 0.99 / peak if peak > 1 else mix), rate

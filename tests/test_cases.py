@@ -10,7 +10,7 @@ from tessera.functions import html as H
 from tessera.functions import text as T
 from tessera.operators import cues, signal, similarity
 from tessera.plans.source_queries import _office, make_project
-from tessera.sources import audio, documents
+from tessera.sources import audio, documents, sinks
 
 
 def values(spark, f, rows):
@@ -120,3 +120,56 @@ def test_gate_quiets_noise_and_keeps_speech():
     noise[32000:48000] += 0.2 * np.sin(np.arange(16000) / 8)
     out = signal.denoise(noise)
     assert np.abs(out[40000:47000]).mean() > 20 * np.abs(out[:16000]).mean()
+
+
+def test_log_tail_keeps_order_and_drops_a_cut_line(spark):
+    rows = ["", "a\r\nb\n", "\n".join(f"l{i}" for i in range(250)), "x" * 3000, "head\n" + "y" * 262140 + "\nend", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(T.log_tail(F.col("t"))).collect()]
+    assert [tuple(r) for r in got[:2]] == [("", False), ("a\nb", False)]
+    assert tuple(got[2]) == ("\n".join(f"l{i}" for i in range(50, 250)), True)
+    assert tuple(got[3]) == ("x" * 2000 + "…", False)
+    assert tuple(got[4]) == ("end", True)
+
+
+def test_fnv_of_known_strings(spark):
+    start, prime = 1469598103934665603, 1099511628211
+    for text in ("", "a", "Grüße/é.wav"):
+        want = start
+        for b in text.encode():
+            want = (want ^ b) * prime % 2**64
+        assert spark.range(1).select(T.fnv(T.bytes_of(F.lit(text)))).first()[0] == f"{want:016x}"
+
+
+def test_chunks_of_words(spark):
+    texts = ["", "  ", "one", "aa " * 50, "word " + "z" * 100 + " tail", "a\n b\tc"]
+    for target in (1, 5, 12):
+        got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(cues.chunks(F.col("t"), target)).collect()]
+        for text, parts in zip(texts, got, strict=True):
+            want, size = [], 0
+            for w in text.split():
+                own = len(w.encode()) // 4 + 1
+                if want and size + 1 + own <= target:
+                    want[-1] += " " + w
+                    size += 1 + own
+                else:
+                    want.append(w)
+                    size = own
+            assert parts == (want or [""])
+
+
+def test_a_muted_solo_track_is_not_heard_and_long_projects_are_refused(monkeypatch):
+    tracks = lambda *flags: {"rate": 8000.0, "tracks": [{"track": i, "mute": m, "solo": s, "gain": 1.0, "pan": -1.0, "rate": -1.0} for i, (m, s) in enumerate(flags)], "points": [], "samples": {i: (audio.FLOAT32, np.full(10, 0.1 * (i + 1), "<f4").tobytes()) for i in range(len(flags))}, "blocks": [{"track": i, "clip": 0, "offset": 0.0, "trim_left": 0.0, "trim_right": 0.0, "block": i, "start": 0, "end": 10, "total": 10} for i in range(len(flags))]}
+    heard = {}
+    for name, flags in {"muted solo": [(True, True), (False, False)], "solo": [(False, True), (False, False)], "none": [(False, False), (False, False)]}.items():
+        monkeypatch.setattr(audio, "project_rows", lambda _, f=flags: tracks(*f))
+        heard[name] = round(float(audio.render(b"")[0][0]) * 2**0.5, 4)
+    assert heard == {"muted solo": 0.2, "solo": 0.1, "none": 0.3}
+    with pytest.raises(ValueError, match="too long"):
+        audio.render(b"", hours=1e-7)
+
+
+def test_last_write_of_a_key_wins_over_versions(spark, tmp_path):
+    schema = "k long, v string, seq long"
+    sinks.upsert(f"file://{tmp_path}/s", spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "c", 3)], schema), "k", F.col("seq"))
+    out = sinks.upsert(f"file://{tmp_path}/s", spark.createDataFrame([(2, "d", 4), (3, None, 5), (1, "old", 0)], schema), "k", F.col("seq"))
+    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (2, "d", 4), (3, None, 5)]
