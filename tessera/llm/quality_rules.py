@@ -24,6 +24,7 @@ its own, whatever its doc_id. Columns of the input other than those named are no
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +61,9 @@ def chi2_quantile(p_tail: float, dof: int) -> float:
     return high
 
 
-def _without(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of text are among chars: what is left when runs of all others are cut out."""
+    return F.length(F.regexp_replace(text, "[^" + re.sub(r"([\[\]\\^&-])", r"\\\1", chars) + "]+", "")).cast("long")
 
 
 def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
@@ -70,7 +72,7 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     base = docs.select(*keep, text.alias("_t"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = base.select(*keep, "_t", F.array_remove(F.split("_t", SPACE + "+", -1), "").alias("_w"), lines.alias("_l"))
-    hashed = split.select(*keep, "_t", F.size("_w").cast("long").alias("n_words"), F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = split.select(*keep, "_t", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     # hashes of one, two, four and eight words
     step = 1
     while step < WINDOW:
@@ -89,17 +91,16 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     starts = F.sort_array(F.transform(again, lambda x: x["p"]["i"]))
     marked = around.withColumn("_s", starts).drop("_q")
     covered = F.aggregate("_s", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n")), lambda a: a["n"])
-    size = F.length("_t")
     return marked.select(
         *keep,
         "n_words",
-        F.length(_without(F.col("_t"), " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        (size - F.length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        "word_chars",
+        _count(F.col("_t"), SYMBOLS).alias("n_symbols"),
         "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_lines",
-        (size - F.length(_without(F.col("_t"), UPPER))).cast("long").alias("n_upper"),
-        (size - F.length(_without(F.col("_t"), MARKS))).cast("long").alias("n_marks"),
+        _count(F.col("_t"), UPPER).alias("n_upper"),
+        _count(F.col("_t"), MARKS).alias("n_marks"),
     )
 
 

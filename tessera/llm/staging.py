@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tables of more files than this get their row numbers by staging; up to it their names are broadcast.
@@ -79,13 +79,15 @@ def with_rows(docs: DataFrame) -> DataFrame:
     """
     if _is_scan(docs) and "_metadata" not in (c.lower() for c in docs.columns):
         try:
-            files = [r[0] for r in docs.select(F.col("_metadata.file_path").alias("path")).distinct().limit(MAX_FILES + 1).collect()]
+            names = docs.select(F.col("_metadata.file_path").alias("path"))
         except AnalysisException:  # a source without file metadata
-            files = None
-        if files is not None and len(files) <= MAX_FILES:
+            names = None
+        files = names and stage(names.distinct(), "files")
+        if files and (n_files := files.count()) <= MAX_FILES:
             own = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"), F.struct("*").alias("own"))
-            if len(files) <= 1:
+            if n_files <= 1:
                 return own.select(F.col("place").alias("row"), "own")
-            numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(files))), "file long, path string")
+            # one task numbers the names of at most MAX_FILES files
+            numbers = files.select("path", F.row_number().over(Window.orderBy("path")).cast("long").alias("file"))
             return own.join(F.broadcast(numbers), "path").select((F.shiftleft("file", 40) + F.col("place")).alias("row"), "own")
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("own")), "rows")
