@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import NON_SPACE, chunks, docs_of, hash_spans, spans
@@ -152,11 +152,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_
                 own = [x.astype("<i4").tobytes() for x in features(buf, off)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array(own, pa.binary())], names=["doc_id", "quality", "features"])
 
-    listed = stage(taught.mapInArrow(extract, "doc_id long, quality int, features binary").withColumn("h", F.xxhash64("doc_id")), "quality-features")
-    # at most max_rows rows: their running size is one task's work
-    upto = Window.partitionBy(F.lit(0)).orderBy("h", "doc_id", "quality", "features").rowsBetween(Window.unboundedPreceding, 0)
-    sized = listed.select("h", "doc_id", "quality", "features", F.sum(F.octet_length("features").cast("long") + 8).over(upto).alias("upto"))
-    found = sized.where(F.col("upto") <= max_bytes).select("doc_id", "quality", "features").toLocalIterator()
+    listed = taught.mapInArrow(extract, "doc_id long, quality int, features binary").withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.monotonically_increasing_id())
+    listed = stage(listed, "quality-features")
+    order = ["h", "doc_id", "quality", "n"]
+    # numbers of at most max_rows rows, whatever ids repeat, tell where the bytes end
+    sizes = listed.select(*order, (F.octet_length("features").cast("long") + 8).alias("size")).orderBy(*order).limit(max_rows).toArrow()
+    fit_in = int((np.cumsum(sizes.column("size").to_numpy()) <= max_bytes).sum())
+    found = []
+    if fit_in:
+        last = F.struct(*[F.lit(sizes.column(c)[fit_in - 1].as_py()).cast(listed.schema[c].dataType).alias(c) for c in order])
+        found = listed.where(F.struct(*order) <= last).select("doc_id", "quality", "features").toLocalIterator()
     rows = sorted(((r[0], r[1], bytes(r[2])) for r in found))
     model = fit([np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows]))
     weight = model.weight.astype(np.float32)
