@@ -41,6 +41,8 @@ from tessera.llm.staging import stage, with_rows
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
+#: Bytes of text that are cut into shingles at a time, and documents whose bands are drawn at a time: they bound a worker's memory.
+RUN, DRAWN = 2 << 20, 1024
 #: Row numbers of copies up to this many (8 bytes each) are broadcast, more are joined by a shuffle.
 MOST_SENT = 4_000_000
 VECTOR = "doc_id long, total double, shared double, profile array<double>, hashes binary, weights binary"
@@ -65,7 +67,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, n
     low = LOWER[buf]
     start, stop = spans(low, off, ALNUM)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     word = hash_spans(low, start, stop)
     bounds = docs_of(start, off)
     n = np.diff(bounds)
@@ -73,7 +75,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, n
     for k in range(1, SHINGLE):
         h[:-k] = mix(h[:-k], word[k:])
     has = np.maximum(n - (SHINGLE - 1), (n > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(n)), has)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), has)
     at = np.repeat(bounds[:-1], has) + np.arange(has.sum()) - np.repeat(np.cumsum(has) - has, has)
     key = h[at]
     for i in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist():
@@ -85,7 +87,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, n
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
     new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-    return key[new], doc[new], np.diff(np.append(new, len(key)))
+    return key[new], doc[new], np.diff(np.append(new, len(key))).astype(np.int32)
 
 
 def _chunk(texts: pa.Table, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -94,13 +96,13 @@ def _chunk(texts: pa.Table, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(ids, kind="stable")
     column = texts.column("text").take(pa.array(order)).combine_chunks()
     keys, docs, counts = [], [], []
-    for row, _, buf, off in chunks(column):
+    for row, _, buf, off in chunks(column, RUN):
         k, d, c = shingles(buf, off, bits)
         keys.append(k)
-        docs.append(d + row)
+        docs.append(d + np.int32(row))
         counts.append(c)
     if not keys:
-        return ids[order], [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        return ids[order], [np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
     key, doc, count = (np.concatenate(x) for x in (keys, docs, counts))
     if len(keys) > 1:
         by = np.argsort(key, kind="stable")
@@ -126,10 +128,11 @@ def _weights(df: np.ndarray, count: np.ndarray, n_docs: int, damping: float) ->
     return count * (1 + damping * (np.log(max(n_docs, 1)) - np.log(df)) / np.log(n_docs + 1))
 
 
-def vectors(texts: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 8 << 20) -> DataFrame:
+def vectors(texts: DataFrame, n_docs: int, chars: int, threshold: float, damping: float, chunk_chars: int = 4 << 20) -> DataFrame:
     """VECTOR rows of the documents (doc_id, text), all different, that could be similar to another: total weight, and hashes and weights of shared shingles."""
     bits = int(min(64, max(40, 24 + np.ceil(np.log2(max(2, chars / 6))))))
-    n_chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // chunk_chars))
+    # a bucket holds what twice a chunk's text has: it takes less memory for a shingle than a chunk does
+    n_chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // (2 * chunk_chars)))
     texts = texts.select(F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text")
 
     def send(group: pa.Table) -> pa.Table:
@@ -233,7 +236,7 @@ def band_keys(found: DataFrame, bands: int, rows: int) -> DataFrame:
     """band, key, doc_id, total, shared, and the keys of all bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, DRAWN) for whole in batches for at in range(0, len(whole), DRAWN)):
             keys = np.zeros((len(batch), bands), np.int64)
             for i in range(len(batch)):
                 doc, rest = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() - batch.column(2)[i].as_py()
