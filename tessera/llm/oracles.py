@@ -44,3 +44,42 @@ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(u, v) AS (SELECT a, a FROM both_ways UNION SELECT r.u, o.b FROM reach r JOIN both_ways o ON o.a = r.v),
 comp AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(comp.m, rep.rep, d.doc_id) AS class_id FROM d LEFT JOIN rep ON rep.text = d.text AND len(d.w) > 0 LEFT JOIN comp ON comp.u = rep.rep"""
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p + 1:p + 3], ' ') AS g FROM (SELECT r, w, unnest(range(greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+t AS (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS key FROM s GROUP BY r),
+rep AS (SELECT key, min(r) AS rep, any_value(n) AS n FROM t GROUP BY key),
+x AS (SELECT rep, n, g FROM rep JOIN s ON s.r = rep),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common, any_value(a.n) AS m, any_value(b.n) AS n FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM c WHERE 100 * common >= 90 * (m + n - common)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(u, v) AS (SELECT a, a FROM both_ways UNION SELECT q.u, o.b FROM reach q JOIN both_ways o ON o.a = q.v),
+comp AS (SELECT u, min(v) AS m FROM reach GROUP BY u),
+o AS (SELECT t.r, t.n, coalesce(m, rep) AS c FROM t JOIN rep USING (key) LEFT JOIN comp ON u = rep),
+names AS (SELECT c, min(doc_id) AS component_id FROM o JOIN d USING (r) GROUP BY c)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN o USING (r) LEFT JOIN names USING (c)"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+CONVERSATION_TRIE = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS f, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, k, f, w FROM c JOIN t ON t.conv_id = base AND k <= h UNION ALL SELECT c.conv_id, k + 1000000, f, w FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, md5(string_agg(f, '' ORDER BY k) OVER (PARTITION BY conv_id ORDER BY k)) AS node, w FROM r),
+m AS (SELECT conv_id, depth, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS up, w FROM p UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM c),
+n AS (SELECT node, min(depth) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY node),
+k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.node, b.node AS under FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+s AS (SELECT below.node, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.node = below.under)) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM below JOIN n ON n.node = below.under GROUP BY below.node),
+e AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(node, depth) AS node FROM m GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.node = n.up LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id, b.r, a.label = b.label AS same, CAST(list_inner_product(a.z, b.z) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT ar, anchor_id, r, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.ar, p.r ORDER BY score DESC, vec_id NULLS LAST) QUALIFY row_number() OVER w <= 5"""

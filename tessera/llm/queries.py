@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables of a scale-factor folder, with production parameters."""
+"""The queries op1 to op13 over the tables of a scale-factor folder, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, nbsvm, near_dedup, ngram_trie, oracles, packing, pii, quality_rules, secrets, token_counts
+from tessera.llm import conversation_trie, decontaminate, hard_negatives, line_dedup, nbsvm, near_dedup, ngram_trie, oracles, overlap_join, packing, pii, quality_rules, secrets, token_counts
 from tessera.llm.staging import new_path, stage
 
 #: A fixed key, so that results can be repeated. A real run passes its own secret.
@@ -77,6 +77,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100, against all rows."""
+    vectors = hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.similar_sets(_documents(spark, sf_dir), size=3, tenths=9)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that take the heads of every twentieth one, up to three turns."""
+    turns = conversation_trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.prefix_trie(conversation_trie.with_heads(stage(turns, "conversations"), every=20, most=4))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +104,16 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 #: The rest (a trained or sampled model, token ids, ciphers, a corpus-wide test procedure) is beyond SQL; the tests have brute-force versions.
-SQL: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP, "op6_decontamination": oracles.DECONTAMINATION, "op8_near_dedup": oracles.NEAR_DEDUP}
+SQL: dict[str, str] = {
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op8_near_dedup": oracles.NEAR_DEDUP,
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_ngram_jaccard": oracles.NGRAM_JOIN,
+    "op13_conversation_trie": oracles.CONVERSATION_TRIE,
+}
