@@ -6,8 +6,9 @@
    hashes; hashes that no other set sent are dropped, and so are sets left with fewer than the l that a
    partner of the least size would share. Common passages alone never keep a set.
 3. Sets that share one of their first n - T + 1 hashes meet: each hash names the least row among its sets,
-   and sets gather under the rows so named. Gatherings are packed into cells; one that is larger than a
-   cell is split into blocks.
+   and sets gather under the rows so named. First each set goes to the row that most of its hashes name;
+   then, for hashes whose sets are not of one component by now, to all of them. Gatherings are packed into
+   cells; one that is larger than a cell is split into blocks.
 4. In a cell, an inverted list for each shingle. A set asks for all others that are on at least T of its
    lists: the longest lists are left aside (as many as DivideSkip's rule says), the others are merged from
    a heap, shortest first, and what is on enough of them is looked up in the long lists by binary search.
@@ -114,8 +115,9 @@ class Cell:
         self.keys, self.starts, self.ends = flat[first], first, np.append(first[1:], len(flat))
         #: Places of the lists: (list, member) in one sorted array for binary search.
         self.places = np.repeat(np.arange(len(first), dtype=np.int64), self.ends - self.starts) * max(1, len(sets)) + self.members
-        self.comp = np.arange(len(sets)) if comps is None else np.unique(comps[order], return_inverse=True)[1]
-        self.n_comps = len(np.unique(self.comp))
+        #: Names of known components, and the place of each member's own.
+        self.names, self.comp = np.unique(self.rows if comps is None else comps[order], return_inverse=True)
+        self.n_comps = len(self.names)
 
     def merged(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Members of sorted lists and on how many they are: lists are taken from a heap, shortest first, and merged in pairs."""
@@ -188,6 +190,57 @@ def _link_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
 
 
+def _gathered(met: DataFrame, whole: DataFrame, rule: Overlap, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links within cells of the gatherings (lead, row, c); the cells (lead, block, row, c), and (lead, load, blocks).
+
+    A cell holds a bin of small gatherings (lead -1), or a block of a large one together with its lead. c is a
+    component that is known already."""
+    loads = met.join(whole.select("row", "n"), "row").groupBy("lead").agg(F.sum("n").alias("load"))
+    loads = stage(loads.withColumn("blocks", F.when(F.col("load") > cell, F.ceil(F.col("load") * 2 / cell)).otherwise(0).cast("int")), "loads")
+    total = loads.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 0, F.col("load"))), F.lit(0))).first()[0]
+    bins = max(1, -(-2 * total // cell))
+    large = F.col("blocks") > 0
+    of_row = F.pmod(F.xxhash64("row"), F.when(large, F.col("blocks")).otherwise(1))
+    placed = met.join(loads, "lead").select("lead", "row", "c", "blocks", F.when(large, of_row).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins))).cast("int").alias("block"))
+    leads = placed.where(large & (F.col("lead") == F.col("row"))).select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", "c")
+    dealt = stage(placed.select(F.when(large, F.col("lead")).otherwise(-1).alias("lead"), "block", "row", "c").union(leads).distinct(), "cells")
+
+    def within(group: pa.Table) -> pa.Table:
+        found = [unsqueeze(x) for x in group.column("keys").to_pylist()]
+        held = Cell(group.column("row").to_numpy(), found, rule, group.column("c").to_numpy())
+        return _link_table(held.links(group.column("lead")[0].as_py()))
+
+    cells = dealt.join(whole.select("row", "keys"), "row").groupBy("lead", "block")
+    return stage(cells.applyInArrow(within, "a long, b long"), "links"), dealt, loads
+
+
+def _across(dealt: DataFrame, large: DataFrame, comp: DataFrame, whole: DataFrame, rule: Overlap, cell: int) -> DataFrame:
+    """Links between the blocks of large gatherings: what stands outside the largest component asks all other blocks."""
+    block = dealt.where("lead >= 0").drop("c").join(comp, F.col("row") == F.col("node"), "left").select("lead", "block", "row", F.coalesce("component", "row").alias("c"))
+    block = stage(block, "blocks")
+    largest = block.groupBy("lead", "c").agg(F.count_distinct("row").alias("k")).groupBy("lead").agg(F.max(F.struct("k", "c"))["c"].alias("top"))
+    outside = block.join(largest, "lead").where("c <> top").select("lead", "row", F.col("block").alias("home"), "c").distinct()
+    chunk = F.ceil(F.sum("n").over(Window.partitionBy("lead")) * 2 / cell)
+    asked = outside.join(whole.select("row", "n"), "row").select("lead", "row", "home", "c", F.pmod(F.xxhash64("row", F.lit(1)), chunk).cast("int").alias("chunk"))
+    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    asks = stage(asked, "outside").join(large.select("lead", "blocks"), "lead").select("lead", each_block, "chunk", "row", "home", "c").where("home <> block")
+    asks = asks.select("lead", "block", "chunk", "row", "c", F.lit(True).alias("asks")).distinct()
+    answers = asks.select("lead", "block", "chunk").distinct().join(block, ["lead", "block"]).select("lead", "block", "chunk", "row", "c", F.lit(False).alias("asks"))
+
+    def across(group: pa.Table) -> pa.Table:
+        asking = group.column("asks").to_numpy(zero_copy_only=False)
+        index, questions = group.filter(pa.array(~asking)), group.filter(pa.array(asking))
+        held = Cell(index.column("row").to_numpy(), [unsqueeze(x) for x in index.column("keys").to_pylist()], rule, index.column("c").to_numpy())
+        out = []
+        for row, own, keys in zip(*(questions.column(k).to_pylist() for k in ("row", "c", "keys")), strict=True):
+            got = held.search(unsqueeze(keys), 0, held.names[held.comp] != own)
+            # one link for each component that is found
+            out += [(row, int(held.rows[y])) for y in got[np.unique(held.comp[got], return_index=True)[1]].tolist()]
+        return _link_table(out)
+
+    return asks.union(answers).join(whole.select("row", "keys"), "row").groupBy("lead", "block", "chunk").applyInArrow(across, "a long, b long")
+
+
 def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     rule = Overlap(tenths)
@@ -222,10 +275,9 @@ def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CE
         shared = shared.join(stay, "row", "left_semi")
         if turn == 0:
             shared = shared.withColumns({"lo": F.min("row").over(of_key), "hi": F.max("row").over(of_key)}).where("lo < hi").drop("lo", "hi")
-    early = shared.where("early").withColumns({"lead": F.min("row").over(of_key), "hi": F.max("row").over(of_key)}).where("lead < hi")
-    met = stage(early.select("lead", "row", "n").distinct(), "gatherings")
-
-    meeting = stage(met.select("row").distinct(), "meeting")
+    lead = {"lead": F.min("row").over(of_key), "hi": F.max("row").over(of_key)}
+    early = stage(shared.where("early").withColumns(lead).where("lead < hi").select("key", "row", "lead"), "early")
+    meeting = stage(early.select("row").distinct(), "meeting")
     meeting = F.broadcast(meeting) if meeting.count() <= MOST_SENT else meeting
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,53 +286,23 @@ def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CE
 
     whole = stage(texts.join(meeting, "row", "left_semi").select("row", "text").mapInArrow(full, SET), "whole-sets")
 
-    # cells: bins of small gatherings, or blocks of one large gathering (lead >= 0)
-    loads = met.groupBy("lead").agg(F.sum("n").alias("load"))
-    loads = stage(loads.withColumn("blocks", F.when(F.col("load") > cell, F.ceil(F.col("load") * 2 / cell)).otherwise(0).cast("int")), "loads")
-    total, many = loads.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 0, F.col("load"))), F.lit(0)), F.max("blocks")).first()
-    bins = max(1, -(-2 * total // cell))
-    large = F.col("blocks") > 0
-    dealt = met.join(loads, "lead").select(
-        F.when(large, F.col("lead")).otherwise(-1).alias("lead"), F.when(large, F.pmod(F.xxhash64("row"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins))).cast("int").alias("block"), "row"
-    )
-    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    dealt = stage(dealt.union(loads.where(large).select("lead", each_block, F.col("lead").alias("row"))).distinct(), "cells")
-
-    def within(group: pa.Table) -> pa.Table:
-        found = [unsqueeze(x) for x in group.column("keys").to_pylist()]
-        return _link_table(Cell(group.column("row").to_numpy(), found, rule).links(group.column("lead")[0].as_py()))
-
-    links = stage(dealt.join(whole, "row").select("lead", "block", "row", "keys").groupBy("lead", "block").applyInArrow(within, "a long, b long"), "links")
+    # each set first meets the one that leads most of its hashes; most families are one component after that
+    often = early.groupBy("row", "lead").agg(F.count("*").alias("k")).groupBy("row").agg(F.max(F.struct("k", (-F.col("lead")).alias("lead"))).alias("most"))
+    often = often.select((-F.col("most.lead")).alias("lead"), "row").where("lead <> row")
+    often = often.union(often.select("lead", F.col("lead").alias("row"))).distinct()
+    links = _gathered(often.withColumn("c", F.col("row")), whole, rule, cell)[0]
     comp = stage(components(links), "components")
 
-    if many:
-        block = dealt.where("lead >= 0").join(comp, F.col("row") == F.col("node"), "left").select("lead", "block", "row", F.coalesce("component", "row").alias("c"))
-        block = stage(block, "blocks")
-        largest = block.groupBy("lead", "c").agg(F.countDistinct("row").alias("k")).groupBy("lead").agg(F.max(F.struct("k", "c"))["c"].alias("top"))
-        outside = block.join(largest, "lead").where("c <> top").select("lead", "row", F.col("block").alias("home"), "c").distinct()
-        weighed = outside.join(whole.select("row", "n"), "row")
-        chunk = F.ceil(F.sum("n").over(Window.partitionBy("lead")) * 2 / cell)
-        asked = stage(weighed.select("lead", "row", "home", "c", F.pmod(F.xxhash64("row", F.lit(1)), chunk).cast("int").alias("chunk")), "outside")
-        spread = asked.join(loads.select("lead", "blocks"), "lead").select("lead", each_block, "chunk", "row", "home", "c").where("home <> block")
-        asks = spread.select("lead", "block", "chunk", "row", "c", F.lit(True).alias("asks")).distinct()
-        answers = asks.select("lead", "block", "chunk").distinct().join(block, ["lead", "block"]).select("lead", "block", "chunk", "row", "c", F.lit(False).alias("asks"))
-
-        def across(group: pa.Table) -> pa.Table:
-            asks = group.column("asks").to_numpy(zero_copy_only=False)
-            index, questions = group.filter(pa.array(~asks)), group.filter(pa.array(asks))
-            c = Cell(index.column("row").to_numpy(), [unsqueeze(x) for x in index.column("keys").to_pylist()], rule, index.column("c").to_numpy())
-            names = np.unique(index.column("c").to_numpy())
-            out = []
-            for row, own, keys in zip(*(questions.column(k).to_pylist() for k in ("row", "c", "keys")), strict=True):
-                mine = np.searchsorted(names, own)
-                other = c.comp != mine if mine < len(names) and names[mine] == own else np.ones(len(c.sets), bool)
-                got = c.search(unsqueeze(keys), 0, other)
-                # one link for each component that is found
-                out += [(row, int(c.rows[y])) for y in got[np.unique(c.comp[got], return_index=True)[1]].tolist()]
-            return _link_table(out)
-
-        crossed = asks.union(answers).join(whole.select("row", "keys"), "row").groupBy("lead", "block", "chunk").applyInArrow(across, "a long, b long")
-        comp = stage(components(stage(links.union(crossed), "links")), "components")
+    # then those that meet sets of other components in some hash gather for each such hash
+    labelled = early.select("key", "row").join(comp, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("component", "row").alias("c"))
+    mixed = labelled.withColumns({"lo": F.min("c").over(of_key), "hi": F.max("c").over(of_key), "lead": F.min("row").over(of_key)}).where("lo < hi")
+    found, dealt, loads = _gathered(mixed.select("lead", "row", "c").distinct(), whole, rule, cell)
+    links = stage(links.union(found), "links")
+    comp = stage(components(links), "components")
+    large = loads.where("blocks > 0")
+    if not large.isEmpty():
+        links = stage(links.union(_across(dealt, large, comp, whole, rule, cell)), "links")
+        comp = stage(components(links), "components")
 
     named = sets.join(comp, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("size"), "least", F.coalesce("component", "rep").alias("c"))
     named = stage(named, "named")
