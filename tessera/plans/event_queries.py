@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import signal
 from tessera.registry import query, table
 from tessera.session import scratch
-from tessera.streaming import fold
+from tessera.streaming import fold, queue
 
 c = F.col
 _E = "e AS (SELECT user_id AS path, event_id AS seq, CASE event_type WHEN 'click' THEN 'transcribe' WHEN 'view' THEN 'summarize' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'queued' END AS stage, CAST(floor(value) AS BIGINT) % 101 AS pct, CAST(json_extract(props, '$.k') AS BIGINT) AS epoch FROM events)"
@@ -46,23 +46,34 @@ def str_download_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("path").agg(F.max_by("pct", "seq").alias("latest"), F.bool_or(c("stage") == "done").alias("done"), F.count_distinct(F.floor(c("pct") / 10)).alias("reports"))
 
 
-@query("str_fifo_queue", f"""WITH {_E}, s AS (SELECT path, seq, stage, sum(CASE stage WHEN 'transcribe' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY seq) AS bal FROM e WHERE stage IN ('transcribe', 'error')),
-b AS (SELECT path, max_by(bal, seq) - least(0, min(bal)) AS waiting FROM s GROUP BY path), a AS (SELECT path, seq, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM e WHERE stage = 'transcribe')
-SELECT path, seq, row_number() OVER (ORDER BY seq) AS pos FROM a JOIN b USING (path) WHERE k <= waiting""")
+_COMMANDS = "c AS (SELECT user_id AS queue, event_id AS seq, CASE event_type WHEN 'view' THEN 'step' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN (['pause', 'resume', 'abort', 'clear'])[k % 4 + 1] ELSE 'add' END AS command, k % 7 AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"
+
+
+@query("str_fifo_queue", f"""WITH RECURSIVE {_COMMANDS},
+f(queue, n, seq, command, result, path, file, waiting, paused, marked, files, active, active_path) AS (
+SELECT queue, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', '', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), false, false, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM c WHERE n = 1
+UNION ALL
+SELECT queue, n, seq, command, result,
+CASE result WHEN 'started' THEN waiting[1] WHEN 'aborted' THEN CASE WHEN active IS NOT NULL THEN active_path END WHEN 'added' THEN path WHEN 'removed' THEN path WHEN 'absent' THEN path END,
+CASE result WHEN 'started' THEN files WHEN 'aborted' THEN active END,
+CASE result WHEN 'added' THEN list_append(waiting, path) WHEN 'cleared' THEN CAST([] AS BIGINT[]) WHEN 'started' THEN waiting[2:] WHEN 'removed' THEN list_concat(waiting[1:list_position(waiting, path) - 1], waiting[list_position(waiting, path) + 1:]) ELSE waiting END,
+CASE result WHEN 'paused' THEN true WHEN 'resumed' THEN false ELSE paused END, CASE result WHEN 'marked' THEN true WHEN 'aborted' THEN false ELSE marked END,
+CASE result WHEN 'started' THEN files + 1 WHEN 'cleared' THEN CAST(0 AS BIGINT) ELSE files END,
+CASE result WHEN 'started' THEN files WHEN 'aborted' THEN NULL WHEN 'idle' THEN NULL ELSE active END, CASE result WHEN 'started' THEN waiting[1] ELSE active_path END
+FROM (SELECT f.queue, c.n, c.seq, c.command, c.path, f.waiting, f.paused, f.marked, f.files, f.active, f.active_path,
+CASE c.command WHEN 'add' THEN 'added' WHEN 'remove' THEN CASE WHEN list_contains(f.waiting, c.path) THEN 'removed' ELSE 'absent' END WHEN 'clear' THEN 'cleared' WHEN 'pause' THEN 'paused' WHEN 'resume' THEN 'resumed' WHEN 'abort' THEN 'marked'
+ELSE CASE WHEN f.marked THEN 'aborted' WHEN f.paused THEN 'waits' WHEN len(f.waiting) = 0 THEN 'idle' ELSE 'started' END END AS result
+FROM f JOIN c ON c.queue = f.queue AND c.n = f.n + 1))
+SELECT queue, seq, command, result, path, file, CAST(len(waiting) AS BIGINT) AS waiting FROM f WHERE n > 0""")
 def str_fifo_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What waits in a first-in-first-out queue, when an error event takes away the first waiting entry of its file.
-
-    The number that waits is the running balance less its least value below zero, and the last entries are those."""
-    events = _events(spark, sf_dir)
-    moves = events.where("stage IN ('transcribe', 'error')").withColumn("bal", F.sum(F.when(c("stage") == "transcribe", 1).otherwise(-1)).over(Window.partitionBy("path").orderBy("seq")))
-    waiting = moves.groupBy("path").agg((F.max_by("bal", "seq") - F.least(F.lit(0), F.min("bal"))).alias("waiting"))
-    adds = events.where("stage = 'transcribe'").withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq"))))
-    left = adds.join(waiting, "path").where("k <= waiting").select("path", "seq")
-    # places in the whole queue: rank within ranges of seq, plus what stands in earlier ranges
-    ranged = left.withColumn("range", F.floor(c("seq") / 10_000))
-    base = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("range").orderBy("seq"))
-    return ranged.withColumn("own", own).join(base.select("range", "base"), "range").select("path", "seq", (c("own") + c("base")).alias("pos"))
+    """Each user's events as commands of a queue, answered by a stream with list and value state over the folder's files."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.get_json_object("props", "$.k").cast("long")
+    control = F.element_at(F.array(*map(F.lit, ("pause", "resume", "abort", "clear"))), (k % 4 + 1).cast("int"))
+    kind = c("event_type")
+    command = F.when(kind == "view", "step").when(kind == "error", "remove").when(kind == "purchase", control).otherwise("add")
+    commands = events.select(c("user_id").alias("queue"), c("event_id").alias("seq"), command.alias("command"), (k % 7).alias("path"))
+    return queue.run(spark, commands, scratch(spark, "queue"))
 
 
 @query("str_two_pass", f"WITH {_E}, g AS (SELECT path, coalesce(min(seq) FILTER (WHERE stage = 'error'), 9223372036854775807) AS gone FROM e GROUP BY path), p AS (SELECT path, min(seq) AS first_pass FROM e JOIN g USING (path) WHERE stage = 'transcribe' AND seq < gone GROUP BY path) SELECT path, first_pass, (SELECT min(seq) FROM e JOIN g USING (path) WHERE e.path = p.path AND stage = 'summarize' AND seq > first_pass AND seq < gone) AS full_pass FROM p")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import struct
-import zipfile
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import made_files
 from tessera.registry import query, table
 from tessera.session import scratch
 from tessera.sources import audio, documents
@@ -18,61 +16,74 @@ from tessera.sources import audio, documents
 c = F.col
 
 
-def _zip(members: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in members.items():
-            z.writestr(zipfile.ZipInfo(name), text)
-    return out.getvalue()
-
-
-def _clean(text: str) -> str:
-    return escape("".join(ch for ch in text if ch >= " " or ch == "\n"))
-
-
-def _office(text: str, kind: str) -> bytes:
-    lines = [_clean(x) for x in text.split("\n")]
+def _office(text: str, kind: str, number: int = 0) -> bytes:
+    lines = [made_files.clean(x) for x in text.split("\n")]
     if kind == "docx":
-        return _zip({"word/document.xml": "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines) + "</w:body></w:document>"})
+        return made_files.archive({"word/document.xml": "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines) + "</w:body></w:document>"})
     if kind == "pptx":
-        return _zip({f"ppt/slides/slide{i + 1}.xml": f"<p:sld xmlns:p='p' xmlns:a='a'><a:p><a:r><a:t>{x}</a:t></a:r></a:p></p:sld>" for i, x in enumerate(lines[:12])})
+        return made_files.archive({f"ppt/slides/slide{i + 1}.xml": f"<p:sld xmlns:p='p' xmlns:a='a'><a:p><a:r><a:t>{x}</a:t></a:r></a:p></p:sld>" for i, x in enumerate(lines)})
     if kind == "odt":
-        return _zip({"content.xml": "<o:c xmlns:o='o' xmlns:text='t'><text:h>Head</text:h>" + "".join(f"<text:p>{x}</text:p>" for x in lines) + "</o:c>"})
+        return made_files.archive({"content.xml": "<o:c xmlns:o='o' xmlns:text='t'><text:h>Head</text:h>" + "".join(f"<text:p>{x}</text:p>" for x in lines) + "</o:c>"})
     if kind == "epub":
-        return _zip({"nav.xhtml": "<p>skip</p>"} | {f"c{i}.xhtml": f"<html><body><p>{x}</p></body></html>" for i, x in enumerate(lines[:5])})
-    if kind == "xlsx":
-        rows = "".join(f"<row><c t='inlineStr'><is><t>{x[:40]}</t></is></c><c><v>{len(x)}.0</v></c></row>" for x in lines)
-        return _zip({"xl/workbook.xml": "<wb><sheets><sheet name='S1'/></sheets></wb>", "xl/worksheets/sheet1.xml": f"<ws><sheetData>{rows}</sheetData></ws>"})
+        return made_files.archive({"nav.xhtml": "<p>skip</p>"} | {f"c{i}.xhtml": f"<html><body><p>{x}</p></body></html>" for i, x in enumerate(lines)})
+    if kind in ("xlsx", "ods", "xls"):
+        return getattr(made_files, kind)(made_files.sheet_rows(text))
     if kind == "rtf":
         body = "\\par ".join(x.replace("\\", "").replace("{", "").replace("}", "") for x in text.split("\n"))
         return ("{\\rtf1{\\fonttbl{\\f0 Arial;}}" + "".join(ch if ch < "\x80" else "\\'" + ch.encode("cp1252", "replace").hex() for ch in body) + "}").encode("latin1", "replace")
     if kind == "doc":
         return b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0\0" * 40 + text.encode("utf-16-le") + b"\0\0" * 10
     if kind == "pdf":
-        return b"%PDF-1.4 /Type /Page /Type /Page"
+        return made_files.pdf(text, number % 3)
     return (b"\xef\xbb\xbf" if len(text) % 3 == 0 else b"") + text.encode("utf-8" if len(text) % 3 < 2 else "cp1252", "replace")
 
 
-def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """(path, content) with a file of one kind for each document."""
+def _files(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(path, content) with a file of each kind for each document."""
 
     def run(batches):
         for rows in batches:
-            yield pd.DataFrame({"path": [f"d{i}.{kind}" for i in rows["doc_id"]], "content": [_office(t or "", kind) for t in rows["text"]]})
+            for kind in kinds:
+                made = [_office(t or "", kind, i) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
+                yield pd.DataFrame({"path": [f"d{i}.{kind}" for i in rows["doc_id"]], "content": made})
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "path string, content binary")
 
 
-def _extracted(kind: str):
+def _extracted(*kinds: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = documents.extract_files(_files(spark, sf_dir, kind))
+        found = documents.extract_files(_files(spark, sf_dir, kinds))
         return found.select("path", "kind", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"), "pages", "error")
 
     return run
 
 
-for _name, _kind in (("src_plain_decode", "txt"), ("src_docx", "docx"), ("src_pptx", "pptx"), ("src_odf", "odt"), ("src_epub", "epub"), ("src_spreadsheet", "xlsx"), ("src_rtf", "rtf"), ("src_legacy_ole", "doc"), ("src_pdf", "pdf")):
-    query(_name)(_extracted(_kind))
+_LINES = "SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_BARE = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+
+
+def _comes_back(kinds: str, made: str) -> str:
+    """What must come back of (doc_id, t, pages) after white space is normalised."""
+    tidy = r"regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+(\n|$)', '\1', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    return f"""WITH made AS ({made}), tidy AS (SELECT doc_id, kind, {tidy} AS t, pages FROM made, (SELECT unnest({kinds}) AS kind))
+SELECT 'd' || doc_id || '.' || kind AS path, kind, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS digest, CAST(CASE WHEN t = '' THEN 0 ELSE pages END AS INTEGER) AS pages, CASE WHEN t = '' THEN 'no text' END AS error FROM tidy"""
+
+
+_PARAGRAPHS = f"SELECT doc_id, coalesce(string_agg({_BARE}, chr(10) ORDER BY k) FILTER (WHERE {_BARE} <> ''), '') AS t, greatest(1, count(*) FILTER (WHERE {_BARE} <> '')) AS pages FROM ({_LINES}) GROUP BY doc_id"
+_HEADED = f"SELECT doc_id, 'Head' || chr(10) || t AS t, 1 AS pages FROM ({_PARAGRAPHS})"
+_SLIDES = f"SELECT doc_id, string_agg(chr(10) || '--- Slide ' || i || ' (' || n || ') ---' || chr(10) || {_BARE} || chr(10), '' ORDER BY i) AS t, count(*) AS pages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM (SELECT *, 'ppt/slides/slide' || (k + 1) || '.xml' AS n FROM ({_LINES}))) GROUP BY doc_id"
+_CHAPTERS = f"SELECT doc_id, string_agg(chr(10) || '--- ' || n || ' ---' || chr(10) || chr(10) || x || chr(10) || chr(10), '' ORDER BY n) AS t, count(*) AS pages FROM (SELECT *, 'c' || k || '.xhtml' AS n FROM ({_LINES})) GROUP BY doc_id"
+_PDF_LINES = rf"SELECT doc_id, coalesce(string_agg(CASE doc_id % 3 WHEN 2 THEN regexp_replace({_BARE}, '\s+', ' ', 'g') ELSE x END, chr(10) ORDER BY k), '') AS t, greatest(1, ceil(count(*) / 40)) AS pages FROM ({_LINES}) WHERE {_BARE} <> '' GROUP BY doc_id"
+_PDF_TEXTS = f"SELECT doc_id, coalesce(t, '') AS t, coalesce(pages, 1) AS pages FROM documents LEFT JOIN ({_PDF_LINES}) USING (doc_id)"
+#: The used area starts at the second column where all lines are empty.
+_GRID = f"""SELECT doc_id, '## Sheet: S1' || chr(10) || string_agg('| ' || CASE WHEN blank THEN '' ELSE left(x, 32767) || ' | ' END || n || ' | ' || (n % 2 = 0) || CASE WHEN n % 3 = 0 THEN ' |  | ' || CASE WHEN n % 8 = 0 THEN CAST(n // 8 AS VARCHAR) ELSE CAST(n / 8 AS VARCHAR) END ELSE '' END || ' |', chr(10) ORDER BY k) AS t, 1 AS pages
+FROM (SELECT *, length(x) AS n, bool_and(x = '') OVER (PARTITION BY doc_id) AS blank FROM ({_LINES})) WHERE k < 500 GROUP BY doc_id"""
+
+for _name, _kinds, _made in (
+    ("src_plain_decode", ("txt",), None), ("src_docx", ("docx",), _PARAGRAPHS), ("src_pptx", ("pptx",), _SLIDES), ("src_odf", ("odt",), _HEADED), ("src_epub", ("epub",), _CHAPTERS),
+    ("src_spreadsheet", ("xlsx", "ods", "xls"), _GRID), ("src_rtf", ("rtf",), None), ("src_legacy_ole", ("doc",), None), ("src_pdf", ("pdf",), _PDF_TEXTS),
+):
+    query(_name, _made and _comes_back(str(list(_kinds)), _made))(_extracted(*_kinds))
 
 
 def _takes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import cues, similarity
+from tessera.operators import cues, models, reduction, similarity
 from tessera.registry import query, table
 from tessera.sources import sinks
 
@@ -189,27 +189,27 @@ def sink_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.through_files(spark, _changes(spark, sf_dir).select("doc_id", F.to_json(both).alias("json")), "doc_id", "json", ".json")
 
 
-@query("win_reduce_tree", """WITH RECURSIVE t(doc_id, depth, pos, body, target) AS (SELECT doc_id, 0, CAST('' AS VARCHAR), text, CAST(100 AS BIGINT) FROM documents UNION ALL
+_REDUCED = "regexp_replace(left('Summarise in about ' || target || ' words:' || chr(10) || body, 600), '\\n+$', '')"
+_LIMIT = 256
+
+
+def _reduce_sql() -> str:
+    """The split by recursion, then one step up a level."""
+    up = [f"u6 AS (SELECT doc_id, pos, {_REDUCED} AS body, CAST(1 AS BIGINT) AS parts, CAST(6 AS BIGINT) AS depth FROM leaves WHERE depth = 6)"]
+    for d in range(5, -1, -1):
+        up.append(
+            f"""j{d} AS (SELECT x.doc_id, t.pos, target, x.body || chr(10) || chr(10) || '## Part' || chr(10) || chr(10) || y.body AS body, x.parts + y.parts AS parts, greatest(x.depth, y.depth) AS depth FROM u{d + 1} x JOIN u{d + 1} y ON x.doc_id = y.doc_id AND left(x.pos, {d}) = left(y.pos, {d}) AND right(x.pos, 1) = '0' AND right(y.pos, 1) = '1' JOIN t ON t.doc_id = x.doc_id AND t.pos = left(x.pos, {d})),
+u{d} AS (SELECT doc_id, pos, CASE WHEN strlen(body) // 4 + 1 <= {_LIMIT} THEN {_REDUCED} ELSE body END AS body, parts, depth FROM j{d} UNION ALL SELECT doc_id, pos, {_REDUCED}, 1, depth FROM leaves WHERE depth = {d})"""
+        )
+    return f"""WITH RECURSIVE t(doc_id, depth, pos, body, target) AS (SELECT doc_id, 0, CAST('' AS VARCHAR), coalesce(text, ''), CAST(100 AS BIGINT) FROM documents UNION ALL
 SELECT doc_id, depth + 1, pos || side, CASE side WHEN '0' THEN left(body, cut) ELSE substr(body, cut + 1) END, CASE side WHEN '0' THEN CAST(floor(target * (cut / length(body))) AS BIGINT) ELSE target - CAST(floor(target * (cut / length(body))) AS BIGINT) END
-FROM (SELECT *, CASE WHEN nl > 0 AND mid + nl - 1 <= length(body) * 3 // 4 THEN mid + nl - 1 WHEN contains(left(body, mid + 1), ' ') THEN length(regexp_extract(left(body, mid + 1), '(?s)^(.*) ', 1)) ELSE mid END AS cut FROM (SELECT *, length(body) // 2 AS mid, instr(substr(body, length(body) // 2 + 1), chr(10)) AS nl FROM t WHERE depth < 6 AND strlen(body) // 4 + 1 > 512)), (VALUES ('0'), ('1')) s(side))
-SELECT doc_id, CAST(depth AS BIGINT) AS depth, pos, body, target FROM t WHERE NOT (depth < 6 AND strlen(body) // 4 + 1 > 512)""")
+FROM (SELECT *, CASE WHEN nl > 0 AND mid + nl - 1 <= length(body) * 3 // 4 THEN mid + nl - 1 WHEN contains(left(body, mid + 1), ' ') THEN length(regexp_extract(left(body, mid + 1), '(?s)^(.*) ', 1)) ELSE mid END AS cut FROM (SELECT *, length(body) // 2 AS mid, instr(substr(body, length(body) // 2 + 1), chr(10)) AS nl FROM t WHERE depth < 6 AND strlen(body) // 4 + 1 > {_LIMIT})), (VALUES ('0'), ('1')) s(side)),
+leaves AS (SELECT * FROM t WHERE NOT (depth < 6 AND strlen(body) // 4 + 1 > {_LIMIT})), {", ".join(up)}
+SELECT doc_id AS id, body AS summary, CAST(parts AS BIGINT) AS parts, CAST(depth AS BIGINT) AS depth, false AS verbatim FROM u0"""
+
+
+@query("win_reduce_tree", _reduce_sql())
 def win_reduce_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of the split of long notes near the middle (at a line feed, else a space) while they exceed 512 estimated tokens, at most six times; word targets follow the shares."""
-    level = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("depth"), F.lit("").alias("pos"), c("text").alias("body"), F.lit(100).cast("long").alias("target"))
-    leaves = []
-    for _ in range(6):
-        long = T.est_tokens(c("body")) > 512
-        leaves.append(level.where(~long))
-        cut = level.where(long).withColumn("mid", F.floor(F.length("body") / 2).cast("int"))
-        feed = F.instr(F.substring(c("body"), c("mid") + 1, F.length("body")), "\n")
-        early = F.left("body", c("mid") + 1)
-        space = F.when(early.contains(" "), F.length(F.regexp_extract(early, "(?s)^(.*) ", 1))).otherwise(c("mid"))
-        cut = cut.withColumn("cut", F.when((feed > 0) & (c("mid") + feed - 1 <= F.floor(F.length("body") * 3 / 4)), c("mid") + feed - 1).otherwise(space).cast("int"))
-        share = F.floor(c("target") * (c("cut") / F.length("body"))).cast("long")
-        halves = F.explode(F.array(F.struct(F.lit("0").alias("side"), F.left("body", c("cut")).alias("half"), share.alias("share")), F.struct(F.lit("1").alias("side"), F.substring(c("body"), c("cut") + 1, F.length("body")).alias("half"), (c("target") - share).alias("share"))))
-        level = cut.select("doc_id", "depth", "pos", halves.alias("h")).select("doc_id", (c("depth") + 1).alias("depth"), F.concat("pos", "h.side").alias("pos"), c("h.half").alias("body"), c("h.share").alias("target"))
-    leaves.append(level)
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+    """Summaries of whole texts by a model with little room: most are split, and not all joined summaries fit."""
+    notes = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), c("text").alias("notes"))
+    return reduction.reduce_long(notes, models.HeadOfPrompt(), context=reduction.ROOM + _LIMIT)

@@ -7,16 +7,19 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import pdf, sheets
+
 SCHEMA = "path string, kind string, text string, pages int, error string"
-SHEET_ROWS, SHEET_COLUMNS = 500, 26
 PLAIN = ("txt", "md", "markdown", "log", "csv", "tsv", "json", "xml", "yaml", "yml", "toml", "ini", "lrc")
 
 
@@ -24,6 +27,10 @@ class Unreadable(Exception):
     """Why a file has no text."""
 
 
+#: What the readers of a broken file may end with.
+BROKEN = (Unreadable, LookupError, ValueError, TypeError, AttributeError, RecursionError, struct.error, zlib.error, zipfile.BadZipFile, ET.ParseError)
+
+
 def decode(raw: bytes) -> str:
     """UTF-8 or UTF-16 by byte-order mark, else valid UTF-8, else Windows-1252."""
     for mark, charset in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -101,57 +108,6 @@ def epub(raw: bytes) -> tuple[str, int]:
         return "".join(f"\n--- {n} ---\n{_plain_html(decode(z.read(n)))}\n" for n in names), len(names)
 
 
-def _cell(cell: ET.Element, shared: list[str]) -> str:
-    kind = cell.get("t", "n")
-    value = next((x.text or "" for x in cell if _local(x.tag) == "v"), "")
-    if kind == "s":
-        return shared[int(value)]
-    if kind == "inlineStr":
-        return "".join(x.text or "" for x in cell.iter() if _local(x.tag) == "t")
-    if kind == "b":
-        return "true" if value == "1" else "false"
-    if kind == "n" and value:
-        number = float(value)
-        return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
-    return value
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]*", ref)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
-
-
-def xlsx(raw: bytes) -> tuple[str, int]:
-    with _archive(raw) as z:
-        names = z.namelist()
-        if "xl/workbook.xml" not in names:
-            raise Unreadable("no workbook")
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
-        titles = [s.get("name", "") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"]
-        out = []
-        for i, title in enumerate(titles, 1):
-            out.append(f"\n## Sheet: {title}\n")
-            if f"xl/worksheets/sheet{i}.xml" not in names:
-                out.append("(sheet unreadable)\n")
-                continue
-            rows = [r for r in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter() if _local(r.tag) == "row"][:SHEET_ROWS]
-            for row in rows:
-                cells = [""] * SHEET_COLUMNS
-                for k, cell in enumerate(x for x in row if _local(x.tag) == "c"):
-                    at = _column(cell.get("r", "")) if cell.get("r") else k
-                    if at < SHEET_COLUMNS:
-                        cells[at] = _cell(cell, shared)
-                while cells and not cells[-1]:
-                    cells.pop()
-                if cells:
-                    out.append(f"| {' | '.join(cells)} |\n")
-    return "".join(out), max(1, len(titles))
-
-
 _RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\(.)|([{}])|([^\\{}]+)", re.S)
 #: Groups without text of the document.
 RTF_HIDDEN = ("fonttbl", "colortbl", "stylesheet", "info")
@@ -198,15 +154,10 @@ def ole(raw: bytes) -> tuple[str, int]:
     return "\n".join(kept), 1
 
 
-def pdf(raw: bytes) -> tuple[str, int]:
-    """There is no text-layer reader here; pages are counted all the same."""
-    raise Unreadable(f"pdf text needs a reader that is not installed ({max(1, raw.count(b'/Type/Page'), raw.count(b'/Type /Page'))} pages)")
-
-
 READERS: dict[str, Callable[[bytes], tuple[str, int]]] = (
     {ext: (lambda raw: (decode(raw), 1)) for ext in PLAIN}
     | {ext: (lambda raw: (_plain_html(decode(raw)), 1)) for ext in ("html", "htm", "xhtml", "mhtml")}
-    | {"docx": docx, "pptx": pptx, "odt": odf, "ods": odf, "odp": odf, "epub": epub, "xlsx": xlsx, "xlsm": xlsx, "rtf": rtf, "doc": ole, "ppt": ole, "pdf": pdf}
+    | {"docx": docx, "pptx": pptx, "odt": odf, "ods": sheets.ods, "odp": odf, "epub": epub, "xlsx": sheets.xlsx, "xlsm": sheets.xlsx, "xls": sheets.xls, "rtf": rtf, "doc": ole, "ppt": ole, "pdf": pdf.read}
 )
 
 
@@ -224,8 +175,8 @@ def extract(path: str, raw: bytes, most: int = 500_000) -> tuple[str, str, str,
         if most and len(text) > most:
             text = text[:most] + "\n\n[…truncated at document cap…]"
         return path, ext, text, pages, None
-    except (Unreadable, KeyError, IndexError, ValueError, ET.ParseError) as e:
-        return path, ext, "", 0, str(e)
+    except BROKEN as e:
+        return path, ext, "", 0, str(e) or type(e).__name__
 
 
 def extract_files(files: DataFrame, most: int = 500_000) -> DataFrame:
