@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,43 +49,85 @@ def mixdown(samples: DataFrame) -> DataFrame:
     return mixed.join(F.broadcast(peak)).select("i", F.when(F.col("peak") > 1, F.col("v") * 0.99 / F.col("peak")).otherwise(F.col("v")).alias("v"))
 
 
-def denoise(pcm: np.ndarray, ratio: float = 2.0, frame: int = 320, second: int = 50) -> np.ndarray:
-    """Noise gate with a floor that follows the room, relearns after jumps of 10 dB, and light compression; a true recurrence over frames."""
-    x = pcm.astype(np.float64) - pcm.mean() if len(pcm) else pcm.astype(np.float64)
-    n = -(-len(x) // frame)
-    rms = np.array([math.sqrt(float((x[f * frame : (f + 1) * frame] ** 2).mean())) for f in range(n)])
-
-    def floor_of(a: int, b: int) -> float:
-        part = np.sort(rms[max(a, 0) : b])
-        return max(float(part[len(part) // 10]), 1e-6) if len(part) else 1e-6
-
-    floor = floor_of(0, min(n, 3000))
-    limit = floor * ratio
-    env = gain = 0.0
-    hang = hits = left = 0
-    out = x.copy()
-    for f in range(n):
-        if f and f % second == 0:
-            now = floor_of(f - second, f)
-            if now > floor * 3.16:
-                hits += 1
-                if hits >= 2 and not left:
-                    left = 3 * second
-            else:
-                hits = 0
-                floor = 0.95 * floor + 0.05 * now
-            limit = floor * ratio
-        learning = left > 0
-        if learning:
-            left -= 1
-            if not left:
-                floor, hits, learning = floor_of(f - 3 * second, f + 1), 0, False
-        env += (rms[f] - env) * (0.9 if rms[f] > env else 0.002)
-        hang = 3200 if env > (limit / 2 if learning else limit) else max(hang - frame, 0)
-        target = 1.0 if hang else 0.0
-        gain += (target - gain) * (0.05 if target > gain else 0.0008)
-        v = out[f * frame : (f + 1) * frame] * gain
-        over = np.abs(v) > 0.251
-        v[over] = np.sign(v[over]) * 0.251 * (1 + (np.abs(v[over]) / 0.251 - 1) * 0.5)
-        out[f * frame : (f + 1) * frame] = v
+#: Fixed values of the gate: frames of calibration, the rise that counts as a change (10 dB) and the seconds in which
+#: the floor is then learned anew, the floor's drift, attack and release of level and gain, frames that a gate stays
+#: open, and knee and slope of the compression.
+CALIBRATION, JUMP, RELEARN_SECONDS, DRIFT = 3000, 3.16, 3, 0.05
+LEVEL_UP, LEVEL_DOWN, GAIN_UP, GAIN_DOWN, HELD = 0.9, 0.002, 0.05, 0.0008, 10
+KNEE, SLOPE = 0.251, 0.5
+
+
+def tenth(rms: np.ndarray) -> float:
+    """The element at a tenth of the sorted frames, at least 1e-6."""
+    return max(float(np.sort(rms)[len(rms) // 10]), 1e-6) if len(rms) else 1e-6
+
+
+def thresholds(rms: np.ndarray, ratio: float, second: int) -> np.ndarray:
+    """Level above which each frame is let through: the floor of the room times ratio, halved while a new floor is learned.
+
+    The floor is followed second by second. Two loud seconds in a row start a window whose own floor counts after it."""
+    out, floor = np.empty(len(rms)), tenth(rms[:CALIBRATION])
+    window, loud_seconds, learned_at = RELEARN_SECONDS * second, 0, -1
+    for start in range(0, len(rms), second):
+        past = tenth(rms[start - second : start]) if start else floor
+        if start and past > JUMP * floor:
+            loud_seconds += 1
+            if loud_seconds > 1 and learned_at < 0:
+                learned_at = start + window - 1
+        elif start:
+            loud_seconds, floor = 0, floor + DRIFT * (past - floor)
+        stop = min(start + second, len(rms))
+        out[start:stop] = ratio * floor
+        if learned_at >= 0:
+            out[start : min(stop, learned_at)] /= 2
+            if learned_at < stop:
+                floor, loud_seconds, learned_at = tenth(rms[max(0, learned_at - window) : learned_at + 1]), 0, -1
     return out
+
+
+def follow(values: np.ndarray, up: float, down: float) -> np.ndarray:
+    """A level that runs after values, at one speed upwards and another downwards."""
+    out, level = np.empty(len(values)), 0.0
+    for k, v in enumerate(values.tolist()):
+        level += (v - level) * (up if v > level else down)
+        out[k] = level
+    return out
+
+
+def gate_gains(rms: np.ndarray, ratio: float = 2.0, second: int = 50) -> np.ndarray:
+    """Gain of each frame from the frames' levels."""
+    loud = follow(rms, LEVEL_UP, LEVEL_DOWN) > thresholds(rms, ratio, second)
+    frame = np.arange(len(rms))
+    last_loud = np.maximum.accumulate(np.where(loud, frame, -HELD)) if len(rms) else frame
+    return follow((frame - last_loud < HELD).astype(np.float64), GAIN_UP, GAIN_DOWN)
+
+
+def denoise(pcm: np.ndarray, ratio: float = 2.0, frame: int = 320, second: int = 50) -> np.ndarray:
+    """The gate over the samples of one take."""
+    x = pcm.astype(np.float64)
+    if not len(x):
+        return x
+    x -= x.mean()
+    starts = np.arange(0, len(x), frame)
+    sizes = np.diff(np.append(starts, len(x)))
+    v = x * np.repeat(gate_gains(np.sqrt(np.add.reduceat(x * x, starts) / sizes), ratio, second), sizes)
+    level = np.abs(v)
+    return np.where(level > KNEE, np.sign(v) * (KNEE + (level - KNEE) * SLOPE), v)
+
+
+def gate(frames: DataFrame, ratio: float = 2.0, second: int = 50) -> DataFrame:
+    """(take, f, gain, samples) of frames (take, f, samples) after the gate.
+
+    Levels are taken where the frames are. Only they, a number a frame, come together by take, as their gains
+    depend on all that went before; samples are scaled and compressed where they are again."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("f")
+        return rows[["take", "f"]].assign(gain=gate_gains(rows["rms"].to_numpy(), ratio, second))
+
+    gains = frame_rms(frames).groupBy("take").applyInPandas(run, "take long, f long, gain double")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    mean = frames.groupBy("take").agg((F.sum(total) / F.sum(F.size("samples"))).alias("mean"))
+    scaled = F.transform("samples", lambda v: (v.cast("double") - F.col("mean")) * F.col("gain"))
+    compressed = F.transform(scaled, lambda v: F.when(F.abs(v) > KNEE, F.signum(v) * (KNEE + (F.abs(v) - KNEE) * SLOPE)).otherwise(v))
+    return frames.join(mean, "take").join(gains, ["take", "f"]).select("take", "f", "gain", compressed.alias("samples"))

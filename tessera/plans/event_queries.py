@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import frames as video_frames
 from tessera.operators import signal
 from tessera.registry import query, table
 from tessera.session import scratch
@@ -133,21 +134,27 @@ def win_stt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("win").agg(F.min("f").alias("first"), F.count("*").alias("frames"), F.min("f").alias("base_t0"))
 
 
-@query("win_denoise_gate")
-def win_denoise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes through the gate: a recurrence over frames, so one task per take; a take has at most hours of samples."""
-    frames = _frames(spark, sf_dir)
-
-    def run(rows):
-        import numpy as np
-        import pandas as pd
+#: Few vectors make a take here, so a second is five frames.
+_SECOND = 5
+_TENTH = "greatest(list_sort({0})[len({0}) // 10 + 1], 0.000001)"
+_GATE = f"""WITH RECURSIVE fr AS (SELECT CAST(label AS BIGINT) AS take, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS f, embedding AS s FROM embeddings),
+sm AS (SELECT take, f, len(s) AS n, list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE))) AS s, list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS q FROM fr), mn AS (SELECT take, sum(s) / sum(n) AS m FROM sm GROUP BY take),
+rms AS (SELECT take, f, sqrt(greatest((q - 2 * m * s + n * m * m) / n, 0)) AS rms FROM sm JOIN mn USING (take)), l AS (SELECT take, list(rms ORDER BY f) AS r FROM rms GROUP BY take),
+g(take, f, floor, lim, hits, until, env, loud, gain) AS (SELECT take, CAST(-1 AS BIGINT), {_TENTH.format('r[1:3000]')}, 0.0::DOUBLE, 0, CAST(-1 AS BIGINT), 0.0::DOUBLE, CAST(-1000 AS BIGINT), 0.0::DOUBLE FROM l
+UNION ALL SELECT take, f, floor, lim, hits, until, env, loud, gain + (goal - gain) * CASE WHEN goal > gain THEN 0.05 ELSE 0.0008 END FROM (SELECT *, CASE WHEN f - loud < 10 THEN 1.0 ELSE 0.0 END AS goal FROM (
+SELECT take, f, CASE WHEN until = f THEN {_TENTH.format(f'r[greatest(f - {3 * _SECOND}, 0) + 1:f + 1]')} ELSE floor END AS floor, lim, CASE WHEN until = f THEN 0 ELSE hits END AS hits, CASE WHEN until = f THEN -1 ELSE until END AS until, env, CASE WHEN env > CASE WHEN until > f THEN lim / 2 ELSE lim END THEN f ELSE loud END AS loud, gain FROM (
+SELECT take, f, r, CASE WHEN edge AND NOT jump THEN floor * 0.95 + now * 0.05 ELSE floor END AS floor, CASE WHEN edge OR f = 0 THEN 2 * CASE WHEN edge AND NOT jump THEN floor * 0.95 + now * 0.05 ELSE floor END ELSE lim END AS lim, CASE WHEN NOT edge THEN hits WHEN jump THEN hits + 1 ELSE 0 END AS hits, CASE WHEN edge AND jump AND hits >= 1 AND until < f THEN f + {3 * _SECOND - 1} ELSE until END AS until, env + (rms - env) * CASE WHEN rms > env THEN 0.9 ELSE 0.002 END AS env, loud, gain FROM (
+SELECT *, edge AND now > 3.16 * floor AS jump FROM (SELECT g.*  REPLACE (g.f + 1 AS f), r, r[g.f + 2] AS rms, g.f + 1 > 0 AND (g.f + 1) % {_SECOND} = 0 AS edge, CASE WHEN g.f + 1 > 0 AND (g.f + 1) % {_SECOND} = 0 THEN {_TENTH.format(f'r[g.f + 2 - {_SECOND}:g.f + 1]')} END AS now FROM g JOIN l USING (take) WHERE g.f + 1 < len(r)))))))
+SELECT take, f, round(gain, 6) AS gain, round(sqrt(list_sum(list_transform(list_transform(s, lambda x: (CAST(x AS DOUBLE) - m) * gain), lambda v: CASE WHEN abs(v) > 0.251 THEN power(0.251 + (abs(v) - 0.251) * 0.5, 2) ELSE v * v END)) / len(s)), 6) AS rms FROM g JOIN fr USING (take, f) JOIN mn USING (take)"""
 
-        rows = rows.sort_values("f")
-        pcm = np.concatenate([np.asarray(x, np.float64) for x in rows["samples"]])
-        out = signal.denoise(pcm)
-        return pd.DataFrame({"take": [rows["take"].iloc[0]], "n": [len(out)], "rms": [round(float(np.sqrt((out**2).mean())), 6)]})
 
-    return frames.groupBy("take").applyInPandas(run, "take long, n long, rms double")
+@query("win_denoise_gate", _GATE)
+def win_denoise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames through the gate: gain and level of each."""
+    place = F.row_number().over(Window.partitionBy("take").orderBy("f")) - 1
+    frames = _frames(spark, sf_dir).select("take", place.cast("long").alias("f"), "samples")
+    squares = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)
+    return signal.gate(frames, second=_SECOND).select("take", "f", F.round("gain", 6).alias("gain"), F.round(F.sqrt(squares / F.size("samples")), 6).alias("rms"))
 
 
 _POINTS = "SELECT user_id % 20 AS take, CAST(event_id AS DOUBLE) AS t, value / 100 AS gain FROM events WHERE event_type = 'error'"
@@ -178,16 +185,20 @@ def agg_unmixed_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.mixdown(rows).select("i", F.round("v", 6).alias("v"))
 
 
-_CUTS = "SELECT user_id AS video, event_id % 1000 AS t FROM events WHERE event_type = 'click'"
+#: Each video is 1,200 seconds long.
+_CUTS = """c AS (SELECT *, CASE WHEN attention >= 67 THEN 1000 WHEN attention >= 34 THEN 4000 ELSE 10000 END AS period, CASE WHEN attention >= 67 THEN 384 WHEN attention >= 34 THEN 192 ELSE 96 END AS most FROM (SELECT DISTINCT user_id % 50 AS video, user_id % 50 * 2 AS attention, event_id * 3701 % 1200000 AS t FROM events WHERE event_type = 'click') QUALIFY row_number() OVER (PARTITION BY video ORDER BY t) <= 128),
+b AS (SELECT video, unnest(range(least(any_value(most), 1200000 // any_value(period) + 1))) * any_value(period) AS at FROM c GROUP BY video),
+d AS (SELECT video, t, period, (SELECT count(*) FROM b WHERE b.video = c.video) AS regular, row_number() OVER (PARTITION BY video ORDER BY t) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.video = c.video AND 2 * abs(b.at - t) < period)),
+k(video, n, t, kept, last, frames) AS (SELECT video, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST(-100000 AS BIGINT), regular FROM d WHERE n = 1 UNION ALL
+SELECT video, n, t, keep, CASE WHEN keep THEN t ELSE last END, frames + CASE WHEN keep THEN 1 ELSE 0 END FROM (SELECT d.video, d.n, d.t, k.last, k.frames, k.frames < 512 AND 2 * (d.t - k.last) >= d.period AS keep FROM k JOIN d ON d.video = k.video AND d.n = k.n + 1))"""
 
 
-@query("join_cut_dedupe", f"SELECT DISTINCT video, t FROM ({_CUTS}) WHERE NOT (least(t % 30, 30 - t % 30) < 15 AND t // 30 < 20 AND (t % 30 < 15 OR (t // 30 + 1) < 20)) ")
+@query("join_cut_dedupe", f"WITH RECURSIVE {_CUTS} SELECT video, t FROM k WHERE kept")
 def join_cut_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts nearer than half a period to a frame of the regular schedule go: a range anti join by buckets of the period."""
-    cuts = table(spark, sf_dir, "events").where("event_type = 'click'").select(c("user_id").alias("video"), (c("event_id") % 1000).alias("t")).distinct()
-    base = spark.range(20).select((c("id") * 30).alias("b"), F.explode(F.array(c("id") - 1, c("id"))).alias("bucket"))
-    keyed = cuts.withColumn("bucket", F.floor(c("t") / 30))
-    return keyed.join(F.broadcast(base), (keyed["bucket"] == base["bucket"]) & (F.abs(c("t") - c("b")) < 15), "left_anti").select("video", "t")
+    """Scene cuts at a distance of half a period from regular frames and from cuts kept before them."""
+    clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
+    cuts = clicks.select((c("user_id") % 50).alias("video"), (c("event_id") * 3701 % 1_200_000).alias("t")).distinct()
+    return video_frames.spaced_cuts(cuts.select("video", (c("video") * 2).alias("attention"), F.lit(1_200_000).alias("duration"), "t"))
 
 
 _SUBSET = "f AS (SELECT user_id AS video, event_id AS t, event_type = 'error' AS cut, user_id % 101 AS att FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY video, cut ORDER BY t) - 1 AS k, row_number() OVER (PARTITION BY video ORDER BY t) - 1 AS p, count(*) OVER (PARTITION BY video) AS total FROM f), s AS (SELECT *, att >= 67 OR cut OR k % (CASE WHEN att >= 34 THEN 4 ELSE 10 END) = 0 AS chosen FROM n), z AS (SELECT *, sum(CASE WHEN chosen THEN 1 ELSE 0 END) OVER (PARTITION BY video) AS m FROM s)"

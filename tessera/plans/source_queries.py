@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sqlite3
 import struct
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import mixing
 from tessera.plans import made_files
 from tessera.registry import query, table
 from tessera.session import scratch
@@ -144,13 +147,25 @@ def sink_wav_rf64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(_takes(spark, sf_dir), one, "path string, size long, data_bytes long")
 
 
-def make_project(value: list[float], mute: bool) -> bytes:
-    """Bytes of a small project database: one sounding track and one that may be muted."""
-    import os
-    import sqlite3
-    import tempfile
+@dataclass
+class MadeTrack:
+    """A track of a made project: one clip, in blocks of some samples."""
+
+    samples: list[float]
+    mute: bool = False
+    solo: bool = False
+    gain: float = 1.0
+    pan: float = 0.0
+    rate: float = 8000.0
+    offset: float = 0.0
+    trims: tuple[float, float] = (0.0, 0.0)
+    points: tuple[tuple[float, float], ...] = ()
+    block: int = 1 << 18
+
 
-    names = ["project", "rate", "wavetrack", "mute", "gain", "waveclip", "offset", "sequence", "numsamples", "waveblock", "start", "blockid", "envelope", "controlpoint", "t", "val"]
+def made_project(tracks: list[MadeTrack], rate: float = 8000.0) -> bytes:
+    """Bytes of a project database."""
+    names = ["project", "rate", "wavetrack", "mute", "solo", "gain", "pan", "waveclip", "offset", "trimLeft", "trimRight", "sequence", "numsamples", "waveblock", "start", "blockid", "envelope", "controlpoint", "t", "val"]
     of = {n: i for i, n in enumerate(names)}
     head = struct.pack("<BB", audio.CHAR_SIZE, 1) + b"".join(struct.pack("<BHH", audio.NAME, i, len(n)) + n.encode() for n, i in of.items())
 
@@ -158,33 +173,54 @@ def make_project(value: list[float], mute: bool) -> bytes:
         fields = b"".join(struct.pack("<BHq", audio.LONGLONG, of[k], v) if isinstance(v, int) else struct.pack("<BHdi", audio.DOUBLE, of[k], v, 9) for k, v in attrs.items())
         return struct.pack("<BH", audio.START, of[name]) + fields + inner + struct.pack("<BH", audio.END, of[name])
 
-    clip = tag("waveclip", {"offset": 0.0}, tag("sequence", {"numsamples": len(value)}, tag("waveblock", {"start": 0, "blockid": 1})) + tag("envelope", {}, tag("controlpoint", {"t": 0.0, "val": 1.0})))
-    doc = tag("project", {"rate": 8000.0}, tag("wavetrack", {"mute": 0, "gain": 0.5}, clip) + tag("wavetrack", {"mute": int(mute), "gain": 1.0}, clip))
-    with tempfile.TemporaryDirectory() as folder:
-        db = sqlite3.connect(os.path.join(folder, "p.aup3"))
+    with sqlite3.connect(":memory:") as db:
         db.executescript(f"PRAGMA application_id={int.from_bytes(b'AUDY', 'big')}; CREATE TABLE project(id, dict, doc); CREATE TABLE autosave(id, dict, doc); CREATE TABLE sampleblocks(blockid INTEGER, sampleformat INTEGER, samples BLOB);")
-        db.execute("INSERT INTO project VALUES (1, ?, ?)", (head, doc))
-        db.execute("INSERT INTO sampleblocks VALUES (1, ?, ?)", (audio.FLOAT32, struct.pack(f"<{len(value)}f", *value)))
+        body, number = b"", 0
+        for track in tracks:
+            held = b""
+            for at in range(0, len(track.samples), track.block):
+                part, number = track.samples[at : at + track.block], number + 1
+                db.execute("INSERT INTO sampleblocks VALUES (?, ?, ?)", (number, audio.FLOAT32, struct.pack(f"<{len(part)}f", *part)))
+                held += tag("waveblock", {"start": at, "blockid": number})
+            points = b"".join(tag("controlpoint", {"t": float(t), "val": float(v)}) for t, v in track.points)
+            clip = tag("waveclip", {"offset": track.offset, "trimLeft": track.trims[0], "trimRight": track.trims[1]}, tag("sequence", {"numsamples": len(track.samples)}, held) + tag("envelope", {}, points))
+            body += tag("wavetrack", {"mute": int(track.mute), "solo": int(track.solo), "gain": track.gain, "pan": track.pan, "rate": track.rate}, clip)
+        db.execute("INSERT INTO project VALUES (1, ?, ?)", (head, tag("project", {"rate": rate}, body)))
         db.commit()
-        db.close()
-        with open(os.path.join(folder, "p.aup3"), "rb") as file:
-            return file.read()
+        return db.serialize()
+
+
+def make_project(value: list[float], mute: bool) -> bytes:
+    """A small project: one sounding track and one that may be muted."""
+    return made_project([MadeTrack(value, gain=0.5), MadeTrack(value, mute=mute)])
 
 
-@query("src_audacity")
+#: The second track's rate, by the vector's number, and its trims in seconds.
+_RATES, _TRIMS = (8000.0, 4000.0, 11025.0), (0.0005, 0.00025)
+_MIXES = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, len(embedding) AS n, ({list(_RATES)})[vec_id % 3 + 1] AS own, round(vec_id % 5 * 8) AS first, (vec_id % 7 - 3) / 3 AS pan FROM embeddings),
+c AS (SELECT *, CAST(floor({_TRIMS[0]} * own + 0.5) AS BIGINT) AS skip, CAST(floor((n - floor({_TRIMS[1]} * own + 0.5) - floor({_TRIMS[0]} * own + 0.5)) / own * 8000 + 0.5) AS BIGINT) AS size FROM e),
+b AS (SELECT vec_id, unnest(range(n)) AS i, 0.5 * unnest(e) AS v FROM e UNION ALL
+SELECT vec_id, first + s, v * (CASE WHEN s / 8000 >= 0.004 THEN 0.25 ELSE 1 - 0.75 * (s / 8000) / 0.004 END) * (cos((pan + 1) * pi() / 4) + sin((pan + 1) * pi() / 4)) / sqrt(2)
+FROM (SELECT *, e[w + 1] * (1 - p) + CASE WHEN w = 39 OR w + 1 >= n THEN 0 ELSE e[w + 2] END * p AS v FROM (SELECT *, CAST(floor(spot) AS BIGINT) AS w, spot - floor(spot) AS p FROM (SELECT *, skip + s * (own / 8000) AS spot FROM (SELECT *, unnest(range(size)) AS s FROM c WHERE vec_id % 2 = 1))) WHERE w < n)),
+m AS (SELECT vec_id, CAST(i AS BIGINT) AS i, sum(v) AS v FROM b GROUP BY ALL), p AS (SELECT vec_id, max(abs(v)) AS peak FROM m GROUP BY vec_id)
+SELECT 'p' || vec_id || '.aup3' AS path, 8000.0::DOUBLE AS rate, greatest(n, CASE WHEN vec_id % 2 = 1 THEN CAST(first AS BIGINT) + size ELSE 0 END) AS places, i, round(CASE WHEN peak > 1 THEN v * 0.99 / peak ELSE v END, 6) AS v FROM m JOIN p USING (vec_id) JOIN c USING (vec_id)"""
+
+
+@query("src_audacity", _MIXES)
 def src_audacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Project databases made from the vectors, rendered to mono."""
+    """Projects made from the vectors, mixed: the second track has a rate, place, pan, trims and envelope of its own."""
+
+    def made(i: int, vector: list[float]) -> bytes:
+        second = MadeTrack(vector, mute=i % 2 == 0, pan=(i % 7 - 3) / 3, rate=_RATES[i % 3], offset=i % 5 / 1000, trims=_TRIMS, points=((0.0, 1.0), (0.004, 0.25)), block=40)
+        return made_project([MadeTrack(vector, gain=0.5), second])
 
     def make(batches):
         for rows in batches:
-            yield pd.DataFrame({"path": [f"p{i}.aup3" for i in rows["vec_id"]], "content": [make_project([float(x) for x in e], i % 2 == 0) for i, e in zip(rows["vec_id"], rows["embedding"], strict=True)]})
-
-    def one(path: str, raw: bytes) -> tuple:
-        mix, rate = audio.render(raw)
-        return path, len(mix), rate, round(float(abs(mix).max()), 6)
+            yield pd.DataFrame({"path": [f"p{i}.aup3" for i in rows["vec_id"]], "content": [made(i, [float(x) for x in e]) for i, e in zip(rows["vec_id"], rows["embedding"], strict=True)]})
 
-    made = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
-    return _over(made, one, "path string, frames long, rate double, peak double")
+    files = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
+    found = mixing.mixes(files)
+    return found.select("path", "rate", "places", "piece", F.posexplode("samples").alias("k", "v")).select("path", "rate", "places", (c("piece") * mixing.PIECE + c("k")).alias("i"), F.round("v", 6).alias("v"))
 
 
 @query("src_dir_expand")

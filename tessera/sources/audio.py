@@ -11,6 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Highest rate of a track, and the peak of a mix that would exceed 1.
+MOST_RATE, LOUDEST = 768_000, 0.99
+
+
 @dataclass
 class Header:
     rate: int
@@ -226,38 +230,90 @@ def project_rows(raw: bytes) -> dict:
     return out
 
 
-def render(raw: bytes, hours: float = 5) -> tuple[np.ndarray, float]:
-    """Mono mix of a project at its rate: solo and mute, gain, pan, envelopes, trims; missing blocks are silence."""
+def _whole(x: float) -> int:
+    """The nearest whole number; halves go up."""
+    return math.floor(x + 0.5)
+
+
+@dataclass
+class Block:
+    """A stored block of samples of a clip that is heard, and where its clip lies in the mix.
+
+    Place s of the clip's audible part takes the sample at ``skip + s * ratio``, between two samples by their
+    weights; behind the last sample of a block there is silence."""
+
+    first: int  # place of the clip's audible part in the mix
+    size: int  # places that it fills there
+    skip: int  # samples that are trimmed from its start
+    ratio: float  # samples a place
+    rate: float  # places a second
+    gain: float
+    start: int  # samples of the block
+    end: int
+    form: int
+    blob: bytes
+    points: list[tuple[float, float]]
+
+    def mixed(self) -> tuple[int, np.ndarray]:
+        """(place in the mix, values) of what the block adds."""
+        low = max(0, math.ceil((self.start - self.skip) / self.ratio) - 1)
+        high = min(self.size, math.ceil((self.end - self.skip) / self.ratio) + 1)
+        place = np.arange(low, max(low, high))
+        at = self.skip + place * self.ratio
+        whole = np.floor(at).astype(np.int64)
+        mine = (whole >= self.start) & (whole < self.end)
+        place, whole, part = place[mine], whole[mine] - self.start, (at - np.floor(at))[mine]
+        if not len(place) or not self.blob:
+            return self.first, np.zeros(0)
+        value = _block(self.form, self.blob)
+        value = np.append(value, np.zeros(max(0, int(whole[-1]) + 2 - len(value))))
+        value = value[whole] * (1 - part) + value[whole + 1] * part
+        if self.points:
+            value = value * np.interp(place / self.rate, *zip(*self.points, strict=True))
+        return self.first + int(place[0]), value * self.gain
+
+
+def heard_blocks(raw: bytes, hours: float = 5) -> tuple[float, int, list[Block]]:
+    """(rate, places, blocks) of a project: muted tracks, and those beside a solo one, are not heard.
+
+    A solo track that is muted is not heard and silences no other. Tracks have rates of their own."""
     rows = project_rows(raw)
     rate = rows["rate"]
-    # a solo track that is muted is not heard and silences no other
     solo = any(t["solo"] and not t["mute"] for t in rows["tracks"])
     heard = {t["track"]: t for t in rows["tracks"] if not t["mute"] and (t["solo"] or not solo)}
-    parts = []
+    out, places = [], 0
     for b in rows["blocks"]:
-        if b["track"] not in heard or not b["total"]:
+        track = heard.get(b["track"])
+        own = track["rate"] if track and track["rate"] > 0 else rate
+        if not track or own > MOST_RATE:
             continue
-        track = heard[b["track"]]
-        if track["rate"] > 0 and track["rate"] != rate:
-            raise ValueError("tracks at other rates need resampling")
-        form, blob = rows["samples"].get(b["block"], (FLOAT32, b""))
-        value = _block(form, blob) if blob else np.zeros(0)
-        place = np.arange(b["start"], b["end"])
-        value = np.pad(value, (0, max(0, len(place) - len(value))))[: len(place)]
-        inside = (place >= round(b["trim_left"] * rate)) & (place < b["total"] - round(b["trim_right"] * rate))
-        points = sorted((p["t"], p["gain"]) for p in rows["points"] if (p["track"], p["clip"]) == (b["track"], b["clip"]))
-        if points:
-            value = value * np.interp(place / rate, *zip(*points, strict=True))
+        skip = _whole(b["trim_left"] * own)
+        kept = b["total"] - _whole(b["trim_right"] * own) - skip
+        size, first = _whole(kept / own * rate), _whole(b["offset"] * rate)
+        if kept <= 0 or size <= 0:
+            continue
+        places = max(places, first + size)
         angle = (track["pan"] + 1) * math.pi / 4
-        value = value * track["gain"] * (math.cos(angle) + math.sin(angle)) / math.sqrt(2)
-        parts.append((round(b["offset"] * rate) + place[inside], value[inside]))
-    size = max((int(p[-1]) + 1 for p, _ in parts if len(p)), default=0)
-    if not size:
+        gain = track["gain"] * (math.cos(angle) + math.sin(angle)) / math.sqrt(2)
+        points = sorted((p["t"], p["gain"]) for p in rows["points"] if (p["track"], p["clip"]) == (b["track"], b["clip"]))
+        form, blob = rows["samples"].get(b["block"], (FLOAT32, b""))
+        out.append(Block(first, size, skip, own / rate, rate, gain, b["start"], b["end"], form, blob, points))
+    if not places:
         raise ValueError("nothing to render")
-    if size > hours * 3600 * rate:
+    if places > hours * 3600 * rate:
         raise ValueError("project too long")
-    mix = np.zeros(size)
-    for place, value in parts:
-        np.add.at(mix, place, value)
-    peak = np.abs(mix).max()
-    return (mix * 0.99 / peak if peak > 1 else mix), rate
+    return rate, places, out
+
+
+def levelled(mix: np.ndarray, peak: float) -> np.ndarray:
+    return mix * (LOUDEST / peak) if peak > 1 else mix
+
+
+def render(raw: bytes, hours: float = 5) -> tuple[np.ndarray, float]:
+    """Mono mix of one project at its rate: solo and mute, gain, pan, envelopes, trims, other rates; missing blocks are silence."""
+    rate, places, blocks = heard_blocks(raw, hours)
+    mix = np.zeros(places)
+    for block in blocks:
+        at, value = block.mixed()
+        mix[at : at + len(value)] += value
+    return levelled(mix, float(np.abs(mix).max())), rate
