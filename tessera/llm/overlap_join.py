@@ -1,21 +1,22 @@
 """Similarity join on sets of word shingles by T-occurrence search (DivideSkip), exact at any Jaccard threshold of tenths.
 
 1. Documents with one set of shingles are one set: a row number stands for it.
-2. Which sets can meet. Sets that link share at least T shingles, so under any order of all shingles (here
+2. Which sets can link. Sets that link share at least T shingles, so under any order of all shingles (here
    that of their hashes) their first n - T + l share at least l. Each set sends its first 2 (n - T) + 1
    hashes; hashes that no other set sent are dropped, and so are sets left with fewer than the l that a
    partner of the least size would share. Common passages alone never keep a set.
 3. Sets that share one of their first n - T + 1 hashes meet: each hash names the least row among its sets,
-   and sets gather under the rows so named. First each set goes to the row that most of its hashes name;
-   then, for hashes whose sets are not of one component by now, to all of them. Gatherings are packed into
-   cells; one that is larger than a cell is split into blocks.
-4. In a cell, an inverted list for each shingle. A set asks for all others that are on at least T of its
-   lists: the longest lists are left aside (as many as DivideSkip's rule says), the others are merged from
-   a heap, shortest first, and what is on enough of them is looked up in the long lists by binary search.
-   Sets already in one component are not compared again: they need no further link to be of one component.
-5. Components of the links, over the shared folder. For gatherings of several blocks, sets outside the
-   largest component then ask all other blocks in the same way, in groups that fit a cell.
-6. A component is named by its least doc_id.
+   and sets gather under the rows so named, with their first hashes only. Those of which l are common are
+   candidates of each other; their components are closed under links, so each set is in one family.
+4. Families meet with their whole sets, each of which travels once.
+5. A meeting, both times, is a T-occurrence search in a cell: an inverted list for each hash; a set asks for
+   all others that are on at least T of its lists. The longest lists are left aside (as many as DivideSkip's
+   rule says), the others are merged from a heap, shortest first, and what is on enough of them is looked up
+   in the long lists by binary search. Sets already in one component are not compared again: they need no
+   further link to be of one component.
+6. Small gatherings share a cell; one that is larger than a cell is split into blocks, and what then stands
+   outside its largest component asks all other blocks in the same way, in groups that fit a cell.
+7. A component of links is named by its least doc_id.
 
 A shingle is a 64-bit hash of its words, within a cell its upper 48 bits; sets are told apart by 128 bits.
 
@@ -48,7 +49,7 @@ MOST_SENT = 4_000_000
 RUN = 2 << 20
 #: The weight of DivideSkip's rule for the number of long lists (Li, Lu and Lu, 2008).
 MU = 0.0085
-SET = "row long, n long, keys binary"
+SET = "row long, n long, load long, keys binary"
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -80,7 +81,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
 
 
 class Overlap:
-    """What sets must share to reach a threshold of ``tenths`` in ten."""
+    """What whole sets must share to reach a threshold of ``tenths`` in ten."""
 
     def __init__(self, tenths: int) -> None:
         self.tenths = tenths
@@ -88,27 +89,33 @@ class Overlap:
     def least_partner(self, n: int) -> int:
         return -(-self.tenths * n // 10)
 
-    def spare(self, n: int) -> int:
+    def spare(self, n: np.ndarray | int) -> np.ndarray | int:
         """Shingles that a set may have beside those of a partner."""
-        return n - self.least_partner(n)
+        return n - -(-self.tenths * n // 10)
 
     def needed(self, n: int, m: np.ndarray | int) -> np.ndarray | int:
         """Least number of common shingles of linked sets of n and m."""
         return -(-self.tenths * (n + m) // (10 + self.tenths))
 
-    def shared_of_long_prefix(self, n: int) -> int:
-        return self.spare(self.least_partner(n)) + 1
+    def least(self, n: int) -> int:
+        """The least that any partner of n needs."""
+        return int(self.needed(n, self.least_partner(n)))
+
+
+class FirstOverlap(Overlap):
+    """What the first hashes of sets must share, if the sets link."""
+
+    def needed(self, n: int, m: np.ndarray | int) -> np.ndarray | int:
+        return self.spare(np.minimum(n, m)) + 1
 
 
 class Cell:
-    """Inverted lists of some sets, and the links between them."""
-
-    def __init__(self, rows: np.ndarray, sets: list[np.ndarray], rule: Overlap, comps: np.ndarray | None = None) -> None:
-        sizes = np.array([len(s) for s in sets], np.int64)
-        order = np.argsort(sizes, kind="stable")
-        self.rows, self.sets, self.sizes, self.rule = rows[order], [sets[i] for i in order.tolist()], sizes[order], rule
-        flat = np.concatenate(self.sets) if len(sets) else np.zeros(0, np.uint64)
-        member = np.repeat(np.arange(len(sets), dtype=np.int64), self.sizes)
+    """Inverted lists of some sets of hashes, of which each stands for a set of ``sizes``, and the links between them."""
+
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], rule: Overlap, comps: np.ndarray | None = None) -> None:
+        self.rows, self.sets, self.sizes, self.rule = rows, sets, sizes, rule
+        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        member = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
         by = np.argsort(flat, kind="stable")
         flat, self.members = flat[by], member[by]
         first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
@@ -116,7 +123,7 @@ class Cell:
         #: Places of the lists: (list, member) in one sorted array for binary search.
         self.places = np.repeat(np.arange(len(first), dtype=np.int64), self.ends - self.starts) * max(1, len(sets)) + self.members
         #: Names of known components, and the place of each member's own.
-        self.names, self.comp = np.unique(self.rows if comps is None else comps[order], return_inverse=True)
+        self.names, self.comp = np.unique(rows if comps is None else comps, return_inverse=True)
         self.n_comps = len(self.names)
 
     def merged(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +141,15 @@ class Cell:
         first = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
         return whole[first], np.diff(np.append(first, len(whole)))
 
-    def search(self, keys: np.ndarray, alone: int, wanted: np.ndarray) -> np.ndarray:
-        """Members that reach the required overlap with a set, of those marked as wanted. Lists of up to ``alone`` members have none to find."""
-        n, rule = len(keys), self.rule
-        at = np.searchsorted(self.keys, keys)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)] if len(self.keys) else at[:0]
+    def search(self, n: int, keys: np.ndarray, alone: int, wanted: np.ndarray) -> np.ndarray:
+        """Members that reach the required overlap with a set of n, of those marked as wanted. Lists of up to ``alone`` members have none to find."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = at[self.keys[at] == keys]
         length = self.ends[at] - self.starts[at]
         at, length = at[length > alone], length[length > alone]
-        least = int(rule.needed(n, rule.least_partner(n)))
+        least = self.rule.least(n)
         if len(at) < least:
             return np.zeros(0, np.int64)
         by = np.argsort(length, kind="stable")
@@ -149,8 +157,9 @@ class Cell:
         n_long = min(least - 1, int(least / (MU * math.log2(max(2, int(length[-1]))) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
         found, count = self.merged([self.members[a:b] for a, b in zip(self.starts[short].tolist(), self.ends[short].tolist(), strict=True)])
-        need = rule.needed(n, self.sizes[found])
-        keep = (count + n_long >= need) & (need <= np.minimum(n, self.sizes[found])) & wanted[found]
+        size = self.sizes[found]
+        need, lower, upper = self.rule.needed(n, size), np.minimum(n, size), np.maximum(n, size)
+        keep = (count + n_long >= need) & (10 * lower >= self.rule.tenths * upper) & wanted[found]
         found, count, need = found[keep], count[keep], need[keep]
         step = max(1, CELL // max(1, n_long))
         for a in range(0, len(found), step):
@@ -178,7 +187,7 @@ class Cell:
             if self.n_comps == 1:
                 break
             waiting[x] = False
-            out += [(int(self.rows[x]), int(self.rows[y])) for y in self.join(x, self.search(self.sets[x], 1, waiting & (self.comp != self.comp[x])))]
+            out += [(int(self.rows[x]), int(self.rows[y])) for y in self.join(x, self.search(int(self.sizes[x]), self.sets[x], 1, waiting & (self.comp != self.comp[x])))]
         return out
 
 
@@ -186,42 +195,55 @@ def _short(keys: np.ndarray) -> bytes:
     return squeeze(keys >> np.uint64(16))
 
 
+def _first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.sort(x.values.to_numpy().view(np.uint64)) for x in batch.column("keys")]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array([len(k) for k in keys], pa.int64()), pa.array([_short(k) for k in keys], pa.binary())], ["row", "n", "load", "keys"])
+
+
 def _link_table(links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
 
 
-def _gathered(met: DataFrame, whole: DataFrame, rule: Overlap, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links within cells of the gatherings (lead, row, c); the cells (lead, block, row, c), and (lead, load, blocks).
+def _cell(group: pa.Table, rule: Overlap) -> Cell:
+    sets = [unsqueeze(x) for x in group.column("keys").to_pylist()]
+    return Cell(group.column("row").to_numpy(), group.column("n").to_numpy(), sets, rule, group.column("c").to_numpy())
+
 
-    A cell holds a bin of small gatherings (lead -1), or a block of a large one together with its lead. c is a
-    component that is known already."""
-    loads = met.join(whole.select("row", "n"), "row").groupBy("lead").agg(F.sum("n").alias("load"))
+def _met(met: DataFrame, sets: DataFrame, rule: Overlap, cell: int) -> DataFrame:
+    """(node, component) of the sets that are linked by the rule, among those that gather as (lead, row); sets are SET rows."""
+    loads = met.join(sets.select("row", "load"), "row").groupBy("lead").agg(F.sum("load").alias("load"), F.count("*").alias("n")).where("n > 1")
     loads = stage(loads.withColumn("blocks", F.when(F.col("load") > cell, F.ceil(F.col("load") * 2 / cell)).otherwise(0).cast("int")), "loads")
-    total = loads.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 0, F.col("load"))), F.lit(0))).first()[0]
+    total, most = loads.agg(F.coalesce(F.sum(F.when(F.col("blocks") == 0, F.col("load"))), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     bins = max(1, -(-2 * total // cell))
+    # a cell holds a bin of small gatherings (lead -1), or a block of a large one together with its lead
     large = F.col("blocks") > 0
     of_row = F.pmod(F.xxhash64("row"), F.when(large, F.col("blocks")).otherwise(1))
-    placed = met.join(loads, "lead").select("lead", "row", "c", "blocks", F.when(large, of_row).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins))).cast("int").alias("block"))
-    leads = placed.where(large & (F.col("lead") == F.col("row"))).select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "row", "c")
-    dealt = stage(placed.select(F.when(large, F.col("lead")).otherwise(-1).alias("lead"), "block", "row", "c").union(leads).distinct(), "cells")
+    placed = met.join(loads, "lead").select("lead", "row", "blocks", F.when(large, of_row).otherwise(F.pmod(F.xxhash64("lead"), F.lit(bins))).cast("int").alias("block"))
+    each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    leads = loads.where(large).select("lead", each_block, F.col("lead").alias("row"))
+    dealt = stage(placed.select(F.when(large, F.col("lead")).otherwise(-1).alias("lead"), "block", "row").union(leads).distinct(), "cells")
 
     def within(group: pa.Table) -> pa.Table:
-        found = [unsqueeze(x) for x in group.column("keys").to_pylist()]
-        held = Cell(group.column("row").to_numpy(), found, rule, group.column("c").to_numpy())
-        return _link_table(held.links(group.column("lead")[0].as_py()))
+        return _link_table(_cell(group, rule).links(group.column("lead")[0].as_py()))
 
-    cells = dealt.join(whole.select("row", "keys"), "row").groupBy("lead", "block")
-    return stage(cells.applyInArrow(within, "a long, b long"), "links"), dealt, loads
+    cells = dealt.withColumn("c", F.col("row")).join(sets.select("row", "n", "keys"), "row")
+    links = stage(cells.groupBy("lead", "block").applyInArrow(within, "a long, b long"), "links")
+    comp = stage(components(links), "components")
+    if most:
+        links = stage(links.union(_across(dealt, loads.where(large), comp, sets, rule, cell)), "links")
+        comp = stage(components(links), "components")
+    return comp
 
 
-def _across(dealt: DataFrame, large: DataFrame, comp: DataFrame, whole: DataFrame, rule: Overlap, cell: int) -> DataFrame:
+def _across(dealt: DataFrame, large: DataFrame, comp: DataFrame, sets: DataFrame, rule: Overlap, cell: int) -> DataFrame:
     """Links between the blocks of large gatherings: what stands outside the largest component asks all other blocks."""
-    block = dealt.where("lead >= 0").drop("c").join(comp, F.col("row") == F.col("node"), "left").select("lead", "block", "row", F.coalesce("component", "row").alias("c"))
+    block = dealt.where("lead >= 0").join(comp, F.col("row") == F.col("node"), "left").select("lead", "block", "row", F.coalesce("component", "row").alias("c"))
     block = stage(block, "blocks")
     largest = block.groupBy("lead", "c").agg(F.count_distinct("row").alias("k")).groupBy("lead").agg(F.max(F.struct("k", "c"))["c"].alias("top"))
     outside = block.join(largest, "lead").where("c <> top").select("lead", "row", F.col("block").alias("home"), "c").distinct()
-    chunk = F.ceil(F.sum("n").over(Window.partitionBy("lead")) * 2 / cell)
-    asked = outside.join(whole.select("row", "n"), "row").select("lead", "row", "home", "c", F.pmod(F.xxhash64("row", F.lit(1)), chunk).cast("int").alias("chunk"))
+    chunk = F.ceil(F.sum("load").over(Window.partitionBy("lead")) * 2 / cell)
+    asked = outside.join(sets.select("row", "load"), "row").select("lead", "row", "home", "c", F.pmod(F.xxhash64("row", F.lit(1)), chunk).cast("int").alias("chunk"))
     each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     asks = stage(asked, "outside").join(large.select("lead", "blocks"), "lead").select("lead", each_block, "chunk", "row", "home", "c").where("home <> block")
     asks = asks.select("lead", "block", "chunk", "row", "c", F.lit(True).alias("asks")).distinct()
@@ -229,16 +251,14 @@ def _across(dealt: DataFrame, large: DataFrame, comp: DataFrame, whole: DataFram
 
     def across(group: pa.Table) -> pa.Table:
         asking = group.column("asks").to_numpy(zero_copy_only=False)
-        index, questions = group.filter(pa.array(~asking)), group.filter(pa.array(asking))
-        held = Cell(index.column("row").to_numpy(), [unsqueeze(x) for x in index.column("keys").to_pylist()], rule, index.column("c").to_numpy())
-        out = []
-        for row, own, keys in zip(*(questions.column(k).to_pylist() for k in ("row", "c", "keys")), strict=True):
-            got = held.search(unsqueeze(keys), 0, held.names[held.comp] != own)
+        held, questions, out = _cell(group.filter(pa.array(~asking)), rule), group.filter(pa.array(asking)), []
+        for row, own, n, keys in zip(*(questions.column(k).to_pylist() for k in ("row", "c", "n", "keys")), strict=True):
+            got = held.search(n, unsqueeze(keys), 0, held.names[held.comp] != own)
             # one link for each component that is found
             out += [(row, int(held.rows[y])) for y in got[np.unique(held.comp[got], return_index=True)[1]].tolist()]
         return _link_table(out)
 
-    return asks.union(answers).join(whole.select("row", "keys"), "row").groupBy("lead", "block", "chunk").applyInArrow(across, "a long, b long")
+    return asks.union(answers).join(sets.select("row", "n", "keys"), "row").groupBy("lead", "block", "chunk").applyInArrow(across, "a long, b long")
 
 
 def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CELL) -> DataFrame:
@@ -255,7 +275,7 @@ def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CE
                 [
                     part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()),
                     pa.array([int(mix(s, s).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64()), pa.array([rule.spare(k) + 1 for k in n], pa.int32()),
-                    pa.array([rule.shared_of_long_prefix(k) for k in n], pa.int32()), pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64())),
+                    pa.array([rule.spare(rule.least_partner(k)) + 1 for k in n], pa.int32()), pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64())),
                 ],
                 ["row", "doc_id", "n", "h1", "h2", "short", "need", "first"],
             )
@@ -273,36 +293,25 @@ def similar_sets(docs: DataFrame, size: int = 3, tenths: int = 9, cell: int = CE
         shared = stage(shared, "shared")
         stay = shared.groupBy("row").agg(F.count("*").alias("has"), F.max("need").alias("need")).where("has >= need").select("row")
         shared = shared.join(stay, "row", "left_semi")
-        if turn == 0:
+        if turn:
+            shared = stage(shared, "shared")
+        else:
             shared = shared.withColumns({"lo": F.min("row").over(of_key), "hi": F.max("row").over(of_key)}).where("lo < hi").drop("lo", "hi")
+    first = stage(shared.groupBy("row", "n").agg(F.collect_list("key").alias("keys")).mapInArrow(_first_hashes, SET), "first-hashes")
     lead = {"lead": F.min("row").over(of_key), "hi": F.max("row").over(of_key)}
-    early = stage(shared.where("early").withColumns(lead).where("lead < hi").select("key", "row", "lead"), "early")
-    meeting = stage(early.select("row").distinct(), "meeting")
+    early = shared.where("early").withColumns(lead).where("lead < hi").select("lead", "row").distinct()
+    families = _met(stage(early, "gatherings"), first, FirstOverlap(tenths), cell)
+
+    meeting = families.select(F.col("node").alias("row"))
     meeting = F.broadcast(meeting) if meeting.count() <= MOST_SENT else meeting
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_short(s) for s in found], pa.binary())], ["row", "n", "keys"])
+            n = pa.array([len(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), n, n, pa.array([_short(s) for s in found], pa.binary())], ["row", "n", "load", "keys"])
 
     whole = stage(texts.join(meeting, "row", "left_semi").select("row", "text").mapInArrow(full, SET), "whole-sets")
-
-    # each set first meets the one that leads most of its hashes; most families are one component after that
-    often = early.groupBy("row", "lead").agg(F.count("*").alias("k")).groupBy("row").agg(F.max(F.struct("k", (-F.col("lead")).alias("lead"))).alias("most"))
-    often = often.select((-F.col("most.lead")).alias("lead"), "row").where("lead <> row")
-    often = often.union(often.select("lead", F.col("lead").alias("row"))).distinct()
-    links = _gathered(often.withColumn("c", F.col("row")), whole, rule, cell)[0]
-    comp = stage(components(links), "components")
-
-    # then those that meet sets of other components in some hash gather for each such hash
-    labelled = early.select("key", "row").join(comp, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("component", "row").alias("c"))
-    mixed = labelled.withColumns({"lo": F.min("c").over(of_key), "hi": F.max("c").over(of_key), "lead": F.min("row").over(of_key)}).where("lo < hi")
-    found, dealt, loads = _gathered(mixed.select("lead", "row", "c").distinct(), whole, rule, cell)
-    links = stage(links.union(found), "links")
-    comp = stage(components(links), "components")
-    large = loads.where("blocks > 0")
-    if not large.isEmpty():
-        links = stage(links.union(_across(dealt, large, comp, whole, rule, cell)), "links")
-        comp = stage(components(links), "components")
+    comp = _met(families.select(F.col("component").alias("lead"), F.col("node").alias("row")), whole, rule, cell)
 
     named = sets.join(comp, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("size"), "least", F.coalesce("component", "rep").alias("c"))
     named = stage(named, "named")

@@ -43,8 +43,8 @@ def plain_negatives(rows):
     return sorted(out, key=repr)
 
 
-def mined(spark, rows, **how):
-    df = hard_negatives.mine(hard_negatives.relabelled(spark.createDataFrame(rows, VECTORS)), F.col("id") % 100 == 0, **how)
+def mined(spark, data, **how):
+    df = hard_negatives.mine(hard_negatives.relabelled(spark.createDataFrame(data, VECTORS)), F.col("id") % 100 == 0, **how)
     return sorted((tuple(r) for r in df.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()), key=repr)
 
 
@@ -165,9 +165,9 @@ def test_search_finds_what_reaches_the_overlap():
         mine = base[: int(n)].copy()
         mine[rng.random(len(mine)) < 0.04] = rng.integers(0, 1 << 48, 1).astype(np.uint64)
         sets.append(np.unique(mine))
-    cell = overlap_join.Cell(np.arange(60), sets, rule)
+    cell = overlap_join.Cell(np.arange(60), np.array([len(x) for x in sets]), sets, rule)
     for x in range(60):
-        got = set(cell.rows[cell.search(cell.sets[x], 1, np.arange(60) != x)].tolist())
+        got = set(cell.rows[cell.search(int(cell.sizes[x]), cell.sets[x], 1, np.arange(60) != x)].tolist())
         own = set(cell.sets[x].tolist())
         want = {int(cell.rows[y]) for y in range(60) if y != x and 10 * len(own & set(cell.sets[y].tolist())) >= 9 * len(own | set(cell.sets[y].tolist()))}
         assert got == want
