@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +56,51 @@ def chunks(text: Column, target: int) -> Column:
     return F.get(F.transform(F.array(words), cut), F.lit(0))
 
 
+def lines_of(text: str | None) -> list[str]:
+    """Lines of a text; a line feed at its end starts no line, and nothing is one empty line."""
+    out = (text or "").split("\n")
+    return out[:-1] if len(out) > 1 and not out[-1] else out
+
+
 def lcs_diff(old: list[str], new: list[str], most: int = 2000) -> list[tuple[str, str]]:
-    """Line diff by the longest common subsequence, removals first; past ``most`` lines all old ones go and all new ones come."""
+    """Line diff by the longest common subsequence, removals first; past ``most`` lines all old ones go and all new ones come.
+
+    A row of the table of lengths is one number: bit p is 0 where taking in the p-th line from the end of ``new``
+    makes the subsequence longer. A row follows from the one below it by an addition, and the length at a place is
+    the number of zeros up to it."""
     n, m = len(old), len(new)
     if n > most or m > most:
         return [("-", x) for x in old[:most]] + [("+", x) for x in new[:most]]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if old[i] == new[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
+    places: dict[str, int] = {}
+    for p, line in enumerate(reversed(new)):
+        places[line] = places.get(line, 0) | 1 << p
+    full = (1 << m) - 1
+    rows = [full]
+    for line in reversed(old):
+        hits, row = places.get(line, 0), rows[-1]
+        rows.append((row + (row & hits) | row & ~hits) & full)
+    rows.reverse()
+    out, i, j, left = [], 0, 0, m - rows[0].bit_count()
     while i < n or j < m:
         if i < n and j < m and old[i] == new[j]:
             out.append((" ", old[i]))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+            i, j, left = i + 1, j + 1, left - 1
+        # without the old line, the rest is as long as with it
+        elif i < n and (j == m or m - j - (rows[i + 1] & ((1 << (m - j)) - 1)).bit_count() == left):
             out.append(("-", old[i]))
             i += 1
         else:
             out.append(("+", new[j]))
             j += 1
     return out
+
+
+def line_diffs(texts: DataFrame) -> DataFrame:
+    """(id, diff) of (id, old, new): the diff as an array of t, text and chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            both = zip(rows["old"], rows["new"], strict=True)
+            yield pd.DataFrame({"id": rows["id"], "diff": [[{"t": t, "text": x, "chunk": 0} for t, x in lcs_diff(lines_of(a), lines_of(b))] for a, b in both]})
+
+    return texts.select("id", "old", "new").mapInPandas(run, "id long, diff array<struct<t: string, text: string, chunk: int>>")

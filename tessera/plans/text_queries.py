@@ -167,26 +167,34 @@ def win_bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("doc_id", F.when(F.size(both) == 0, " (no differences)").otherwise(F.array_join(both, "\n")).alias("diff"))
 
 
-@query("win_lcs_diff")
+#: The table of lengths, a row a step from the last line up, then the walk through it.
+_LCS = """WITH RECURSIVE v AS (SELECT doc_id, coalesce(text, '') AS a, replace(replace(coalesce(text, ''), 'and', 'AND'), chr(10) || 'The', chr(10) || chr(10) || 'The') AS b FROM documents),
+d AS (SELECT doc_id, string_split(regexp_replace(a, '\n$', ''), chr(10)) AS o, string_split(regexp_replace(b, '\n$', ''), chr(10)) AS n FROM v),
+dp(doc_id, i, r) AS (SELECT doc_id, CAST(len(o) AS BIGINT), [CAST(0 AS BIGINT) FOR x IN range(len(n) + 1)] FROM d UNION ALL
+SELECT doc_id, i - 1, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(len(n), 0, -1), lambda j: [j])), lambda acc, x: list_prepend(CASE WHEN o[i] = n[x[1]] THEN r[x[1] + 1] + 1 ELSE greatest(r[x[1]], acc[1]) END, acc)) FROM dp JOIN d USING (doc_id) WHERE i > 0),
+w(doc_id, step, i, k, t, x) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '' FROM d UNION ALL
+SELECT doc_id, step + 1, i + CASE WHEN t = '+' THEN 0 ELSE 1 END, k + CASE WHEN t = '-' THEN 0 ELSE 1 END, t, CASE WHEN t = '+' THEN n[k + 1] ELSE o[i + 1] END FROM (
+SELECT d.doc_id, step, w.i, k, o, n, CASE WHEN w.i < len(o) AND k < len(n) AND o[w.i + 1] = n[k + 1] THEN ' ' WHEN w.i < len(o) AND (k = len(n) OR below.r[k + 1] >= here.r[k + 2]) THEN '-' ELSE '+' END AS t
+FROM w JOIN d ON d.doc_id = w.doc_id LEFT JOIN dp here ON here.doc_id = w.doc_id AND here.i = w.i LEFT JOIN dp below ON below.doc_id = w.doc_id AND below.i = w.i + 1 WHERE w.i < len(o) OR k < len(n))),
+j AS (SELECT doc_id, CAST(to_json(list({'t': t, 'text': x, 'chunk': 0} ORDER BY step)) AS VARCHAR) AS diff FROM w WHERE step > 0 GROUP BY doc_id)"""
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, diff) between texts and what became of them: some words changed, empty lines came in."""
+    old = F.coalesce("text", F.lit(""))
+    new = F.replace(F.replace(old, F.lit("and"), F.lit("AND")), F.lit("\nThe"), F.lit("\n\nThe"))
+    return cues.line_diffs(table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), old.alias("old"), new.alias("new")))
+
+
+@query("win_lcs_diff", f"{_LCS} SELECT doc_id, diff FROM j")
 def win_lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", "and", "AND").alias("new"))
+    return _diffs(spark, sf_dir).select(c("id").alias("doc_id"), F.to_json("diff").alias("diff"))
 
-    def run(batches):
-        import json
 
-        for rows in batches:
-            diffs = [json.dumps([{"t": t, "text": x, "chunk": 0} for t, x in cues.lcs_diff(a.split("\n"), b.split("\n"))], ensure_ascii=False) for a, b in zip(rows["text"], rows["new"], strict=True)]
-            yield rows[["doc_id"]].assign(diff=diffs)
-
-    return docs.mapInPandas(run, "doc_id long, diff string")
-
-
-@query("sink_diff_json", f"WITH {_BAG}, {_CHANGES} SELECT doc_id, CAST(to_json(list_concat(list_transform(gone, lambda x: {{'t': '-', 'text': x, 'chunk': 0}}), list_transform(fresh, lambda x: {{'t': '+', 'text': x, 'chunk': 0}}))) AS VARCHAR) AS json FROM d")
+@query("sink_diff_json", f"{_LCS} SELECT doc_id, diff AS json FROM j")
 def sink_diff_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that went and came as items of a JSON file a document."""
-    item = lambda t: lambda x: F.struct(F.lit(t).alias("t"), x.alias("text"), F.lit(0).alias("chunk"))
-    both = F.concat(F.transform("gone", item("-")), F.transform("fresh", item("+")))
-    return sinks.through_files(spark, _changes(spark, sf_dir).select("doc_id", F.to_json(both).alias("json")), "doc_id", "json", ".json")
+    """The line diff of each document as a JSON file beside it, read back."""
+    return sinks.through_files(spark, _diffs(spark, sf_dir).select(c("id").alias("doc_id"), F.to_json("diff").alias("json")), "doc_id", "json", ".json")
 
 
 _REDUCED = "regexp_replace(left('Summarise in about ' || target || ' words:' || chr(10) || body, 600), '\\n+$', '')"

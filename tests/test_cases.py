@@ -67,8 +67,34 @@ def test_chunks_equal_the_loop(spark):
         assert got == [pack(t, target) for t in texts]
 
 
+def plain_diff(old, new):
+    """The walk through the whole table of lengths."""
+    best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i in reversed(range(len(old))):
+        for j in reversed(range(len(new))):
+            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
+            out.append((" ", old[i]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            out.append(("-", old[i]))
+            i += 1
+        else:
+            out.append(("+", new[j]))
+            j += 1
+    return out + [("-", x) for x in old[i:]] + [("+", x) for x in new[j:]]
+
+
 def test_lcs_diff():
     assert cues.lcs_diff(["a", "b", "c"], ["a", "C", "d"]) == [(" ", "a"), ("-", "b"), ("-", "c"), ("+", "C"), ("+", "d")]
+    rng = random.Random(9)
+    for size in [0, 1, 2, 5, 40, 130] * 8:
+        old, new = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, size))] for _ in range(2))
+        new = rng.choice([new, old[: size // 2] + new + old[size // 2 :]])
+        assert cues.lcs_diff(old, new) == plain_diff(old, new)
+    assert [cues.lines_of(x) for x in (None, "", "a\n", "\n", "a\n\n", "a\nb")] == [[""], [""], ["a"], [""], ["a", ""], ["a", "b"]]
     assert cues.lcs_diff(["x"] * 2001, ["y"])[:1] == [("-", "x")] and len(cues.lcs_diff(["x"] * 2001, ["y"])) == 2001
 
 
