@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.plans.scalar_queries import DAY, PATHS
 from tessera.registry import query, table
-from tessera.session import checkpointed, scratch
-from tessera.sources import sinks
+from tessera.session import checkpointed, mounted, scratch
+from tessera.sources import moves, sinks, tree
 
 c = F.col
 
@@ -247,36 +249,52 @@ def str_validate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select("job", F.when(~c("stt"), "abort: stt").when(~c("llm"), "abort: llm").when(~c("vlm"), "run without captions").otherwise("run").alias("decision"))
 
 
-@query("src_registry_scan", """SELECT m.doc_id AS id, m.name, b.bytes FROM (SELECT doc_id, source || ':' || CAST(doc_id AS VARCHAR) AS name, 'sha-' || CAST(doc_id % 400 AS VARCHAR) AS digest FROM documents) m JOIN (SELECT 'sha-' || CAST(item_id * 2 AS VARCHAR) AS digest, length(text) AS bytes FROM benchmark) b USING (digest)""")
+#: Manifests by document: four or five names deep, too few, too many, or broken; a fifth have no blob.
+_MANIFEST = "CASE doc_id % 7 WHEN 4 THEN concat('short/m', doc_id) WHEN 5 THEN concat('h/1/2/3/4/5/6/7/8/m', doc_id, '/t') WHEN 3 THEN concat('h/deep/', source, '/m', doc_id, '/', lang) ELSE concat('host', doc_id % 3, '/', CASE WHEN doc_id % 2 = 0 THEN 'library' ELSE source END, '/m', doc_id, '/', lang) END"
+_LAYER = "application/vnd.image.model"
+
+
+@query("src_registry_scan", f"""WITH m AS (SELECT *, {_MANIFEST} AS p, sha256(CAST(doc_id AS VARCHAR)) AS digest FROM documents), f AS (SELECT * FROM m WHERE len(string_split(p, '/')) <= 9 ORDER BY p LIMIT 4096)
+SELECT CASE WHEN ns = 'library' THEN '' ELSE ns || '/' END || 'm' || doc_id || ':' || lang AS name, digest, n_chars AS bytes FROM (SELECT *, string_split(p, '/')[-3] AS ns FROM f WHERE len(string_split(p, '/')) >= 4) WHERE doc_id % 7 <> 6 AND doc_id % 5 <> 4""")
 def src_registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First weight layer of each manifest, joined with the blobs that exist."""
-    layers = F.format_string('{"layers":[{"mediaType":"license","digest":"x","size":1},{"mediaType":"image.model","digest":"sha-%d","size":2}]}', c("doc_id") % 400)
-    manifests = table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), F.concat_ws(":", "source", c("doc_id").cast("string")).alias("name"), layers.alias("json"))
-    parsed = F.from_json("json", "layers array<struct<mediaType:string,digest:string,size:bigint>>")["layers"]
-    digest = F.get(F.filter(parsed, lambda x: F.endswith(x["mediaType"], F.lit("model"))), F.lit(0))["digest"]
-    blobs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("sha-"), (c("item_id") * 2).cast("string")).alias("digest"), F.length("text").cast("long").alias("bytes"))
-    return manifests.select("id", "name", digest.alias("digest")).join(blobs, "digest").select("id", "name", "bytes")
+    """A store is written, with links that lead in circles, and scanned."""
+    root = scratch(spark, "registry")
+    digest = F.sha2(c("doc_id").cast("string").cast("binary"), 256)
+    layers = F.format_string('{"layers":[{"mediaType":"license","digest":"sha256:0","size":1},{"mediaType":"%s","digest":"sha256:","size":3},{"mediaType":"%s","digest":"sha256:%s","size":%d}]}', F.lit(_LAYER), F.lit(_LAYER), digest, c("n_chars"))
+    docs = table(spark, sf_dir, "documents")
+    manifests = docs.select(F.concat(F.lit("manifests/"), F.expr(_MANIFEST)).alias("name"), F.when(c("doc_id") % 7 == 6, F.lit("not json")).otherwise(layers).alias("body"))
+    blobs = docs.where("doc_id % 5 <> 4").select(F.concat(F.lit("blobs/sha256-"), digest).alias("name"), F.lit("weights").alias("body"))
+    sinks.write_files(manifests.union(blobs), root, "name", "body")
+    top = mounted(root)
+    os.symlink(f"{top}/manifests", f"{top}/manifests/circle")
+    os.symlink(f"{top}/blobs", f"{top}/manifests/host0/blobs")
+    return tree.registry(spark, root, _LAYER)
 
 
 #: File extensions by kind, in the order of the tests.
 _VIDEO = (
-    "mp4 m4v mov qt mkv mk3d webm avi divx wmv asf flv f4v mpg mpeg mpe mpv m2v ts m2ts m2t mts vob 3gp 3g2 ogv rm rmvb nsv mxf"
-)
+    "mp4", "m4v", "mov", "qt", "mkv", "mk3d", "webm", "avi", "divx", "wmv", "asf", "flv", "f4v", "mpg", "mpeg", "mpe", "mpv", "m2v", "ts", "m2ts",
+    "m2t", "mts", "vob", "3gp", "3g2", "ogv", "rm", "rmvb", "nsv", "mxf",
+)
 _AUDIO = (
-    "wav flac aiff aif aifc au snd avr caf w64 rf64 voc wma alac wv ape mpc mpp mp+ tak tta shn dsf dss sln gsm"
-    " mp3 mp2 mp1 mpa m1a m2a aac m4a m4b m4r ogg oga ogv ogx opus spx amr awb ac3 eac3 ec3 dts dtshd mlp thd aa aax"
-    " mod xm it s3m mtm med okt 669 far stm ult ay gbs gym hes kss nsf nsfe sap spc vgm vgz"
-    " mp4 m4v mov qt 3gp 3g2 3gp2 3gpp isma ismv mkv mka mk3d webm weba webp avi divx wmv asf"
-    " flv f4v f4a f4b mpg mpeg mpe mpv m2v ts m2ts m2t mts vob evo vro mxf gxf rm rmvb ra nsv"
-    " ivf nut wtv dvr-ms smk roq bink binka brstm aup3 aup4 aup3unsaved"
-)
-_DOC = "txt md markdown log csv tsv json xml yaml yml toml ini srt vtt lrc html htm xhtml mhtml rtf docx pptx xlsx xlsm doc ppt xls odt ods odp epub pdf"
+    "wav", "flac", "aiff", "aif", "aifc", "au", "snd", "avr", "caf", "w64", "rf64", "voc", "wma", "alac", "wv", "ape", "mpc", "mpp", "mp+", "tak",
+    "tta", "shn", "dsf", "dss", "sln", "gsm", "mp3", "mp2", "mp1", "mpa", "m1a", "m2a", "aac", "m4a", "m4b", "m4r", "ogg", "oga", "ogv", "ogx",
+    "opus", "spx", "amr", "awb", "ac3", "eac3", "ec3", "dts", "dtshd", "mlp", "thd", "aa", "aax", "mod", "xm", "it", "s3m", "mtm", "med", "okt",
+    "669", "far", "stm", "ult", "ay", "gbs", "gym", "hes", "kss", "nsf", "nsfe", "sap", "spc", "vgm", "vgz", "mp4", "m4v", "mov", "qt", "3gp", "3g2",
+    "3gp2", "3gpp", "isma", "ismv", "mkv", "mka", "mk3d", "webm", "weba", "webp", "avi", "divx", "wmv", "asf", "flv", "f4v", "f4a", "f4b", "mpg",
+    "mpeg", "mpe", "mpv", "m2v", "ts", "m2ts", "m2t", "mts", "vob", "evo", "vro", "mxf", "gxf", "rm", "rmvb", "ra", "nsv", "ivf", "nut", "wtv",
+    "dvr-ms", "smk", "roq", "bink", "binka", "brstm", "aup3", "aup4", "aup3unsaved",
+)
+_DOC = (
+    "txt", "md", "markdown", "log", "csv", "tsv", "json", "xml", "yaml", "yml", "toml", "ini", "srt", "vtt", "lrc", "html", "htm", "xhtml", "mhtml",
+    "rtf", "docx", "pptx", "xlsx", "xlsm", "doc", "ppt", "xls", "odt", "ods", "odp", "epub", "pdf",
+)
 _EXT = r"lower(regexp_extract(regexp_extract(p, '([^/\\]*)$', 1), '.\.([^.]*)$', 1))"
 _GATE = "SELECT doc_id AS seq, CASE WHEN doc_id % 13 = 5 THEN 'old/project.aup' ELSE " + PATHS + " END AS p FROM documents"
 
 
-def _in(words: str) -> str:
-    return ", ".join(f"'{w}'" for w in words.split())
+def _in(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
 @query("src_intake_gate", f"SELECT p AS path, min(seq) AS seq, any_value(CASE WHEN {_EXT} = 'aup' THEN 'rejected' WHEN {_EXT} IN ({_in(_VIDEO)}) THEN 'Video' WHEN {_EXT} IN ({_in(_AUDIO)}) THEN 'Audio' WHEN {_EXT} IN ({_in(_DOC)}) THEN 'Doc' ELSE 'warning' END) AS kind FROM ({_GATE}) GROUP BY p")
@@ -284,7 +302,7 @@ def src_intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths once each, with their kind: a video extension is tested before audio, then documents; other ones are a warning."""
     rows = _both(_GATE, "documents")(spark, sf_dir).groupBy(c("p").alias("path")).agg(F.min("seq").alias("seq"))
     ext = T.extension(c("path"))
-    kind = F.when(ext == "aup", "rejected").when(ext.isin(_VIDEO.split()), "Video").when(ext.isin(_AUDIO.split()), "Audio").when(ext.isin(_DOC.split()), "Doc").otherwise("warning")
+    kind = F.when(ext == "aup", "rejected").when(ext.isin(*_VIDEO), "Video").when(ext.isin(*_AUDIO), "Audio").when(ext.isin(*_DOC), "Doc").otherwise("warning")
     return rows.select("path", "seq", kind.alias("kind"))
 
 
@@ -351,11 +369,33 @@ def st_draft_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where(F.length("body") % 7 != 0)
 
 
-@query("st_draft_move", "SELECT (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id NOT IN (SELECT item_id FROM benchmark)) AS moved, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id IN (SELECT item_id FROM benchmark)) AS skipped")
+#: A draft for each conversation: what users said, what was answered, and a note of both numbers.
+_DRAFTS = "SELECT conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn), '') AS raw, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, chr(10) ORDER BY turn), '') AS summary, count(*) AS n FROM conversations GROUP BY conv_id"
+
+
+@query("st_draft_move", f"""SELECT 'd' || conv_id AS stem, result, CASE WHEN result = 'moved' THEN 'new' ELSE 'old' END AS place, sha256(raw) AS raw_sha256, sha256(summary) AS summary_sha256, CAST(CASE WHEN result = 'moved' THEN 3 ELSE 0 END AS INTEGER) AS files
+FROM (SELECT *, CASE WHEN conv_id IN (SELECT item_id FROM benchmark WHERE item_id % 3 = 0) THEN 'taken' ELSE 'moved' END AS result FROM ({_DRAFTS}))""")
 def st_draft_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = table(spark, sf_dir, "benchmark").select(c("item_id").alias("conv_id"), F.lit(True).alias("there")).distinct()
-    drafts = table(spark, sf_dir, "conversations").select("conv_id").distinct().join(there, "conv_id", "left")
-    return drafts.agg(F.count_if(c("there").isNull()).alias("moved"), F.count_if(c("there")).alias("skipped"))
+    """Drafts are written, moved twice, and read from where they are; some places are taken by others."""
+    old, new = scratch(spark, "drafts-old"), scratch(spark, "drafts-new")
+    said = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    drafts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user").alias("raw"), said("assistant").alias("summary"), F.count("*").alias("n"))
+    drafts = checkpointed(drafts.select(F.concat(F.lit("d"), "conv_id").alias("stem"), "conv_id", "raw", "summary", F.to_json(F.struct("conv_id", "n")).alias("meta")))
+    each = lambda name, body: drafts.select(F.concat("stem", F.lit(f"/{name}")).alias("name"), c(body).alias("body"))
+    sinks.write_files(each("raw.md", "raw").union(each("summary.md", "summary")).union(each("meta.json", "meta")), old, "name", "body")
+    taken = table(spark, sf_dir, "benchmark").where("item_id % 3 = 0").select(c("item_id").alias("conv_id")).distinct()
+    sinks.write_files(drafts.join(taken, "conv_id", "left_semi").select(F.concat("stem", F.lit("/raw.md")).alias("name"), F.lit("another draft").alias("body")), new, "name", "body")
+    checkpointed(moves.move_all(drafts, old, new))
+    told = checkpointed(moves.move_all(drafts, old, new))
+
+    def there(folder: str, place: str) -> DataFrame:
+        files = tree.tree(spark, folder, content=True).select(F.split("relative", "/").alias("p"), "content").where("size(p) = 2")
+        digest = lambda name: F.max(F.when(c("p")[1] == name, F.sha2("content", 256)))
+        return files.groupBy(c("p")[0].alias("stem")).agg(digest("raw.md").alias("raw_sha256"), digest("summary.md").alias("summary_sha256")).withColumn("place", F.lit(place))
+
+    found = there(old, "old").union(there(new, "new"))
+    here = (c("result") == "moved") == (c("place") == "new")
+    return told.join(found, "stem").where(here).select("stem", "result", "place", "raw_sha256", "summary_sha256", "files")
 
 
 @query("st_output_ops", "SELECT d.doc_id, coalesce(CASE WHEN n.taken IS NULL THEN o.new_name END, 'note' || CAST(d.doc_id AS VARCHAR)) AS name, n.taken IS NOT NULL AS conflict FROM documents d LEFT JOIN (SELECT doc_id, 'note' || CAST(doc_id * 2 AS VARCHAR) AS new_name FROM labels WHERE quality = 1) o USING (doc_id) LEFT JOIN (SELECT 'note' || CAST(doc_id AS VARCHAR) AS taken FROM documents) n ON n.taken = o.new_name WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

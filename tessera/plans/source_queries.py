@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import struct
 from dataclasses import dataclass
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.operators import mixing
 from tessera.plans import made_files
 from tessera.registry import query, table
-from tessera.session import scratch
-from tessera.sources import audio, documents
+from tessera.session import mounted, scratch
+from tessera.sources import audio, documents, sinks, tree
 
 c = F.col
 
@@ -223,10 +224,20 @@ def src_audacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "rate", "places", "piece", F.posexplode("samples").alias("k", "v")).select("path", "rate", "places", (c("piece") * mixing.PIECE + c("k")).alias("i"), F.round("v", 6).alias("v"))
 
 
-@query("src_dir_expand")
+#: Files of a drop: folders in folders, and names that sort before and after them.
+_DROPPED = "concat(CASE doc_id % 3 WHEN 0 THEN 'a/' WHEN 1 THEN concat('b/', lang, '/') ELSE concat('b/', source, '/', lang, '/x/') END, 'f', doc_id, CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '' END)"
+
+
+@query("src_dir_expand", f"SELECT p AS name, CAST(strlen(text) AS BIGINT) AS length FROM (SELECT *, {_DROPPED} AS p FROM documents) ORDER BY (p LIKE 'b/%') DESC, string_split(p, '/') DESC LIMIT 256")
 def src_dir_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the folder as an intake by hand sees them."""
-    return documents.read_folder(spark, sf_dir).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    """Two dropped folders, of which one holds links to itself and to the other, as an intake by hand takes them."""
+    folder = scratch(spark, "drop")
+    sinks.write_files(table(spark, sf_dir, "documents").select(F.expr(_DROPPED).alias("name"), F.coalesce("text", F.lit("")).alias("body")), folder, "name", "body")
+    top = mounted(folder)
+    os.symlink(f"{top}/b", f"{top}/b/again")
+    os.symlink(f"{top}/a", f"{top}/b/zz")
+    taken = tree.expand(spark, [f"{folder}/a", f"{folder}/b", f"{folder}/nothing"])
+    return taken.select(F.substring(c("path"), len(top) + 2, F.length("path")).alias("name"), c("size").alias("length"))
 
 
 @query("src_notes_dir", "SELECT lang || '.md' AS name, lang AS head FROM (SELECT DISTINCT lang FROM documents)")

@@ -189,12 +189,6 @@ def extract_files(files: DataFrame, most: int = 500_000) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read_folder(spark: SparkSession, folder: str, most_files: int = 256) -> DataFrame:
-    """Files below a folder, the first by path up to a number: the limit is the feature of an intake by hand."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", "content").orderBy("path").limit(most_files)
-
-
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """(name, md) of the notes in a folder."""
     found = spark.read.text(f"{folder}/*.md", wholetext=True)

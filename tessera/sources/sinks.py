@@ -24,7 +24,9 @@ def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
                 own = os.path.join(top, f".{uuid.uuid4().hex}")
                 with open(own, "w", encoding="utf-8", newline="") as file:
                     file.write(text)
-                os.replace(own, os.path.join(top, where))
+                target = os.path.join(top, where)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                os.replace(own, target)
             yield batch[[name]]
 
     return rows.select(name, body).mapInPandas(run, f"{name} string").count()
