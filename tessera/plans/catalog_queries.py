@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import names
 from tessera.plans.scalar_queries import DAY, PATHS
 from tessera.registry import query, table
 from tessera.session import checkpointed, mounted, scratch
@@ -331,11 +332,21 @@ def _sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(c("source").alias("title"), F.concat(F.lit("Day "), (c("doc_id") % 9).cast("string")).alias("day"), coverage.alias("coverage"))).alias("json"))
 
 
-@query("sink_uniquify", "SELECT doc_id, title || CASE WHEN n > 1 THEN ' - ' || CAST(n AS VARCHAR) ELSE '' END AS name FROM (SELECT doc_id, source || ' ' || lang AS title, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS n FROM documents)")
+#: Some titles read like another title's second to fourth name, and some names exist.
+_TITLE = "concat(source, ' ', lang, CASE WHEN doc_id % 11 = 3 THEN concat(' - ', 2 + doc_id % 3) ELSE '' END)"
+_EXISTING = "SELECT DISTINCT concat(source, ' ', lang, CASE WHEN doc_id % 2 = 0 THEN ' - 3' ELSE '' END) AS name, concat(source, ' ', lang) AS root FROM documents WHERE lang = 'de'"
+
+
+@query("sink_uniquify", f"""WITH RECURSIVE d AS (SELECT doc_id, {_TITLE} AS title, concat(source, ' ', lang) AS root, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents),
+f(root, n, names, doc_id, name) AS (SELECT root, CAST(0 AS BIGINT), coalesce((SELECT list(name) FROM ({_EXISTING}) e WHERE e.root = d.root), CAST([] AS VARCHAR[])), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM d WHERE n = 1
+UNION ALL SELECT root, n, list_append(names, name), doc_id, name FROM (SELECT f.root, d.n, names, d.doc_id, CASE WHEN list_contains(names, title) THEN title || ' - ' || list_filter(range(2, len(names) + 3), lambda k: NOT list_contains(names, title || ' - ' || k))[1] ELSE title END AS name FROM f JOIN d ON d.root = f.root AND d.n = f.n + 1))
+SELECT doc_id, name FROM f WHERE n > 0""")
 def sink_uniquify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that never repeat: the second gets ' - 2' and so on; German titles exist already once."""
-    n = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) + F.when(c("lang") == "de", 1).otherwise(0)
-    return table(spark, sf_dir, "documents").withColumn("n", n).select("doc_id", F.concat(F.concat_ws(" ", "source", "lang"), F.when(c("n") > 1, F.concat(F.lit(" - "), c("n").cast("string"))).otherwise("")).alias("name"))
+    """Names of outputs: the second of a title gets ' - 2', or the next number that is free."""
+    docs = table(spark, sf_dir, "documents")
+    titled = docs.select(c("doc_id").alias("id"), F.expr(_TITLE).alias("title"), c("doc_id").alias("order"))
+    existing = docs.where("lang = 'de'").select(F.expr("concat(source, ' ', lang, CASE WHEN doc_id % 2 = 0 THEN ' - 3' ELSE '' END)").alias("name"))
+    return names.unique_names(titled, existing).select(c("id").alias("doc_id"), "name")
 
 
 @query("sink_upsert_memory", "SELECT path, max_by(day, seq) AS day FROM (SELECT doc_id % 70 AS path, quality AS day, doc_id AS seq FROM labels UNION ALL SELECT doc_id % 90, 7, doc_id + 1000000 FROM documents WHERE lang = 'fr') GROUP BY path")
@@ -414,8 +425,9 @@ def st_output_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fn_take_name", "SELECT doc_id, 'Rec ' || source || CASE WHEN n > 1 THEN ' (Part ' || CAST(n AS VARCHAR) || ')' ELSE '' END || '.wav' AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def fn_take_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").withColumn("n", n).select("doc_id", F.concat(F.lit("Rec "), c("source"), F.when(c("n") > 1, F.concat(F.lit(" (Part "), c("n").cast("string"), F.lit(")"))).otherwise(""), F.lit(".wav")).alias("name"))
+    takes = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("one"))
+    n = c("upto")
+    return names.running(takes, "source", "doc_id", "one").select("doc_id", F.concat(F.lit("Rec "), c("source"), F.when(n > 1, F.concat(F.lit(" (Part "), n.cast("string"), F.lit(")"))).otherwise(""), F.lit(".wav")).alias("name"))
 
 
 @query("fn_sums_check", "SELECT d.doc_id, coalesce(s.digest = sha256(d.text), false) AS good FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bad' ELSE sha256(text) END AS digest FROM documents WHERE doc_id % 2 = 0) s USING (doc_id)")
