@@ -9,7 +9,7 @@ from tessera.operators import frames as video_frames
 from tessera.operators import signal
 from tessera.registry import query, table
 from tessera.session import scratch
-from tessera.streaming import fold, queue
+from tessera.streaming import fold, passes, queue
 
 c = F.col
 _E = "e AS (SELECT user_id AS path, event_id AS seq, CASE event_type WHEN 'click' THEN 'transcribe' WHEN 'view' THEN 'summarize' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'queued' END AS stage, CAST(floor(value) AS BIGINT) % 101 AS pct, CAST(json_extract(props, '$.k') AS BIGINT) AS epoch FROM events)"
@@ -33,7 +33,10 @@ def str_event_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.run_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, scratch(spark, "fold"))
 
 
-@query("str_stale_drop", f"WITH {_E} SELECT path, count(*) AS kept, max(seq) AS seq FROM e JOIN (SELECT path, max_by(epoch, seq) AS cur FROM e GROUP BY path) USING (path) WHERE epoch = cur GROUP BY path")
+_STALE = f"WITH {_E} SELECT path, count(*) AS kept, max(seq) AS seq FROM e JOIN (SELECT path, max_by(epoch, seq) AS cur FROM e GROUP BY path) USING (path) WHERE epoch = cur GROUP BY path"
+
+
+@query("str_stale_drop", _STALE)
 def str_stale_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of another epoch than the file's current one are late and go."""
     events = _events(spark, sf_dir)
@@ -41,6 +44,16 @@ def str_stale_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(current, "path").where("epoch = cur").groupBy("path").agg(F.count("*").alias("kept"), F.max("seq").alias("seq"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.from_events(spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+@query("str_stale_drop_stream", _STALE)
+def str_stale_drop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with state by epoch."""
+    return passes.run(spark, passes.stale_drop(_event_stream(spark, sf_dir)), scratch(spark, "stale"))
+
+
 @query("str_download_progress", f"WITH {_E} SELECT path, max_by(pct, seq) AS latest, bool_or(stage = 'done') AS done, count(DISTINCT pct // 10) AS reports FROM e GROUP BY path")
 def str_download_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest progress of each download; done stays done; a report for every tenth passed."""
@@ -77,7 +90,10 @@ def str_fifo_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.run(spark, commands, scratch(spark, "queue"))
 
 
-@query("str_two_pass", f"WITH {_E}, g AS (SELECT path, coalesce(min(seq) FILTER (WHERE stage = 'error'), 9223372036854775807) AS gone FROM e GROUP BY path), p AS (SELECT path, min(seq) AS first_pass FROM e JOIN g USING (path) WHERE stage = 'transcribe' AND seq < gone GROUP BY path) SELECT path, first_pass, (SELECT min(seq) FROM e JOIN g USING (path) WHERE e.path = p.path AND stage = 'summarize' AND seq > first_pass AND seq < gone) AS full_pass FROM p")
+_TWO = f"WITH {_E}, g AS (SELECT path, coalesce(min(seq) FILTER (WHERE stage = 'error'), 9223372036854775807) AS gone FROM e GROUP BY path), p AS (SELECT path, min(seq) AS first_pass FROM e JOIN g USING (path) WHERE stage = 'transcribe' AND seq < gone GROUP BY path) SELECT path, first_pass, (SELECT min(seq) FROM e JOIN g USING (path) WHERE e.path = p.path AND stage = 'summarize' AND seq > first_pass AND seq < gone) AS full_pass FROM p"
+
+
+@query("str_two_pass", _TWO)
 def str_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript pass, then full pass; results after a file was taken out count for nothing."""
     events = _events(spark, sf_dir)
@@ -87,6 +103,12 @@ def str_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.withColumn("first_pass", first).where("first_pass IS NOT NULL").groupBy("path", "first_pass").agg(F.min(F.when((c("stage") == "summarize") & (c("seq") > c("first_pass")), c("seq"))).alias("full_pass"))
 
 
+@query("str_two_pass_stream", _TWO)
+def str_two_pass_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as two chained stateful stages."""
+    return passes.run(spark, passes.two_pass(_event_stream(spark, sf_dir)), scratch(spark, "passes")).where("first_pass IS NOT NULL")
+
+
 @query("str_manifest_fold", f"WITH {_E}, l AS (SELECT path AS id, max_by(stage, seq) AS last, max_by(pct, seq) AS bytes FROM e WHERE stage IN ('done', 'transcribe', 'error') GROUP BY path), f AS (SELECT path % 3 AS role, min_by(path, seq) AS active FROM (SELECT path, min(seq) AS seq FROM e WHERE stage IN ('done', 'transcribe') AND path IN (SELECT id FROM l WHERE last <> 'error') GROUP BY path) GROUP BY role) SELECT id, bytes, last = 'done' AS verified, id = active AS active FROM l JOIN f ON id % 3 = role WHERE last <> 'error'")
 def str_manifest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by their last write, without removed ones; of each role the first record that is still there is active."""

@@ -19,6 +19,7 @@ Defined cases: rows without a queue or a ``seq`` take no part; an ``add`` withou
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,16 +118,22 @@ def answers(commands: DataFrame) -> DataFrame:
     return columns.groupBy("queue").transformWithStateInPandas(QueueProcessor(), ANSWER, "Append", "None")
 
 
-def run(spark: SparkSession, commands: DataFrame, out: str) -> DataFrame:
-    """Answer all commands that a stream has now; what ``out`` holds from earlier runs goes on. Returns all answers there."""
+@contextlib.contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in this context keep their state in the store that lists and maps need."""
     kept = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
-        query = answers(commands).writeStream.format("parquet").option("path", f"{out}/answers").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start()
-        query.awaitTermination()
+        yield
     finally:
         if kept is None:
             spark.conf.unset(_PROVIDER)
         else:
             spark.conf.set(_PROVIDER, kept)
+
+
+def run(spark: SparkSession, commands: DataFrame, out: str) -> DataFrame:
+    """Answer all commands that a stream has now; what ``out`` holds from earlier runs goes on. Returns all answers there."""
+    with rocks(spark):
+        answers(commands).writeStream.format("parquet").option("path", f"{out}/answers").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(ANSWER).parquet(f"{out}/answers")
