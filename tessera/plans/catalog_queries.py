@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import names
-from tessera.plans.scalar_queries import DAY, PATHS
+from tessera.operators import labels, names
+from tessera.plans.scalar_queries import DAY, PATHS, STEM
 from tessera.registry import query, table
 from tessera.session import checkpointed, mounted, scratch
 from tessera.sources import moves, sinks, tree
@@ -89,17 +90,39 @@ def topk_vlm_for_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(F.broadcast(first)).select("attention", F.coalesce("found", "first").alias("id"))
 
 
+#: Shown paths are made different by a folder on top, so that memories and files belong to one document each.
+_SHOWN = f"SELECT doc_id, concat('t', doc_id, '/', {PATHS}) AS p FROM documents"
 _MEMORY = "SELECT doc_id, CASE WHEN quality = 1 THEN 'Day ' || CAST(doc_id % 50 AS STRING) ELSE '' END AS m_day, CASE WHEN toxic = 1 THEN '' ELSE 'Class ' || CAST(doc_id % 6 AS STRING) END AS m_class FROM labels"
 _PARENT = r"regexp_extract(p, '([^/\\]+)[/\\][^/\\]*$', 1)"
+_DATE = "CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR)"
 
 
-@query("join_memory_lookup", f"SELECT doc_id, coalesce({DAY}, nullif(m_day, ''), 'Day 1') AS day, coalesce(nullif(m_class, ''), nullif({_PARENT}, ''), 'General') AS class FROM (SELECT doc_id, {PATHS} AS p FROM documents) d LEFT JOIN ({_MEMORY}) m USING (doc_id)")
+@query("join_memory_lookup", f"""SELECT doc_id, coalesce(day, nullif(m_day, ''), CASE WHEN doc_id % 3 = 0 THEN {_DATE} WHEN doc_id % 4 = 0 THEN CAST(DATE '2023-06-15' AS VARCHAR) END, 'Day 1') AS day, coalesce(nullif(m_class, ''), nullif(parent, ''), 'General') AS class
+FROM (SELECT doc_id, parent, {DAY} AS day FROM (SELECT doc_id, {_PARENT} AS parent, coalesce(nullif({STEM}, ''), p) AS p FROM ({_SHOWN}))) LEFT JOIN (SELECT doc_id, max(m_day) AS m_day, max(m_class) AS m_class FROM ({_MEMORY}) GROUP BY doc_id) m USING (doc_id)""")
 def join_memory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day: file name, then memory, then Day 1. Class: memory, then parent folder, then General."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", PATHS.replace("\\", "\\\\") + " AS p")
-    memory = _both(_MEMORY, "labels")(spark, sf_dir)
-    joined = docs.join(memory, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce(T.parse_day(c("p")), F.nullif("m_day", F.lit("")), F.lit("Day 1")).alias("day"), F.coalesce(F.nullif("m_class", F.lit("")), F.nullif(T.parent_name(c("p")), F.lit("")), F.lit("General")).alias("class"))
+    """Days and classes of shown paths; a third of the stored files and a quarter of the shown ones are there, with dates of their own."""
+    shown = table(spark, sf_dir, "documents").selectExpr("doc_id", _SHOWN.replace("\\", "\\\\").removeprefix("SELECT doc_id, ").removesuffix(" FROM documents"))
+    folder = scratch(spark, "dated")
+    top = mounted(folder)
+
+    def dated(batches):
+        for rows in batches:
+            for name, day in zip(rows["name"], rows["day"], strict=True):
+                path = os.path.join(top, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w"):
+                    pass
+                at = datetime.datetime.combine(day, datetime.time(12), datetime.UTC).timestamp()
+                os.utime(path, (at, at))
+            yield rows
+
+    stored = shown.where("doc_id % 3 = 0").select(F.concat(F.lit("real/"), "doc_id").alias("name"), F.date_add(F.lit("2024-01-01"), (c("doc_id") % 300).cast("int")).alias("day"))
+    seen = shown.where("doc_id % 4 = 0").select(F.concat(F.lit("shown/"), "p").alias("name"), F.lit("2023-06-15").cast("date").alias("day"))
+    stored.union(seen).mapInPandas(dated, "name string, day date").count()
+    dates = tree.tree(spark, folder, depth=1 << 20).select(F.regexp_replace("relative", "^shown/", "").alias("path"), F.to_date("modified").alias("date"))
+    memory = shown.join(_both(_MEMORY, "labels")(spark, sf_dir), "doc_id").select(c("p").alias("shown"), c("m_day").alias("day"), c("m_class").alias("class"))
+    items = shown.select(c("doc_id").alias("id"), c("p").alias("shown"), F.concat(F.lit("real/"), "doc_id").alias("real"))
+    return labels.day_and_class(items, memory, dates).select(c("id").alias("doc_id"), "day", "class")
 
 
 @query("join_order_event", "SELECT e.event_id, o.path FROM (SELECT event_id, value % 300 AS idx FROM (SELECT event_id, event_id * 7 AS value FROM events)) e JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, source || '/' || CAST(doc_id AS VARCHAR) AS path FROM documents) o ON o.idx = e.idx")

@@ -6,6 +6,7 @@ folder is one that all nodes mount. What cannot be listed or read is left out; n
 
 from __future__ import annotations
 
+import datetime
 import os
 import stat
 from collections.abc import Iterator, Sequence
@@ -64,7 +65,7 @@ class TreeReader(DataSourceReader):
                                 body = file.read()
                         except OSError:
                             continue
-                    yield path, path[len(self.top) + 1 :], depth, s.st_size, body
+                    yield path, path[len(self.top) + 1 :], depth, s.st_size, datetime.datetime.fromtimestamp(s.st_mtime, datetime.UTC), body
 
 
 class FolderTree(DataSource):
@@ -73,14 +74,14 @@ class FolderTree(DataSource):
         return "folder_tree"
 
     def schema(self) -> str:
-        return "path string, relative string, depth int, size long, content binary"
+        return "path string, relative string, depth int, size long, modified timestamp, content binary"
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(dict(self.options))
 
 
 def tree(spark: SparkSession, folder: str, depth: int = DEPTH, content: bool = False) -> DataFrame:
-    """(path, relative, depth, size, content) of the files below a folder."""
+    """(path, relative, depth, size, modified, content) of the files below a folder."""
     spark.dataSource.register(FolderTree)
     return spark.read.format("folder_tree").options(path=folder, depth=depth, content=content).load()
 
