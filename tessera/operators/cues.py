@@ -56,6 +56,20 @@ def chunks(text: Column, target: int) -> Column:
     return F.get(F.transform(F.array(words), cut), F.lit(0))
 
 
+def sentences(segments: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, n, order, sentence) of segments (key, order, text): sentences glued over segments.
+
+    Each mark of . ? ! ends one. The first has the place of the first segment; any other that of the segment in
+    which the one before ended, as it starts about there. A rest without a mark is the last sentence."""
+    flat = F.regexp_replace("text", r"\s+", " ")
+    found = segments.select(key, order, F.posexplode(F.regexp_extract_all(flat, F.lit(r"[^.?!]*[.?!]|[^.?!]+"), F.lit(0))).alias("k", "x"))
+    pieces = found.select(key, order, "k", F.trim("x").alias("x"), F.col("x").rlike(r"[.?!]$").alias("ends")).where("x <> ''")
+    before = Window.partitionBy(key).orderBy(order, "k").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = pieces.withColumns({"n": F.coalesce(F.sum(F.col("ends").cast("long")).over(before), F.lit(0)), "since": F.max(F.when(F.col("ends"), F.col(order))).over(before)})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "k", "x"))), lambda p: p["x"]), " ")
+    return numbered.groupBy(key, "n").agg(F.coalesce(F.max("since"), F.min(order)).alias(order), text.alias("sentence"))
+
+
 def lines_of(text: str | None) -> list[str]:
     """Lines of a text; a line feed at its end starts no line, and nothing is one empty line."""
     out = (text or "").split("\n")

@@ -137,16 +137,17 @@ def win_speaker_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "speaker", F.when(~before.eqNullSafe(c("speaker")), F.concat(F.lit("Speaker "), c("speaker").cast("string"), F.lit(": "))).otherwise("").alias("label"))
 
 
-@query("win_sentence_stamp")
+_STAMPS = r"""WITH p AS (SELECT conv_id, turn, k, trim(x) AS x, regexp_matches(x, '[.?!]$') AS ends FROM (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '[^.?!]*[.?!]|[^.?!]+')) AS x, unnest(range(len(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '[^.?!]*[.?!]|[^.?!]+')))) AS k FROM conversations) WHERE trim(x) <> ''),
+n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER w, 0) AS n, max(CASE WHEN ends THEN turn END) OVER w AS since FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, n, '[' || CASE WHEN t >= 3600 THEN CAST(t // 3600 AS VARCHAR) || ':' || lpad(CAST(t % 3600 // 60 AS VARCHAR), 2, '0') ELSE lpad(CAST(t // 60 AS VARCHAR), 2, '0') END || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') || ']' AS stamp, sentence
+FROM (SELECT conv_id, CAST(n AS BIGINT) AS n, 7 * coalesce(max(since), min(turn)) AS t, string_agg(x, ' ' ORDER BY turn, k) AS sentence FROM n GROUP BY conv_id, n)"""
+
+
+@query("win_sentence_stamp", _STAMPS)
 def win_sentence_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a conversation glued over its turns; each carries the time of the turn it starts in."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    # a sentence's number is how many ended before: text after the last mark of a turn joins the next turn
-    pieces = turns.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.?!]+[.?!]*|[.?!]+"), F.lit(0))).alias("k", "piece")).where("trim(piece) <> ''")
-    by = Window.partitionBy("conv_id").orderBy("turn", "k").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = pieces.withColumn("n", F.coalesce(F.sum(c("piece").rlike(r"[.?!]\s*\z").cast("long")).over(by), F.lit(0)))
-    glued = numbered.groupBy("conv_id", "n").agg(F.min(c("turn") * 7).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "k", "piece"))), lambda x: T.trimmed(x["piece"])), " ").alias("sentence"))
-    return glued.select("conv_id", "n", F.concat(F.lit("["), T.fmt_time(c("at")), F.lit("]")).alias("stamp"), "sentence")
+    """Sentences of conversations whose turns are seven seconds apart."""
+    found = cues.sentences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return found.select("conv_id", "n", F.concat(F.lit("["), T.fmt_time(c("turn") * 7), F.lit("]")).alias("stamp"), "sentence")
 
 
 _BAG = "a AS (SELECT doc_id, string_split(text, chr(10))[1:500] AS o, string_split(replace(text, 'the', 'THE'), chr(10))[1:500] AS n FROM documents)"

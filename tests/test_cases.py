@@ -67,6 +67,12 @@ def test_chunks_equal_the_loop(spark):
         assert got == [pack(t, target) for t in texts]
 
 
+def test_sentences_keep_the_place_where_the_last_one_ended(spark):
+    rows = [(1, 0, " One two"), (1, 1, "three. Four"), (1, 2, "five! Six... "), (1, 5, "Seven"), (2, 3, None), (2, 4, "No mark"), (2, 6, " \n "), (3, 1, "?")]
+    got = cues.sentences(spark.createDataFrame(rows, "key long, t long, text string"), "key", "t").orderBy("key", "n").collect()
+    assert [tuple(r)[:1] + (r.t, r.sentence) for r in got] == [(1, 0, "One two three."), (1, 1, "Four five!"), (1, 2, "Six."), (1, 2, "."), (1, 2, "."), (1, 2, "Seven"), (2, 4, "No mark"), (3, 1, "?")]
+
+
 def plain_diff(old, new):
     """The walk through the whole table of lengths."""
     best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
