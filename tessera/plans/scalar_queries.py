@@ -19,7 +19,7 @@ PATHS = (
     " WHEN 4 THEN 'no tokens here xyz' WHEN 5 THEN 'a/b/Monday ' || CAST(doc_id % 7 AS STRING) || '.tar.gz'"
     " WHEN 6 THEN 'x/Lecture ' || CAST(doc_id % 50 AS STRING) || ' - atman.mp4' ELSE 'Class/.hidden' || CAST(doc_id AS STRING) END"
 )
-TITLES = "CASE doc_id % 5 WHEN 0 THEN '## Summary: ' || substr(text, 1, 90) WHEN 1 THEN '  * - Overview, \"' || substr(text, 1, 60) || '\"' WHEN 2 THEN '[12:03] a:b/c?' || substr(text, 1, 50) || '. .' WHEN 3 THEN '…TL;DR: ' || substr(text, 5, 200) ELSE '<<' || source || '>> | x--y ---' END"
+TITLES = "CASE doc_id % 5 WHEN 0 THEN '## Summary: ' || text WHEN 1 THEN '  * - Overview, \"' || text || '\"' WHEN 2 THEN '[12:03] a:b/c?' || text || '. .' WHEN 3 THEN '…TL;DR: ' || text ELSE '<<' || source || '>> | x--y ---' END"
 
 
 def scalar(name: str, source: str, key: str, inputs: dict[str, str], outputs: dict[str, Callable[[], Column]], sql: dict[str, str]) -> None:
@@ -72,7 +72,7 @@ _docs("fn_heuristic_name", {"p": PATHS}, {"name": lambda: T.heuristic_name(c("p"
 SQL["fn_heuristic_name"] = SQL_NAME
 
 _CLEAN = r"regexp_replace(regexp_replace(t, '[\x00-\x20\x7F]+', ' ', 'g'), '^ +| +$', '', 'g')"
-_docs("fn_clean_label", {"t": "substr(text, 1, 60 + doc_id % 60)"}, {"label": lambda: T.clean_label(c("t"))}, {"label": _or(rf"CASE WHEN length({_CLEAN}) > 80 THEN coalesce(nullif(regexp_extract({_CLEAN}, '^(.{{0,80}}) ', 1), ''), left({_CLEAN}, 80)) ELSE {_CLEAN} END", "Untitled")})
+_docs("fn_clean_label", {"t": "text"}, {"label": lambda: T.clean_label(c("t"))}, {"label": _or(rf"CASE WHEN length({_CLEAN}) > 80 THEN coalesce(nullif(regexp_extract({_CLEAN}, '^(.{{0,80}}) ', 1), ''), left({_CLEAN}, 80)) ELSE {_CLEAN} END", "Untitled")})
 _LEADS = "|".join(x.replace(".", r"\.") for x in T.LEADS)
 # RE2 has no lookahead: a space or end after what must be followed by one is put in, then taken out again
 _docs("fn_strip_bracketed", {"t": TITLES}, {"topic": lambda: T.strip_bracketed(c("t"))}, {"topic": r"regexp_replace(t, '\[[^\]]{0,23}\]', '', 'g')"})
@@ -100,7 +100,7 @@ _docs("fn_est_tokens", {"t": "text"}, {"tokens": lambda: T.est_tokens(c("t"))},
 _docs("fn_normalize_ws", {"t": "'  ' || replace(text, ' the ', '  ' || chr(10) || chr(10) || chr(10) || chr(10) || ' ') || ' ' || chr(10)"}, {"clean": lambda: T.normalize_ws(c("t"))}, {"clean": TRIM.format(r"regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t\r\f]+(\n|$)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g')")})
 _STOP = ", ".join(f"'{w}'" for w in T.STOP)
 _TERMS = rf"list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 3 AND w NOT IN ({_STOP}))"
-_docs("fn_query_terms", {"t": "substr(text, 1, 200)"}, {"terms": lambda: F.array_join(T.query_terms(c("t"), 6), " ")}, {"terms": f"array_to_string(list_transform(list_filter(list_zip({_TERMS}, range(len({_TERMS}))), lambda z: list_position({_TERMS}, z[1]) = z[2] + 1), lambda z: z[1])[1:6], ' ')"})
+_docs("fn_query_terms", {"t": "text"}, {"terms": lambda: F.array_join(T.query_terms(c("t"), 6), " ")}, {"terms": f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({_TERMS}, lambda z: [z])), lambda found, z: CASE WHEN len(found) >= 6 OR list_contains(found, z[1]) THEN found ELSE list_concat(found, z) END), ' ')"}))), lambda z: list_position({_TERMS}, z[1]) = z[2] + 1), lambda z: z[1])[1:6], ' ')"})
 _URLS = "CASE doc_id % 9 WHEN 0 THEN 'https://ex.org/' || source WHEN 1 THEN 'HTTP://a.b?q=1' WHEN 2 THEN 'file:///x' WHEN 3 THEN 'https://' WHEN 4 THEN 'https://u@h/x' WHEN 5 THEN 'https://a b/c' WHEN 6 THEN 'javascript:x' WHEN 7 THEN 'C:\\x' ELSE 'http://h/a@b' END"
 ALLOWED = r"(?i)^https?://[^/?#@\\\s][^/?#\\\s@]*(?:[/?#][^@]*)?$"
 _docs("fn_url_allowed", {"u": _URLS}, {"allowed": lambda: T.url_allowed(c("u"))}, {"allowed": f"regexp_matches(u, '{ALLOWED}')"})
@@ -109,9 +109,9 @@ _docs("fn_strip_guide_echo", {"t": _ECHO}, {"clean": lambda: T.strip_guide_echo(
 _SIDE = """CASE doc_id % 4 WHEN 0 THEN '{"chunks": ' || CAST(n_chars AS STRING) || ',"x":1}' WHEN 1 THEN '{"chunks":-' || CAST(doc_id AS STRING) || '}' WHEN 2 THEN 'not json' ELSE '{"chunks":"a"}' END"""
 _docs("fn_sidecar_int", {"t": _SIDE}, {"chunks": lambda: T.sidecar_int(c("t"), "chunks")}, {"chunks": r"""try_cast(regexp_extract(t, '"chunks":\s*(-?\d+)', 1) AS BIGINT)"""})
 NOTE = (
-    "CASE doc_id % 3 WHEN 0 THEN '# T' || chr(10) || chr(10) || '## Summary' || chr(10) || substr(text, 1, 80) || chr(10) || chr(10) || '## Raw Transcript' || chr(10) || substr(text, 1, 300) || chr(10) || '## Audio' || chr(10) || 'a.wav'"
-    f" WHEN 1 THEN '# T' || chr(10) || '## Summary' || chr(10) || '{T.SKIP_MARK}' || chr(10) || '## Raw Transcript' || chr(10) || substr(text, 1, 200)"
-    " ELSE '#T' || chr(10) || '## Sources' || chr(10) || '- a' || chr(10) || '## Summary' || chr(10) || substr(text, 10, 50) || chr(10) || '## Source Texts' || chr(10) || text END"
+    "CASE doc_id % 3 WHEN 0 THEN '# T' || chr(10) || chr(10) || '## Summary' || chr(10) || text || chr(10) || chr(10) || '## Raw Transcript' || chr(10) || text || chr(10) || '## Audio' || chr(10) || 'a.wav'"
+    f" WHEN 1 THEN '# T' || chr(10) || '## Summary' || chr(10) || '{T.SKIP_MARK}' || chr(10) || '## Raw Transcript' || chr(10) || text"
+    " ELSE '#T' || chr(10) || '## Sources' || chr(10) || '- a' || chr(10) || '## Summary' || chr(10) || text || chr(10) || '## Source Texts' || chr(10) || text END"
 )
 _MARK = "CASE WHEN contains(t, '## Source Texts') THEN '## Source Texts' ELSE '## Raw Transcript' END"
 _SUMMARY = TRIM.format(f"coalesce(string_split(string_split(t, {_MARK})[1], '## Summary')[2], '')")
@@ -210,7 +210,7 @@ _docs(
     {"tier": lambda: F.when(c("vram").isNull() & c("ram").isNull(), "standard").when((c("vram") >= 12) & (c("ram").isNull() | (c("ram") >= 12)), "full").when((c("vram") >= 6) & (c("ram").isNull() | (c("ram") >= 12)), "standard").otherwise("lite")},
     {"tier": "CASE WHEN vram IS NULL AND ram IS NULL THEN 'standard' WHEN vram >= 12 AND (ram IS NULL OR ram >= 12) THEN 'full' WHEN vram >= 6 AND (ram IS NULL OR ram >= 12) THEN 'standard' ELSE 'lite' END"},
 )
-_docs("fn_json_escape", {"t": "substr(text, 1, 300) || chr(9) || '\"' || source"}, {"json": lambda: F.to_json(F.struct(c("t").alias("t")))}, {"json": "CAST(to_json({'t': t}) AS VARCHAR)"})
+_docs("fn_json_escape", {"t": "text || chr(9) || '\"' || source"}, {"json": lambda: F.to_json(F.struct(c("t").alias("t")))}, {"json": "CAST(to_json({'t': t}) AS VARCHAR)"})
 _docs(
     "fn_fit_predict",
     {"n": "n_chars", "want": "doc_id % 900"},
@@ -231,13 +231,13 @@ _docs(
 )
 _docs(
     "fn_review_merge",
-    {"l": "substr(text, 1, 40)", "r": "' ' || substr(text, 41, 40) || ' '", "pick": "CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'both' END"},
+    {"l": "text", "r": "' ' || text || ' ' || lang", "pick": "CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'both' END"},
     {"center": lambda: F.when(c("pick") == "left", c("l")).when(c("pick") == "right", c("r")).otherwise(F.concat_ws("\n\n", T.trimmed(c("l")), T.trimmed(c("r"))))},
     {"center": f"CASE pick WHEN 'left' THEN l WHEN 'right' THEN r ELSE {TRIM.format('l')} || chr(10) || chr(10) || {TRIM.format('r')} END"},
 )
 _docs(
     "agg_word_guard",
-    {"a": "length(text) - length(replace(text, ' ', '')) + 1", "b": "length(substr(text, 1, 900)) - length(replace(substr(text, 1, 900), ' ', '')) + doc_id % 3"},
+    {"a": "length(text) - length(replace(text, ' ', '')) + 1", "b": "length(text) - length(replace(text, ' ', '')) + doc_id % 30 - 12"},
     {"verbatim": lambda: (c("b") == 0) | (F.abs(c("a") - c("b")) > F.greatest(F.floor(c("a") / 20), F.lit(8)))},
     {"verbatim": "b = 0 OR abs(a - b) > greatest(a // 20, 8)"},
 )
