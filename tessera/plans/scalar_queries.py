@@ -100,7 +100,7 @@ _docs("fn_est_tokens", {"t": "text"}, {"tokens": lambda: T.est_tokens(c("t"))},
 _docs("fn_normalize_ws", {"t": "'  ' || replace(text, ' the ', '  ' || chr(10) || chr(10) || chr(10) || chr(10) || ' ') || ' ' || chr(10)"}, {"clean": lambda: T.normalize_ws(c("t"))}, {"clean": TRIM.format(r"regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t\r\f]+(\n|$)', '\1', 'g'), '\n{4,}', repeat(chr(10), 3), 'g')")})
 _STOP = ", ".join(f"'{w}'" for w in T.STOP)
 _TERMS = rf"list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 3 AND w NOT IN ({_STOP}))"
-_docs("fn_query_terms", {"t": "text"}, {"terms": lambda: F.array_join(T.query_terms(c("t"), 6), " ")}, {"terms": f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({_TERMS}, lambda z: [z])), lambda found, z: CASE WHEN len(found) >= 6 OR list_contains(found, z[1]) THEN found ELSE list_concat(found, z) END), ' ')"}))), lambda z: list_position({_TERMS}, z[1]) = z[2] + 1), lambda z: z[1])[1:6], ' ')"})
+_docs("fn_query_terms", {"t": "text"}, {"terms": lambda: F.array_join(T.query_terms(c("t"), 6), " ")}, {"terms": f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({_TERMS}, lambda z: [z])), lambda found, z: CASE WHEN len(found) >= 6 OR list_contains(found, z[1]) THEN found ELSE list_concat(found, z) END), ' ')"})
 _URLS = "CASE doc_id % 9 WHEN 0 THEN 'https://ex.org/' || source WHEN 1 THEN 'HTTP://a.b?q=1' WHEN 2 THEN 'file:///x' WHEN 3 THEN 'https://' WHEN 4 THEN 'https://u@h/x' WHEN 5 THEN 'https://a b/c' WHEN 6 THEN 'javascript:x' WHEN 7 THEN 'C:\\x' ELSE 'http://h/a@b' END"
 ALLOWED = r"(?i)^https?://[^/?#@\\\s][^/?#\\\s@]*(?:[/?#][^@]*)?$"
 _docs("fn_url_allowed", {"u": _URLS}, {"allowed": lambda: T.url_allowed(c("u"))}, {"allowed": f"regexp_matches(u, '{ALLOWED}')"})
