@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import html as H
 from tessera.functions import text as T
-from tessera.operators import models
+from tessera.operators import fetch, models
 from tessera.plans.scalar_queries import _docs
 from tessera.plans.source_queries import _takes
 from tessera.registry import query, table
@@ -115,14 +115,31 @@ def src_web_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.length("excerpt") >= 80)
 
 
-_FETCH = {"status": "CASE doc_id % 5 WHEN 0 THEN 206 WHEN 1 THEN 200 WHEN 2 THEN 416 WHEN 3 THEN 404 ELSE 206 END", "have": "n_chars", "start": "CASE WHEN doc_id % 10 = 4 THEN n_chars + 1 ELSE n_chars END", "tries": "doc_id % 2"}
-_docs(
-    "str_resume_fetch",
-    _FETCH,
-    {
-        "action": lambda: F.when((c("status") == 206) & (c("start") == c("have")), "append")
-        .when((c("status") == 206) | (c("status") == 416), F.when(c("tries") == 0, "restart").otherwise("fail"))
-        .when(c("status") == 200, "start over").otherwise("fail")
-    },
-    {"action": "CASE WHEN status = 206 AND start = have THEN 'append' WHEN status IN (206, 416) THEN CASE WHEN tries = 0 THEN 'restart' ELSE 'fail' END WHEN status = 200 THEN 'start over' ELSE 'fail' END"},
-)
+#: What a server answers first and then, and how much of a file is there, by document.
+_ANSWERS = {
+    "have": "CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN octet // 3 WHEN 2 THEN octet // 2 ELSE CASE WHEN doc_id % 8 = 3 THEN octet ELSE octet + 5 END END",
+    "first": "CASE doc_id % 7 WHEN 0 THEN 206 WHEN 1 THEN 206 WHEN 2 THEN 200 WHEN 3 THEN 416 WHEN 4 THEN 404 WHEN 5 THEN 206 ELSE 0 END",
+    "second": "CASE doc_id % 5 WHEN 0 THEN 416 WHEN 1 THEN 503 WHEN 2 THEN 206 ELSE 200 END",
+}
+
+
+@query("str_resume_fetch", f"""WITH f AS (SELECT *, CASE WHEN held > octet THEN 0 ELSE held END AS have FROM (SELECT doc_id, text, octet, {_ANSWERS['have']} AS held, {_ANSWERS['first']} AS first, {_ANSWERS['second']} AS second FROM (SELECT doc_id, text, strlen(text) AS octet FROM documents))),
+g AS (SELECT *, octet > 0 AND have = octet AS complete, (first = 206 AND have > 0 AND doc_id % 7 = 1) OR first = 416 AS again FROM f),
+h AS (SELECT *, CASE WHEN complete THEN NULL WHEN again THEN CASE WHEN second IN (200, 206) THEN NULL WHEN second = 416 THEN 'refused twice' ELSE 'server status ' || second END WHEN first = 0 THEN 'request failed' WHEN first IN (200, 206) THEN NULL ELSE 'server status ' || first END AS failed FROM g)
+SELECT doc_id AS id, coalesce(failed, CASE WHEN NOT complete AND NOT again AND doc_id % 7 = 5 AND octet > have THEN 'incomplete' WHEN doc_id % 10 = 9 THEN 'wrong digest' ELSE 'done' END) AS result, CASE WHEN again AND NOT complete THEN 1 ELSE 0 END AS restarts,
+CASE WHEN failed IS NULL AND NOT (NOT complete AND NOT again AND doc_id % 7 = 5 AND octet > have) AND doc_id % 10 <> 9 THEN sha256(text) END AS sha256 FROM h""")
+def str_resume_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial files of the texts, and answers that go on, go elsewhere, start over, refuse, fail, end early or do not come."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", c("text").cast("binary").alias("whole"), F.octet_length("text").cast("long").alias("octet"))
+    rows = docs.withColumns({k: F.expr(v.replace("//", "div")) for k, v in _ANSWERS.items()})
+    whole, octet, have = c("whole"), c("octet"), F.when(c("have") > c("octet"), 0).otherwise(c("have"))
+    cut = lambda start, n: F.substring(whole, (start + 1).cast("int"), n.cast("int"))
+    part = F.when(c("have") > octet, F.concat(whole, F.lit("stale").cast("binary"))).otherwise(cut(F.lit(0), c("have")))
+    digest = F.when(c("doc_id") % 10 == 9, F.lit("0" * 64)).otherwise(F.upper(F.sha2("whole", 256)))
+    parts = rows.select(c("doc_id").alias("id"), part.alias("part"), octet.alias("total"), digest.alias("expected"))
+    elsewhere = c("doc_id") % 7 == 1
+    rest = cut(have, F.when(c("doc_id") % 7 == 5, F.floor((octet - have) / 2)).otherwise(octet - have))
+    first = rows.where("first > 0").select(c("doc_id").alias("id"), F.lit(1).alias("attempt"), c("first").alias("status"), F.when(elsewhere, have + 1).otherwise(have).alias("start"), F.when(c("first") == 206, rest).when(c("first") == 200, whole).alias("body"))
+    second = rows.select(c("doc_id").alias("id"), F.lit(2).alias("attempt"), c("second").alias("status"), F.lit(0).cast("long").alias("start"), F.when(c("second").isin(200, 206), whole).alias("body"))
+    found = fetch.resumed(parts, first.union(second))
+    return found.select("id", "result", "restarts", F.when(c("result") == "done", c("sha256")).alias("sha256"))
