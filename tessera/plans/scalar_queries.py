@@ -175,6 +175,7 @@ _docs(
     {"key": f"lpad(lower(hex(CAST({_FNV} AS UBIGINT))), 16, '0')"},
 )
 _docs("fn_peak_db", {"v": "CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE (doc_id % 997 + 1) / 1000.0 END"}, {"shown": lambda: T.peak_db(c("v").cast("double"))}, {"shown": "CASE WHEN v <= 0 THEN '-inf dB' ELSE CAST(CAST(round(20 * log10(CAST(v AS DOUBLE))) AS BIGINT) AS STRING) || ' dB' END"})
+#: Names of modes with their defaults, bounds of settings.
 MODES = {
     "theme": (("light", "gruvbox_dark", "gruvbox_light", "coffee_dark", "coffee_light"), "dark"), "nav": (("sidebar",), "tabs"), "compute": (("cpu",), "auto"),
     "tier": (("lite", "full"), "standard"), "merge": (("executive", "long"), "ask"), "pdf": (("shell",), "warn"), "retention": (("delete", "archive"), "keep"),
