@@ -189,6 +189,7 @@ _docs(
     {k: (lambda v=v: T.canonical(c("w"), *v)) for k, v in MODES.items()} | {k: (lambda v=v: F.least(F.greatest(c("n"), F.lit(v[0])), F.lit(v[1])).cast("long")) for k, v in CLAMPS.items()},
     {k: f"CASE WHEN w IN ({', '.join(repr(x) for x in v[0])}) THEN w ELSE '{v[1]}' END" for k, v in MODES.items()} | {k: f"CAST(least(greatest(n, {v[0]}), {v[1]}) AS BIGINT)" for k, v in CLAMPS.items()},
 )
+#: What each tier, attention level and size of memory stands for, in the two queries below.
 _TIER = "CASE doc_id % 4 WHEN 0 THEN 'recap' WHEN 1 THEN 'detailed' WHEN 2 THEN 'standard' ELSE 'x' END"
 _docs(
     "fn_tier_lookup",
