@@ -4,9 +4,9 @@ Components are whole numbers, so scores (inner products) are exact. Rows with on
 one entry with its least ``KEEP`` members: no more of them can be among the first of any list.
 
 1. The file: each dimension is cut into ``CELLS`` cells at its quantiles, with the least and the largest
-   value of each cell known over all entries; an entry is a byte for each two dimensions.
-2. For an anchor, two tables give the least and the largest contribution of each pair of cells; sums of
-   looked-up values bound the score of an entry from below and from above.
+   value of each cell known over all entries; an entry is a byte for each dimension.
+2. For an anchor, two tables give the least and the largest contribution of each cell; sums of looked-up
+   values bound the score of an entry from below and from above.
 3. Positives: of an anchor's label, entries whose upper bound reaches the ``KEEP``-th largest lower bound
    are scored exactly.
 4. Negatives: of other labels, entries whose bounds meet the window of a positive are scored exactly, but
@@ -38,7 +38,8 @@ from tessera.llm.staging import stage, with_rows
 POSITIVES, NEGATIVES = 5, 5
 #: An anchor's positives and the anchor itself.
 KEEP = POSITIVES + 1
-CELLS = 16
+#: Cells of a dimension, at most 256.
+CELLS = 64
 ROWS, QUERIES = 4096, 2048
 NO_ID = (1 << 63) - 1
 ENTRY = "entry long, label long, z array<long>, codes binary, ids array<long>, rows array<long>"
@@ -82,8 +83,7 @@ def approximate(entries: DataFrame, cuts: np.ndarray) -> DataFrame:
         for batch in batches:
             z = _matrix(batch.column("z"), len(cuts))
             code = np.stack([np.searchsorted(cuts[d], z[:, d], "right") for d in range(len(cuts))], 1).astype(np.uint8)
-            code = np.pad(code, ((0, 0), (0, len(cuts) % 2)))
-            codes = pa.array([row.tobytes() for row in code[:, ::2] * CELLS + code[:, 1::2]], pa.binary())
+            codes = pa.array([row.tobytes() for row in code], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) if c != "codes" else codes for c in ("entry", "label", "z", "codes", "ids", "rows")], ["entry", "label", "z", "codes", "ids", "rows"])
 
     return entries.mapInArrow(run, ENTRY)
@@ -103,19 +103,18 @@ class Shard:
         self.label = entries.column("label").to_numpy()
         self.z = _matrix(entries.column("z"), len(lower))
         codes = np.frombuffer(b"".join(entries.column("codes").to_pylist()), np.uint8).reshape(len(self.label), -1)
-        self.cells = codes.astype(np.int32) + CELLS * CELLS * np.arange(codes.shape[1], dtype=np.int32)
+        self.cells = codes.astype(np.int32) + CELLS * np.arange(codes.shape[1], dtype=np.int32)
         self.ids, self.rows = entries.column("ids").to_pylist(), entries.column("rows").to_pylist()
         self.lower, self.upper = lower, upper
+        self.most = int(max(np.abs(lower).max(), np.abs(upper).max())) * len(lower)
 
     def bounds(self, a: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest possible score of the entries from low to high."""
         p, q = a[:, None] * self.lower, a[:, None] * self.upper
-        out = []
-        for each in (np.minimum(p, q), np.maximum(p, q)):
-            each = np.pad(each, ((0, len(each) % 2), (0, 0)))
-            table = (each[::2, :, None] + each[1::2, None, :]).ravel()
-            out.append(table.take(self.cells[low:high]).sum(1))
-        return out[0], out[1]
+        # narrow numbers where no sum can exceed them
+        kind = np.int32 if self.most * int(np.abs(a).max(initial=0)) < 1 << 31 else np.int64
+        lb, ub = (each.ravel().astype(kind).take(self.cells[low:high]).sum(1, dtype=kind) for each in (np.minimum(p, q), np.maximum(p, q)))
+        return lb, ub
 
     def first(self, at: np.ndarray, score: np.ndarray, most: int) -> list[tuple[int, int, int]]:
         """(score, id, row) of the first rows of the entries at these places, by score and id."""
