@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import labels, names
+from tessera.operators import drafts, labels, names
 from tessera.plans.scalar_queries import DAY, PATHS, STEM
 from tessera.registry import query, table
 from tessera.session import checkpointed, mounted, scratch
-from tessera.sources import moves, sinks, tree
+from tessera.sources import moves, retention, sinks, tree
 
 c = F.col
 
@@ -382,10 +382,27 @@ def sink_upsert_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(store, new, "path", c("seq")).select("path", "day")
 
 
-@query("sink_retention", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'keep' WHEN doc_id % 3 = 0 THEN 'delete' WHEN doc_id % 3 = 1 THEN 'archive' ELSE 'keep' END AS action FROM documents")
+#: Sources of documents: names with all kinds of extensions, settings, and Spanish ones as videos.
+_SOURCES = "SELECT doc_id, concat('f', doc_id, CASE doc_id % 5 WHEN 0 THEN '.MP3' WHEN 1 THEN '.flac' WHEN 2 THEN '' WHEN 3 THEN '.recording' ELSE '.wav' END) AS source, concat('T', doc_id) AS title, CASE doc_id % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'keep' WHEN 2 THEN 'archive' ELSE CASE WHEN doc_id % 8 = 3 THEN 'archive' ELSE 'other' END END AS setting, lang = 'es' AS video FROM documents"
+
+
+@query("sink_retention", f"""SELECT doc_id, action, CASE WHEN action = 'archive' THEN title || '.src' || CASE doc_id % 5 WHEN 0 THEN '.mp3' WHEN 1 THEN '.flac' ELSE '.wav' END || CASE WHEN doc_id % 3 = 0 THEN ' (2)' ELSE '' END END AS archived, action <> 'delete' AS source_there, CASE WHEN action = 'archive' THEN sha256(text) END AS archived_sha256
+FROM (SELECT *, CASE WHEN video OR setting NOT IN ('delete', 'archive') THEN 'keep' ELSE setting END AS action FROM ({_SOURCES})) JOIN documents USING (doc_id)""")
 def sink_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision only; video (here: Spanish) is exempt."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(c("lang") == "es", "keep").when(c("doc_id") % 3 == 0, "delete").when(c("doc_id") % 3 == 1, "archive").otherwise("keep").alias("action"))
+    """Sources are written, then kept, deleted or archived by their setting, twice; some names in the archive are taken."""
+    old, new = scratch(spark, "sources"), scratch(spark, "outputs")
+    rows = checkpointed(_both(_SOURCES, "documents")(spark, sf_dir))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    sinks.write_files(rows.join(texts, "doc_id").select(c("source").alias("name"), "body"), old, "name", "body")
+    ext = F.when(c("doc_id") % 5 == 0, ".mp3").when(c("doc_id") % 5 == 1, ".flac").otherwise(".wav")
+    taken = rows.where("doc_id % 3 = 0").select(F.concat("title", F.lit(".src"), ext).alias("name"), F.lit("another source").alias("body"))
+    sinks.write_files(taken, new, "name", "body")
+    done = checkpointed(retention.apply(rows, old, new))
+    checkpointed(retention.apply(rows, old, new))
+    there = tree.tree(spark, old, depth=0).select(c("relative").alias("source"), F.lit(True).alias("there"))
+    files = tree.tree(spark, new, depth=0, content=True).select(c("relative").alias("archived"), F.sha2("content", 256).alias("archived_sha256"))
+    found = rows.select("doc_id", "source").join(done, "source").join(there, "source", "left").join(files, "archived", "left")
+    return found.select("doc_id", "action", "archived", F.coalesce("there", F.lit(False)).alias("source_there"), "archived_sha256")
 
 
 @query("sink_atomic_json")
@@ -396,11 +413,16 @@ def sink_atomic_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, json string").json(path)
 
 
-@query("st_draft_lifecycle", "SELECT conv_id, max_by(text, turn) AS body, max(turn) AS updated_at FROM conversations GROUP BY conv_id HAVING max_by(length(text) % 7, turn) <> 0")
+#: Turns as operations: a text whose length divides by seven deletes, users open, others save.
+_OPS = "SELECT conv_id AS id, turn AS seq, CASE WHEN length(text) % 7 = 0 THEN 'delete' WHEN role = 'user' THEN 'open' ELSE 'save' END AS op, text AS body FROM conversations"
+
+
+@query("st_draft_lifecycle", f"""WITH o AS (SELECT *, coalesce(max(CASE WHEN op = 'open' THEN seq END) OVER w, -1) > coalesce(max(CASE WHEN op = 'delete' THEN seq END) OVER w, -1) AS there FROM ({_OPS}) WINDOW w AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT id, coalesce(max(CASE WHEN op = 'delete' THEN seq END), -1) AS deleted, count(*) FILTER (WHERE op = 'save' AND NOT there) AS lost FROM o GROUP BY id)
+SELECT id, max_by(body, seq) AS body, max(seq) AS updated_at, count(*) FILTER (WHERE op = 'save') AS saves, any_value(lost) AS lost FROM o JOIN e USING (id) WHERE seq > deleted AND ((op = 'open' AND NOT there) OR (op = 'save' AND there)) GROUP BY id""")
 def st_draft_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts at their last save; a save whose length divides by seven deletes the draft."""
-    last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("body"), F.max("turn").alias("updated_at"))
-    return last.where(F.length("body") % 7 != 0)
+    """Drafts after all that was done to them."""
+    return drafts.fold(_both(_OPS, "conversations")(spark, sf_dir))
 
 
 #: A draft for each conversation: what users said, what was answered, and a note of both numbers.
