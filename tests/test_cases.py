@@ -201,7 +201,30 @@ def test_a_muted_solo_track_is_not_heard_and_long_projects_are_refused(monkeypat
 
 
 def test_last_write_of_a_key_wins_over_versions(spark, tmp_path):
-    schema = "k long, v string, seq long"
-    sinks.upsert(f"file://{tmp_path}/s", spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "c", 3)], schema), "k", F.col("seq"))
-    out = sinks.upsert(f"file://{tmp_path}/s", spark.createDataFrame([(2, "d", 4), (3, None, 5), (1, "old", 0)], schema), "k", F.col("seq"))
-    assert sorted(map(tuple, out.collect())) == [(1, "a", 1), (2, "d", 4), (3, None, 5)]
+    schema, store = "k long, v string, seq long", f"file://{tmp_path}/s"
+    sinks.upsert(store, spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "c", 3), (None, "n", 1)], schema), "k", F.col("seq"))
+    before = {p.name for p in (tmp_path / "s" / "data").iterdir()}
+    out = sinks.upsert(store, spark.createDataFrame([(2, "d", 4), (3, None, 5), (1, "old", 0)], schema), "k", F.col("seq"), buckets=3)
+    assert sorted(map(tuple, out.collect()), key=repr) == [(1, "a", 1), (2, "d", 4), (3, None, 5), (None, "n", 1)]
+    assert sorted(map(tuple, sinks.upsert(store, spark.createDataFrame([], schema), "k", F.col("seq")).collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+    # only the buckets of the written keys were written again
+    again = [p for p in (tmp_path / "s" / "data").iterdir() if p.name not in before]
+    assert sum(len(list(p.glob("bucket=*"))) for p in again) == 3
+
+
+def test_of_two_writers_none_is_lost(spark, tmp_path, monkeypatch):
+    schema, store = "k long, v string, seq long", f"file://{tmp_path}/s"
+    write = lambda *rows: sinks.upsert(store, spark.createDataFrame(list(rows), schema), "k", F.col("seq"))
+    write((1, "a", 1))
+    commit, other = sinks._commit, []
+
+    def late(session, where, n, places):
+        if not other:  # another writer commits first
+            other.append(True)
+            monkeypatch.setattr(sinks, "_commit", commit)
+            write((1, "other", 2), (5, "other", 2))
+            monkeypatch.setattr(sinks, "_commit", late)
+        return commit(session, where, n, places)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    assert sorted(map(tuple, write((1, "mine", 3), (7, "mine", 3)).collect())) == [(1, "mine", 3), (5, "other", 2), (7, "mine", 3)]
