@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,24 +37,32 @@ def speaker(turn_flag: Column, key: str, order: str) -> Column:
     return (1 + F.coalesce(F.sum(turn_flag.cast("long")).over(before), F.lit(0)) % 2).cast("long")
 
 
-def chunks(text: Column, target: int) -> Column:
-    """Greedy packing of words into chunks of about target estimated tokens; a longer word stands alone.
+#: White space between words, as Spark's patterns have it.
+_SPACES = re.compile("[ \t\n\x0b\f\r]+")
+
 
-    The fold goes over the words' sizes and keeps where chunks begin; the words are joined once."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("size"))
+def pack_words(text: str, target: int) -> list[str]:
+    """Chunks of words up to target estimated tokens, one more for each space; a longer word stands alone."""
+    starts, size = [], 0
+    words = [w for w in _SPACES.split(text) if w]
+    for at, word in enumerate(words):
+        own = (len(word) if word.isascii() else len(word.encode())) // 4 + 1
+        if not at or size + 1 + own > target:
+            starts.append(at)
+            size = own
+        else:
+            size += 1 + own
+    return [" ".join(words[a:b]) for a, b in zip(starts, [*starts[1:], len(words)], strict=True)] if words else [""]
 
-    def add(a: Column, size: Column) -> Column:
-        new = (a["at"] == 0) | (a["size"] + 1 + size > target)
-        starts = F.when(new, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
-        return F.struct(starts.alias("starts"), (a["at"] + 1).alias("at"), F.when(new, size).otherwise(a["size"] + 1 + size).alias("size"))
 
-    def cut(own: Column) -> Column:
-        bounds = F.aggregate(F.transform(own, T.est_tokens), start, add, lambda a: F.concat(a["starts"], F.array(a["at"])))
-        parts = lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.array_join(F.slice(own, F.get(b, i - 1) + 1, F.get(b, i) - F.get(b, i - 1)), " "))
-        return F.get(F.transform(F.array(bounds), lambda b: F.when(F.size(b) > 1, parts(b)).otherwise(F.array(F.lit("")))), F.lit(0))
+def chunks(text: Column, target: int) -> Column:
+    """Greedy packing of words: where a chunk begins depends on the one before, so a text is packed by one loop, texts by Arrow batches. Null is an empty text."""
+
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pack_words(t or "", target))
 
-    return F.get(F.transform(F.array(words), cut), F.lit(0))
+    return packed(F.coalesce(text, F.lit("")))
 
 
 def sentences(segments: DataFrame, key: str, order: str) -> DataFrame:

@@ -81,13 +81,19 @@ def sink_merged_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.through_files(spark, notes, "conv_id", "md", ".md")
 
 
-@query("win_chunk_by_tokens")
+#: A fold over words: the size of the last chunk, then the chunks.
+_PACKED = r"""c AS (SELECT doc_id, list_reduce(list_prepend(['0'], list_transform(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> ''), lambda w: [w])), lambda acc, w: CASE WHEN len(acc) = 1 OR CAST(acc[1] AS INTEGER) + 2 + strlen(w[1]) // 4 > 1000
+THEN list_concat(list_concat([CAST(strlen(w[1]) // 4 + 1 AS VARCHAR)], acc[2:]), w) ELSE list_concat(list_concat([CAST(CAST(acc[1] AS INTEGER) + 2 + strlen(w[1]) // 4 AS VARCHAR)], acc[2:len(acc) - 1]), [acc[len(acc)] || ' ' || w[1]]) END) AS acc FROM documents),
+p AS (SELECT doc_id, CASE WHEN len(acc) = 1 THEN [''] ELSE acc[2:] END AS parts FROM c)"""
+
+
+@query("win_chunk_by_tokens", f"WITH {_PACKED} SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS chunk, unnest(parts) AS body FROM p")
 def win_chunk_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", cues.chunks(c("text"), 1000).alias("parts"))
     return docs.select("doc_id", F.posexplode("parts").alias("chunk", "body")).select("doc_id", c("chunk").cast("long").alias("chunk"), "body")
 
 
-@query("agg_extractive_summary")
+@query("agg_extractive_summary", f"WITH {_PACKED} SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: chr(10) || chr(10) || '[chunk ' || i || '] ' || left(x, 400)), '') AS notes FROM p")
 def agg_extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a model: the head of every chunk."""
     docs = table(spark, sf_dir, "documents").select("doc_id", cues.chunks(c("text"), 1000).alias("p"))
