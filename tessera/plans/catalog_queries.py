@@ -13,7 +13,7 @@ from tessera.operators import drafts, labels, names
 from tessera.plans.scalar_queries import DAY, PATHS, STEM
 from tessera.registry import query, table
 from tessera.session import checkpointed, mounted, scratch
-from tessera.sources import moves, retention, sinks, tree
+from tessera.sources import moves, outputs, retention, sinks, tree
 
 c = F.col
 
@@ -454,18 +454,26 @@ def st_draft_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(found, "stem").where(here).select("stem", "result", "place", "raw_sha256", "summary_sha256", "files")
 
 
-@query("st_output_ops", "SELECT d.doc_id, coalesce(CASE WHEN n.taken IS NULL THEN o.new_name END, 'note' || CAST(d.doc_id AS VARCHAR)) AS name, n.taken IS NOT NULL AS conflict FROM documents d LEFT JOIN (SELECT doc_id, 'note' || CAST(doc_id * 2 AS VARCHAR) AS new_name FROM labels WHERE quality = 1) o USING (doc_id) LEFT JOIN (SELECT 'note' || CAST(doc_id AS VARCHAR) AS taken FROM documents) n ON n.taken = o.new_name WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def st_output_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Renames that would overwrite are refused and flagged; dismissed rows (toxic ones) do not show."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+#: Toxic documents are dismissed, good ones renamed to twice their number, bad ones deleted.
+_OUTPUT_OPS = "SELECT doc_id AS id, concat('note', doc_id) AS stem, CASE WHEN toxic = 1 THEN 'dismiss' WHEN quality = 1 THEN 'rename' ELSE 'delete' END AS op, concat(' note', doc_id * 2, '.md') AS next FROM (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id)"
 
-    def note(x):
-        return F.concat(F.lit("note"), x.cast("string"))
 
-    renames = labels.where("quality = 1").select("doc_id", note(c("doc_id") * 2).alias("new_name"))
-    taken = docs.select(note(c("doc_id")).alias("new_name"), F.lit(True).alias("taken"))
-    shown = docs.join(labels.where("toxic = 1"), "doc_id", "left_anti").join(renames, "doc_id", "left").join(taken, "new_name", "left")
-    return shown.select("doc_id", F.coalesce(F.when(c("taken").isNull(), c("new_name")), note(c("doc_id"))).alias("name"), c("taken").isNotNull().alias("conflict"))
+@query("st_output_ops", f"""WITH o AS (SELECT *, op = 'rename' AND id * 2 IN (SELECT doc_id FROM documents) AS taken FROM ({_OUTPUT_OPS}) WHERE id IN (SELECT doc_id FROM documents))
+SELECT 'note' || CASE WHEN op = 'rename' AND NOT taken THEN doc_id * 2 ELSE doc_id END AS stem, sha256(coalesce(text, '')) AS sha256, CAST(1 + CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS beside, coalesce(op <> 'dismiss', true) AS shown, coalesce(taken, false) AS conflict
+FROM documents LEFT JOIN o ON id = doc_id WHERE op IS NULL OR op <> 'delete'""")
+def st_output_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and the files beside them are written, renamed, dismissed and deleted by labels, and listed."""
+    folder = scratch(spark, "outputs")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    each = lambda rows, ending, body: rows.select(F.concat(F.lit("note"), "doc_id", F.lit(ending)).alias("name"), body.alias("body"))
+    files = each(docs, ".md", c("body")).union(each(docs, ".md.json", F.lit("{}"))).union(each(docs.where("doc_id % 2 = 1"), ".md.diff.json", F.lit("[]"))).union(each(docs.where("doc_id % 3 = 0"), ".srt", F.lit("1")))
+    sinks.write_files(files, folder, "name", "body")
+    done = checkpointed(outputs.apply(_both(_OUTPUT_OPS, "labels")(spark, sf_dir), folder))
+    found = tree.tree(spark, folder, depth=0, content=True).select(F.regexp_extract("relative", r"^([^.]+)(.*)$", 1).alias("stem"), F.regexp_extract("relative", r"^([^.]+)(.*)$", 2).alias("ending"), "content")
+    notes = found.groupBy("stem").agg(F.max(F.when(c("ending") == ".md", F.sha2("content", 256))).alias("sha256"), (F.count("*") - 1).alias("beside"))
+    hidden = done.where("op = 'dismiss' AND result = 'accepted'").select("stem", F.lit(False).alias("shown"))
+    refused = done.where("result = 'taken'").select("stem", F.lit(True).alias("conflict"))
+    return notes.join(hidden, "stem", "left").join(refused, "stem", "left").select("stem", "sha256", "beside", F.coalesce("shown", F.lit(True)).alias("shown"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
 @query("fn_take_name", "SELECT doc_id, 'Rec ' || source || CASE WHEN n > 1 THEN ' (Part ' || CAST(n AS VARCHAR) || ')' ELSE '' END || '.wav' AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
