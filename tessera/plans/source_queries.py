@@ -51,7 +51,9 @@ def _files(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFram
                 made = [_office(t or "", kind, i) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
                 yield pd.DataFrame({"path": [f"d{i}.{kind}" for i in rows["doc_id"]], "content": made})
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    # a small table is one piece; its files are work for all tasks
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return texts.mapInPandas(run, "path string, content binary")
 
 
 def _extracted(*kinds: str):

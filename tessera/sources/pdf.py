@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ _TOKEN = re.compile(rb"<<|>>|[\[\]{}(]|<[0-9A-Fa-f\x00\t\n\x0c\r ]*>|/[^\x00\t\n
 _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)")
 _REF = re.compile(rb"[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?![^\x00\t\n\x0c\r ()<>\[\]{}/%])")
 _OBJECT = re.compile(rb"(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+obj")
+_PLAIN = re.compile(rb"[^()\\\r]+")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: Names of glyphs that no rule gives.
 GLYPHS = {
@@ -98,7 +100,7 @@ class Lexer:
     def _literal(self) -> bytes:
         out, depth, data = [], 1, self.data
         while self.at < len(data):
-            m = re.compile(rb"[^()\\\r]+").match(data, self.at)
+            m = _PLAIN.match(data, self.at)
             if m:
                 out.append(m[0])
                 self.at = m.end()
@@ -304,9 +306,14 @@ class Font:
 
     def read(self, raw: bytes) -> tuple[str, float]:
         """Text, and its length in units of the font size."""
-        codes = [int.from_bytes(raw[i : i + self.size], "big") for i in range(0, len(raw), self.size)]
-        text = "".join(self.codes[k] if k in self.codes else bytes([k]).decode(self.charset, "replace") if self.size == 1 else "" for k in codes)
-        return text, sum(self.widths.get(k, 500.0) for k in codes) / 1000
+        if self.size == 1 and not self.codes:
+            codes, text = raw, raw.decode(self.charset, "replace")
+        elif self.size == 1:
+            codes, text = raw, "".join([self.codes[k] if k in self.codes else bytes([k]).decode(self.charset, "replace") for k in raw])
+        else:
+            codes = [int.from_bytes(raw[i : i + self.size], "big") for i in range(0, len(raw), self.size)] if self.size != 2 else struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+            text = "".join([self.codes.get(k, "") for k in codes])
+        return text, sum([self.widths.get(k, 500.0) for k in codes]) / 1000 if self.widths else len(codes) / 2
 
 
 def _unicode_map(data: bytes, font: Font) -> None:
