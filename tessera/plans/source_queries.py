@@ -221,7 +221,8 @@ def src_audacity(spark: SparkSession, sf_dir: str) -> DataFrame:
         for rows in batches:
             yield pd.DataFrame({"path": [f"p{i}.aup3" for i in rows["vec_id"]], "content": [made(i, [float(x) for x in e]) for i, e in zip(rows["vec_id"], rows["embedding"], strict=True)]})
 
-    files = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(make, "path string, content binary")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)
+    files = vectors.mapInPandas(make, "path string, content binary")
     found = mixing.mixes(files)
     return found.select("path", "rate", "places", "piece", F.posexplode("samples").alias("k", "v")).select("path", "rate", "places", (c("piece") * mixing.PIECE + c("k")).alias("i"), F.round("v", 6).alias("v"))
 
