@@ -228,3 +228,7 @@ def test_of_two_writers_none_is_lost(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(sinks, "_commit", late)
     assert sorted(map(tuple, write((1, "mine", 3), (7, "mine", 3)).collect())) == [(1, "mine", 3), (5, "other", 2), (7, "mine", 3)]
+
+
+def test_dates_of_far_years_have_no_sign(spark):
+    assert values(spark, lambda c: T.civil_date(c.cast("long")), ["0", "2932896", "2932897", None]) == ["1970-01-01", "9999-12-31", "10000-01-01", None]
