@@ -230,5 +230,10 @@ def test_of_two_writers_none_is_lost(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, write((1, "mine", 3), (7, "mine", 3)).collect())) == [(1, "mine", 3), (5, "other", 2), (7, "mine", 3)]
 
 
+def test_sizes_round_as_c_does(spark):
+    cases = {1280: "1.2 KB", 3328: "3.2 KB", 1023: "1023 B", 1024: "1.0 KB", 1792: "1.8 KB", (1 << 20) - 1: "1024.0 KB", 5 << 29: "2.5 GB", 9 * (1 << 62) // 8: "4831838208.0 GB"}
+    assert values(spark, lambda c: T.fmt_size(c.cast("long")), [str(k) for k in cases]) == list(cases.values())
+
+
 def test_dates_of_far_years_have_no_sign(spark):
     assert values(spark, lambda c: T.civil_date(c.cast("long")), ["0", "2932896", "2932897", None]) == ["1970-01-01", "9999-12-31", "10000-01-01", None]
