@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import mixing
 from tessera.plans import made_files
 from tessera.registry import query, table
@@ -224,7 +225,7 @@ def src_audacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)
     files = vectors.mapInPandas(make, "path string, content binary")
     found = mixing.mixes(files)
-    return found.select("path", "rate", "places", "piece", F.posexplode("samples").alias("k", "v")).select("path", "rate", "places", (c("piece") * mixing.PIECE + c("k")).alias("i"), F.round("v", 6).alias("v"))
+    return found.select("path", "rate", "places", "piece", F.posexplode("samples").alias("k", "v")).select("path", "rate", "places", (c("piece") * mixing.PIECE + c("k")).alias("i"), T.rounded(c("v"), 6).alias("v"))
 
 
 #: Files of a drop: folders in folders, and names that sort before and after them.

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,9 @@ def test_sizes_round_as_c_does(spark):
 
 def test_dates_of_far_years_have_no_sign(spark):
     assert values(spark, lambda c: T.civil_date(c.cast("long")), ["0", "2932896", "2932897", None]) == ["1970-01-01", "9999-12-31", "10000-01-01", None]
+
+
+def test_doubles_round_as_sql_does(spark):
+    texts = ["0.1288875", "0.0000005", "-0.0000005", "2.5e-7", "1e300", "0.3256125", "1.0000015"]
+    want = duckdb.sql(f"SELECT {', '.join(f'round(CAST({x} AS DOUBLE), 6)' for x in texts)}").fetchall()[0]
+    assert values(spark, lambda c: T.rounded(c.cast("double"), 6), texts) == list(want)
