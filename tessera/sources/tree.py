@@ -1,7 +1,7 @@
-"""Folders as a Python data source: a partition walks one folder, links are never followed.
+"""Folders as a Python data source: partitions share the files of a tree by their names, links are never followed.
 
-Options: ``path``, ``depth`` (folders below the top that are entered, 8), ``content`` (whether files are read). The
-folder is one that all nodes mount. What cannot be listed or read is left out; names that are not text as well.
+Options: ``path``, ``depth`` (folders below the top that are entered, 8), ``content`` (whether files are read),
+``shares`` (partitions). The folder is one that all nodes mount. What cannot be listed or read is left out; names that are not text as well.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import datetime
 import os
 import stat
+import zlib
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,53 +21,84 @@ from tessera.session import mounted
 
 #: Folders below a registry's top and files of it that are looked at, and files of one intake by hand.
 DEPTH, MOST_MANIFESTS, MOST_DROPPED = 8, 4096, 256
+#: Folders below the top that all partitions list, at most, and rows and bytes of a batch.
+SHARED, ROWS, HELD = 2, 1024, 4 << 20
 
 
-class Folder(InputPartition):
-    """A folder at a depth below the top; ``whole`` with all folders below it, else its own files only."""
+class Share(InputPartition):
+    """One of so many shares of a tree."""
 
-    def __init__(self, path: str, depth: int, whole: bool) -> None:
-        self.path, self.depth, self.whole = path, depth, whole
+    def __init__(self, number: int, of: int) -> None:
+        self.number, self.of = number, of
 
+    def holds(self, name: str) -> bool:
+        return zlib.crc32(name.encode()) % self.of == self.number
 
-def _entries(folder: str) -> Iterator[tuple[str, os.stat_result]]:
+
+def _entries(folder: str) -> tuple[list[str], list[str]]:
+    """Names of the folders and of the other entries of a folder, without links to folders."""
+    folders, others = [], []
     try:
-        names = sorted(os.listdir(folder))
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    entry.name.encode()
+                    (folders if entry.is_dir(follow_symlinks=False) else others).append(entry.name)
+                except (OSError, UnicodeError):
+                    continue
     except OSError:
-        return
-    for name in names:
-        try:
-            name.encode()
-            yield os.path.join(folder, name), os.lstat(os.path.join(folder, name))
-        except (OSError, UnicodeError):
-            continue
+        return [], []
+    return folders, others
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.top, self.most = mounted(options["path"]).rstrip("/"), int(options.get("depth", DEPTH))
-        self.content = options.get("content", "false").lower() == "true"
+        self.content, self.shares = options.get("content", "false").lower() == "true", int(options.get("shares", 16))
 
     def partitions(self) -> Sequence[InputPartition]:
-        below = [p for p, s in _entries(self.top) if stat.S_ISDIR(s.st_mode)] if self.most > 0 else []
-        return [Folder(self.top, 0, False), *(Folder(p, 1, True) for p in below)]
+        return [Share(k, self.shares) for k in range(self.shares)]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        stack = [(partition.path, partition.depth)]
+    def _files(self, share: Share) -> Iterator[tuple[str, int]]:
+        """(path, depth) of the files of a share. Names of the top and of folders near it are listed in all shares, which
+        deal the files; where there are many folders, or deeper down, a folder is in one share with all below it."""
+        stack = [(self.top, 0, False)]
         while stack:
-            folder, depth = stack.pop()
-            for path, s in _entries(folder):
-                if stat.S_ISDIR(s.st_mode) and partition.whole and depth < self.most:
-                    stack.append((path, depth + 1))
-                elif stat.S_ISREG(s.st_mode):
-                    body = None
-                    if self.content:
-                        try:
-                            with open(path, "rb") as file:
-                                body = file.read()
-                        except OSError:
-                            continue
-                    yield path, path[len(self.top) + 1 :], depth, s.st_size, datetime.datetime.fromtimestamp(s.st_mtime, datetime.UTC), body
+            folder, depth, own = stack.pop()
+            folders, others = _entries(folder)
+            whole = own or depth >= SHARED or len(folders) >= 4 * share.of
+            if depth < self.most:
+                paths = (os.path.join(folder, n) for n in folders)
+                stack.extend((p, depth + 1, whole) for p in paths if own or not whole or share.holds(p))
+            yield from ((p, depth) for n in others if share.holds(p := os.path.join(folder, n)) or own)
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, depth in self._files(partition):
+            try:
+                s = os.lstat(path)
+                if not stat.S_ISREG(s.st_mode):
+                    continue
+                body = None
+                if self.content:
+                    with open(path, "rb") as file:
+                        body = file.read()
+            except OSError:
+                continue
+            rows.append((path, path[len(self.top) + 1 :], depth, s.st_size, datetime.datetime.fromtimestamp(s.st_mtime, datetime.UTC), body))
+            held += len(body or b"")
+            if len(rows) == ROWS or held >= HELD:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+_FIELDS = {"path": pa.string(), "relative": pa.string(), "depth": pa.int32(), "size": pa.int64(), "modified": pa.timestamp("us", "UTC"), "content": pa.binary()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
 
 
 class FolderTree(DataSource):
@@ -83,7 +116,7 @@ class FolderTree(DataSource):
 def tree(spark: SparkSession, folder: str, depth: int = DEPTH, content: bool = False) -> DataFrame:
     """(path, relative, depth, size, modified, content) of the files below a folder."""
     spark.dataSource.register(FolderTree)
-    return spark.read.format("folder_tree").options(path=folder, depth=depth, content=content).load()
+    return spark.read.format("folder_tree").options(path=folder, depth=depth, content=content, shares=4 * spark.sparkContext.defaultParallelism).load()
 
 
 def expand(spark: SparkSession, paths: list[str], most: int = MOST_DROPPED) -> DataFrame:

@@ -107,3 +107,23 @@ def test_moves_of_many_drafts(spark, tmp_path):
         got = {r.stem: r.result for r in moves.move_all(stems, f"file://{tmp_path}/old", f"file://{tmp_path}/new").collect()}
         assert got == {f"d{i}": "moved" for i in range(30)} | {"d30": "absent", "d31": "absent", None: "refused"}
     assert all(contents(tmp_path / "new" / f"d{i}") == {"raw.md": f"r{i}", "meta.json": "{}"} for i in range(30))
+
+
+def test_a_tree_has_so_many_partitions_however_many_folders(spark, tmp_path):
+    """Each file is in one of them, and those of one folder are in several."""
+    for k in range(300):
+        put(tmp_path / f"d{k}" / "deep" / "f", str(k))
+        put(tmp_path / f"f{k}", str(k))
+        put(tmp_path / "d0" / f"f{k}", str(k))
+    reader = tree.TreeReader({"path": str(tmp_path), "shares": "8"})
+    parts = [[p for batch in reader.read(share) for p in batch.column("relative").to_pylist()] for share in reader.partitions()]
+    assert len(parts) == 8 and sorted(p for part in parts for p in part) == sorted([f"d{k}/deep/f" for k in range(300)] + [f"f{k}" for k in range(300)] + [f"d0/f{k}" for k in range(300)])
+    assert all(sum("/" not in p for p in part) > 10 for part in parts)
+    assert tree.tree(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_batches_of_a_tree_are_bounded_by_bytes(tmp_path):
+    for k in range(12):
+        put(tmp_path / f"f{k}", "x" * (1 << 20))
+    batches = list(tree.TreeReader({"path": str(tmp_path), "shares": "1", "content": "true"}).read(tree.Share(0, 1)))
+    assert sum(b.num_rows for b in batches) == 12 and max(b.nbytes for b in batches) < 5 << 20
