@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import mounted, scratch
+from tessera.sources import tree
 
 
 def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
@@ -31,12 +32,14 @@ def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
                 os.replace(own, target)
             yield batch[[name]]
 
-    return rows.select(name, body).mapInPandas(run, f"{name} string").count()
+    # files are work for all tasks, also where the rows are few pieces
+    dealt = rows.select(name, body).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(run, f"{name} string").count()
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, body) of the files of a folder."""
-    return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body"))
+    return tree.tree(spark, folder, depth=0, content=True).select(F.col("relative").alias("name"), F.col("content").cast("string").alias("body"))
 
 
 def through_files(spark: SparkSession, rows: DataFrame, key: str, body: str, ending: str) -> DataFrame:
