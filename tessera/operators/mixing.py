@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import checkpointed
+from tessera.session import checkpointed, slices
 from tessera.sources import audio
 
 #: Places of a piece of a mix.
@@ -33,22 +33,20 @@ _BLOCK = (
 def blocks(files: DataFrame) -> DataFrame:
     """The blocks of (path, content) that are heard; a file without any has one row with the reason."""
 
-    def listed(path: str, raw: bytes | None) -> Iterator[tuple]:
+    exact = {"double": float, "long": int, "int": int, "binary": bytes, "string": str, "array<array<double>>": lambda v: [[float(x) for x in p] for p in v]}
+    types = [exact[x.split()[1]] for x in _BLOCK.split(", ")]
+
+    def listed(path: str, raw: bytes | None) -> list[tuple]:
         try:
             rate, places, found = audio.heard_blocks(bytes(raw or b""))
         except ValueError as e:
-            yield path, None, 0, str(e), *[None] * (len(_FIELDS) + 1)
-            return
-        for k, b in enumerate(found):
-            yield path, rate, places, None, k, *[getattr(b, f) for f in _FIELDS]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _BLOCK.split(", ")]
-        for rows in batches:
-            found = [r for p, c in zip(rows["path"], rows["content"], strict=True) for r in listed(p, c)]
-            yield pd.DataFrame(found, columns=names).astype({c: "Int64" for c in ("k", "first", "size", "skip", "start", "end", "form")})
+            return [(path, None, 0, str(e), *[None] * (len(_FIELDS) + 1))]
+        rows = [(path, rate, places, None, k, *[getattr(b, f) for f in _FIELDS]) for k, b in enumerate(found)]
+        return [tuple(None if v is None else of(v) for v, of in zip(r, types, strict=True)) for r in rows]
 
-    return files.select("path", "content").mapInPandas(run, _BLOCK)
+    # files go to Python some at a time: an Arrow batch is thousands of rows, which files are too large for
+    rows = F.udf(listed, f"array<struct<{', '.join(': '.join(x.split(' ', 1)) for x in _BLOCK.split(', ')).replace('long', 'bigint')}>>", useArrow=False)
+    return files.select(rows("path", "content").alias("x")).select(F.inline("x"))
 
 
 def mixes(files: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -56,7 +54,7 @@ def mixes(files: DataFrame, piece: int = PIECE) -> DataFrame:
     listed = checkpointed(blocks(files).repartition(F.xxhash64("path", "k")))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             out = []
             for row in rows.to_dict("records"):
                 block = audio.Block(**{f: row[f] for f in _FIELDS} | {"points": [tuple(p) for p in row["points"]]})

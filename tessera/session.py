@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,6 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batches: Iterator[pd.DataFrame], size: int = 64) -> Iterator[pd.DataFrame]:
+    """Rows of batches, so many at a time: what is made from them is sent on before more is made."""
+    for rows in batches:
+        for at in range(0, len(rows), size):
+            yield rows.iloc[at : at + size]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the session's shared folder; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
