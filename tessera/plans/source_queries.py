@@ -15,7 +15,7 @@ from tessera.functions import text as T
 from tessera.operators import mixing
 from tessera.plans import made_files
 from tessera.registry import query, table
-from tessera.session import mounted, scratch
+from tessera.session import mounted, scratch, slices
 from tessera.sources import audio, documents, sinks, tree
 
 c = F.col
@@ -47,7 +47,7 @@ def _files(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFram
     """(path, content) with a file of each kind for each document."""
 
     def run(batches):
-        for rows in batches:
+        for rows in slices(batches):
             for kind in kinds:
                 made = [_office(t or "", kind, i) for i, t in zip(rows["doc_id"], rows["text"], strict=True)]
                 yield pd.DataFrame({"path": [f"d{i}.{kind}" for i in rows["doc_id"]], "content": made})
@@ -219,7 +219,7 @@ def src_audacity(spark: SparkSession, sf_dir: str) -> DataFrame:
         return made_project([MadeTrack(vector, gain=0.5), second])
 
     def make(batches):
-        for rows in batches:
+        for rows in slices(batches):
             yield pd.DataFrame({"path": [f"p{i}.aup3" for i in rows["vec_id"]], "content": [made(i, [float(x) for x in e]) for i, e in zip(rows["vec_id"], rows["embedding"], strict=True)]})
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)

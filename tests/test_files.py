@@ -3,9 +3,12 @@
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 
+from tessera.operators import mixing
 from tessera.plans import made_files
+from tessera.session import slices
 from tessera.sources import documents, pdf, sheets
 
 TEXT = "First (line) \\ with marks\nécole zwei & <b>\n\nкириллица 漢字 😀\nlast   one"
@@ -102,3 +105,13 @@ def test_cut_files_give_a_reason(name):
     for size in (0, 1, 10, 100, len(whole) // 2, len(whole) - 1):
         path, found, text, pages, error = documents.extract(name, whole[:size])
         assert error or text
+
+
+def test_files_go_to_python_some_at_a_time(spark):
+    """Not in Arrow batches of thousands, and what is made of slices is sent on slice by slice."""
+    files = spark.range(3).selectExpr("concat('f', id, '.txt') AS path", "CAST(concat('text ', id) AS BINARY) AS content")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for found in (documents.extract_files(files), mixing.blocks(files)):
+        assert "BatchEvalPython" in plan(found) and "MapInPandas" not in plan(found)
+    assert sorted(tuple(r) for r in documents.extract_files(files).select("path", "text").collect()) == [(f"f{k}.txt", f"text {k}") for k in range(3)]
+    assert [len(x) for x in slices(iter([pd.DataFrame({"a": range(150)}), pd.DataFrame({"a": range(3)})]))] == [64, 64, 22, 3]
