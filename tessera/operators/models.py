@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import cues
+from tessera.session import slices
 
 
 class Generator(Protocol):
@@ -56,7 +57,7 @@ def with_answers(rows: DataFrame, prompt: str, answer: str, model: Generator) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{answer}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.assign(**{answer: model.generate(list(batch[prompt]))})
 
     return rows.mapInPandas(run, schema)
