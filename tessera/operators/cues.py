@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import slices
 
 
 def srt_cues(lines: DataFrame, key: str, order: str, duration: Column, cap: int = 2000) -> DataFrame:
@@ -56,12 +57,9 @@ def pack_words(text: str, target: int) -> list[str]:
 
 
 def chunks(text: Column, target: int) -> Column:
-    """Greedy packing of words: where a chunk begins depends on the one before, so a text is packed by one loop, texts by Arrow batches. Null is an empty text."""
-
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_words(t or "", target))
-
+    """Greedy packing of words: where a chunk begins depends on the one before, so a text is packed by one loop. Texts go to it some at a time, not in
+    Arrow batches of thousands. Null is an empty text."""
+    packed = F.udf(lambda t: pack_words(t or "", target), "array<string>", useArrow=False)
     return packed(F.coalesce(text, F.lit("")))
 
 
@@ -122,8 +120,8 @@ def line_diffs(texts: DataFrame) -> DataFrame:
     """(id, diff) of (id, old, new): the diff as an array of t, text and chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in slices(batches):
             both = zip(rows["old"], rows["new"], strict=True)
-            yield pd.DataFrame({"id": rows["id"], "diff": [[{"t": t, "text": x, "chunk": 0} for t, x in lcs_diff(lines_of(a), lines_of(b))] for a, b in both]})
+            yield pd.DataFrame({"id": rows["id"].array, "diff": [[{"t": t, "text": x, "chunk": 0} for t, x in lcs_diff(lines_of(a), lines_of(b))] for a, b in both]})
 
     return texts.select("id", "old", "new").mapInPandas(run, "id long, diff array<struct<t: string, text: string, chunk: int>>")
