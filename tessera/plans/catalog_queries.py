@@ -446,8 +446,10 @@ def st_draft_move(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def there(folder: str, place: str) -> DataFrame:
         files = tree.tree(spark, folder, content=True).select(F.split("relative", "/").alias("p"), "content").where("size(p) = 2")
-        digest = lambda name: F.max(F.when(c("p")[1] == name, F.sha2("content", 256)))
-        return files.groupBy(c("p")[0].alias("stem")).agg(digest("raw.md").alias("raw_sha256"), digest("summary.md").alias("summary_sha256")).withColumn("place", F.lit(place))
+        # digests are dealt, so that contents are not sorted for the groups
+        digests = files.select(c("p")[0].alias("stem"), c("p")[1].alias("file"), F.sha2("content", 256).alias("digest")).repartition("stem")
+        digest = lambda name: F.max(F.when(c("file") == name, c("digest")))
+        return digests.groupBy("stem").agg(digest("raw.md").alias("raw_sha256"), digest("summary.md").alias("summary_sha256")).withColumn("place", F.lit(place))
 
     found = there(old, "old").union(there(new, "new"))
     here = (c("result") == "moved") == (c("place") == "new")
@@ -470,7 +472,9 @@ def st_output_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_files(files, folder, "name", "body")
     done = checkpointed(outputs.apply(_both(_OUTPUT_OPS, "labels")(spark, sf_dir), folder))
     found = tree.tree(spark, folder, depth=0, content=True).select(F.regexp_extract("relative", r"^([^.]+)(.*)$", 1).alias("stem"), F.regexp_extract("relative", r"^([^.]+)(.*)$", 2).alias("ending"), "content")
-    notes = found.groupBy("stem").agg(F.max(F.when(c("ending") == ".md", F.sha2("content", 256))).alias("sha256"), (F.count("*") - 1).alias("beside"))
+    # digests are dealt, so that contents are not sorted for the groups
+    digests = found.select("stem", "ending", F.sha2("content", 256).alias("digest")).repartition("stem")
+    notes = digests.groupBy("stem").agg(F.max(F.when(c("ending") == ".md", c("digest"))).alias("sha256"), (F.count("*") - 1).alias("beside"))
     hidden = done.where("op = 'dismiss' AND result = 'accepted'").select("stem", F.lit(False).alias("shown"))
     refused = done.where("result = 'taken'").select("stem", F.lit(True).alias("conflict"))
     return notes.join(hidden, "stem", "left").join(refused, "stem", "left").select("stem", "sha256", "beside", F.coalesce("shown", F.lit(True)).alias("shown"), F.coalesce("conflict", F.lit(False)).alias("conflict"))
