@@ -7,10 +7,14 @@ held one is late and changes nothing; a newer epoch replaces the marks, and the
 the summaries seen so far. Each stage answers with a row for each file that a micro-batch touches; the row of the
 highest version is the file's state.
 
-The stale-event filter is a stage of its own: state by epoch, the current one being that of the latest event.
-
-Defined cases: rows without a path or ``seq`` take no part; repeated events count once for the passes, and as often
-as they come for the filter.
+The stale-event filter is a stage of its own, a streaming aggregate: for each file and epoch its state holds how many
+events there are and the last of them. The current epoch is that of the latest event, so a file's answer is the row of
+the greatest ``seq``, and among those of the greatest count, which only grows. Each micro-batch answers with one row for
+each file that it touches; of a micro-batch with late events only, that row lies behind an earlier one and changes nothing.
+
+Defined cases: rows without a path take no part, nor do those without ``seq`` in the passes. The filter counts them in
+their epoch, which they do not make the current one. No epoch is an epoch too. Repeated events count once for the
+passes, and as often as they come for the filter.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tessera.streaming.queue import rocks
 
 NEVER = 2**63 - 1
 _MARK = "path long, kind string, seq long, epoch long, first_pass long, gone long"
 PASSES = "path long, version long, first_pass long, full_pass long"
-KEPT = "path long, version long, kept long, seq long"
+KEPT = "path long, kept long, seq long"
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -91,34 +95,6 @@ class FullPass(StatefulProcessor):
         pass
 
 
-class StaleFilter(StatefulProcessor):
-    """Events (path, seq, epoch) in; for each file, how many are of its current epoch, and the last of them, out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._epochs = handle.getMapState("epochs", "epoch long", "kept long, last long")
-        self._current = handle.getValueState("current", "version long, seq long, epoch long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, seq, epoch = self._current.get() if self._current.exists() else (0, -NEVER, -1)
-        seen: dict[int, tuple[int, int]] = {}
-        for part in rows:
-            for s, e in zip(part["seq"], part["epoch"], strict=True):
-                own = -1 if pd.isna(e) else int(e)
-                kept, last = seen.get(own, (0, -NEVER))
-                seen[own] = (kept + 1, max(last, int(s)))
-                if s > seq:
-                    seq, epoch = int(s), own
-        for e, (kept, last) in seen.items():
-            old = self._epochs.getValue((e,)) if self._epochs.containsKey((e,)) else (0, -NEVER)
-            self._epochs.updateValue((e,), (old[0] + kept, max(old[1], last)))
-        kept, last = self._epochs.getValue((epoch,))
-        self._current.update((version + 1, seq, epoch))
-        yield _frame([(key[0], version + 1, kept, last)], KEPT)
-
-    def close(self) -> None:
-        pass
-
-
 def two_pass(events: DataFrame) -> DataFrame:
     """PASSES rows of a stream of events (path, seq, stage)."""
     known = events.select("path", "seq", "stage").where("path IS NOT NULL AND seq IS NOT NULL")
@@ -127,15 +103,36 @@ def two_pass(events: DataFrame) -> DataFrame:
 
 
 def stale_drop(events: DataFrame) -> DataFrame:
-    """KEPT rows of a stream of events (path, seq, epoch)."""
-    known = events.select("path", "seq", "epoch").where("path IS NOT NULL AND seq IS NOT NULL")
-    return known.groupBy("path").transformWithStateInPandas(StaleFilter(), KEPT, "Append", "None")
+    """Of a stream of events (path, seq, epoch), for each file and epoch (path, epoch, kept, seq): how many events, and the last."""
+    known = events.select("path", "seq", "epoch").where("path IS NOT NULL")
+    return known.groupBy("path", "epoch").agg(F.count("*").alias("kept"), F.max("seq").alias("seq"))
+
+
+def _current(rows: DataFrame) -> DataFrame:
+    """KEPT: of each file the row of its current epoch, among rows of files and epochs as they were at several times."""
+    last = rows.where("seq IS NOT NULL").groupBy("path").agg(F.max(F.struct("seq", "kept")).alias("last"))
+    return last.select("path", "last.kept", "last.seq")
 
 
 def run(spark: SparkSession, answers: DataFrame, out: str) -> DataFrame:
     """Answer all that a stream has now, beside what ``out`` holds from earlier runs; the last answer for each path."""
+    stream = answers.writeStream.option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True)
+    if "epoch" in answers.columns:
+        return _run_filter(spark, stream, f"{out}/answers")
     with rocks(spark):
-        answers.writeStream.format("parquet").option("path", f"{out}/answers").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+        stream.format("parquet").option("path", f"{out}/answers").start().awaitTermination()
     told = spark.read.schema(answers.schema).parquet(f"{out}/answers")
     rest = [c for c in told.columns if c not in ("path", "version")]
     return told.groupBy("path").agg(F.max_by(F.struct(*rest), "version").alias("last")).select("path", "last.*")
+
+
+def _run_filter(spark: SparkSession, stream: DataStreamWriter, folder: str) -> DataFrame:
+    """Counts change with each micro-batch: it is written once, under its number."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        _current(rows).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    spark.createDataFrame([], KEPT).write.mode("overwrite").parquet(f"{folder}/batch=-1")  # a stream may have nothing yet
+    with rocks(spark):
+        stream.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    return _current(spark.read.schema(KEPT).parquet(folder))

@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+from tessera.plans import event_queries
 from tessera.streaming import passes
 
 EVENTS = "path long, seq long, stage string, epoch long"
@@ -48,3 +50,32 @@ def test_streams_equal_the_batch_forms(spark, tmp_path, seed):
         assert {r.path: (r.first_pass, r.full_pass) for r in got} == plain_passes(seen)
         got = passes.run(spark, passes.stale_drop(stream()), str(tmp_path / "stale")).collect()
         assert {r.path: (r.kept, r.seq) for r in got} == plain_kept(seen)
+
+
+def test_filter_counts_in_spark_and_sends_no_row_to_python(spark, tmp_path):
+    events = [(1, s, "other", s % 1000) for s in range(20_000)] + [(2, 5, "other", -1), (2, 4, "other", None), (3, 1, "other", 7), (3, None, "other", 7), (4, None, "other", 7), (None, 1, "other", 7)]
+    late = [(1, 3, "other", 999), (1, 4, "other", 5), (2, 3, "other", -1), (3, None, "other", 8)]
+    for k, part in enumerate((events, late)):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = passes.stale_drop(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
+        got = {r.path: (r.kept, r.seq) for r in passes.run(spark, stream, str(tmp_path / "out")).collect()}
+        assert got == {1: (20 + k, 19_999), 2: (1 + k, 5), 3: (2, 1)}
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [path" in plan and "WithState" not in plan
+
+
+def test_filter_of_a_stream_that_has_nothing_yet(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = passes.stale_drop(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
+    assert passes.run(spark, stream, str(tmp_path / "out")).collect() == []
+
+
+def test_filter_query_equals_its_sql_with_nulls(spark, tmp_path):
+    rows = [(1, 1, 1), (2, 1, 2), (3, 1, None), (None, 1, 2), (4, 2, None), (5, None, 1), (6, 3, -1), (5, 3, None), (None, 4, 3)]
+    values = ", ".join(f"({e}, {u}, {k})".replace("None", "NULL") for e, u, k in rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT e::BIGINT AS event_id, u::BIGINT AS user_id, 'click' AS event_type, 1.5::DOUBLE AS value, '{{\"k\": ' || k || '}}' AS props FROM (VALUES {values}) t(e, u, k)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.execute(event_queries._STALE).fetchall()
+    assert sorted(want) == [(1, 2, 2), (3, 1, 6)]
+    assert sorted(map(tuple, event_queries.str_stale_drop_stream(spark, str(tmp_path)).collect())) == sorted(want)
