@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -83,31 +84,57 @@ def lines_of(text: str | None) -> list[str]:
     return out[:-1] if len(out) > 1 and not out[-1] else out
 
 
-def lcs_diff(old: list[str], new: list[str], most: int = 2000) -> list[tuple[str, str]]:
-    """Line diff by the longest common subsequence, removals first; past ``most`` lines all old ones go and all new ones come.
+def _bits(places: list[int], size: int) -> int:
+    """A number with ones at these places."""
+    found = bytearray(size // 8 + 1)
+    for p in places:
+        found[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(found, "little")
+
+
+def lcs_diff(old: list[str], new: list[str], most: int | None = 2000) -> list[tuple[str, str]]:
+    """Line diff by the longest common subsequence, removals first; past ``most`` lines, unless it is None, all old ones go and all new ones come.
 
     A row of the table of lengths is one number: bit p is 0 where taking in the p-th line from the end of ``new``
     makes the subsequence longer. A row follows from the one below it by an addition, and the length at a place is
-    the number of zeros up to it."""
+    the number of zeros up to it. One row in so many is kept, and those between are made again as the walk comes to
+    them, so rows are held for the root of the number of old lines only."""
     n, m = len(old), len(new)
-    if n > most or m > most:
+    if most is not None and max(n, m) > most:
         return [("-", x) for x in old[:most]] + [("+", x) for x in new[:most]]
-    places: dict[str, int] = {}
+    places: dict[str, list[int]] = {}
     for p, line in enumerate(reversed(new)):
-        places[line] = places.get(line, 0) | 1 << p
+        places.setdefault(line, []).append(p)
+    # only for lines that stand in many places, which are few
+    often = {line: _bits(at, m) for line, at in places.items() if len(at) ** 2 >= m}
     full = (1 << m) - 1
-    rows = [full]
-    for line in reversed(old):
-        hits, row = places.get(line, 0), rows[-1]
-        rows.append((row + (row & hits) | row & ~hits) & full)
-    rows.reverse()
-    out, i, j, left = [], 0, 0, m - rows[0].bit_count()
+
+    def above(row: int, line: str) -> int:
+        if line not in places:
+            return row
+        hits = often[line] if line in often else _bits(places[line], m)
+        return (row + (row & hits) | row & ~hits) & full
+
+    step = math.isqrt(n) + 1
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(row, old[i])
+        if not i % step:
+            kept[i] = row
+    rows: dict[int, int] = {}
+    out, i, j, left = [], 0, 0, m - row.bit_count()
     while i < n or j < m:
         if i < n and j < m and old[i] == new[j]:
             out.append((" ", old[i]))
             i, j, left = i + 1, j + 1, left - 1
+            continue
+        if i < n and j < m and i + 1 not in rows:
+            top = min(i // step * step + step, n)
+            rows = {top: kept[top]}
+            for k in range(top - 1, i, -1):
+                rows[k] = above(rows[k + 1], old[k])
         # without the old line, the rest is as long as with it
-        elif i < n and (j == m or m - j - (rows[i + 1] & ((1 << (m - j)) - 1)).bit_count() == left):
+        if i < n and (j == m or m - j - (rows[i + 1] & ((1 << (m - j)) - 1)).bit_count() == left):
             out.append(("-", old[i]))
             i += 1
         else:
@@ -117,11 +144,11 @@ def lcs_diff(old: list[str], new: list[str], most: int = 2000) -> list[tuple[str
 
 
 def line_diffs(texts: DataFrame) -> DataFrame:
-    """(id, diff) of (id, old, new): the diff as an array of t, text and chunk."""
+    """(id, diff) of (id, old, new): the diff of all lines as an array of t, text and chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in slices(batches):
             both = zip(rows["old"], rows["new"], strict=True)
-            yield pd.DataFrame({"id": rows["id"].array, "diff": [[{"t": t, "text": x, "chunk": 0} for t, x in lcs_diff(lines_of(a), lines_of(b))] for a, b in both]})
+            yield pd.DataFrame({"id": rows["id"].array, "diff": [[{"t": t, "text": x, "chunk": 0} for t, x in lcs_diff(lines_of(a), lines_of(b), None)] for a, b in both]})
 
     return texts.select("id", "old", "new").mapInPandas(run, "id long, diff array<struct<t: string, text: string, chunk: int>>")

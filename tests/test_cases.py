@@ -106,6 +106,21 @@ def test_lcs_diff():
     assert cues.lcs_diff(["x"] * 2001, ["y"])[:1] == [("-", "x")] and len(cues.lcs_diff(["x"] * 2001, ["y"])) == 2001
 
 
+def test_diffs_of_long_texts_are_whole(spark):
+    """Past 2,000 lines as before: lines that stay are no changes."""
+    old = [f"line {k % 900}" for k in range(2500)]
+    new = [*old[:7], "and one more", *old[7:1200], *old[1201:]]
+    got = cues.line_diffs(spark.createDataFrame([(1, "\n".join(old), "\n".join(new))], "id long, old string, new string")).first()["diff"]
+    assert [(x["t"], x["text"]) for x in got if x["t"] != " "] == [("+", "and one more"), ("-", "line 300")]
+    assert [x["text"] for x in got if x["t"] != "+"] == old and [x["text"] for x in got if x["t"] != "-"] == new
+
+
+@pytest.mark.parametrize("n", [3, 50, 90])
+def test_lcs_diff_of_lines_that_are_rare_and_frequent(n):
+    rng = random.Random(n)
+    old, new = ([rng.choice(["", "", "x", *map(str, range(n))]) for _ in range(3 * n)] for _ in range(2))
+    assert cues.lcs_diff(old, new, None) == plain_diff(old, new)
+
 def test_similar_items_form_one_group(spark):
     items = spark.createDataFrame([(1, "l", "the cell divides during mitosis today"), (2, "l", "the cell divides during mitosis today"), (3, "l", "unrelated words entirely elsewhere")], "id long, lib string, text string")
     pairs = similarity.cosine_pairs(items)
