@@ -467,11 +467,13 @@ def st_output_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes and the files beside them are written, renamed, dismissed and deleted by labels, and listed."""
     folder = scratch(spark, "outputs")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    each = lambda rows, ending, body: rows.select(F.concat(F.lit("note"), "doc_id", F.lit(ending)).alias("name"), body.alias("body"))
+    shelves = max(1024, 16 * spark.sparkContext.defaultParallelism)
+    stem = outputs.shelf(F.concat(F.lit("note"), c("doc_id").cast("string")), shelves)
+    each = lambda rows, ending, body: rows.select(F.concat(stem, F.lit(ending)).alias("name"), body.alias("body"))
     files = each(docs, ".md", c("body")).union(each(docs, ".md.json", F.lit("{}"))).union(each(docs.where("doc_id % 2 = 1"), ".md.diff.json", F.lit("[]"))).union(each(docs.where("doc_id % 3 = 0"), ".srt", F.lit("1")))
     sinks.write_files(files, folder, "name", "body")
-    done = checkpointed(outputs.apply(_both(_OUTPUT_OPS, "labels")(spark, sf_dir), folder))
-    found = tree.tree(spark, folder, depth=0, content=True).select(F.regexp_extract("relative", r"^([^.]+)(.*)$", 1).alias("stem"), F.regexp_extract("relative", r"^([^.]+)(.*)$", 2).alias("ending"), "content")
+    done = checkpointed(outputs.apply(_both(_OUTPUT_OPS, "labels")(spark, sf_dir), folder, shelves))
+    found = outputs.listed(spark, folder, shelves, content=True).select(F.regexp_extract("name", r"^([^.]+)(.*)$", 1).alias("stem"), F.regexp_extract("name", r"^([^.]+)(.*)$", 2).alias("ending"), "content")
     # digests are dealt, so that contents are not sorted for the groups
     digests = found.select("stem", "ending", F.sha2("content", 256).alias("digest")).repartition("stem")
     notes = digests.groupBy("stem").agg(F.max(F.when(c("ending") == ".md", c("digest"))).alias("sha256"), (F.count("*") - 1).alias("beside"))

@@ -21,14 +21,19 @@ def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
     top = mounted(folder)
 
     def run(batches):
+        made: set[str] = set()
         for batch in batches:
             os.makedirs(top, exist_ok=True)
             for where, text in zip(batch[name], batch[body], strict=True):
-                own = os.path.join(top, f".{uuid.uuid4().hex}")
+                target = os.path.join(top, where)
+                beside = os.path.dirname(target)
+                if beside not in made:
+                    os.makedirs(beside, exist_ok=True)
+                    made.add(beside)
+                # beside its target: a folder that all tasks write to makes them wait for each other
+                own = os.path.join(beside, f".{uuid.uuid4().hex}")
                 with open(own, "w", encoding="utf-8", newline="") as file:
                     file.write(text)
-                target = os.path.join(top, where)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
                 os.replace(own, target)
             yield batch[[name]]
 
